@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from tidewire.llm import quality_rules
+from tidewire.llm import mixing, packing, quality_rules, sharding
 from tidewire.llm.common import documents
 
 QUERIES = {
+    "op3_packing": lambda spark, d: packing.digest(documents(spark, d)),
+    "op5_mixing": lambda spark, d: mixing.digest(documents(spark, d)),
+    "op7_sharding": lambda spark, d: sharding.digest(documents(spark, d)),
     "op10_quality_rules": lambda spark, d: quality_rules.digest(documents(spark, d)),
 }
 SQL = {"op10_quality_rules": quality_rules.SQL}
