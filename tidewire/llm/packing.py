@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import bisect
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,7 +49,7 @@ class Encoder:
     before other white space are encoded whole.
     """
 
-    MOST = 300_000  # words remembered at a time
+    MOST = 800_000  # words remembered at a time
 
     def __init__(self, path: str):
         import os
@@ -57,11 +58,25 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        self.opens = np.zeros(self.tok.get_vocab_size(with_added_tokens=True), bool)  # ids that begin with a blank
+        for piece, i in self.tok.get_vocab(with_added_tokens=True).items():
+            self.opens[i] = piece.startswith("\u0120")
         self.known: dict[str, bytes] = {}
         self.uneven = re.compile(r" (?:\s|$)").search
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _word_ids(self, words: list[str]) -> list[bytes]:
+        """The ids of each word with a blank before it: one text of all words, cut before the blanks."""
+        if not words:
+            return []
+        ids = np.array(self.tok.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        starts = (np.flatnonzero(self.opens[ids]) * 4).tolist()
+        if len(starts) != len(words):
+            return self._ids([" " + w for w in words])
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip(starts, [*starts[1:], len(raw)], strict=True)]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         words = [None if self.uneven(t) else t.split(" ") for t in texts]
@@ -70,17 +85,27 @@ class Encoder:
             self.known.clear()
             new = set().union(*(w[1:] for w in words if w))
         ordered = list(new)
-        self.known.update(zip(ordered, self._ids([" " + w for w in ordered]), strict=True))
+        self.known.update(zip(ordered, self._word_ids(ordered), strict=True))
         heads = self._ids([t if w is None else w[0] for t, w in zip(texts, words, strict=True)])
         get = self.known.__getitem__
         return [h if w is None else h + b"".join(map(get, w[1:])) for h, w in zip(heads, words, strict=True)]
 
 
+def encoder(path: str) -> Encoder:
+    """The Python worker's encoder: kept beside the tokenizer library, so that its next tasks know the words already."""
+    import tokenizers
+
+    kept = tokenizers.__dict__.setdefault("_tidewire_encoders", {})
+    if path not in kept:
+        kept[path] = Encoder(path)
+    return kept[path]
+
+
 def pieces(docs: DataFrame, window: int = WINDOW, closing_id: int = CLOSING_ID, path: str | None = None) -> DataFrame:
     """doc_id, fp (the text's fingerprint), doc_tokens, start, length and ids (32-bit little-endian) of each piece: full windows, then the rest."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = Encoder(path or tokenizer_path()), np.array([closing_id], "<u4").tobytes()
+        encode, end = encoder(path or tokenizer_path()), np.array([closing_id], "<u4").tobytes()
         for batch in batches:
             for lo in range(0, batch.num_rows, 64):
                 part = batch.slice(lo, 64)

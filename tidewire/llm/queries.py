@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from tidewire.llm import mixing, packing, quality_rules, sharding
+from tidewire.llm import language_id, line_dedup, mixing, packing, quality_rules, sharding
 from tidewire.llm.common import documents
 
 QUERIES = {
+    "op2_line_dedup": lambda spark, d: line_dedup.deduped(documents(spark, d)),
     "op3_packing": lambda spark, d: packing.digest(documents(spark, d)),
     "op5_mixing": lambda spark, d: mixing.digest(documents(spark, d)),
+    "op6_language_id": lambda spark, d: language_id.digest(documents(spark, d)),
     "op7_sharding": lambda spark, d: sharding.digest(documents(spark, d)),
     "op10_quality_rules": lambda spark, d: quality_rules.digest(documents(spark, d)),
 }
-SQL = {"op10_quality_rules": quality_rules.SQL}
+SQL = {"op2_line_dedup": line_dedup.SQL, "op10_quality_rules": quality_rules.SQL}
