@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tidewire.llm import language_id, line_dedup, mixing, packing, quality_rules, sharding
+from tidewire.llm import embedding_dedup, language_id, line_dedup, mixing, packing, quality_rules, sharding
 from tidewire.llm.common import documents
 
 QUERIES = {
+    "op1_embedding_near_dedup": lambda spark, d: embedding_dedup.digest(spark.read.parquet(f"{d}/embeddings.parquet")),
     "op2_line_dedup": lambda spark, d: line_dedup.deduped(documents(spark, d)),
     "op3_packing": lambda spark, d: packing.digest(documents(spark, d)),
     "op5_mixing": lambda spark, d: mixing.digest(documents(spark, d)),
