@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidewire.llm import embedding_dedup, language_id, line_dedup, mixing, ngram_join, packing, quality_rules, sharding
+from tidewire.llm import embedding_dedup, language_id, line_dedup, lm_scoring, mixing, ngram_join, packing, quality_rules, sharding
 from tidewire.llm.common import documents
 
 QUERIES = {
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_mixing": lambda spark, d: mixing.digest(documents(spark, d)),
     "op6_language_id": lambda spark, d: language_id.digest(documents(spark, d)),
     "op7_sharding": lambda spark, d: sharding.digest(documents(spark, d)),
+    "op8_lm_scoring": lambda spark, d: lm_scoring.digest(documents(spark, d)),
     "op9_ngram_jaccard_join": lambda spark, d: ngram_join.digest(documents(spark, d)),
     "op10_quality_rules": lambda spark, d: quality_rules.digest(documents(spark, d)),
 }
