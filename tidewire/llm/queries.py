@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tidewire.llm import embedding_dedup, language_id, line_dedup, lm_scoring, mixing, ngram_join, packing, quality_rules, sharding
+from tidewire.llm import embedding_dedup, language_id, line_dedup, lm_scoring, mixing, ngram_join, packing, quality_rules, sharding, suffix_dedup
 from tidewire.llm.common import documents
 
 QUERIES = {
     "op1_embedding_near_dedup": lambda spark, d: embedding_dedup.digest(spark.read.parquet(f"{d}/embeddings.parquet")),
     "op2_line_dedup": lambda spark, d: line_dedup.deduped(documents(spark, d)),
     "op3_packing": lambda spark, d: packing.digest(documents(spark, d)),
+    "op4_suffix_array_dedup": lambda spark, d: suffix_dedup.digest(documents(spark, d)),
     "op5_mixing": lambda spark, d: mixing.digest(documents(spark, d)),
     "op6_language_id": lambda spark, d: language_id.digest(documents(spark, d)),
     "op7_sharding": lambda spark, d: sharding.digest(documents(spark, d)),
