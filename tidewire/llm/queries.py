@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from tidewire.llm import embedding_dedup, language_id, line_dedup, lm_scoring, mixing, ngram_join, packing, quality_rules, sharding, suffix_dedup
 from tidewire.llm.common import documents
 
@@ -15,6 +16,7 @@ QUERIES = {
     "op7_sharding": lambda spark, d: sharding.digest(documents(spark, d)),
     "op8_lm_scoring": lambda spark, d: lm_scoring.digest(documents(spark, d)),
     "op9_ngram_jaccard_join": lambda spark, d: ngram_join.digest(documents(spark, d)),
+    "pipeline": corpus_pipeline.run,
     "op10_quality_rules": lambda spark, d: quality_rules.digest(documents(spark, d)),
 }
 SQL = {"op2_line_dedup": line_dedup.SQL, "op10_quality_rules": quality_rules.SQL}
