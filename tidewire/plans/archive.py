@@ -17,8 +17,8 @@ def local_time(ts: str = "ts"):
 
 @query(
     "archive_days",
-    "SELECT CAST(ts + INTERVAL 10 HOUR AS DATE) AS day, count(*) AS n FROM events GROUP BY 1",
+    "SELECT CAST(CAST(ts + INTERVAL 10 HOUR AS DATE) AS VARCHAR) AS day, count(*) AS n FROM events GROUP BY 1",
 )
 def archive_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return events.groupBy(F.to_date(local_time()).alias("day")).agg(F.count("*").alias("n"))
+    return events.groupBy(F.to_date(local_time()).cast("string").alias("day")).agg(F.count("*").alias("n"))
