@@ -33,7 +33,6 @@ class VersionedTable:
         v = self.version + 1
         columns = self.spark.createDataFrame([], self.schema).columns
         rows.select(*columns).write.mode("overwrite").parquet(f"{self.path}/v{v}")
-        jvm = self.spark.sparkContext._jvm
         new = self._Path(f"{self.path}/current.new")
         out = self.fs.create(new, True)
         out.write(bytearray(str(v).encode()))
@@ -41,7 +40,6 @@ class VersionedTable:
         self.fs.delete(self._Path(f"{self.path}/current"), False)
         if not self.fs.rename(new, self._Path(f"{self.path}/current")):
             raise OSError(f"{self.path}: version {v} could not be published")
-        del jvm
         return v
 
     def keep(self, versions: int = 7) -> None:

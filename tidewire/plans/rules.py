@@ -192,10 +192,8 @@ def config_sync(spark, d):
 @query("changed_pages", "SELECT page_id, sha256(html) AS content_hash FROM pages WHERE page_id % 4 > 0")
 def changed_pages(spark, d):
     pages = table(spark, d, "pages").select("page_id", "url", F.col("html").alias("content"), F.when(F.col("page_id") % 8 == 0, 304).otherwise(200).alias("http_status"))
-    cache = pages.where("page_id % 4 = 0").select("url", F.sha2("content", 256).alias("content_hash"))
     keyed = pages.withColumn("url", F.concat("url", F.lit("#"), F.col("page_id").cast("string")))
     cached = pages.where("page_id % 4 = 0").select(F.concat("url", F.lit("#"), F.col("page_id").cast("string")).alias("url"), F.sha2("content", 256).alias("content_hash"))
-    del cache
     return S.changed_pages(keyed, cached).select("page_id", "content_hash")
 
 
@@ -219,8 +217,8 @@ def sessions(spark, d):
     return stream.sessions(table(spark, d, "events"))
 
 
-@query("archive_rollup", "SELECT CAST(y AS INT) AS y, CAST(m AS INT) AS m, count(*) AS n, max(ts) AS newest FROM (SELECT year(ts + INTERVAL 10 HOUR) AS y, month(ts + INTERVAL 10 HOUR) AS m, ts FROM events) GROUP BY ROLLUP (y, m)")
+@query("archive_rollup", "SELECT CAST(y AS VARCHAR) AS y, CAST(m AS VARCHAR) AS m, count(*) AS n, max(ts) AS newest FROM (SELECT year(ts + INTERVAL 10 HOUR) AS y, month(ts + INTERVAL 10 HOUR) AS m, ts FROM events) GROUP BY ROLLUP (y, m)")
 def archive_rollup(spark, d):
     e = table(spark, d, "events").withColumn("t", F.col("ts").cast("timestamp"))
     at = F.from_utc_timestamp("t", "Pacific/Guam")
-    return e.rollup(F.year(at).alias("y"), F.month(at).alias("m")).agg(F.count("*").alias("n"), F.max("t").alias("newest"))
+    return e.rollup(F.year(at).alias("y"), F.month(at).alias("m")).agg(F.count("*").alias("n"), F.max("t").alias("newest")).withColumns({"y": F.col("y").cast("string"), "m": F.col("m").cast("string")})

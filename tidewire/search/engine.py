@@ -123,25 +123,32 @@ def trigrams(word: str) -> list[str]:
     return [padded[i : i + 3] for i in range(len(padded) - 2)]
 
 
-def word_similarity(q: str, text: str | None) -> float:
-    """The greatest share of the query's trigrams that a stretch of the text's trigrams holds, less what the stretch has besides."""
+def word_similarity(q: str, text: str | None, floor: float = 0.3) -> float:
+    """The greatest share of the query's trigrams that a stretch of the text's trigrams holds, less what the stretch has besides.
+
+    A stretch is followed while it can still beat the best one and the floor, so its length is bounded by the query's; below the floor
+    the answer is 0.
+    """
     import re
 
     words = lambda s: re.findall(r"[^\W_]+", s.lower())
     wanted = {g for w in words(q) for g in trigrams(w)}
     have = [g for w in words(text or "") for g in trigrams(w)]
-    hits = [i for i, g in enumerate(have) if g in wanted]
     best = 0.0
-    for a in range(len(hits)):
+    for a, first in enumerate(have):
+        if first not in wanted:
+            continue
         shared: set[str] = set()
-        inside: set[str] = set(have[hits[a] : hits[a]])
-        last = hits[a]
-        for b in range(a, len(hits)):
-            inside.update(have[last : hits[b] + 1])
-            last = hits[b] + 1
-            shared.add(have[hits[b]])
-            best = max(best, len(shared) / (len(wanted) + len(inside - wanted)))
-    return best
+        noise: set[str] = set()
+        for g in have[a:]:
+            if g in wanted:
+                shared.add(g)
+                best = max(best, len(shared) / (len(wanted) + len(noise)))
+            else:
+                noise.add(g)
+                if len(wanted) / (len(wanted) + len(noise)) <= max(best, floor):
+                    break
+    return best if best >= floor else 0.0
 
 
 def similar_titles(rows: DataFrame, q: str, limit: int) -> DataFrame:

@@ -8,7 +8,7 @@ import re
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions import html as H
@@ -205,7 +205,7 @@ def merged_candidates(found: DataFrame, by: tuple[str, ...] = ("key",)) -> DataF
     return rows.where("_n = 1").drop("_n")
 
 
-def read_pages(spark, path: str) -> DataFrame:
+def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """Files of a folder as (url, content): the path stands for the address."""
     return spark.read.format("binaryFile").load(path).select(F.col("path").alias("url"), "content")
 
