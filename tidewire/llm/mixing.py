@@ -25,8 +25,8 @@ from tidewire.llm.common import WORD, stored, text_key
 WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
 MAX_EPOCHS = 2
-#: Rows that one range should hold.
-RANGE_ROWS = 50_000
+#: Rows that one range should hold: few, as only a sum per range is gathered.
+RANGE_ROWS = 4_000
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float = BUDGET, max_epochs: int = MAX_EPOCHS) -> DataFrame:
