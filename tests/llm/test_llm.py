@@ -359,6 +359,25 @@ def test_embeddings(spark, leaf, monkeypatch):
         assert leaf < 1000 or all(got[i]["component_id"] == got[j]["component_id"] for j in js)
 
 
+def test_embeddings_of_a_large_group(spark, monkeypatch):
+    """A group far above a leaf's size, dealt over several blocks: every link counts, also of vectors at its rim and of copies."""
+    monkeypatch.setattr(embedding_dedup, "MAX_LEAF", 60)
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 400)
+    rng = np.random.default_rng(2)
+    base = rng.standard_normal(16)
+    rim = [base + rng.uniform(0.1, 0.35) * rng.standard_normal(16) for _ in range(100)]
+    vectors = [base + 0.1 * rng.standard_normal(16) for _ in range(1500)] + rim + [rng.standard_normal(16) for _ in range(200)]
+    vectors += vectors[:30]
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r for r in embedding_dedup.near_duplicates(df, leaf=20).collect()}
+    x = np.array(vectors)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= 0.93
+    true, found = near.sum(axis=1) - 1, np.array([got[i]["n_links"] for i in range(len(x))])
+    assert (found <= true).all() and (found[:1500] == true[:1500]).all() and found.sum() >= 0.999 * true.sum()
+    assert len({got[i]["component_id"] for i in range(1500)}) == 1
+
+
 def test_pipeline(spark, tmp_path, odd, words):
     import corpus_pipeline
 

@@ -6,6 +6,13 @@ vectors share a leaf in most trees. The top of the forest is fitted on a bounded
 vector in one pass; leaves that are still too large, which are where the data is dense, are halved in
 further rounds at their own medians. Within a leaf vectors are compared exactly, in double precision.
 
+Halving parts a group of more than MAX_LEAF mutual near copies, so dense places are taken out before. With
+`reach` the angle of the threshold, leaders are vectors of a hashed sample with several others of it within
+reach; whatever is within twice the reach of a leader is core of the nearest one's ball, and all its links lie
+within three times the reach. Every core vector is compared with all of those, exactly, block against block,
+which gives its whole degree; vectors that are no core get their links to cores there too. The forest holds
+only what is core nowhere. The sample decides where the exact comparison is made, never what counts.
+
 A pair that shares several leaves counts in the least of them only, so degrees are summed without ever
 writing a pair; for the components a leaf writes one link per vector, to the least vector it reaches
 within the leaf. Components of all leaves' links are found by star rounds.
@@ -38,6 +45,10 @@ MAX_LEAF = 3000
 SPILL = 0.08
 #: The trees' top is fitted on so many vectors at most.
 SAMPLE = 20_000
+#: Leaders come from a sample in which MAX_LEAF vectors have DENSE members on average, and have SOME of them near.
+DENSE, SOME = 20, 4
+#: Rows of a ball's block, fewer if vectors are long, and numbers in it.
+BLOCK, BLOCK_NUMBERS = 8192, 1 << 23
 
 
 def usable(vector: Column) -> Column:
@@ -177,6 +188,114 @@ def compared(table: pa.Table, cosine: float) -> pa.Table:
     return pa.table({"class": ids, "links": links.astype(np.int64), "least": ids[order[least]]})
 
 
+def leading(table: pa.Table, cosine: float) -> pa.Table:
+    """One label's sample: of the vectors that have SOME others near, so many that each of these is near one."""
+    x, ids = unit(_matrix(table, "vec"), table.column("dim")[0].as_py()), table.column("class").to_numpy()
+    order = np.argsort(ids, kind="stable")
+    x = x[order]
+    near = np.concatenate([(x[lo : lo + 512] @ x.T >= cosine).sum(axis=1) - 1 for lo in range(0, len(x), 512)])
+    left, chosen = near >= SOME, []
+    for i in np.argsort(-near, kind="stable"):
+        if left[i]:
+            chosen.append(i)
+            left &= x @ x[i] < cosine
+            left[i] = False
+    return table.select(["space", "class", "vec"]).take(pa.array(order[np.array(chosen, np.int64)]))
+
+
+def balled(classes: DataFrame, cosine: float, limit: int) -> tuple[DataFrame, bool]:
+    """classes with `ball`, the ball whose core a vector is in (or null), and `balls`, those within which its links to cores lie; whether there are any."""
+    spaced = classes.withColumn("space", F.xxhash64("label", "dim"))
+    sample = spaced.where(F.pmod(F.xxhash64("class", F.lit(3)), F.lit(max(1, limit // DENSE))) == 0).select("space", "class", "dim", "vec")
+
+    def lead(table: pa.Table) -> pa.Table:
+        return leading(table, cosine)
+
+    found = sample.groupBy("space").applyInArrow(lead, "space long, class long, vec array<double>").collect()  # fewer than the sample's dense places
+    spaces: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for space in {r["space"] for r in found}:
+        own = sorted((r["class"], r["vec"]) for r in found if r["space"] == space)
+        spaces[space] = (np.array([c for c, _ in own], np.int64), unit(np.array([v for _, v in own]), len(own[0][1])))
+    sent = classes.sparkSession.sparkContext.broadcast(spaces)
+    reach = math.acos(cosine)
+    core, whole = (math.cos(min(math.pi, k * reach)) - 1e-9 for k in (2, 3))  # the triangle inequality, and room for rounding
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ball: list[int | None] = [None] * batch.num_rows
+            balls: list[list[int]] = [[] for _ in range(batch.num_rows)]
+            space = batch.column("space").to_numpy()
+            for s in np.unique(space):
+                if s not in sent.value:
+                    continue
+                names, leaders = sent.value[s]
+                own = np.flatnonzero(space == s)
+                x = unit(_matrix(batch.take(pa.array(own)), "vec"), leaders.shape[1])
+                for lo in range(0, len(own), 1024):
+                    near = x[lo : lo + 1024] @ leaders.T
+                    best = near.argmax(axis=1)
+                    for i, row, b in zip(own[lo : lo + 1024], near, best, strict=True):
+                        ball[i] = int(names[b]) if row[b] >= core else None
+                        balls[i] = names[row >= whole].tolist()
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ball, pa.int64()), pa.array(balls, pa.list_(pa.int64()))], [*batch.schema.names, "ball", "balls"])
+
+    schema = ", ".join(f"{c} {t}" for c, t in spaced.dtypes)
+    return stored(spaced.mapInArrow(place, f"{schema}, ball long, balls array<long>"), "balls"), bool(spaces)
+
+
+def crossed(table: pa.Table, cosine: float) -> pa.Table:
+    """A block of a ball's core against a block of all the ball: per vector with a link, its links that count here and the least class it reaches here."""
+    dim = table.column("dim")[0].as_py()
+    inner = table.column("inner").to_numpy()
+    x, ids, copies, free = unit(_matrix(table, "vec"), dim), table.column("class").to_numpy(), table.column("copies").to_numpy(), table.column("free").to_numpy()
+    a, b = np.flatnonzero(inner), np.flatnonzero(~inner)
+    near = np.empty((len(a), len(b)), bool)
+    for lo in range(0, len(a), 512):
+        part = a[lo : lo + 512]
+        near[lo : lo + 512] = (x[part] @ x[b].T >= cosine) & (ids[part][:, None] != ids[b][None, :])
+    links = np.zeros(len(ids), np.int64)
+    for lo in range(0, len(a), 512):
+        part = near[lo : lo + 512]
+        links[a[lo : lo + 512]] = part.astype(np.float64) @ copies[b]
+        links[b] += (copies[a[lo : lo + 512]].astype(np.float64) @ part).astype(np.int64)
+    links[b[~free[b]]] = 0  # a core's links are counted in its own ball, all of them
+    across, least = np.ascontiguousarray(near.T), np.full(len(ids), np.iinfo(np.int64).max)
+    rows_left, cols_left = near.any(axis=1), across.any(axis=1)
+    linked = np.concatenate([a[rows_left], b[cols_left]])
+    for start in range(len(a)):
+        if not rows_left[start]:
+            continue
+        rows, met = np.array([start]), []
+        rows_left[start] = False
+        while len(rows):
+            met.append(a[rows])
+            cols = np.flatnonzero(near[rows].any(axis=0) & cols_left)
+            cols_left[cols] = False
+            met.append(b[cols])
+            rows = np.flatnonzero(across[cols].any(axis=0) & rows_left)
+            rows_left[rows] = False
+        group = np.concatenate(met)
+        least[group] = ids[group].min()
+    return pa.table({"class": ids[linked], "links": links[linked], "least": least[linked]})
+
+
+def inside_balls(placed: DataFrame, cosine: float) -> DataFrame:
+    """class, links, least as `compared` gives them, of all links that a core has."""
+    rows = F.least(F.lit(BLOCK), F.greatest(F.lit(1), F.floor(F.lit(BLOCK_NUMBERS) / F.max("dim"))))
+    cores = placed.where("ball IS NOT NULL").groupBy("ball").agg(F.ceil(F.count("*") / rows).alias("across"))
+    spread = placed.select("dim", F.explode("balls").alias("ball")).groupBy("ball").agg(F.ceil(F.count("*") / rows).alias("down"))
+    sizes = stored(cores.join(spread, "ball"), "ball-sizes")
+    block, columns = F.xxhash64("class", F.lit(11)), ["class", "dim", "copies", "vec"]
+    inner = placed.where("ball IS NOT NULL").join(sizes, "ball").select("ball", F.pmod(block, "across").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("down") - 1)).alias("j"), F.lit(True).alias("inner"), F.lit(False).alias("free"), *columns)
+    outer = placed.select(F.explode("balls").alias("_ball"), F.col("ball").isNull().alias("free"), *columns).withColumnRenamed("_ball", "ball").join(sizes, "ball")
+    outer = outer.select("ball", F.explode(F.sequence(F.lit(0).cast("long"), F.col("across") - 1)).alias("i"), F.pmod(block, "down").alias("j"), F.lit(False).alias("inner"), "free", *columns)
+
+    def cross(table: pa.Table) -> pa.Table:
+        return crossed(table, cosine)
+
+    return inner.union(outer).groupBy("ball", "i", "j").applyInArrow(cross, "class long, links long, least long")
+
+
 def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, trees: int = TREES, leaf: int = LEAF) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row."""
     rows = embeddings.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("vec"))
@@ -185,13 +304,17 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, trees: int =
     members = stored(rows.select("vec_id", "class"), "members")
     first = rows.where("class IS NOT NULL").groupBy("class").agg(F.first("label").alias("label"), F.first("dim").alias("dim"), F.first("vec").alias("vec"), F.count("*").alias("copies"), F.min("vec_id").alias("least_id"))
     classes = stored(first, "classes")
-    placed = halved(stored(routed(classes.drop("least_id"), trees, leaf), "routed"), max(MAX_LEAF, 3 * leaf))
+    limit = max(MAX_LEAF, 3 * leaf)
+    spread, dense = balled(classes.drop("least_id"), cosine, limit)
+    free = spread.where("ball IS NULL").drop("space", "ball", "balls")
+    placed = halved(stored(routed(free, trees, leaf), "routed"), limit)
     leaves = placed.withColumn("code", F.explode("codes")).select("code", "class", "dim", "copies", "codes", "vec")
 
     def compare(table: pa.Table) -> pa.Table:
         return compared(table, cosine)
 
-    found = stored(leaves.groupBy("code").applyInArrow(compare, "class long, links long, least long"), "links")
+    found = leaves.groupBy("code").applyInArrow(compare, "class long, links long, least long")
+    found = stored(found.union(inside_balls(spread, cosine)) if dense else found, "links")
     degree = found.groupBy("class").agg(F.sum("links").alias("links"))
     reach = components(found.select(F.col("class").alias("a"), F.col("least").alias("b")))
     named = classes.select("class", "copies", "least_id").join(degree, "class", "left").join(reach.withColumnRenamed("node", "class"), "class", "left")
