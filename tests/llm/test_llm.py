@@ -288,6 +288,20 @@ def test_language(spark):
     assert language_id.features(long).sum() == sum(len((" " + long + " ").encode()) - n + 1 for n in language_id.ORDERS)
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    """More languages than a task holds at once, the rarest of them with three documents: each is answered."""
+    monkeypatch.setattr(language_id, "HELD", 30, raising=False)
+    rng = random.Random(6)
+    words = {f"l{k:02d}": ["".join(chr(0x4E00 + 12 * k + rng.randrange(12)) for _ in range(rng.randint(2, 6))) for _ in range(40)] for k in range(100)}
+    rows = [(lang, " ".join(rng.choices(own, k=30))) for k, (lang, own) in enumerate(words.items()) for _ in range(12 if k < 70 else 3)]
+    rng.shuffle(rows)
+    model = language_id.trained(spark.createDataFrame(rows, "lang string, text string"))
+    assert model.languages == sorted(words) and len({tuple(c) for c in model.code}) == len(words)
+    asked = spark.createDataFrame([(lang, " ".join(rng.choices(own, k=30))) for lang, own in words.items() for _ in range(3)], "lang string, text string")
+    right = collections.Counter(r["lang"] for r in language_id.identified(asked, model).collect() if r["lang"] == r["lang_pred"])
+    assert sum(right.values()) >= 0.95 * 300 and all(right[lang] for lang in words)
+
+
 @pytest.mark.parametrize("small", [False, True])
 def test_lm(spark, odd, small, monkeypatch):
     if small:

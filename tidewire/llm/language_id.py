@@ -6,9 +6,9 @@ mean over its n-grams of the log odds that the counts of both sides give. Decodi
 codeword with the least sum of weighted losses of its bits wins, a bit's weight being how well its
 classifier separates the sides. The distance to the second best tells how ambiguous the answer is.
 
-All labelled rows count: each task counts n-grams per language and sends one vector per language, so
-what reaches the driver is languages x buckets. Languages beyond `max_languages`, the rarest, are not
-learned, which bounds that.
+All labelled rows count, and every label is learned: each task counts n-grams per language and writes them
+in slices of the buckets; a slice's counts are summed language by language and go into the two sides of every
+bit. What reaches the driver is a number per language and buckets x bits of log odds.
 
 Defined results: a null text, or one without a letter, is `und` with score 0; a null label is not learned
 from; without any label every answer is `und`; repeated rows count twice and are answered alike; an
@@ -18,6 +18,8 @@ whole.
 
 from __future__ import annotations
 
+import math
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,11 +28,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewire.llm.common import stored
+
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3, 4)
 #: Beyond so many languages the codes are random rather than exhaustive.
 EXHAUSTIVE = 6
 RANDOM_BITS = 40
+#: Counts are summed in so many slices of the buckets; a task holds those of so many languages before it writes them.
+SLICES = 16
+HELD = 256
 
 
 def features(text: str, buckets: int = BUCKETS, orders: tuple[int, ...] = ORDERS) -> np.ndarray:
@@ -56,17 +63,30 @@ def codewords(n: int) -> np.ndarray:
         return np.ones((n, 1), np.int8)
     if n <= EXHAUSTIVE:
         return np.array([[1 if i == 0 else (split >> (i - 1)) & 1 for split in range(2 ** (n - 1) - 1)] for i in range(n)], np.int8)
+    bits = max(RANDOM_BITS, 10 * math.ceil(math.log2(n) - 2))
     rng, best = np.random.default_rng(5), None
-    for _ in range(50):
-        code = rng.integers(0, 2, (n, RANDOM_BITS), dtype=np.int8)
-        if (code.min(0) == code.max(0)).any():
-            continue
-        least = min((code[i] != code[j]).sum() for i in range(n) for j in range(i))
-        if best is None or least > best[0]:
-            best = (least, code)
+    while best is None or best[0] == 0:
+        for _ in range(max(1, min(50, 50_000_000 // (n * n)))):
+            code = rng.integers(0, 2, (n, bits), dtype=np.int8)
+            if (code.min(0) == code.max(0)).any():
+                continue
+            least = least_distance(code)
+            if best is None or least > best[0]:
+                best = (least, code)
     return best[1]
 
 
+def least_distance(code: np.ndarray) -> int:
+    """In how many bits the two nearest of the rows differ."""
+    signs = 2 * code.astype(np.float32) - 1
+    least = code.shape[1]
+    for lo in range(0, len(code), 1024):
+        same = signs[lo : lo + 1024] @ signs.T
+        same[np.arange(len(same)), np.arange(lo, lo + len(same))] = -code.shape[1]
+        least = min(least, int(code.shape[1] - same.max()) // 2)
+    return least
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -90,65 +110,95 @@ class Model:
 
 
 def counted(labelled: DataFrame) -> DataFrame:
-    """lang, documents, and the n-gram counts (64-bit) of a part of its texts; a row per task and language."""
+    """lang, slice, and the n-gram counts (64-bit, deflated) and their total of a part of its texts in that slice of the buckets."""
+    width = BUCKETS // SLICES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        docs: dict[str, int] = {}
+
+        def told() -> Iterator[pa.RecordBatch]:
+            for lang, total in sums.items():
+                parts = total.reshape(SLICES, width)
+                packed = [zlib.compress(p.astype("<i8").tobytes(), 1) for p in parts]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * SLICES), pa.array(range(SLICES), pa.int32()), pa.array(parts.sum(1), pa.int64()), pa.array(packed, pa.binary())], ["lang", "slice", "total", "counts"])
+            sums.clear()
+
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if lang not in sums and len(sums) == HELD:
+                    yield from told()
                 f = features(text)
                 sums[lang] = sums[lang] + f if lang in sums else f
-                docs[lang] = docs.get(lang, 0) + 1
-        if sums:
-            langs = list(sums)
-            yield pa.RecordBatch.from_arrays([pa.array(langs), pa.array([docs[k] for k in langs], pa.int64()), pa.array([sums[k].astype("<i8").tobytes() for k in langs], pa.binary())], ["lang", "n", "counts"])
+        yield from told()
 
-    return labelled.select("lang", "text").mapInArrow(count, "lang string, n long, counts binary")
+    return labelled.select("lang", "text").mapInArrow(count, "lang string, slice int, total long, counts binary")
 
 
-def trained(labelled: DataFrame, max_languages: int = 64) -> Model | None:
-    """The model that the rows with text and lang give; None without any."""
-    known = labelled.where("text IS NOT NULL AND lang IS NOT NULL")
-    top = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages)
-    names = sorted(r["lang"] for r in top.collect())
+def trained(labelled: DataFrame) -> Model | None:
+    """The model that the rows with text and lang give, of every lang; None without any."""
+    parts = stored(counted(labelled.where("text IS NOT NULL AND lang IS NOT NULL")), "language-counts")
+    totals = {r["lang"]: r["total"] for r in parts.groupBy("lang").agg(F.sum("total").alias("total")).collect()}  # a number per language
+    names = sorted(totals)
     if not names:
         return None
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, np.ndarray] = {}
-        for batch in batches:
-            for lang, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                part = np.frombuffer(raw, "<i8")
-                sums[lang] = sums[lang] + part if lang in sums else part
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["lang", "counts"])
-
-    parts = counted(known.where(F.col("lang").isin(names))).select("lang", "counts")
-    rows = parts.repartition(16, "lang").mapInArrow(add, "lang string, counts binary").collect()  # at most languages x buckets
-    totals = {name: np.zeros(BUCKETS) for name in names}
-    for r in rows:
-        totals[r["lang"]] += np.frombuffer(r["counts"], "<i8")
-    return fitted(names, np.stack([totals[n] for n in names]))
-
-
-def fitted(names: list[str], counts: np.ndarray) -> Model:
-    """Log odds of each bit, every language of a side having the same say whatever its share of the rows."""
     code = codewords(len(names))
-    seen = counts.sum(0) > 0
-    rates = (counts + 0.5) / (counts.sum(1, keepdims=True) + 0.5 * BUCKETS)
-    weights = np.zeros((BUCKETS, code.shape[1]))
-    trust = np.ones(code.shape[1])
-    for b in range(code.shape[1]):
-        one = code[:, b] == 1
-        if one.all() or not one.any():
-            continue
-        p, q = rates[one].mean(0), rates[~one].mean(0)
-        weights[:, b] = np.where(seen, np.log(p) - np.log(q), 0.0)
-        trust[b] = max(1e-3, float(((p - q) * weights[:, b]).sum()))  # divergence of the two sides
+    sent = parts.sparkSession.sparkContext.broadcast(({name: i for i, name in enumerate(names)}, np.array([totals[n] for n in names]), code))
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by slice and lang."""
+        at, total, code = sent.value
+        for slice_, weights, trust in weighted(batches, at, total, code):
+            yield pa.RecordBatch.from_arrays([pa.array([slice_], pa.int32()), pa.array([weights.tobytes()], pa.binary()), pa.array([trust.tobytes()], pa.binary())], ["slice", "weights", "trust"])
+
+    by_slice = parts.select("slice", "lang", "counts").repartition(SLICES, "slice").sortWithinPartitions("slice", "lang")
+    rows = sorted(by_slice.mapInArrow(weigh, "slice int, weights binary, trust binary").collect(), key=lambda r: r["slice"])  # buckets x bits
+    weights = np.concatenate([np.frombuffer(r["weights"]).reshape(-1, code.shape[1]) for r in rows])
+    trust = np.maximum(1e-3, np.sum([np.frombuffer(r["trust"]) for r in rows], axis=0))
+    trust[code.min(0) == code.max(0)] = 1.0
     return Model(names, code, weights, trust)
 
 
+def weighted(batches: Iterator[pa.RecordBatch], at: dict[str, int], total: np.ndarray, code: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Per slice its buckets' log odds of each bit and its share of each bit's divergence, every language of a side having the same say whatever its share of the rows."""
+    width, bits = BUCKETS // SLICES, code.shape[1]
+    ones = code.sum(0)
+    split = (ones > 0) & (ones < len(code))
+
+    def languages() -> Iterator[tuple[int, str, np.ndarray]]:
+        key, held = None, None
+        for batch in batches:
+            for slice_, lang, raw in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                part = np.frombuffer(zlib.decompress(raw), "<i8")
+                if key == (slice_, lang):
+                    held = held + part
+                    continue
+                if key:
+                    yield *key, held
+                key, held = (slice_, lang), part
+        if key:
+            yield *key, held
+
+    def odds(sides: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        p, q = sides[0] / np.maximum(1, ones), sides[1] / np.maximum(1, len(code) - ones)
+        weights = np.zeros((width, bits))
+        weights[:, split] = np.where(seen[:, None], np.log(p[:, split]) - np.log(q[:, split]), 0.0)
+        return weights, ((p - q) * weights).sum(0)  # divergence of the two sides
+
+    now, sides, seen = None, None, None
+    for slice_, lang, counts in languages():
+        if slice_ != now:
+            if now is not None:
+                yield now, *odds(sides, seen)
+            now, sides, seen = slice_, np.zeros((2, width, bits)), np.zeros(width, bool)
+        i = at[lang]
+        rate = (counts + 0.5) / (total[i] + 0.5 * BUCKETS)
+        sides[0][:, code[i] == 1] += rate[:, None]
+        sides[1][:, code[i] == 0] += rate[:, None]
+        seen |= counts > 0
+    if now is not None:
+        yield now, *odds(sides, seen)
+
+
 def identified(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
     """docs with lang_pred, score and ambiguous, from nothing but the text."""
     sent = docs.sparkSession.sparkContext.broadcast(model and vars(model))  # buckets x bits, whatever the corpus
