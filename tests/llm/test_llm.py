@@ -136,6 +136,23 @@ def test_mixing(spark, words):
     assert mixing.digest(df.union(df)).count() == 2 * len(docs) and mixing.digest(empty(spark)).count() == 0
 
 
+def test_mixed_takes_all_of_equal_rows(spark, words):
+    """Groups equal in id, text and source that the cut falls into, of equal rows and of rows that differ in other columns."""
+    docs = [(g, " ".join(words(12, g)), f"l{i}" if g % 2 else "en", f"s{g % 5}", 0) for g in range(10) for i in range(41)]
+    docs += [(None, "a b c", "en", None, 0)] * 53
+    df = spark.createDataFrame(docs, DOCS)
+    due, got = collections.Counter(), collections.Counter()
+    for r in mixing.digest(df).collect():
+        due[r["doc_id"], r["source"]] += r["epochs"]
+    rows = mixing.mixed(df).collect()
+    for r in rows:
+        got[r["doc_id"], r["source"]] += 1
+    assert got == +due and any(n % 41 for (i, _), n in due.items() if i is not None)
+    times = collections.Counter(rows)
+    assert set(map(tuple, rows)) <= set(docs) and all(abs(times[a] - times[b]) <= 1 for a in times for b in times if a[0] == b[0] and a[0] and a[0] % 2)
+    assert sorted(map(str, mixing.mixed(df.repartition(5)).collect())) == sorted(map(str, rows))
+
+
 def test_packing(spark, odd):
     docs = make(spark, odd, CLASHES, CLASH_VALUES)
     from tokenizers import Tokenizer

@@ -94,11 +94,24 @@ def served(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, budget: float =
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, all columns, as often as the mix takes each. Rows equal in id, text and source are taken alike, as often as all of them are."""
-    told = served(docs, **options).groupBy(F.col("doc_id").alias("_d"), F.col("fp").alias("_f"), F.col("source").alias("_s")).agg(F.floor(F.avg("epochs")).cast("int").alias("_epochs")).where("_epochs > 0")
-    row = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_d0"), text_key(F.col("text")).alias("_f0"), F.col("source").alias("_s0"))
-    both = row.join(told, F.col("_d0").eqNullSafe(F.col("_d")) & (F.col("_f0") == F.col("_f")) & F.col("_s0").eqNullSafe(F.col("_s")))
-    return both.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_epochs")))).select("_row.*")
+    """The rows of docs, all columns, as often as the mix takes each. Where the cut falls inside a group of rows equal in id, text and source, the rows with the least hash of all columns get one take more."""
+    told = served(docs, **options).groupBy(F.col("doc_id").alias("_d"), F.col("fp").alias("_f"), F.col("source").alias("_s")).agg(F.sum("epochs").alias("_takes"), F.count("*").alias("_n"))
+    told = stored(told.where("_takes > 0").select("_d", "_f", "_s", F.expr("_takes div _n").alias("_each"), F.expr("_takes % _n").alias("_more")), "mix-takes")
+    hashed = [F.col("`" + f.name.replace("`", "``") + "`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    row = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_d0"), text_key(F.col("text")).alias("_f0"), F.col("source").alias("_s0"), F.xxhash64(*hashed).alias("_h"))
+    on = F.col("_d0").eqNullSafe(F.col("_d")) & (F.col("_f0") == F.col("_f")) & F.col("_s0").eqNullSafe(F.col("_s"))
+    out = row.join(told.where("_each > 0"), on).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_each")))).select("_row.*")
+    cut = told.where("_more > 0")
+    if not cut.limit(1).count():
+        return out
+    # few groups, but any of them may be large: copies count as one row with a number, and numbers add up in ranges of the hash
+    group = row.join(cut, on).groupBy("_d0", "_f0", "_s0", "_more", "_h").agg(F.first("_row").alias("_row"), F.count("*").alias("_k"))
+    group = stored(group, "mix-cut")
+    ranges = max(1, -(-group.count() // RANGE_ROWS))
+    at = F.floor((F.col("_h").cast("double") / 2.0**64 + 0.5) * ranges)
+    group = running_sum(group.withColumn("_range", at), "_k", ["_d0", "_f0", "_s0"], "_range", [F.col("_h")], "_upto")
+    extra = F.least(F.col("_k"), F.col("_more") - F.col("_upto") + F.col("_k"))
+    return out.union(group.withColumn("_extra", extra).where("_extra > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_extra")))).select("_row.*"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
