@@ -212,3 +212,19 @@ def test_streams(spark, tmp_path):
     merge = lambda old, new: state.upserted(old, new.select("url", "status"), "url")
     streaming.upsert_stream(stream, table, merge, str(tmp_path / "c2")).awaitTermination()
     assert table.read().count() == 3
+
+
+def test_crawled_prunes_before_it_limits(spark):
+    """More children of earlier years, and seen ones, than may be fetched: the recent ones are reached all the same."""
+    children = ["https://e.com/i.xml", *(f"https://e.com/a{k}-2019.xml" for k in range(30)), "https://e.com/z-2026.xml", "https://e.com/z.xml"]
+    index = "<sitemapindex>" + "".join(f"<sitemap><loc>{u}</loc></sitemap>" for u in children) + "</sitemapindex>"
+    asked = []
+
+    def fetch(urls):
+        asked.extend(urls)
+        page = lambda u: index if u.endswith("i.xml") else f"<urlset><url><loc>{u}/story</loc></url></urlset>"
+        return spark.createDataFrame([(u, page(u)) for u in urls], "url string, content string")
+
+    found = pages.crawled(["https://e.com/i.xml"], fetch, NOW, since=dt.datetime(2026, 1, 1, tzinfo=dt.UTC), most=3)
+    assert asked == ["https://e.com/i.xml", "https://e.com/z-2026.xml", "https://e.com/z.xml"]
+    assert {r["loc"] for r in found.collect()} == {"https://e.com/z-2026.xml/story", "https://e.com/z.xml/story"}

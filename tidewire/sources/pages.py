@@ -146,9 +146,11 @@ def crawled(start: list[str], fetch, now: dt.datetime, since: dt.datetime | None
         if patterns:
             pages = pages.where(excluded(F.col("loc"), patterns))
         found = pages if found is None else found.unionByName(pages)
-        children = [r["loc"] for r in rows.where("kind = 'sitemap'").select("loc").distinct().limit(most).collect()]
-        year = lambda u: int(m[1]) if (m := re.search(r"(?<!\d)((?:19|20)\d{2})(?!\d)", u)) else None
-        frontier = [u for u in children if u not in seen and not (since and year(u) and year(u) < since.year)]
+        children = rows.where((F.col("kind") == "sitemap") & ~F.col("loc").isin(sorted(seen)))
+        if since:
+            year = F.regexp_extract("loc", r"(?<!\d)((?:19|20)\d{2})(?!\d)", 1)
+            children = children.where((year == "") | (year >= str(since.year)))
+        frontier = [r["loc"] for r in children.select("loc").distinct().orderBy("loc").limit(most).collect()]
     return found
 
 
