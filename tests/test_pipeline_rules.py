@@ -228,3 +228,22 @@ def test_crawled_prunes_before_it_limits(spark):
     found = pages.crawled(["https://e.com/i.xml"], fetch, NOW, since=dt.datetime(2026, 1, 1, tzinfo=dt.UTC), most=3)
     assert asked == ["https://e.com/i.xml", "https://e.com/z-2026.xml", "https://e.com/z.xml"]
     assert {r["loc"] for r in found.collect()} == {"https://e.com/z-2026.xml/story", "https://e.com/z.xml/story"}
+
+
+def test_bot_check(spark):
+    pages_ = [
+        ({"x-amzn-waf-action": "challenge"}, 405, "<html>x</html>", "AWS WAF"),
+        ({}, 202, "<p>JavaScript is disabled</p><script src='/awswaf/c.js'>", "AWS WAF"),
+        ({}, 200, "<title>One moment, please</title>/.well-known/sgcaptcha/", "SiteGround"),
+        ({"server": "AkamaiGHost"}, 403, "<TITLE>Access Denied</TITLE>", "Akamai"),
+        ({}, 403, "<title>DDoS-Guard</title>", "DDoS-Guard"),
+        ({"server": "cloudflare"}, 200, " " * 30_000 + "<title>Just a moment...</title>", "Cloudflare"),
+        ({"content-type": "text/html; charset=utf-8"}, 200, "<title> Checking your browser</title>", "unknown"),
+        ({"content-type": "application/json"}, 200, "<title>Please wait</title>", None),
+        ({}, 200, "<title>Please wait</title>" + "x" * 200_000, None),
+        ({"cf-ray": "1", "server": "cloudflare"}, 200, "<title>News</title>", None),
+        ({"cf-mitigated": "challenge"}, 403, None, "Cloudflare"),
+        ({}, None, None, None),
+    ]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pages_)], "i int, h map<string,string>, s int, b string, e string")
+    assert [r[0] for r in df.orderBy("i").select(ingest.bot_check(F.col("h"), F.col("s"), F.col("b"))).collect()] == [p[3] for p in pages_]

@@ -146,13 +146,30 @@ def image_name(url: Column) -> Column:
 
 
 def bot_check(headers: Column, status: Column, body: Column) -> Column:
-    """The service whose bot check a page is, or null. headers is a map with lower-case keys."""
-    head = F.lower(F.substring(F.coalesce(body, F.lit("")), 1, 20_000))
+    """The service whose bot check a page is, `unknown` if it can't be told, or null. headers is a map with lower-case keys."""
+    raw = F.coalesce(body, F.lit("")).cast("binary")
+    head = F.lower(F.substring(raw, 1, 50_000).cast("string"))
     server = F.lower(F.coalesce(headers["server"], F.lit("")))
+    kind = F.lower(F.trim(F.substring_index(F.coalesce(headers["content-type"], F.lit("")), ";", 1)))
+    title = r"<title[^>]*>\s*(just a moment|one moment, please|attention required|please wait|checking your browser|ddos-guard|access denied)"
+    shown = headers["x-amzn-waf-action"].isNotNull() | (status == 202) & head.contains("javascript is disabled") | head.rlike(title)
+    # challenge pages are small; articles often are not
+    checked = kind.isin("", "text/html") & F.octet_length(raw).between(1, 200_000) & shown
+    service = (
+        F.when(headers["cf-ray"].isNotNull() | (server == "cloudflare"), "Cloudflare")
+        .when(head.contains("sgcaptcha"), "SiteGround")
+        .when(server.contains("akamai"), "Akamai")
+        .when(headers["x-sucuri-id"].isNotNull() | head.contains("sucuri"), "Sucuri")
+        .when(head.contains("_incapsula_resource") | headers["x-iinfo"].isNotNull(), "Imperva")
+        .when(head.contains("ddos-guard"), "DDoS-Guard")
+        .when(headers["x-amzn-waf-action"].isNotNull() | head.contains("awswaf"), "AWS WAF")
+        .otherwise("unknown")
+    )
     return (
         F.when(headers["cf-mitigated"].isNotNull() | (server.contains("cloudflare") & status.isin(403, 503) & head.rlike("just a moment|challenge-platform|attention required")), "Cloudflare")
         .when(head.rlike("sucuri website firewall") | headers["x-sucuri-id"].isNotNull() & status.isin(403, 503), "Sucuri")
         .when(head.rlike("incapsula incident|_incapsula_resource"), "Imperva")
         .when(head.rlike("px-captcha|perimeterx"), "PerimeterX")
         .when(head.rlike("geo.captcha-delivery.com|datadome"), "DataDome")
+        .when(checked, service)
     )
