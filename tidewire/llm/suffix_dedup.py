@@ -13,8 +13,10 @@ equal hash at equal distance. Windows that follow each other and share an anchor
   rest's common prefixes by range minima. For each distance to the anchor, windows are equal if right and left
   neighbours share enough, which cuts both orders into classes.
 
-Memory holds a few numbers per segment of a batch, never the batch's bytes: large batches keep their blocks in a
-memory map in Spark's own local folders, like Spark's spill files, and remove it when the batch is done.
+Memory holds the segments of a batch, as Arrow batches and as byte strings of both sides; a batch is BATCH segments, or
+all of one anchor if it has more, so a very frequent anchor needs memory in proportion. Only the blocks of large batches
+are in a memory map, in Spark's own local folders, like Spark's spill files, and removed when the batch is done; the
+queue's runs go to disk beyond QUEUE tuples.
 
 Defined results: a null text is empty; texts shorter than LENGTH lose nothing; rows that are equal in every
 way are places of their own, so all of a long one goes; matches never cross documents; bytes are cut, so a
