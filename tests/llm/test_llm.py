@@ -197,21 +197,28 @@ def test_best_fit_decreasing(window):
         assert windows == len(room) and (not steps or {s[0] for s in steps} == set(lengths))
 
 
+def without_repeats(raws):
+    """Of each byte string which bytes a 400-byte string covers that starts anywhere else too."""
+    seen, marks = collections.Counter(), []
+    for r in raws:
+        seen.update(r[i : i + 400] for i in range(len(r) - 399))
+    for r in raws:
+        marks.append(np.zeros(len(r), bool))
+        for p in range(len(r) - 399):
+            if seen[r[p : p + 400]] > 1:
+                marks[-1][p : p + 400] = True
+    return marks
+
+
 def test_suffix_dedup(spark, odd):
     rng = random.Random(1)
     letters = lambda n: "".join(rng.choice("abcdefgh é\n") for _ in range(n))
     b = letters(900)
     texts = [*odd, b, letters(200) + b[100:700] + letters(300), letters(50) + b[250:651], "a" * 1500, "a" * 500 + letters(100), b[:399], "xyz " * 300, letters(100) + b[:420] + letters(10) + b[400:820], "\0" * 450, *(letters(100) + b[k : k + 500] + letters(100) for k in range(0, 400, 37))]
     for docs in (texts, texts[:3] + texts):
-        raws, seen = [(t or "").encode() for t in docs], collections.Counter()
-        for r in raws:
-            seen.update(r[i : i + 400] for i in range(len(r) - 399))
+        raws = [(t or "").encode() for t in docs]
         got = {r["doc_id"]: r for r in suffix_dedup.digest(make(spark, docs, CLASHES, CLASH_VALUES)).collect()}
-        for i, r in enumerate(raws):
-            mark = np.zeros(len(r), bool)
-            for p in range(len(r) - 399):
-                if seen[r[p : p + 400]] > 1:
-                    mark[p : p + 400] = True
+        for i, (r, mark) in enumerate(zip(raws, without_repeats(raws), strict=True)):
             kept = bytes(np.frombuffer(r, np.uint8)[~mark])
             assert (got[i]["n_bytes"], got[i]["n_removed"], got[i]["kept_sha256"]) == (len(r), int(mark.sum()), hashlib.sha256(kept).hexdigest())
             assert got[i]["n_spans"] == int((np.diff(np.r_[0, mark.astype(int)]) == 1).sum())
@@ -221,6 +228,36 @@ def test_suffix_dedup(spark, odd):
     assert suffix_dedup.digest(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize(("hot", "batch"), [(5, 12_000), (40, 12_000), (5, 30)])
+def test_suffix_dedup_of_a_hot_anchor(spark, monkeypatch, hot, batch):
+    """A passage that all texts quote, whole or in part, between words of their own: its anchors are dealt by bands down to single distances."""
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "BATCH", batch)
+    monkeypatch.setattr(suffix_dedup, "QUEUE", 16)
+    rng = random.Random(8)
+    letters = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage, before = letters(700), [letters(120) for _ in range(3)]
+    texts = [letters(rng.randint(0, 200)) + rng.choice(before)[rng.randint(0, 119) :] + passage[rng.choice((0, 0, 3, 90)) : rng.choice((700, 690, 455, 395))] + letters(rng.randint(0, 150)) for _ in range(150)]
+    raws = [t.encode() for t in texts]
+    got = {r["doc_id"]: r for r in suffix_dedup.digest(make(spark, texts)).collect()}
+    for i, (r, mark) in enumerate(zip(raws, without_repeats(raws), strict=True)):
+        kept = bytes(np.frombuffer(r, np.uint8)[~mark])
+        assert (got[i]["n_removed"], got[i]["kept_sha256"]) == (int(mark.sum()), hashlib.sha256(kept).hexdigest())
+
+
+def test_suffix_dedup_of_texts_above_a_stretch(spark, monkeypatch):
+    """A text of several stretches whose repeats lie across their borders, with a null doc_id among the documents."""
+    monkeypatch.setattr(suffix_dedup, "STRETCH", 1000)
+    rng = random.Random(9)
+    letters = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    part = letters(900)
+    texts = [letters(700) + part + letters(2500) + part[:500], letters(1990) + part[100:] + letters(90)]
+    rows = [(None, texts[0], None, None, 0), (None, "short", None, None, 0), (1, texts[1], None, None, 0)]
+    got = {(r["doc_id"], r["n_bytes"]): r["n_removed"] for r in suffix_dedup.digest(spark.createDataFrame(rows, DOCS)).collect()}
+    a, b = without_repeats([t.encode() for t in texts])
+    assert got == {(None, len(texts[0])): a.sum(), (None, 5): 0, (1, len(texts[1])): b.sum()} and a.sum() >= 1400
+
+
 def test_induced_order_with_spill(tmp_path, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "QUEUE", 90)
     rng = random.Random(1)

@@ -9,19 +9,24 @@ equal hash at equal distance. Windows that follow each other and share an anchor
 - Different segments around equal anchors are shuffled by the anchor's hash and sorted: the suffixes that start at
   the anchors, and the reversed prefixes that end there. Sorting is by induction from the end, eight bytes at a
   time: a suffix is the tuple (block, rank of the rest), tuples pass through a priority queue whose sorted runs go
-  to disk beyond a limit, and the common prefix of neighbours is induced along with the ranks, from the
-  rest's common prefixes by range minima. For each distance to the anchor, windows are equal if right and left
-  neighbours share enough, which cuts both orders into classes.
-
-Memory holds the segments of a batch, as Arrow batches and as byte strings of both sides; a batch is BATCH segments, or
-all of one anchor if it has more, so a very frequent anchor needs memory in proportion. Only the blocks of large batches
-are in a memory map, in Spark's own local folders, like Spark's spill files, and removed when the batch is done; the
-queue's runs go to disk beyond QUEUE tuples.
+  to disk, and the common prefix of neighbours is induced along with the ranks, from the rest's common prefixes by
+  range minima. For each distance to the anchor, windows are equal if right and left neighbours share enough, which
+  cuts both orders into classes.
+- An anchor with more than HOT different segments, as the edge of a passage that very many texts quote, is dealt
+  further: in a band of distances every window holds the same stretch around the anchor, so windows can only be equal
+  to those whose stretch is equal. Segments are cut to the bands and keyed by that stretch; equal pieces are settled by
+  count again, and what is still too many goes on to narrower bands. In a band of one distance the stretch is the
+  whole window, so nothing is left to sort. No task holds an anchor, whatever its share of the rows.
+
+A task sorts BATCH segments at a time, or a few more so as not to part a key: of these it holds the bytes (twice, as
+Arrow and by side) and ranks. The blocks of a batch above QUEUE segments are a memory map and its queue's runs are files,
+in Spark's own local folders, like Spark's spill files; both go when the batch is done.
 
 Defined results: a null text is empty; texts shorter than LENGTH lose nothing; rows that are equal in every
 way are places of their own, so all of a long one goes; matches never cross documents; bytes are cut, so a
 kept text may end within a character; an empty table gives no rows; other columns are ignored,
-whatever their names.
+whatever their names. A text of any length is read whole, in overlapping stretches; of windows that tie in
+their least hash the leftmost gram is the anchor.
 """
 
 from __future__ import annotations
@@ -43,9 +48,12 @@ LENGTH = 400
 GRAM = 64
 #: Bytes of a text that are hashed at a time.
 STRETCH = 1 << 20
-#: Segments sorted at a time, unless one anchor has more; tuples a queue keeps in memory.
+#: Segments sorted at a time; tuples a queue keeps in memory.
 BATCH = 12_000
-QUEUE = 1_000_000
+QUEUE = 4_096
+#: A key with more different segments than this is dealt by bands of so many distances, then of fewer.
+HOT = 2_000
+BANDS = (43, 7, 1)
 
 
 def gram_hashes(raw: np.ndarray) -> np.ndarray:
@@ -85,7 +93,7 @@ def segments(raw: bytes) -> Iterator[tuple[int, int, int, int]]:
 
 
 def anchored(docs: DataFrame) -> DataFrame:
-    """f, g (hashes of anchor and segment), doc_id, fp, a, lo, hi of every segment."""
+    """f, g (hashes of anchor and segment), doc_id, fp, n (1), a, lo, hi of every segment."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -103,7 +111,34 @@ def anchored(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*columns[:2], part.column("doc_id").take(ids), part.column("fp").take(ids), *columns[2:]], ["f", "g", "doc_id", "fp", "a", "lo", "hi"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "fp", F.col("text").cast("binary").alias("raw")).mapInArrow(find, f"f long, g long, doc_id {kind}, fp long, a int, lo int, hi int")
+    found = docs.select("doc_id", "fp", F.col("text").cast("binary").alias("raw")).mapInArrow(find, f"f long, g long, doc_id {kind}, fp long, a int, lo int, hi int")
+    return found.withColumn("n", F.lit(1).cast("long"))
+
+
+def banded(rows: DataFrame, width: int, kind: str) -> DataFrame:
+    """rows (f, doc_id, fp, n, a, lo, hi, seg) cut to bands of `width` distances to the anchor, with f, the hash of what all windows of the band hold, and g, that of the piece."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        for batch in batches:
+            for first in range(0, batch.num_rows, 512):
+                part = batch.slice(first, 512)
+                of, out = [], []
+                for i, (f, a, lo, hi, seg) in enumerate(zip(*(part.column(c).to_pylist() for c in ("f", "a", "lo", "hi", "seg")), strict=True)):
+                    for band in range((a - hi) // width, (a - lo) // width + 1):
+                        near, far = max(a - hi, band * width), min(a - lo, band * width + width - 1)
+                        inner, outer = band * width, min(band * width + width - 1, LENGTH - GRAM)
+                        at = a - lo  # the anchor's place in seg
+                        held = seg[at - min(inner, at) : at + LENGTH - outer]
+                        piece = seg[at - far : at - near + LENGTH]
+                        of.append(i)
+                        out.append((xxhash.xxh3_64_intdigest(held, (f * 512 + band) & 0xFFFFFFFFFFFFFFFF) - (1 << 63), xxhash.xxh3_64_intdigest(piece, far) - (1 << 63), a - far, a - near, piece))
+                ids = pa.array(of, pa.int64())
+                made = [pa.array(list(c), t) for c, t in zip(zip(*out, strict=True) if out else [()] * 5, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)]
+                yield pa.RecordBatch.from_arrays([*made[:2], *(part.column(c).take(ids) for c in ("doc_id", "fp", "n", "a")), *made[2:]], ["f", "g", "doc_id", "fp", "n", "a", "lo", "hi", "seg"])
+
+    return rows.mapInArrow(deal, f"f long, g long, doc_id {kind}, fp long, n long, a int, lo int, hi int, seg binary")
 
 
 class SuffixQueue:
@@ -202,24 +237,32 @@ def induced(blocks: np.ndarray, folder: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def as_blocks(strings: list[bytes], width: int, folder: str) -> np.ndarray:
-    """Strings, filled up with zeros, as rows of blocks; a memory map if there are many."""
+    """Strings, filled up with zeros, as rows of blocks; a memory map if a queue would not hold them."""
     levels = -(-width // 8)
     shape = (levels, len(strings))
-    out = np.memmap(f"{folder}/blocks", np.uint64, "w+", shape=shape) if len(strings) > 2 * BATCH else np.empty(shape, np.uint64)
-    for lo in range(0, len(strings), BATCH):
-        part = strings[lo : lo + BATCH]
+    out = np.memmap(f"{folder}/blocks", np.uint64, "w+", shape=shape) if len(strings) > QUEUE else np.empty(shape, np.uint64)
+    for lo in range(0, len(strings), QUEUE):
+        part = strings[lo : lo + QUEUE]
         flat = np.frombuffer(b"".join(s.ljust(levels * 8, b"\0") for s in part), ">u8").reshape(len(part), levels)
         out[:, lo : lo + len(part)] = flat.T
     return out
 
 
+def scratch() -> str | None:
+    """One of Spark's local folders, dealt by task; the worker's own temporary folder where Spark names none."""
+    from pyspark import TaskContext
+
+    dirs = [d for d in os.environ.get("SPARK_LOCAL_DIRS", "").split(",") if os.path.isdir(d)]
+    task = TaskContext.get()
+    return dirs[task.partitionId() % len(dirs) if task else 0] if dirs else None
+
+
 def repeated_windows(left: list[bytes], right: list[bytes], near: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(segment, least, most distance to the anchor) of the runs of windows that another segment has too.
 
     left are the reversed bytes before the anchors; a segment's windows start near..far bytes before its anchor.
     """
-    dirs = [d for d in os.environ.get("SPARK_LOCAL_DIRS", "").split(",") if os.path.isdir(d)]
-    folder = tempfile.mkdtemp(prefix="suffix-", dir=dirs[0] if dirs else None)
+    folder = tempfile.mkdtemp(prefix="suffix-", dir=scratch())
     try:
         os.mkdir(f"{folder}/l")
         rank_r, common_r = induced(as_blocks(right, LENGTH, folder), folder)
@@ -271,7 +314,7 @@ def sorted_segments(rows: DataFrame, kind: str) -> DataFrame:
                 continue
             table = pa.Table.from_batches(held)
             f = table.column("f").to_numpy()
-            cut = int(np.flatnonzero(f != f[-1]).max(initial=-1)) + 1  # the last anchor may go on
+            cut = int(np.flatnonzero(f != f[-1]).max(initial=-1)) + 1  # the last key may go on
             if cut:
                 yield from done(table.slice(0, cut))
                 held = table.slice(cut).combine_chunks().to_batches()
@@ -285,19 +328,50 @@ def same_document(d: str, f: str) -> Column:
     return F.col("doc_id").eqNullSafe(F.col(d)) & (F.col("fp") == F.col(f))
 
 
+def settled(found: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """The runs of windows whose segment of found (f, g, doc_id, fp, n, a, lo, hi and what more) is there twice, and one row for each different segment, with n > 1 if it is settled."""
+    rest = [c for c in found.columns if c not in ("f", "g", "n")]
+    classes = found.groupBy("f", "g").agg(F.count("*").alias("rows"), F.max("n").alias("most"), *(F.first(c).alias(c) for c in rest))
+    classes = stored(classes.withColumn("n", F.greatest("rows", "most")).drop("most"), f"{name}-classes")
+    equal = found.join(classes.where("rows > 1").select("f", "g"), ["f", "g"]).select("doc_id", "fp", F.col("lo").cast("long"), F.col("hi").cast("long"))
+    return equal, classes.drop("rows")
+
+
+def shared_keys(classes: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """The keys f of two to HOT different segments, and those of more."""
+    keys = stored(classes.groupBy("f").agg(F.count("*").alias("k")).where("k > 1"), f"{name}-keys")
+    return keys.where(F.col("k") <= HOT).select("f"), keys.where(F.col("k") > HOT).select("f")
+
+
+def cut_out(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """f, doc_id, fp, n, a, lo, hi of classes, with `seg`, the bytes of each."""
+    asked = classes.groupBy(F.col("doc_id").alias("_d"), F.col("fp").alias("_f")).agg(F.collect_list(F.struct("f", "n", "a", "lo", "hi")).alias("wanted"))  # of one text
+    texts = docs.join(asked, same_document("_d", "_f")).select("doc_id", "fp", F.col("text").cast("binary").alias("raw"), F.explode("wanted").alias("w"))
+    return texts.select("w.f", "doc_id", "fp", "w.n", "w.a", "w.lo", "w.hi", F.expr(f"substring(raw, w.lo + 1, w.hi - w.lo + {LENGTH})").alias("seg"))
+
+
+def by_key(rows: DataFrame) -> DataFrame:
+    return rows.select("f", "doc_id", "fp", "n", "a", "lo", "hi", "seg").repartition("f").sortWithinPartitions("f")
+
+
 def repeated_starts(docs: DataFrame) -> DataFrame:
     """doc_id, fp, lo, hi: runs of positions at which a string of LENGTH bytes starts that also starts elsewhere. docs has doc_id, fp, text."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = stored(anchored(docs), "segments")
-    classes = found.groupBy("f", "g").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in ("doc_id", "fp", "a", "lo", "hi")))
-    classes = stored(classes.where("n > 1").withColumn("several", F.lit(True)).unionByName(classes.where("n = 1").withColumn("several", F.lit(False))), "segment-classes")
-    equal = found.join(classes.where("several").select("f", "g"), ["f", "g"]).select("doc_id", "fp", F.col("lo").cast("long"), F.col("hi").cast("long"))
-    shared = classes.groupBy("f").agg(F.count("*").alias("k")).where("k > 1").select("f")
-    asked = classes.join(shared, "f").groupBy(F.col("doc_id").alias("_d"), F.col("fp").alias("_f")).agg(F.collect_list(F.struct("f", "n", "a", "lo", "hi")).alias("wanted"))
-    texts = docs.join(asked, same_document("_d", "_f")).select("doc_id", "fp", F.col("text").cast("binary").alias("raw"), F.explode("wanted").alias("w"))
-    cut = texts.select("w.f", "doc_id", "fp", "w.n", "w.a", "w.lo", "w.hi", F.expr(f"substring(raw, w.lo + 1, w.hi - w.lo + {LENGTH})").alias("seg"))
-    differing = sorted_segments(cut.repartition("f").sortWithinPartitions("f"), kind)
-    return equal.unionByName(differing)
+    equal, classes = settled(found, "segment")
+    few, many = shared_keys(classes, "segment")
+    out = equal.unionByName(sorted_segments(by_key(cut_out(docs, classes.join(few, "f"))), kind))
+    if not many.limit(1).count():
+        return out
+    hot = stored(cut_out(docs, classes.join(many, "f")), "hot-segments")
+    for width in BANDS:
+        equal, classes = settled(stored(banded(hot, width, kind), f"bands-{width}"), f"band-{width}")
+        few, many = shared_keys(classes, f"band-{width}")
+        out = out.unionByName(equal).unionByName(sorted_segments(by_key(classes.join(few, "f")), kind))
+        if not many.limit(1).count():
+            break
+        hot = classes.join(many, "f")
+    return out
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
