@@ -51,8 +51,8 @@ STRETCH = 1 << 20
 #: Segments sorted at a time; tuples a queue keeps in memory.
 BATCH = 12_000
 QUEUE = 4_096
-#: A key with more different segments than this is dealt by bands of so many distances, then of fewer.
-HOT = 2_000
+#: A key with more different segments than this is dealt by bands of so many distances, then of fewer; small, so that tables of every size go the same way.
+HOT = 512
 BANDS = (43, 7, 1)
 
 
