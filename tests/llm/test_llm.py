@@ -6,13 +6,28 @@ import collections
 import hashlib
 import math
 import random
+import re
+import struct
 import zlib
 
 import numpy as np
 import pytest
+import xxhash
 
 from tidewire.llm import components, embedding_dedup, language_id, line_dedup, lm_scoring, mixing, ngram_join, packing, quality_rules, sharding, suffix_dedup
 
+
+
+def spark_hash(*values):
+    """Spark's xxhash64 of a row, by the library: int for 32 bits, np.int64 for 64, str, bool; None changes nothing."""
+    h = 42
+    for v in values:
+        if v is not None:
+            raw = v.encode() if isinstance(v, str) else struct.pack("<q", int(v)) if isinstance(v, np.int64) else struct.pack("<i", int(v))
+            h = xxhash.xxh64_intdigest(raw, h)
+    return h - (1 << 64) if h >> 63 else h
+
+
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -106,6 +121,25 @@ def test_sharding(spark, odd):
     assert sharding.digest(empty(spark)).count() == 0
 
 
+def test_sharding_draws(spark):
+    """Every draw by hand, with unequal weights and a shard of weight 0."""
+    shards = tuple(sharding.Shard(s // 6, s // 2, s, 0.0 if s == 5 else 1.0 + s % 3) for s in range(14))
+
+    def child(level, names, key):
+        def draw(name_weight):
+            name, weight = name_weight
+            u = (((spark_hash(level, name, np.int64(key)) & ((1 << 64) - 1)) >> 12) + 1.0) / float(1 << 52)
+            return -math.log(u) / weight, name
+
+        return min(map(draw, names.items()))[1]
+
+    got = {r["id"]: r["s"] for r in spark.range(2000).select("id", sharding.placed(sharding.F.col("id"), shards).alias("s")).collect()}
+    for key, placed in got.items():
+        region = child("region", {g: sum(s.weight for s in shards if s.region == g) for g in {s.region for s in shards}}, key)
+        rack = child("rack", {k: sum(s.weight for s in shards if s.rack == k) for k in {s.rack for s in shards if s.region == region}}, key)
+        assert placed == child("shard", {s.shard: s.weight for s in shards if s.rack == rack and s.weight}, key)
+
+
 def test_mixing(spark, words):
     docs = [(i, " ".join(words(5 + i % 40, i)), "en", None if i % 7 == 6 else f"s{(i * i) % 7}", 0) for i in range(600)] + [(700, None, None, "s9", 0), (701, "", None, None, 0)]
     df = spark.createDataFrame(docs, DOCS)
@@ -136,6 +170,44 @@ def test_mixing(spark, words):
     assert mixing.digest(df.union(df)).count() == 2 * len(docs) and mixing.digest(empty(spark)).count() == 0
 
 
+def served_by_hand(docs, rows, seed=17):
+    """Who is taken how often: every source's queue in order of the seeded hash, once per epoch, merged by finish time and cut at the budget."""
+    targets = {r["source"]: r["target"] for r in rows}
+    queues = collections.defaultdict(list)
+    for i, t, _, s, _ in docs:
+        fp = np.int64(spark_hash(7, t, t is None))
+        key = None if i is None else np.int64(i)
+        queues[s].append((spark_hash(seed, key, s, fp), i is not None, i or 0, int(fp), len((t or "").split())))
+    order, taken = [], collections.Counter()
+    for s, q in queues.items():
+        total = sum(x[-1] for x in q)
+        for epoch in (0, 1):
+            at = 0
+            for u, _, i, fp, n in sorted(q):
+                at += n
+                if n and targets[s]:
+                    order.append(((at + epoch * total) / targets[s], s is None, s or "", at, epoch, u, i, fp, n))
+    left = sum(targets.values()) + 0.5
+    for *_, s, _, _, _, i, _, n in sorted(order):
+        left -= n
+        if left < 0:
+            break
+        taken[i, s] += 1
+    return taken
+
+
+@pytest.mark.parametrize("rows_a_range", [4_000, 3])
+def test_mixing_serves_in_order_of_finish(spark, words, monkeypatch, rows_a_range):
+    """Against a queue served one by one; with so small ranges that sums go through several spans."""
+    monkeypatch.setattr(mixing, "RANGE_ROWS", rows_a_range)
+    monkeypatch.setattr(mixing, "SPAN", 7)
+    docs = [(i, " ".join(words(3 + i % 23, i)), "en", None if i % 9 == 8 else f"s{(i * i) % 5}", 0) for i in range(400)]
+    docs += [(1000 + i, "x " * 400, "en", f"s{i}", 0) for i in range(2)] + [(1100 + i, " ".join(words(10, 1)), "en", "s1", 0) for i in range(30)]
+    rows = mixing.digest(spark.createDataFrame([(*d, 1, 2.0, 3) for d in docs], DOCS + ", size int, target double, taken int")).collect()
+    expected = served_by_hand(docs, rows)
+    assert {(r["doc_id"], r["source"] or ""): r["epochs"] for r in rows if r["epochs"]} == dict(expected) and set(expected.values()) == {1, 2}
+
+
 def test_mixed_takes_all_of_equal_rows(spark, words):
     """Groups equal in id, text and source that the cut falls into, of equal rows and of rows that differ in other columns."""
     docs = [(g, " ".join(words(12, g)), f"l{i}" if g % 2 else "en", f"s{g % 5}", 0) for g in range(10) for i in range(41)]
@@ -180,6 +252,28 @@ def test_packing(spark, odd):
     assert packing.digest(empty(spark)).count() == 0
 
 
+def test_encoder():
+    """Against the tokenizer's own library: every code point, a special token's name, hostile and very long texts."""
+    from tokenizers import Tokenizer
+
+    own, encode = Tokenizer.from_file(packing.tokenizer_path()), packing.Encoder(packing.tokenizer_path())
+    assert encode.merge is not None
+    rng = random.Random(5)
+    texts = ["", " ", "a  b \n\n c ", "it's we'll I'M", "end<|endoftext|> of", "x" * 300_000, " " * 1_500_000, "\n" * 200_000 + "x", "!?" * 100_000, "".join(chr(rng.randrange(0x4E00, 0x6E00)) for _ in range(50_000))]
+    texts += ["".join(rng.choice(" \n\t'.,aZ9é\u00a0\u2003\u0301한") for _ in range(40)) for _ in range(500)]
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts += ["".join(f"a{chr(c)}b {chr(c)}1{chr(c)}\n{chr(c)} " for c in points[lo : lo + 512]) for lo in range(0, len(points), 512)]
+    for text, e in zip(texts, own.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+        assert encode(text) == np.array(e.ids, "<u4").tobytes(), text[:60]
+
+
+def test_packing_of_equal_rows(spark):
+    """Ties: rows equal in every way, and rows with a null id, each get a place of their own."""
+    rows = [(i % 2 if i % 3 else None, "same words " * 3, None, None, 0) for i in range(300)]
+    got = packing.digest(spark.createDataFrame(rows, DOCS)).collect()
+    assert len(got) == 300 and len({(r["sequence_id"], r["offset"]) for r in got}) == 300 and sum(r["doc_id"] is None for r in got) == 100
+
+
 @pytest.mark.parametrize("window", [8, 31, 64])
 def test_best_fit_decreasing(window):
     for seed in range(60):
@@ -270,9 +364,15 @@ def test_induced_order_with_spill(tmp_path, monkeypatch):
     assert [int(c) for c in common[1:]] == [prefix(a, b) for a, b in zip(distinct, distinct[1:], strict=False)]
 
 
+def shingled(text, size):
+    """The set of a text's shingles, as tuples of words."""
+    w = [x for x in re.split("[ \\t\\n\\x0b\\x0c\\r]+", text or "") if x]
+    w = ["".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x) for x in w]
+    return {tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()
+
+
 def brute_join(texts, size, threshold):
-    hashes = ngram_join.WordHashes()
-    sets = [set(ngram_join.shingles(t, size, hashes).tolist()) for t in texts]
+    sets = [shingled(t, size) for t in texts]
     top = list(range(len(sets)))
     for i in range(len(sets)):
         for j in range(i):
@@ -283,6 +383,41 @@ def brute_join(texts, size, threshold):
     return [(len(s), c) for s, c in zip(sets, top, strict=True)]
 
 
+def test_boundary_follows_lists():
+    """Few partners: scanning wins at all but the least sets. Many partners of single shingles and few of pairs: enumerating wins up to large sets."""
+    sizes = {n: 100 for n in range(3, 200)}
+    found = [ngram_join.boundary(sizes, p, 0.1, 85) for p in (0, 1, 10, 100, 1000)]
+    assert found == sorted(found) and found[0] <= 8 and found[2] > 13 and found[4] > 64
+    assert ngram_join.boundary(sizes, 100, 100, 85) <= 8 and ngram_join.boundary({}, 1, 1, 85) == 0
+
+
+@pytest.mark.parametrize("light_to", [0, 9, 40, 10_000])
+def test_ngram_join_at_any_boundary(spark, words, light_to, monkeypatch):
+    """The boundary never changes the result; a phrase that most texts quote makes long lists across sizes."""
+    monkeypatch.setattr(ngram_join, "boundary", lambda *_: light_to)
+    monkeypatch.setattr(ngram_join, "SENT", light_to)  # both ways to the texts
+    rng, phrase, texts = random.Random(light_to), words(14, 77), []
+    for g in range(40):
+        base = words(rng.choice([8, 16, 30, 60]), 500 + g)
+        for _ in range(rng.randint(1, 5)):
+            own = list(base)
+            for _ in range(rng.randint(0, 2)):
+                own[rng.randrange(len(own))] = "w%d" % rng.randint(0, 50)
+            at = rng.randint(0, len(own))
+            texts.append(" ".join(own[:at] + phrase + own[at:] if rng.random() < 0.7 else own))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.digest(make(spark, texts), 3, 60).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_join(texts, 3, 60)
+
+
+def test_ngram_join_of_null_ids_and_long_texts(spark, words):
+    long = words(30_000, 5)
+    rows = [(None, "a b c d e f g"), (7, "A b c\nd e f g"), (None, None), (3, " ".join(long)), (5, " ".join([*long[:-9], "other"])), (3, " ".join(long)), (9, "")]
+    docs = spark.createDataFrame([(i, t, None, None, 0) for i, t in rows], DOCS)
+    got = sorted(((r["doc_id"] if r["doc_id"] is not None else -1), r["n_shingles"], r["component_id"]) for r in ngram_join.digest(docs).collect() if r["n_shingles"])
+    assert [(i, c) for i, _, c in got] == [(-1, 7), (3, 3), (3, 3), (5, 3), (7, 7)]
+    assert sum(r["n_shingles"] == 0 for r in ngram_join.digest(docs).collect()) == 2
+
+
 @pytest.mark.parametrize(("size", "threshold"), [(4, 85), (5, 80), (2, 40)])
 def test_ngram_join(spark, odd, words, size, threshold):
     rng, texts = random.Random(size), list(odd)
@@ -342,6 +477,45 @@ def test_language(spark):
     assert language_id.features(long).sum() == sum(len((" " + long + " ").encode()) - n + 1 for n in language_id.ORDERS)
 
 
+def grams_by_hand(text):
+    raw, found = (" " + text.lower() + " ").encode(), collections.Counter()
+    for n in (1, 2, 3, 4):
+        for i in range(len(raw) - n + 1):
+            h = 0
+            for b in raw[i : i + n]:
+                h = (h * 257 + b) % 2**32
+            found[(h + n) * 2654435761 % 2**32 >> 17] += 1
+    return found
+
+
+def test_language_by_hand(spark):
+    """Counts, log odds, weights and decoding written out, for languages with equal, few and no texts."""
+    rows = [(i, t, lang, None, 0) for i, (t, lang) in enumerate([("la casa de la luna", "es"), ("the house of the moon", "en"), ("das haus am mond", "de"), ("the moon", "en"), ("la luna", "es"), (None, "xx"), ("of mond la", None), ("der mond", "de")] * 3)]
+    docs = spark.createDataFrame(rows, DOCS)
+    learned = [(t, lang) for i, t, lang, *_ in rows if t is not None and lang and zlib.crc32(str(i).encode()) % 4 != 2]
+    names = sorted({lang for _, lang in learned})
+    counts = {lang: sum((grams_by_hand(t) for t, x in learned if x == lang), collections.Counter()) for lang in names}
+    total = {lang: sum(c.values()) for lang, c in counts.items()}
+    seen = sorted(set().union(*counts.values()))
+    code = language_id.codewords(len(names))
+    bits = range(code.shape[1])
+    rate = lambda lang, b: (counts[lang][b] + 0.5) / (total[lang] + 0.5 * 32768)
+    side = lambda k, j, b: (lambda own: sum(rate(x, b) for x in own) / len(own))([x for i, x in enumerate(names) if code[i][j] == k])
+    split = [0 < sum(code[:, j]) < len(names) for j in bits]
+    weight = {j: {b: math.log(side(1, j, b) / side(0, j, b)) for b in seen} for j in bits if split[j]}
+    trust = [max(1e-3, sum((side(1, j, b) - side(0, j, b)) * weight[j][b] for b in seen)) if split[j] else 1.0 for j in bits]
+    for r in language_id.digest(docs).collect():
+        text = rows[r["doc_id"]][1]
+        if text is None:
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        own = grams_by_hand(text)
+        margin = [sum(n * weight[j].get(b, 0.0) for b, n in own.items()) / sum(own.values()) if split[j] else 0.0 for j in bits]
+        loss = [sum(trust[j] * math.log1p(math.exp(-language_id.STEEPNESS * (2 * code[i][j] - 1) * margin[j])) for j in bits) / sum(trust) for i in range(len(names))]
+        assert r["lang_pred"] == names[loss.index(min(loss))]
+        assert r["score"] == pytest.approx(1 / sum(math.exp(min(loss) - x) for x in loss), rel=1e-9)
+
+
 def test_every_language_is_learned(spark, monkeypatch):
     """More languages than a task holds at once, the rarest of them with three documents: each is answered."""
     monkeypatch.setattr(language_id, "HELD", 30, raising=False)

@@ -12,13 +12,14 @@ task of its own.
 
 Defined results: a null text is empty and has the closing id alone; rows that are equal in id and text
 get the same pieces, each in a place of its own; an empty table gives no rows; other columns are
-ignored, whatever their names; a text of any length is tokenised whole.
+ignored, whatever their names; a text of any length is tokenised whole; of windows with equal room the one
+opened last is filled first; a null doc_id is an id like any other.
 """
 
 from __future__ import annotations
 
 import bisect
-import re
+import zlib
 from array import array
 from collections.abc import Iterator
 
@@ -41,87 +42,93 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+#: Fixed value: how a byte-level tokenizer's words are cut out of a text (the published pattern).
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def merge_ranks(spec: dict) -> dict[bytes, int] | None:
+    """Of a tokenizer's file the ids of its pieces, as bytes, if merging by id is what it does: plain byte-level BPE whose merges stand in order of id."""
+    model, cut = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+    if not plain or spec.get("normalizer") or cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True):
+        return None
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]  # bytes that stand for themselves; the others follow from 256 on
+    byte_of = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(shown)))}
+    vocab = model["vocab"]
+    merged = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+    if merged != sorted(merged) or len(vocab) != 256 + len(merged):
+        return None
+    return {bytes(byte_of[c] for c in piece): i for piece, i in vocab.items()}
+
+
 class Encoder:
-    """Texts to ids, as 32-bit little-endian bytes, by a byte-level tokenizer that joins one blank to the word behind it.
+    """Texts to ids, as 32-bit little-endian bytes, each text for itself, so memory is bounded by the longest.
 
-    Such a tokenizer cuts a text before every blank that a visible character follows, so a text falls into
-    words whose ids don't depend on their neighbours, and each distinct word is encoded once. Texts with a blank
-    before other white space are encoded whole.
+    The tokenizer's own library encodes a text with a special token's name in it, and every text of tokenizers that
+    aren't plain byte-level BPE. Others are merged by the same ids in a faster library; where that gives up, which it
+    does on endless white space, the tokenizer's own takes over.
     """
 
-    MOST = 800_000  # words remembered at a time
-
     def __init__(self, path: str):
+        import json
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.opens = np.zeros(self.tok.get_vocab_size(with_added_tokens=True), bool)  # ids that begin with a blank
-        for piece, i in self.tok.get_vocab(with_added_tokens=True).items():
-            self.opens[i] = piece.startswith("\u0120")
-        self.known: dict[str, bytes] = {}
-        self.uneven = re.compile(r" (?:\s|$)").search
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _word_ids(self, words: list[str]) -> list[bytes]:
-        """The ids of each word with a blank before it: one text of all words, cut before the blanks."""
-        if not words:
-            return []
-        ids = np.array(self.tok.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, "<u4")
-        starts = (np.flatnonzero(self.opens[ids]) * 4).tolist()
-        if len(starts) != len(words):
-            return self._ids([" " + w for w in words])
-        raw = ids.tobytes()
-        return [raw[a:b] for a, b in zip(starts, [*starts[1:], len(raw)], strict=True)]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        words = [None if self.uneven(t) else t.split(" ") for t in texts]
-        new = set().union(*(w[1:] for w in words if w)).difference(self.known)
-        if len(self.known) + len(new) > self.MOST:
-            self.known.clear()
-            new = set().union(*(w[1:] for w in words if w))
-        ordered = list(new)
-        self.known.update(zip(ordered, self._word_ids(ordered), strict=True))
-        heads = self._ids([t if w is None else w[0] for t, w in zip(texts, words, strict=True)])
-        get = self.known.__getitem__
-        return [h if w is None else h + b"".join(map(get, w[1:])) for h, w in zip(heads, words, strict=True)]
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.names = [t["content"] for t in spec.get("added_tokens") or ()]
+        ranks = merge_ranks(spec)
+        self.merge = tiktoken.Encoding("pieces", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={}).encode_ordinary if ranks else None
+
+    def __call__(self, text: str) -> bytes:
+        if self.merge and not any(n in text for n in self.names):
+            try:
+                return array("I", self.merge(text)).tobytes()
+            except BaseException as e:  # what the library raises on a stack overflow is no Exception
+                if type(e).__name__ != "PanicException":
+                    raise
+        return array("I", self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids).tobytes()
 
 
 def encoder(path: str) -> Encoder:
-    """The Python worker's encoder: kept beside the tokenizer library, so that its next tasks know the words already."""
-    import tokenizers
+    """The Python worker's encoder: kept in a module of the worker's own, as this package travels with each task anew."""
+    import sys
+    import types
 
-    kept = tokenizers.__dict__.setdefault("_tidewire_encoders", {})
+    kept = vars(sys.modules.setdefault("_tidewire_worker", types.ModuleType("_tidewire_worker"))).setdefault("encoders", {})
     if path not in kept:
         kept[path] = Encoder(path)
     return kept[path]
 
 
-def pieces(docs: DataFrame, window: int = WINDOW, closing_id: int = CLOSING_ID, path: str | None = None) -> DataFrame:
-    """doc_id, fp (the text's fingerprint), doc_tokens, start, length and ids (32-bit little-endian) of each piece: full windows, then the rest."""
+def pieces(docs: DataFrame, window: int = WINDOW, closing_id: int = CLOSING_ID, path: str | None = None, ids: bool = True) -> DataFrame:
+    """doc_id, fp (the text's fingerprint), doc_tokens, start, length, ids_crc32 and, if asked for, ids (32-bit little-endian) of each piece: full windows, then the rest."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(path or tokenizer_path()), np.array([closing_id], "<u4").tobytes()
         for batch in batches:
             for lo in range(0, batch.num_rows, 64):
                 part = batch.slice(lo, 64)
-                encoded = encode(["" if t is None else t for t in part.column(2).to_pylist()])
-                of, rows = [], ([], [], [], [])
-                for i, ids in enumerate(encoded):
-                    ids += end
-                    for s in range(0, len(ids), 4 * window):
-                        piece = ids[s : s + 4 * window]
+                of, numbers, raws = [], [], []
+                for i, text in enumerate(part.column(2).to_pylist()):
+                    raw = encode(text or "") + end
+                    for s in range(0, len(raw), 4 * window):
+                        piece = raw[s : s + 4 * window]
                         of.append(i)
-                        for column, x in zip(rows, (len(ids) // 4, s // 4, len(piece) // 4, piece), strict=True):
-                            column.append(x)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(of, pa.int64())), part.column(1).take(pa.array(of, pa.int64())), *(pa.array(r, pa.int64()) for r in rows[:3]), pa.array(rows[3], pa.binary())], ["doc_id", "fp", "doc_tokens", "start", "length", "ids"])
-
+                        numbers.append((len(raw) // 4, s // 4, len(piece) // 4, zlib.crc32(piece)))
+                        if ids:
+                            raws.append(piece)
+                at = pa.array(of, pa.int64())
+                columns = [part.column(0).take(at), part.column(1).take(at), *(pa.array(c, pa.int64()) for c in zip(*numbers, strict=True))]
+                yield pa.RecordBatch.from_arrays(columns + [pa.array(raws, pa.binary())] * ids, names)
+
+    names = ["doc_id", "fp", "doc_tokens", "start", "length", "ids_crc32", *["ids"] * ids]
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_key(F.col("text")).alias("fp"), "text").mapInArrow(cut, f"doc_id {kind}, fp long, doc_tokens long, start long, length long, ids binary")
+    return docs.select("doc_id", text_key(F.col("text")).alias("fp"), "text").mapInArrow(cut, f"doc_id {kind}, fp long, doc_tokens long, start long, length long, ids_crc32 long{', ids binary' * ids}")
 
 
 class CapacityTree:
@@ -203,7 +210,7 @@ def packed(docs: DataFrame, window: int = WINDOW, closing_id: int = CLOSING_ID,
 
     Texts are tokenised once; ids don't travel, their checksum does. `sequences` brings the ids together.
     """
-    cut = stored(pieces(docs, window, closing_id, path).withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces")
+    cut = stored(pieces(docs, window, closing_id, path, ids=False), "pieces")
     counts = cut.groupBy("length").agg(F.count("*").alias("n")).collect()  # no more rows than a window has tokens
     histogram = {r["length"]: r["n"] for r in counts}
     full = histogram.pop(window, 0)
