@@ -13,7 +13,7 @@ bit. What reaches the driver is a number per language and buckets x bits of log
 Defined results: a null text, or one without a letter, is `und` with score 0; a null label is not learned
 from; without any label every answer is `und`; repeated rows count twice and are answered alike; an
 empty table gives no rows; other columns are ignored, whatever their names; a text of any length is read
-whole.
+whole; of languages that tie the first by code point is the answer; a null doc_id is never held out.
 """
 
 from __future__ import annotations
@@ -38,6 +38,9 @@ RANDOM_BITS = 40
 #: Counts are summed in so many slices of the buckets; a task holds those of so many languages before it writes them.
 SLICES = 16
 HELD = 256
+#: How fast a bit's logistic loss falls with its margin (a mean of log odds, mostly below 1), and the distance of losses under which an answer is ambiguous.
+STEEPNESS = 10.0
+AMBIGUOUS = 0.2
 
 
 def features(text: str, buckets: int = BUCKETS, orders: tuple[int, ...] = ORDERS) -> np.ndarray:
@@ -93,7 +96,7 @@ class Model:
     code: np.ndarray  # languages x bits
     weights: np.ndarray  # buckets x bits: log odds
     trust: np.ndarray  # weight of each bit's loss
-    ambiguous_below: float = 0.2
+    ambiguous_below: float = AMBIGUOUS
 
     def margins(self, counts: np.ndarray) -> np.ndarray:
         return counts @ self.weights / max(1, counts.sum())
@@ -101,7 +104,7 @@ class Model:
     def decode(self, margins: np.ndarray) -> tuple[str, float, bool]:
         """Language, score in 0 to 1, and whether the second best is near."""
         signs = 2.0 * self.code - 1.0
-        loss = (np.log1p(np.exp(-10.0 * signs * margins)) * self.trust).sum(1) / self.trust.sum()
+        loss = (np.log1p(np.exp(-STEEPNESS * signs * margins)) * self.trust).sum(1) / self.trust.sum()
         order = np.argsort(loss, kind="stable")
         belief = np.exp(loss.min() - loss)
         score = float(belief[order[0]] / belief.sum())

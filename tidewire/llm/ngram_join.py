@@ -9,19 +9,24 @@ first n - ceil(t * n) + k elements of each. Two ways use this:
 - heavy: of large sets, and of those small ones that could be similar to a large one, the prefix with
   k = 1 goes into inverted lists, which are scanned.
 
-The boundary between small and large is where enumerating costs more than scanning, by the histogram of
-sizes and the lists' mean length. The order puts shingles that are frequent in a sample of documents last, so
-that passages shared by very many documents are in hardly any prefix; any order gives the same result.
+The boundary between small and large is where enumerating costs more than scanning, by the sizes of sets and by how
+many partners an element of a prefix and a pair have, both measured on a sample of documents. The order puts
+shingles that are frequent in the sample last, so that passages shared by very many documents are in hardly any
+prefix. Any order and any boundary give the same result.
+
+A text is read once: its size, its class, a sketch and what it is indexed under are written beside each other, and the
+lists are made of them. Texts are read again only of sets that have a candidate.
 
 Candidates pass a bound (from 128 counts per set, which never excludes a link) and then an exact count.
 Lists first link their members to one of them, the pivot; what that leaves in different components is
-compared pair by pair. So a large group of near copies costs links in proportion to its size, and no
-link between components is lost.
+compared pair by pair, within classes of size and only where the places in both sets leave enough to share. So a large
+group of near copies costs links in proportion to its size, and no link between components is lost.
 
 Defined results: a null text, or one without words, has an empty set and links with nothing; fewer words
 than a shingle are one shingle, the whole sequence; rows that are equal in doc_id and text are one
 document with a row each; a null doc_id is never a component's name while another id is there; an empty
-table gives no rows; other columns are ignored by `joined`, whatever their names.
+table gives no rows; other columns are ignored by `joined`, whatever their names; a text of any length is read
+whole; sets that tie in what they share with a list take its pivot by the greater class.
 """
 
 from __future__ import annotations
@@ -41,6 +46,10 @@ from tidewire.llm.components import components
 SAMPLE_ONE_IN = 16
 FREQUENT = 200_000
 BINS = 128
+#: What comparing a candidate costs, in rows of a list; pairs are counted in the sample for sets up to this size.
+CANDIDATE, PAIRS_TO = 4, 64
+#: Up to so many classes (under 10 MB) are sent to the texts, rather than all texts to them.
+SENT = 200_000
 
 
 class WordHashes(dict):
@@ -70,101 +79,127 @@ def shingles(text: str | None, size: int, hashes: WordHashes) -> np.ndarray:
     return np.unique(acc ^ (acc >> np.uint64(32)))
 
 
-def sets(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, fp, n, class (hash of the set; null if empty), counts (of BINS bins, one byte each)."""
+def least_common(n: int, threshold: int) -> int:
+    """How many elements a set of n shares at least with any similar set."""
+    return -(-threshold * n // 100)
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
 
-        hashes = WordHashes()
-        for batch in batches:
-            n, ids, counts = [], [], []
-            for text in batch.column("text").to_pylist():
-                s = shingles(text, size, hashes)
-                n.append(len(s))
-                ids.append(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).view(np.int64) if len(s) else None)
-                counts.append(np.minimum(np.bincount((s & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("fp"), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(counts, pa.binary())], ["doc_id", "fp", "n", "class", "counts"])
+def ordered(s: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The elements of a set in the global order: those of `last` behind the others."""
+    if not len(last):
+        return s
+    is_last = last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s
+    return np.concatenate([s[~is_last], s[is_last]])
 
-    return docs.mapInArrow(make, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long, n long, class long, counts binary")
 
+def singles(s: np.ndarray, threshold: int) -> np.ndarray:
+    """The prefix of an ordered set that goes into inverted lists."""
+    return s[: len(s) - least_common(len(s), threshold) + 1]
 
-def frequent(docs: DataFrame, size: int) -> tuple[np.ndarray, float]:
-    """The most frequent shingles of a sample, at most FREQUENT, and the mean length of the others' lists there."""
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in batches:
-            found = [shingles(t, size, hashes) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64) if found else [], pa.int64())], ["s"])
+def pairs(s: np.ndarray, threshold: int) -> np.ndarray:
+    """All pairs of an ordered set's prefix, hashed."""
+    p = s[: len(s) - least_common(len(s), threshold) + 2]
+    i, j = np.triu_indices(len(p), 1)
+    lo, hi = np.minimum(p[i], p[j]), np.maximum(p[i], p[j])
+    return np.unique((lo * np.uint64(0x9E3779B97F4A7C15)) ^ (hi + (lo >> np.uint64(29))))
 
-    sampled = docs.where(F.pmod(F.col("fp"), F.lit(SAMPLE_ONE_IN)) == 0).select("text")
-    # the sample is by text, so that copies count once, and without texts that say nothing
-    counts = sampled.dropDuplicates(["text"]).mapInArrow(emit, "s long").groupBy("s").agg(F.count("*").alias("n")).where("n > 1")
-    top = counts.orderBy(F.desc("n"), "s").limit(FREQUENT).toPandas()
-    rare = top["n"].min() if len(top) == FREQUENT else 1
-    return np.sort(top["s"].to_numpy(np.int64).view(np.uint64)), float(rare)
 
+def is_light(n: int, light_to: int, threshold: int) -> bool:
+    return n <= light_to and least_common(n, threshold) >= 2
 
-def least_common(n: int, threshold: int) -> int:
-    """How many elements a set of n shares at least with any similar set."""
-    return -(-threshold * n // 100)
+
+def is_heavy(n: int, light_to: int, threshold: int) -> bool:
+    """Whether a set of n is large or can be similar to a large one."""
+    return n > light_to or n >= ceil(threshold * (light_to + 1) / 100) or least_common(n, threshold) < 2
 
 
-def boundary(histogram: dict[int, int], mean_list: float, threshold: int) -> int:
-    """The size up to which enumerating pairs of the prefix is cheaper than scanning lists."""
-    best = (float("inf"), 0)
-    for x in (0, 4, 6, 8, 10, 13, 16, 20, 26, 33, 40, 50, 64):
-        light = sum(c * p * (p - 1) / 2 for n, c in histogram.items() if n <= x for p in [n - least_common(n, threshold) + 2])
-        heavy = sum(c * (n - least_common(n, threshold) + 1) * (1 + mean_list) for n, c in histogram.items() if n > x or n >= ceil(threshold * (x + 1) / 100))
-        best = min(best, (light + heavy, x))
+def boundary(histogram: dict[int, int], partners: float, pair_partners: float, threshold: int) -> int:
+    """The size up to which enumerating pairs of the prefix is cheaper than scanning lists, given how many others an element of a prefix and a pair are found with."""
+    n = np.array(sorted(histogram), np.int64)
+    if not len(n):
+        return 0
+    many = np.array([histogram[x] for x in n.tolist()], np.float64)
+    spare = n + (-threshold * n // 100)
+    light = np.cumsum(many * (spare + 2) * (spare + 1) / 2 * (1 + CANDIDATE * pair_partners))
+    heavy = np.cumsum(many * (spare + 1) * (1 + CANDIDATE * partners))
+    best = (heavy[-1], 0)
+    for i, x in enumerate(n.tolist()):
+        below = np.searchsorted(n, ceil(threshold * (x + 1) / 100))  # from here on both ways are needed
+        best = min(best, (light[i] + heavy[-1] - (heavy[below - 1] if below else 0.0), x))
     return best[1]
 
 
-def signatures(s: np.ndarray, last: np.ndarray, light_to: int, threshold: int) -> tuple[np.ndarray, np.ndarray]:
-    """What a set is indexed under, and where that stands in the set: pairs of its prefix if small (at 0), single shingles if it can meet a large set."""
-    n = len(s)
-    if len(last):
-        at = np.searchsorted(last, s)
-        is_last = last[np.minimum(at, len(last) - 1)] == s
-        s = np.concatenate([s[~is_last], s[is_last]])
-    spare = n - least_common(n, threshold)
-    out, places = [], []
-    if n <= light_to and least_common(n, threshold) >= 2:
-        p = s[: spare + 2]
-        i, j = np.triu_indices(len(p), 1)
-        lo, hi = np.minimum(p[i], p[j]), np.maximum(p[i], p[j])
-        out.append((lo * np.uint64(0x9E3779B97F4A7C15)) ^ (hi + (lo >> np.uint64(29))))
-        places.append(np.zeros(len(lo), np.int32))
-    if n > light_to or n >= ceil(threshold * (light_to + 1) / 100) or least_common(n, threshold) < 2:
-        out.append(s[: spare + 1])
-        places.append(np.arange(len(out[-1]), dtype=np.int32))
-    tokens, first = np.unique(np.concatenate(out), return_index=True)
-    return tokens, np.concatenate(places)[first]
-
-
-def lists(docs: DataFrame, first: DataFrame, size: int, threshold: int) -> DataFrame:
-    """token, class, n, at (the token's place in the set): the members of every list of two classes or more. first has the row that stands for each class."""
-    last, mean_list = frequent(docs, size)
-    bins = first.groupBy(F.when(F.col("n") <= 64, F.col("n")).otherwise(F.pow(2, F.ceil(F.log2("n"))).cast("long")).alias("n")).agg(F.count("*").alias("c")).collect()  # at most 64 + 60 rows
-    light_to = boundary({r["n"]: r["c"] for r in bins if r["n"]}, mean_list, threshold)
-    sent = docs.sparkSession.sparkContext.broadcast(last)
+def scouted(docs: DataFrame, size: int, threshold: int) -> tuple[np.ndarray, int]:
+    """The most frequent shingles of a sample, at most FREQUENT, and the boundary that the sample's lists make cheapest. docs has fp and text."""
+    # the sample is by text, so that copies count once
+    sample = stored(docs.where(F.pmod(F.col("fp"), F.lit(SAMPLE_ONE_IN)) == 0).select("fp", "text").dropDuplicates(["fp"]).select("text"), "sample")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                found = [shingles(t, size, hashes) for t in batch.slice(lo, 512).column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64), pa.int64())], ["s"])
+
+    counts = sample.mapInArrow(emit, "s long").groupBy("s").agg(F.count("*").alias("n")).where("n > 1")
+    last = np.sort(counts.orderBy(F.desc("n"), "s").limit(FREQUENT).select("s").toPandas()["s"].to_numpy(np.int64).view(np.uint64))
+    sent = docs.sparkSession.sparkContext.broadcast(last)
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 512):
+                kinds, tokens = [], []
+                for text in batch.slice(lo, 512).column("text").to_pylist():
+                    s = ordered(shingles(text, size, hashes), sent.value)
+                    if len(s):
+                        # kind 0 to 63: of a set of that size, and for larger ones by powers of two; kind -1: a pair
+                        kind = len(s) if len(s) <= PAIRS_TO else 1 << (len(s) - 1).bit_length()
+                        found = [(kind, singles(s, threshold)), *([(-1, pairs(s, threshold))] if len(s) <= PAIRS_TO else [])]
+                        kinds += [np.full(len(t), k, np.int64) for k, t in found]
+                        kinds.append(np.array([-2 - kind]))  # and once for the set
+                        tokens += [t.view(np.int64) for _, t in found]
+                        tokens.append(np.array([0]))
+                if kinds:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(kinds), pa.int64()), pa.array(np.concatenate(tokens), pa.int64())], ["kind", "token"])
+
+    rows = sample.mapInArrow(index, "kind long, token long")
+    sized = F.when(F.col("kind") >= 0, 0).otherwise(F.col("kind"))
+    lists = rows.groupBy(sized.alias("kind"), "token").agg(F.count("*").alias("n"))
+    told = {r["kind"]: (r["n"], r["others"]) for r in lists.groupBy("kind").agg(F.sum("n").alias("n"), F.sum(F.col("n") * (F.col("n") - 1)).alias("others")).collect()}  # a row per size, of which there are at most 64 and 60 powers of two
+    partners = [SAMPLE_ONE_IN * told[k][1] / told[k][0] if k in told else 0.0 for k in (0, -1)]
+    return last, boundary({-2 - k: n for k, (n, _) in told.items() if k < -1}, *partners, threshold)
+
+
+def sets(docs: DataFrame, size: int, threshold: int, last: np.ndarray, light_to: int) -> DataFrame:
+    """doc_id, fp, n, class (hash of the set; null if empty), counts (of BINS bins, one byte each), heavy and light (what the set is indexed under)."""
+    sent = docs.sparkSession.sparkContext.broadcast(last)
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         hashes = WordHashes()
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                tokens, classes, sizes, at = [], [], [], []
-                for c, text in zip(part.column("class").to_pylist(), part.column("text").to_pylist(), strict=True):
+                n, ids, counts, heavy, light = [], [], [], [], []
+                for text in part.column("text").to_pylist():
                     s = shingles(text, size, hashes)
-                    t, places = signatures(s, sent.value, light_to, threshold)
-                    tokens.append(t.view(np.int64))
-                    at.append(places)
-                    classes.append(np.full(len(t), c, np.int64))
-                    sizes.append(np.full(len(t), len(s), np.int32))
-                if tokens:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, classes, sizes, at)], ["token", "class", "n", "at"])
+                    n.append(len(s))
+                    ids.append(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).view(np.int64) if len(s) else None)
+                    counts.append(np.minimum(np.bincount((s & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes() if len(s) else None)
+                    in_order = ordered(s, sent.value)
+                    heavy.append(singles(in_order, threshold).view(np.int64) if len(s) and is_heavy(len(s), light_to, threshold) else [])
+                    light.append(pairs(in_order, threshold).view(np.int64) if len(s) and is_light(len(s), light_to, threshold) else [])
+                longs = pa.list_(pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("fp"), pa.array(n, pa.int64()), pa.array(ids, pa.int64()), pa.array(counts, pa.binary()), pa.array(heavy, longs), pa.array(light, longs)], ["doc_id", "fp", "n", "class", "counts", "heavy", "light"])
+
+    return docs.mapInArrow(make, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long, n long, class long, counts binary, heavy array<long>, light array<long>")
+
+
+def lists(classes: DataFrame) -> DataFrame:
+    """token, class, n, at (the token's place in the ordered set; 0 of a pair): the members of every list of two classes or more."""
 
     def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of rows in order of token, those whose token a neighbour shares; one row is held back between batches."""
@@ -183,7 +218,10 @@ def lists(docs: DataFrame, first: DataFrame, size: int, threshold: int) -> DataF
                 yield batch.filter(pa.array(keep))
             held = (batch.slice(batch.num_rows - 1, 1), bool(keep[-1]))
 
-    postings = docs.mapInArrow(emit, "token long, class long, n int, at int")
+    n = F.col("n").cast("int").alias("n")
+    heavy = classes.select("class", n, F.posexplode("heavy").alias("at", "token"))
+    light = classes.select("class", n, F.lit(0).alias("at"), F.explode("light").alias("token"))
+    postings = heavy.unionByName(light).select("token", "class", "n", "at")
     return postings.repartition("token").sortWithinPartitions("token").mapInArrow(repeated, "token long, class long, n int, at int")
 
 
@@ -203,7 +241,9 @@ def similar(pairs: DataFrame, first: DataFrame, docs: DataFrame, size: int, thre
     sized = (100 * F.least("na", "nb") >= threshold * F.greatest("na", "nb")) & (F.col("a") != F.col("b"))
     near = stored(pairs.join(side("a"), "a").join(side("b"), "b").where(sized).mapInArrow(bound, "a long, b long, na long, nb long"), "near-pairs")
     need = near.select(F.col("a").alias("class")).union(near.select("b")).distinct()
-    whole = need.join(first, "class").select("class", F.col("doc_id").alias("_d"), F.col("fp").alias("_f"))
+    whole = stored(need.join(first, "class").select("class", F.col("doc_id").alias("_d"), F.col("fp").alias("_f")), "wanted-sets")
+    if whole.count() <= SENT:
+        whole = F.broadcast(whole)
     texts = docs.join(whole, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("fp") == F.col("_f"))).select("class", "text")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,32 +264,46 @@ def joined(docs: DataFrame, size: int = 4, threshold: int = 85) -> DataFrame:
     threshold is in hundredths.
     """
     docs = docs.select("doc_id", text_key(F.col("text")).alias("fp"), "text")
-    members = stored(sets(docs, size), "shingle-sets")
-    rep = members.where("class IS NOT NULL").groupBy("class").agg(F.min(F.struct("doc_id", "fp", "n", "counts")).alias("r"))
-    first = stored(rep.select("class", "r.doc_id", "r.fp", "r.n", "r.counts"), "classes")
-    standing = first.select("class", F.col("doc_id").alias("_d"), F.col("fp").alias("_f"))
-    one = docs.join(standing, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("fp") == F.col("_f"))).select("class", "text", "fp", "doc_id")
-    found = stored(lists(one, first, size, threshold), "lists")
+    last, light_to = scouted(docs, size, threshold)
+    indexed = stored(sets(docs, size, threshold, last, light_to), "shingle-sets")
+    members = indexed.select("doc_id", "fp", "n", "class")
+    standing = indexed.where("class IS NOT NULL").groupBy("class").agg(F.min(F.struct("doc_id", "fp", "n", "counts", "heavy", "light")).alias("r"))
+    classes = stored(standing.select("class", "r.*"), "classes")
+    first = classes.drop("heavy", "light")
+    found = stored(lists(classes), "lists")
     # the pivot of a list is the member that shares most with others: of edited copies the one with the fewest edits
     lengths = found.groupBy("token").agg(F.count("*").alias("len"))
     shared = found.join(lengths, "token").groupBy("class").agg(F.sum("len").alias("shared"))
     pivots = found.join(shared, "class").groupBy("token").agg(F.max_by("class", F.struct("shared", "class")).alias("a"))
-    star = found.join(pivots, "token").where("a <> class").select("a", F.col("class").alias("b")).distinct()
-    links = stored(similar(star, first, docs, size, threshold), "star-links")
+    star = stored(found.join(pivots, "token").where("a <> class").select("a", F.col("class").alias("b")).distinct(), "star")
+    links = similar(star, first, docs, size, threshold)
     reach = stored(components(links), "star-components").withColumnRenamed("node", "class")
     placed = found.join(reach, "class", "left").withColumn("component", F.coalesce("component", "class"))
     # lists that still meet several components: compare across them
     mixed = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
     open_lists = stored(placed.join(mixed, "token"), "open-lists")
-    left = open_lists.select("token", F.col("class").alias("a"), F.col("n").alias("na"), F.col("at").alias("ia"), F.col("component").alias("xa"))
-    right = open_lists.select("token", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib"), F.col("component").alias("xb"))
+    across = crossing(open_lists, threshold).join(star, ["a", "b"], "left_anti")
+    more = similar(across, first, docs, size, threshold)
+    named = lambda x: reach.select(F.col("class").alias(x), F.col("component").alias(f"x{x}"))
+    between = more.join(named("a"), "a", "left").join(named("b"), "b", "left").select(F.coalesce("xa", "a").alias("a"), F.coalesce("xb", "b").alias("b"))
+    joint = components(between).select(F.col("node").alias("component"), F.col("component").alias("_joint"))
+    placed = members.join(reach, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    return placed.join(joint, "component", "left").select("doc_id", "fp", "n", F.coalesce("_joint", "component").alias("component"))
+
+
+def crossing(open_lists: DataFrame, threshold: int) -> DataFrame:
+    """Pairs (a < b) of classes that a list brings together, of different components and able to be similar by size and place.
+
+    Sizes fall into bands in which the ratio of two sizes is the threshold's, so similar sets are in the same or in neighbouring bands.
+    """
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / threshold + 1e-9))) if threshold < 100 else F.col("n").cast("long")
+    banded = open_lists.withColumn("band", band)
+    left = banded.select("token", "band", F.col("class").alias("a"), F.col("n").alias("na"), F.col("at").alias("ia"), F.col("component").alias("xa"))
+    right = banded.select("token", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"), F.col("class").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib"), F.col("component").alias("xb"))
     # the first shingle that two sets share has at most so many of either before it as the other may lack
     least = F.expr(f"({threshold} * (na + nb) + {99 + threshold}) div {100 + threshold}")
     able = (100 * F.least("na", "nb") >= threshold * F.greatest("na", "nb")) & (F.col("ia") <= F.col("na") - least) & (F.col("ib") <= F.col("nb") - least)
-    across = left.join(right, "token").where("a < b AND xa <> xb").where(able).select("a", "b").distinct()
-    more = stored(similar(across.join(star.select(F.col("a").alias("a"), F.col("b").alias("b")), ["a", "b"], "left_anti"), first, docs, size, threshold), "cross-links")
-    whole = components(links.union(more)).withColumnRenamed("node", "class")
-    return members.join(whole, "class", "left").select("doc_id", "fp", "n", F.coalesce("component", "class").alias("component"))
+    return left.join(right, ["token", "band"]).where("a < b AND xa <> xb").where(able).select("a", "b").distinct()
 
 
 def digest(docs: DataFrame, size: int = 4, threshold: int = 85) -> DataFrame:
