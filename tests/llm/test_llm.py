@@ -383,12 +383,17 @@ def brute_join(texts, size, threshold):
     return [(len(s), c) for s, c in zip(sets, top, strict=True)]
 
 
-def test_boundary_follows_lists():
-    """Few partners: scanning wins at all but the least sets. Many partners of single shingles and few of pairs: enumerating wins up to large sets."""
+def test_boundary_follows_lists(spark, words):
+    """Nothing shared: scanning wins. Elements shared and pairs not: enumerating wins as far as it can. The same measured on texts."""
     sizes = {n: 100 for n in range(3, 200)}
-    found = [ngram_join.boundary(sizes, p, 0.1, 85) for p in (0, 1, 10, 100, 1000)]
-    assert found == sorted(found) and found[0] <= 8 and found[2] > 13 and found[4] > 64
-    assert ngram_join.boundary(sizes, 100, 100, 85) <= 8 and ngram_join.boundary({}, 1, 1, 85) == 0
+    found = [ngram_join.boundary(sizes, p, 0.0, 85) for p in (0.0, 0.3, 0.6, 1.0)]
+    assert found == sorted(found) and found[0] < 7 and 20 < found[-1] and ngram_join.may_be_light(found[-1], 85)
+    assert ngram_join.boundary(sizes, 1.0, 1.0, 85) < 7 and ngram_join.boundary({}, 1, 1, 85) == 0
+    phrase = words(8, 3)
+    alone = [" ".join(f"{x}{i}" for x in words(20, i)) for i in range(2000)]
+    quoting = [" ".join([f"{x}{i % 450}" for x in phrase[: 1 + i % 7]] + [f"{x}{i}" for x in words(19, i)]) for i in range(2000)]
+    measured = [ngram_join.scouted(make(spark, t).withColumn("fp", ngram_join.text_key(ngram_join.F.col("text"))), 1, 60)[1] for t in (alone, quoting)]
+    assert measured[0] <= measured[1]
 
 
 @pytest.mark.parametrize("light_to", [0, 9, 40, 10_000])

@@ -9,10 +9,11 @@ first n - ceil(t * n) + k elements of each. Two ways use this:
 - heavy: of large sets, and of those small ones that could be similar to a large one, the prefix with
   k = 1 goes into inverted lists, which are scanned.
 
-The boundary between small and large is where enumerating costs more than scanning, by the sizes of sets and by how
-many partners an element of a prefix and a pair have, both measured on a sample of documents. The order puts
-shingles that are frequent in the sample last, so that passages shared by very many documents are in hardly any
-prefix. Any order and any boundary give the same result.
+The boundary between small and large is where enumerating costs more than scanning: a place in a list costs a row,
+and a candidate if the list has another member. How often it has is measured for elements and for pairs, on a
+sample of documents. A list gives each member one candidate, so pairs can only pay up to a prefix of
+2 * (1 + CANDIDATE) elements. The order puts shingles that are frequent in the sample last, so that passages shared by
+very many documents are in hardly any prefix. Any order and any boundary give the same result.
 
 A text is read once: its size, its class, a sketch and what it is indexed under are written beside each other, and the
 lists are made of them. Texts are read again only of sets that have a candidate.
@@ -46,8 +47,8 @@ from tidewire.llm.components import components
 SAMPLE_ONE_IN = 16
 FREQUENT = 200_000
 BINS = 128
-#: What comparing a candidate costs, in rows of a list; pairs are counted in the sample for sets up to this size.
-CANDIDATE, PAIRS_TO = 4, 64
+#: What comparing a candidate costs, in rows of a list.
+CANDIDATE = 4
 #: Up to so many classes (under 10 MB) are sent to the texts, rather than all texts to them.
 SENT = 200_000
 
@@ -114,15 +115,20 @@ def is_heavy(n: int, light_to: int, threshold: int) -> bool:
     return n > light_to or n >= ceil(threshold * (light_to + 1) / 100) or least_common(n, threshold) < 2
 
 
-def boundary(histogram: dict[int, int], partners: float, pair_partners: float, threshold: int) -> int:
-    """The size up to which enumerating pairs of the prefix is cheaper than scanning lists, given how many others an element of a prefix and a pair are found with."""
+def may_be_light(n: int, threshold: int) -> bool:
+    """Whether enumerating the pairs of a set of n can cost less than scanning its lists."""
+    return n - least_common(n, threshold) + 1 < 2 * (1 + CANDIDATE)
+
+
+def boundary(histogram: dict[int, int], shared: float, pair_shared: float, threshold: int) -> int:
+    """The size up to which enumerating pairs of the prefix is cheaper than scanning lists, given the shares of elements and of pairs that another set has too."""
     n = np.array(sorted(histogram), np.int64)
     if not len(n):
         return 0
     many = np.array([histogram[x] for x in n.tolist()], np.float64)
     spare = n + (-threshold * n // 100)
-    light = np.cumsum(many * (spare + 2) * (spare + 1) / 2 * (1 + CANDIDATE * pair_partners))
-    heavy = np.cumsum(many * (spare + 1) * (1 + CANDIDATE * partners))
+    light = np.cumsum(many * (spare + 2) * (spare + 1) / 2 * (1 + CANDIDATE * pair_shared))
+    heavy = np.cumsum(many * (spare + 1) * (1 + CANDIDATE * shared))
     best = (heavy[-1], 0)
     for i, x in enumerate(n.tolist()):
         below = np.searchsorted(n, ceil(threshold * (x + 1) / 100))  # from here on both ways are needed
@@ -147,29 +153,29 @@ def scouted(docs: DataFrame, size: int, threshold: int) -> tuple[np.ndarray, int
     sent = docs.sparkSession.sparkContext.broadcast(last)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """kind and token: 0 an element, 1 an element of a set too large for pairs, 2 a pair, and once for each set less than 0, its size (from 64 on as a power of two)."""
         hashes = WordHashes()
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 kinds, tokens = [], []
                 for text in batch.slice(lo, 512).column("text").to_pylist():
                     s = ordered(shingles(text, size, hashes), sent.value)
-                    if len(s):
-                        # kind 0 to 63: of a set of that size, and for larger ones by powers of two; kind -1: a pair
-                        kind = len(s) if len(s) <= PAIRS_TO else 1 << (len(s) - 1).bit_length()
-                        found = [(kind, singles(s, threshold)), *([(-1, pairs(s, threshold))] if len(s) <= PAIRS_TO else [])]
+                    n = len(s)
+                    if n:
+                        small = may_be_light(n, threshold)
+                        found = [(0 if small else 1, singles(s, threshold)), (-(n if n <= 64 else 1 << (n - 1).bit_length()), np.zeros(1, np.uint64)), *([(2, pairs(s, threshold))] if small else [])]
                         kinds += [np.full(len(t), k, np.int64) for k, t in found]
-                        kinds.append(np.array([-2 - kind]))  # and once for the set
                         tokens += [t.view(np.int64) for _, t in found]
-                        tokens.append(np.array([0]))
                 if kinds:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(kinds), pa.int64()), pa.array(np.concatenate(tokens), pa.int64())], ["kind", "token"])
 
-    rows = sample.mapInArrow(index, "kind long, token long")
-    sized = F.when(F.col("kind") >= 0, 0).otherwise(F.col("kind"))
-    lists = rows.groupBy(sized.alias("kind"), "token").agg(F.count("*").alias("n"))
-    told = {r["kind"]: (r["n"], r["others"]) for r in lists.groupBy("kind").agg(F.sum("n").alias("n"), F.sum(F.col("n") * (F.col("n") - 1)).alias("others")).collect()}  # a row per size, of which there are at most 64 and 60 powers of two
-    partners = [SAMPLE_ONE_IN * told[k][1] / told[k][0] if k in told else 0.0 for k in (0, -1)]
-    return last, boundary({-2 - k: n for k, (n, _) in told.items() if k < -1}, *partners, threshold)
+    k = F.col("kind")
+    lists = sample.mapInArrow(index, "kind long, token long").groupBy(F.when(k == 1, 0).otherwise(k).alias("kind"), "token").agg(F.count("*").alias("n"), F.sum((k != 1).cast("long")).alias("small"))
+    met = F.sum(F.when(F.col("n") > 1, F.col("small")).otherwise(0))
+    told = {r["kind"]: r for r in lists.groupBy("kind").agg(F.sum("small").alias("small"), met.alias("met")).collect()}  # a row per size, of which there are at most 64 and 60 powers of two
+    # of two sets that share an element both are in the sample once in SAMPLE_ONE_IN times
+    shares = [min(1.0, SAMPLE_ONE_IN * told[x]["met"] / max(1, told[x]["small"])) if x in told else 0.0 for x in (0, 2)]
+    return last, boundary({-x: r["small"] for x, r in told.items() if x < 0}, *shares, threshold)
 
 
 def sets(docs: DataFrame, size: int, threshold: int, last: np.ndarray, light_to: int) -> DataFrame:
