@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidewire import config
 from tidewire.functions.keywords import Topic
-from tidewire.operators import ingest, jobs, listing, state
+from tidewire.functions import dates, fetching
+from tidewire.operators import ingest, jobs, listing, outputs, rounds, runs, state
 from tidewire.schemas import SCHEMAS
-from tidewire.search import build_postings, search
+from tidewire.search import build_postings, engine, search
+from tidewire.search.query import parse
 from tidewire.sources import apis, boards, pages
 from tidewire.streaming import jobs as streaming
 
@@ -121,6 +124,94 @@ def test_ingest_round(spark):
     assert ingest.filter_new(cand, stored, seen, NOW).count() == 0  # a second round fetches nothing
 
 
+def test_two_rounds(spark, tmp_path):
+    """A round stores, rejects, remembers and leaves pages pending; the next one goes on with those and tries a failed one again."""
+    src = spark.createDataFrame([(1, "News", [], ["Sports"], False, False, 30, False, False, None), (2, "Club", [], [], False, False, 30, False, False, None)], "id int, name string, categories array<string>, exclude_sections array<string>, require_place boolean, feed_only boolean, max_age_days int, undated boolean, vouching boolean, only_in_topic string")
+    c = "source_id int, pos int, url string, key string, via string, title string, summary string, image_url string, published_at timestamp, author string, tags array<string>"
+    cand = lambda rows: spark.createDataFrame([(s, i, f"https://n.com/{k}", f"https://n.com/{k}", "feed", k, None, img, ago(hours=i + 1), None, tags) for i, (s, k, img, tags) in enumerate(rows)], c)
+    extracted = "canonical_url string, title string, intro string, description string, image_url string, published_at timestamp, author string, section string, keywords array<string>, site_name string, is_article boolean"
+    log = f"url string, http_status int, robots boolean, content_type string, page_url string, {extracted}"
+    asked = []
+
+    def fetch(rows):
+        keys = sorted(r["key"] for r in rows.collect())
+        asked.append([k[-1] for k in keys])
+        page = lambda k: (k, 500 if k.endswith("f") else 200, False, "text/html", k, "https://n.com/a" if k.endswith("d") else None, f"Title {k[-1]}", None, None, None, None, None, None, None, None, True)
+        return spark.createDataFrame([page(k) for k in keys], log)
+
+    empty = rounds.Tables(*(spark.createDataFrame([], x) for x in (SCHEMAS["articles"], SCHEMAS["seen_urls"], c, SCHEMAS["ignored_images"], SCHEMAS["scrape_runs"])))
+
+    def keep(rows, name):
+        path = f"file://{tmp_path}/{name}-{len(list(tmp_path.iterdir()))}"
+        rows.coalesce(1).write.parquet(path)
+        return spark.read.schema(rows.schema).parquet(path)
+
+    def ingest_round(tables, found, now):
+        after = rounds.ingest_round(tables, found, fetch, src, [], (), now, most=3, keep=keep)
+        return rounds.Tables(*(keep(x, k) for k, x in vars(after).items()))
+
+    first = ingest_round(empty, cand([(1, "a", None, []), (1, "f", None, []), (1, "s", None, ["sports"]), (1, "p", None, []), (1, "q", None, []), (2, "d", None, [])]), NOW)
+    held = lambda df, *cols: sorted(tuple(r[x] for x in cols) for r in df.collect())
+    assert asked == [["a", "d", "f", "p"]]
+    assert held(first.articles, "url") == [("https://n.com/a",), ("https://n.com/p",)] and held(first.pending, "title") == [("q",)]
+    assert held(first.seen, "url", "status", "attempts") == [("https://n.com/d", "rejected", 1), ("https://n.com/f", "failed", 1), ("https://n.com/s", "rejected", 1)]
+    assert held(first.runs, "source_id", "candidates", "new_articles", "failed") == [(1, 4, 2, 1), (2, 1, 0, 0)] and first.runs.where("finished_at IS NULL").count() == 0
+    later = NOW + dt.timedelta(hours=2)
+    second = ingest_round(first, cand([(1, "a", None, []), (1, "s", None, ["sports"])]), later)
+    assert asked[1] == ["f", "q"] and second.articles.count() == 3 and second.pending.count() == 0
+    assert ("https://n.com/f", 2) in held(second.seen, "url", "attempts") and sorted(r["id"] for r in second.runs.collect()) == [1, 2, 3]
+    assert held(runs.totals(second.runs), "sources", "new_articles") == [(1, 1), (2, 2)]
+    assert held(runs.by_path(cand([(1, "a", None, [])])), "via", "n") == [("feed", 1)]
+
+
+def test_fetching_rules():
+    told, slept = [], []
+
+    def send(url, headers):
+        told.append((url, headers))
+        answers = {"/old": (301, {"Location": "/new"}, b""), "/new": (200, {"ETag": "x"}, b"body"), "/same": (304, {}, b""), "/busy": (503, {"Retry-After": "3"}, b""), "/big": (200, {}, b"x" * (fetching.MOST_BYTES + 1)), "/loop": (302, {"location": "/loop"}, b""), "/later": (429, {"retry-after": "900"}, b"")}
+        if url.endswith("/down"):
+            raise ConnectionError
+        return answers[url.removeprefix("https://e.com")]
+
+    ask = lambda path, cached=None: fetching.fetched(send, f"https://e.com{path}", cached, lambda: NOW, slept.append)
+    a = ask("/old")
+    assert (a.http_status, a.final_url, a.body, a.unchanged) == (200, "https://e.com/new", b"body", False)
+    assert ask("/new", {"content_hash": a.content_hash, "etag": "x"}).unchanged and told[-1][1] == {"if-none-match": "x"} and ask("/same").unchanged
+    assert ask("/busy").http_status == 503 and slept == [3.0, 3.0]
+    assert ask("/big").http_status is None and ask("/loop").http_status == 302 and ask("/later").http_status == 429 and slept == [3.0, 3.0]
+    assert ask("/down").http_status is None and slept[2:] == [1.0, 2.0]
+    clock, made = [0.0], []
+    token = fetching.Token(lambda: made.append(1) or (f"t{len(made)}", 100.0), lambda: clock[0])
+    assert token.get() == token.get() == "t1"
+    clock[0] = 41
+    assert token.get() == "t2"
+    refused = [401, 200]
+    assert token.ask(lambda u, h: (refused.pop(0), h, b""), "u")[1] == {"authorization": "bearer t3"}
+    assert token.ask(lambda u, h: (401, {}, b""), "u")[0] == 401
+    kept = fetching.Kept(10, lambda: clock[0])
+    assert [kept.get("a", lambda: clock[0]), kept.get("b", lambda: 2)] == [41, 2]
+    clock[0] = 50.5
+    assert kept.get("a", lambda: clock[0]) == 41
+    clock[0] = 51.0
+    assert kept.get("a", lambda: clock[0]) == 51.0
+
+
+def test_labels_of_times(spark):
+    at = [NOW - dt.timedelta(seconds=30), NOW - dt.timedelta(minutes=5), NOW - dt.timedelta(minutes=70), NOW - dt.timedelta(hours=5), NOW - dt.timedelta(hours=30), NOW - dt.timedelta(days=9), NOW - dt.timedelta(days=400)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(at)], "i int, t timestamp").orderBy("i")
+    assert [r[0] for r in df.select(dates.relative_time(F.col("t"), NOW)).collect()] == ["just now", "5 min ago", "1 hr ago", "5 hrs ago", "yesterday", "Oct 21", "Sep 25, 2025"]
+    assert df.select(dates.local_datetime(F.col("t"))).first()[0] == "Oct 30, 2026, 9:59 PM ChST"
+    days = spark.createDataFrame([(dt.date(2026, 10, 30),), (dt.date(2026, 10, 29),), (dt.date(2026, 10, 3),)], "d date")
+    assert [r[0] for r in days.select(dates.day_label(F.col("d"), dt.date(2026, 10, 30))).collect()] == ["Today · Friday, October 30, 2026", "Yesterday · Thursday, October 29, 2026", "Saturday, October 3, 2026"]
+
+
+def test_backup_keeps_the_latest(spark, tmp_path):
+    rows = spark.range(3)
+    kept = [outputs.backup({"t": rows}, f"file://{tmp_path}/b", stamp, keep=2) for stamp in ("2026-01-01", "2026-01-02", "2026-01-03")]
+    assert kept[-1] == ["2026-01-02", "2026-01-03"] and not (tmp_path / "b/2026-01-01").exists() and spark.read.parquet(f"file://{tmp_path}/b/2026-01-03/t").count() == 3
+
+
 def test_backoff(spark):
     rows = [(f"u{n}-{h}", 1, "failed", "x", n, NOW, ago(hours=h)) for n in (1, 2, 3, 4, 5) for h in (1, 2, 4, 8)] + [("r", 1, "rejected", "x", 1, NOW, ago(days=9))]
     seen = spark.createDataFrame(rows, SCHEMAS["seen_urls"])
@@ -152,6 +243,55 @@ def test_versions(spark, tmp_path):
     t.write(state.upserted(t.read(), spark.createDataFrame([(1, "b"), (2, "c")], "k int, v string"), "k"))
     t.unlock()
     assert t.version == 2 and sorted(map(tuple, t.read().collect())) == [(1, "b"), (2, "c")]
+    # a crash before publication leaves data that no file names; another writer's version is a conflict
+    t.read().write.parquet(f"file://{tmp_path}/t/data/orphan")
+    assert t.version == 2 and t.read().count() == 2
+    publish = state.VersionedTable._published
+
+    class Late(state.VersionedTable):
+        raced = False
+
+        def _published(self):
+            rows = publish(self)
+            if not Late.raced:
+                Late.raced = True
+                (tmp_path / "t/published/000000000003--0").touch()  # published while this one writes
+            return rows
+
+    with pytest.raises(state.Conflict):
+        Late(spark, f"file://{tmp_path}/t", "k int, v string").write(t.read())
+    (tmp_path / "t/published/000000000003--0").unlink()
+    assert t.write(t.read()) == 3
+    t.keep(1)
+    assert t.version == 3 and t.read().count() == 2 and len(list((tmp_path / "t/published").glob("0*"))) == 1
+    with t.exclusive(), pytest.raises(state.Conflict), t.exclusive():
+        pass
+    assert t.lock()
+
+
+def test_upserted_takes_the_last(spark):
+    c = "k int, at int, v string"
+    old, new = spark.createDataFrame([(1, 0, "old"), (2, 0, "kept")], c), spark.createDataFrame([(1, 1, "early"), (1, 2, "late"), (3, 5, "a"), (3, 5, "b"), (4, None, "none"), (4, 1, "one")], c)
+    rows = lambda df: sorted((r["k"], r["v"]) for r in df.collect())
+    assert rows(state.upserted(old, new, "k", F.col("at"))) == [(1, "late"), (2, "kept"), (3, "b"), (4, "one")]
+    assert rows(state.upserted(old, new, "k")) == rows(state.upserted(old, new.repartition(4), "k")) == [(1, "late"), (2, "kept"), (3, "b"), (4, "one")]
+
+
+def test_remembered_counts_every_outcome(spark):
+    seen = spark.createDataFrame([("a", 1, "failed", "old", 1, ago(days=1), ago(days=1)), ("b", 1, "failed", "old", 4, ago(days=1), ago(days=1)), ("t", 1, "failed", "old", 2, ago(days=1), ago(days=1))], SCHEMAS["seen_urls"])
+    out = spark.createDataFrame([("a", 1, "ok", None), ("a", 1, "rejected", "duplicate"), ("b", 1, "failed", "x"), ("b", 2, "failed", "y"), ("c", 2, "failed", "z"), ("c", 2, "rejected", "no"), ("t", 1, "throttled", "slow"), ("n", 1, "throttled", "slow")], "url string, source_id int, status string, reason string")
+    got = {r["url"]: (r["status"], r["reason"], r["attempts"]) for r in state.remembered(seen, out, NOW).collect()}
+    assert got == {"b": ("failed", "y", 6), "c": ("rejected", "no", 2), "t": ("failed", "old", 2)}
+
+
+def test_numbers_and_configuration(spark):
+    rows = spark.createDataFrame([(s, p) for s in (3, 1, None) for p in (5, 2, 9)], "s int, p int")
+    got = sorted((r["id"], r["s"], r["p"]) for r in state.numbered(rows, F.col("s"), [F.col("p")], 10).collect())
+    assert got == [(11 + i, s, p) for i, (s, p) in enumerate((s, p) for s in (None, 1, 3) for p in (2, 5, 9))]
+    stored = spark.createDataFrame([(4, "a", "A", True), (7, "b", "B", True)], "id int, slug string, name string, enabled boolean")
+    conf = spark.createDataFrame([("b", "B2", True), ("c", "C", False), ("d", "D", True)], "slug string, name string, enabled boolean")
+    got = {r["slug"]: (r["id"], r["name"], r["enabled"]) for r in state.synced(stored, conf).collect()}
+    assert got["a"] == (4, "A", False) and got["b"] == (7, "B2", True) and {got["c"][0], got["d"][0]} == {8, 9} and got["c"][1:] == ("C", False)
 
 
 def stories(spark):
@@ -178,6 +318,33 @@ def test_search(spark):
     assert find("", category="labor")[0].total == 2 and find("zzzz")[1] is False
 
 
+def test_stored_postings_are_pruned(spark, tmp_path):
+    """A query opens the buckets of its terms, and finds the same as over postings that were just made."""
+    a, _ = stories(spark)
+    fresh = build_postings(a)
+    stored = engine.write_postings(fresh, "pruned_postings", 8, f"file://{tmp_path}/p")
+    shown = "spark.sql.sources.bucketing.autoBucketedScan.enabled"  # without it the plan doesn't tell the buckets, though it prunes them
+    spark.conf.set(shown, "false")
+    for q in ("gate", '"worker shortage" -typhoon', "gate or wage"):
+        found, plain = (engine.matched(a, p, parse(q)) for p in (stored, fresh))
+        assert sorted(map(tuple, found.collect())) == sorted(map(tuple, plain.collect())) != []
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SelectedBucketsCount: " in plan and "SelectedBucketsCount: 8" not in plan
+    spark.conf.unset(shown)
+    spark.sql("DROP TABLE pruned_postings")
+
+
+def test_word_similarity_by_hand():
+    """Against every stretch of the title's trigrams."""
+    rng = random.Random(3)
+    for _ in range(300):
+        q, t = (" ".join("".join(rng.choice("abc") for _ in range(rng.randint(1, 6))) for _ in range(rng.randint(1, 4))) for _ in range(2))
+        wanted = {g for w in q.split() for g in engine.trigrams(w)}
+        have = [g for w in t.split() for g in engine.trigrams(w)]
+        best = max((len(wanted & set(have[i:j])) / len(wanted | set(have[i:j])) for i in range(len(have)) for j in range(i + 1, len(have) + 1)), default=0.0)
+        assert engine.word_similarity(q, t) == pytest.approx(best if best >= 0.3 else 0.0)
+
+
 def test_pages_of_a_listing(spark):
     a, s = stories(spark)
     every = [r["id"] for k in (1, 2) for r in listing.list_articles(a, s, listing.Filters(sort="newest"), k, 2).items.collect()]
@@ -211,7 +378,12 @@ def test_streams(spark, tmp_path):
     table = state.VersionedTable(spark, f"file://{tmp_path}/t", "url string, status string")
     merge = lambda old, new: state.upserted(old, new.select("url", "status"), "url")
     streaming.upsert_stream(stream, table, merge, str(tmp_path / "c2")).awaitTermination()
-    assert table.read().count() == 3
+    assert table.read().count() == 3 and table.last_batch == 0 and table.version == 1
+    # the batch is delivered again: its commit is lost, its version isn't
+    for f in (tmp_path / "c2/commits").glob("*0*"):
+        f.unlink()
+    streaming.upsert_stream(stream, table, merge, str(tmp_path / "c2")).awaitTermination()
+    assert table.version == 1
 
 
 def test_crawled_prunes_before_it_limits(spark):

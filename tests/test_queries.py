@@ -11,6 +11,8 @@ from tidewire.operators import listing, outputs
 from tidewire.plans import QUERIES, SQL, stand_ins
 
 TABLES = "events documents pages part"
+#: Queries whose result may have no rows on small tables.
+MAY_BE_EMPTY = ("facet_array", "reused_images")
 
 
 @pytest.fixture(scope="module")
@@ -34,7 +36,7 @@ def test_query(name, spark, sf_dir, duck):
     if name in SQL:
         expected = duck.sql(SQL[name]).df()
         assert sorted(got.columns) == sorted(expected.columns)
-        assert rows(got) == rows(expected)
+        assert rows(got) == rows(expected) and (len(got) or name in MAY_BE_EMPTY)
 
 
 def test_outputs(spark, sf_dir):

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions.keywords import Topic, classify, mentions
-from tidewire.functions.text import clean_byline, feed_summary, fold, truncate
+from tidewire.functions.text import clean_byline, feed_summary, first_among, fold, truncate
 from tidewire.functions.urls import match_key, same_site
 
 MAX_ATTEMPTS = 5
@@ -57,9 +57,8 @@ def pending_merged(before: DataFrame, now_pending: DataFrame, read: DataFrame) -
 
 
 def excluded_label(labels: Column, unwanted: Column) -> Column:
-    """The first label that is among the unwanted ones, compared without case and accents."""
-    wanted = F.transform(unwanted, lambda x: F.trim(F.lower(x)))
-    return F.get(F.filter(labels, lambda x: F.array_contains(wanted, F.trim(F.lower(x)))), F.lit(0))
+    """The first label that is among the unwanted ones, compared without case and accents, as it is written."""
+    return first_among(labels, unwanted)
 
 
 def prefiltered(candidates: DataFrame, sources: DataFrame, places: tuple[str, ...]) -> DataFrame:
@@ -127,6 +126,12 @@ def reused_images(articles: DataFrame, new: DataFrame, ignored: DataFrame, now:
     return found.select("source_id", "image_url").join(ignored.select(F.col("url").alias("image_url")), "image_url", "left_anti")
 
 
+def earlier_uses(articles: DataFrame, order: str = "id") -> DataFrame:
+    """articles with a picture, and how often their source had used it before, in `earlier`."""
+    before = Window.partitionBy("source_id", "image_url").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return articles.where("image_url IS NOT NULL").withColumn("earlier", F.count("*").over(before))
+
+
 def without_images(rows: DataFrame, generic: DataFrame) -> DataFrame:
     """rows with the image columns of generic pictures emptied."""
     g = generic.select("source_id", "image_url", F.lit(True).alias("_g")).distinct()

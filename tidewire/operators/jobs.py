@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewire.functions.text import like_pattern, title_key, unaccent
 from tidewire.operators.listing import Page, paged
+from tidewire.operators.state import greatest, numbered
 
 
 def is_open(today: dt.date) -> Column:
@@ -56,10 +57,11 @@ def reconciled(stored: DataFrame, listed: DataFrame, source_id: int, now: dt.dat
     """The board's rows of `jobs` after a check: new postings come in, known ones are refreshed, those no longer listed are marked removed.
 
     stored are all jobs; rows of other boards come back as they are, and a URL that another board holds stays
-    there. A check that didn't read the listing to its end (complete=False) removes nothing. One full join.
+    there. A check that didn't read the listing to its end (complete=False) removes nothing. Of a URL that is listed twice the
+    first by `pos` counts, or without it the least row. One full join.
     """
     mine, others = stored.where(F.col("source_id") == source_id), stored.where(F.col("source_id") != source_id)
-    first = Window.partitionBy("url").orderBy(F.monotonically_increasing_id())
+    first = Window.partitionBy("url").orderBy(*([F.col("pos")] if "pos" in listed.columns else []), F.struct(*(F.col(c) for c in listed.columns if c != "pos")))
     new = listed.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n").join(others.select("url"), "url", "left_anti")
     old = mine.select(*(F.col(c).alias(f"old_{c}") for c in mine.columns))
     both = old.join(new, F.col("old_url") == F.col("url"), "full")
@@ -77,9 +79,7 @@ def reconciled(stored: DataFrame, listed: DataFrame, source_id: int, now: dt.dat
         "id": F.col("old_id"),
     }
     rows = both.select(*(pick[c].cast(dict(mine.dtypes)[c]).alias(c) for c in mine.columns))
-    top = stored.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-    fresh = rows.where("id IS NULL").withColumn("_k", F.row_number().over(Window.orderBy("url"))).crossJoin(top)  # one row: the greatest id
-    fresh = fresh.withColumn("id", F.col("_top") + F.col("_k")).select(*mine.columns)
+    fresh = numbered(rows.where("id IS NULL").drop("id"), F.pmod(F.xxhash64("url"), F.lit(64)), [F.col("url")], greatest(stored)).select(*(F.col(c).cast(dict(mine.dtypes)[c]).alias(c) for c in mine.columns))
     return others.unionByName(rows.where("id IS NOT NULL")).unionByName(fresh)
 
 

@@ -10,10 +10,13 @@ from __future__ import annotations
 import datetime as dt
 import math
 from dataclasses import dataclass, field
+from zoneinfo import ZoneInfo
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewire.functions import dates
+
 ZONE = "Pacific/Guam"
 
 
@@ -160,8 +163,7 @@ def day_groups(items: DataFrame, now: dt.datetime, zone: str = ZONE) -> DataFram
 
 
 def day_label(day: Column, now: dt.datetime, zone: str = ZONE) -> Column:
-    today = F.to_date(local(F.lit(now), zone))
-    return F.when(day == today, "Today").when(day == F.date_sub(today, 1), "Yesterday").otherwise(F.date_format(day, "EEEE, MMMM d, yyyy"))
+    return dates.day_label(day, now.astimezone(ZoneInfo(zone)).date())
 
 
 def month_counts(articles: DataFrame, zone: str = ZONE) -> DataFrame:
@@ -170,6 +172,17 @@ def month_counts(articles: DataFrame, zone: str = ZONE) -> DataFrame:
     return articles.groupBy(F.year(at).alias("year"), F.month(at).alias("month")).agg(F.count("*").alias("n")).orderBy(F.desc("year"), F.desc("month"))
 
 
+def archive_rollup(rows: DataFrame, ts: str, zone: str = ZONE) -> DataFrame:
+    """y, m (local year and month; null for all), n and the newest instant, with subtotals."""
+    at = local(ts, zone)
+    return rows.rollup(F.year(at).alias("y"), F.month(at).alias("m")).agg(F.count("*").alias("n"), F.max(ts).alias("newest"))
+
+
+def per_day(rows: DataFrame, ts: str, zone: str = ZONE) -> DataFrame:
+    """day and n of every local day that has rows."""
+    return rows.groupBy(F.to_date(local(ts, zone)).alias("day")).agg(F.count("*").alias("n"))
+
+
 def year_archive(articles: DataFrame, zone: str = ZONE) -> DataFrame:
     """year and its months with counts, newest first."""
     months = month_counts(articles, zone)

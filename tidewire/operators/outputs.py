@@ -46,7 +46,16 @@ def health(sources: DataFrame, now: dt.datetime, stale_hours: int = 6) -> DataFr
     return last.select(F.to_json(F.struct(F.when(fresh, "ok").otherwise("stale").alias("status"), "last_run_at")).alias("value"))
 
 
-def backup(tables: dict[str, DataFrame], folder: str, stamp: str) -> None:
-    """A copy of every table under folder/stamp."""
+def backup(tables: dict[str, DataFrame], folder: str, stamp: str, keep: int | None = None) -> list[str]:
+    """A copy of every table under folder/stamp; of copies that are whole the latest `keep` stay. The stamps that are there. Stamps sort by time."""
+    at = folder.rstrip("/")
     for name, rows in tables.items():
-        rows.write.parquet(f"{folder.rstrip('/')}/{stamp}/{name}")
+        rows.write.parquet(f"{at}/{stamp}/{name}")
+    spark = next(iter(tables.values())).sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = path(at).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.createNewFile(path(f"{at}/{stamp}/_whole"))
+    there = sorted(f.getPath().getName() for f in fs.listStatus(path(at)) if fs.exists(path(f"{at}/{f.getPath().getName()}/_whole")))
+    for old in there[:-keep] if keep else []:
+        fs.delete(path(f"{at}/{old}"), True)
+    return there[-keep:] if keep else there

@@ -1,15 +1,26 @@
-"""Keyed state kept in Parquet: every update is a join and a rewrite into a new version, published by moving a pointer."""
+"""Keyed state kept in Parquet: every update is a join and a rewrite into a new version, published by one new file."""
 
 from __future__ import annotations
 
 import datetime as dt
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+class Conflict(RuntimeError):
+    """Another writer published a version, or holds the lock."""
+
+
 class VersionedTable:
-    """A table as folders of versions and a file that names the current one. Readers see a whole version or the one before."""
+    """A table as folders of versions. A version is there once an empty file in `published` names it, and that file is never moved
+    or written again, so a crash at any point leaves the version before it current. Readers see a whole version or the one before.
+
+    A published name is <version>-<batch>-<folder>; batch is the number of the stream's batch that made it, or empty.
+    """
 
     def __init__(self, spark: SparkSession, path: str, schema: str):
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
@@ -17,35 +28,45 @@ class VersionedTable:
         self._Path = jvm.org.apache.hadoop.fs.Path
         self.fs = self._Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
+    def _published(self) -> list[tuple[int, str, str]]:
+        """(version, batch, folder) of every version, in order."""
+        folder = self._Path(f"{self.path}/published")
+        names = [f.getPath().getName() for f in self.fs.listStatus(folder)] if self.fs.exists(folder) else []
+        if not names and self.fs.exists(self._Path(f"{self.path}/current")):
+            raise ValueError(f"{self.path} holds versions of another layout")
+        return sorted((int(v), b, f) for v, b, f in (n.split("-") for n in names))
+
     @property
     def version(self) -> int:
-        pointer = self._Path(f"{self.path}/current")
-        if not self.fs.exists(pointer):
-            return 0
-        return int(self.spark.read.text(f"{self.path}/current").first()[0])
+        return max((v for v, *_ in self._published()), default=0)
+
+    @property
+    def last_batch(self) -> int | None:
+        """The greatest number of a stream's batch that a version holds."""
+        return max((int(b) for _, b, _ in self._published() if b), default=None)
 
     def read(self) -> DataFrame:
-        v = self.version
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v{v}") if v else self.spark.createDataFrame([], self.schema)
+        known = self._published()
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/data/{known[-1][2]}") if known else self.spark.createDataFrame([], self.schema)
 
-    def write(self, rows: DataFrame) -> int:
-        """Stores rows as the next version and makes it current."""
-        v = self.version + 1
+    def write(self, rows: DataFrame, batch: int | None = None) -> int:
+        """Stores rows as the next version and makes it current. Of two writers of the same version one gets a Conflict."""
+        v, folder = self.version + 1, uuid.uuid4().hex
         columns = self.spark.createDataFrame([], self.schema).columns
-        rows.select(*columns).write.mode("overwrite").parquet(f"{self.path}/v{v}")
-        new = self._Path(f"{self.path}/current.new")
-        out = self.fs.create(new, True)
-        out.write(bytearray(str(v).encode()))
-        out.close()
-        self.fs.delete(self._Path(f"{self.path}/current"), False)
-        if not self.fs.rename(new, self._Path(f"{self.path}/current")):
-            raise OSError(f"{self.path}: version {v} could not be published")
+        rows.select(*columns).write.parquet(f"{self.path}/data/{folder}")
+        mark = self._Path(f"{self.path}/published/{v:012d}-{'' if batch is None else batch}-{folder}")
+        if not self.fs.createNewFile(mark):
+            raise Conflict(f"{self.path}: version {v} could not be published")
+        if min(f for n, _, f in self._published() if n == v) != folder:
+            self.fs.delete(mark, False)
+            raise Conflict(f"{self.path}: version {v} was published by another writer")
         return v
 
     def keep(self, versions: int = 7) -> None:
-        """Removes versions older than the latest few."""
-        for v in range(max(1, self.version - 1000), self.version - versions + 1):
-            self.fs.delete(self._Path(f"{self.path}/v{v}"), True)
+        """Removes all but the latest few versions, the file that names one before its data."""
+        for v, b, f in self._published()[: -versions or None]:
+            self.fs.delete(self._Path(f"{self.path}/published/{v:012d}-{b}-{f}"), False)
+            self.fs.delete(self._Path(f"{self.path}/data/{f}"), True)
 
     def lock(self) -> bool:
         """Takes the writer's lock; False if another holds it."""
@@ -54,28 +75,56 @@ class VersionedTable:
     def unlock(self) -> None:
         self.fs.delete(self._Path(f"{self.path}/lock"), False)
 
+    @contextmanager
+    def exclusive(self) -> Iterator[VersionedTable]:
+        """The table under its writer's lock; a Conflict if another holds it."""
+        if not self.lock():
+            raise Conflict(f"{self.path} is locked")
+        try:
+            yield self
+        finally:
+            self.unlock()
+
+
+def numbered(rows: DataFrame, group: Column, order: list[Column], start: int, out: str = "id") -> DataFrame:
+    """rows with a gapless number above `start`, in order of group and then `order`. Rows meet within their group only; of groups only counts meet."""
+    keyed = rows.withColumn("_group", group)
+    counts = keyed.groupBy("_group").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select(F.col("_group").alias("_g"), before.alias("_before"))
+    ranked = keyed.withColumn("_rank", F.row_number().over(Window.partitionBy("_group").orderBy(*order)))
+    return ranked.join(offsets, F.col("_group").eqNullSafe(F.col("_g"))).withColumn(out, F.lit(start) + F.col("_before") + F.col("_rank")).drop("_group", "_g", "_before", "_rank")
+
+
+def greatest(rows: DataFrame, column: str = "id") -> int:
+    """The greatest number in a column, 0 of none: one number for the driver."""
+    return rows.agg(F.max(column).alias("top")).first()["top"] or 0
+
 
 def upserted(old: DataFrame, new: DataFrame, key: str, order: Column | None = None) -> DataFrame:
-    """old with the rows of new in place of those with their key; of several new rows the last by `order` counts."""
-    w = Window.partitionBy(key).orderBy(order if order is not None else F.lit(1))
-    last = new.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
-    return old.join(last.select(key), key, "left_anti").unionByName(last.select(*old.columns))
+    """old with the rows of new in place of those with their key; of several new rows the last by `order` counts, and of those that tie, or without an order, the greatest by all columns."""
+    plain = [F.to_json(c) if t.startswith("map") else F.col(c) for c, t in new.dtypes]
+    last = Window.partitionBy(key).orderBy(*([order.desc_nulls_last()] if order is not None else []), F.struct(*plain).desc())
+    one = new.withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
+    return old.join(one.select(key), key, "left_anti").unionByName(one.select(*old.columns))
 
 
 def remembered(seen: DataFrame, outcomes: DataFrame, now: dt.datetime) -> DataFrame:
-    """seen after a round: outcomes (url, source_id, status, reason) add an attempt each; stored pages (status ok) are forgotten."""
-    at = F.lit(now).cast("timestamp")
-    per_url = outcomes.groupBy("url").agg(F.max_by("source_id", "status").alias("n_source"), F.max("status").alias("n_status"), F.max_by("reason", "status").alias("n_reason"))
-    both = seen.join(per_url, "url", "full")
-    hit = F.col("n_status").isNotNull()
-    rows = both.where(F.coalesce(F.col("n_status") != "ok", F.lit(True)) & F.coalesce(F.col("n_status") != "throttled", F.lit(True)) | (F.col("n_status") == "throttled") & F.col("status").isNotNull())
-    use = hit & (F.col("n_status") != "throttled")
-    return rows.select(
+    """seen after a round: every outcome (url, source_id, status, reason) but a throttled one adds an attempt; pages that were stored (status ok) are forgotten.
+
+    Of several outcomes of a URL a rejection stands before a failure; of equal ones the greatest reason is kept.
+    """
+    at, tried = F.lit(now).cast("timestamp"), F.col("status") != "throttled"
+    weight = F.when(F.col("status") == "rejected", 2).when(tried, 1).otherwise(0)
+    per_url = outcomes.groupBy("url").agg(F.max(F.struct(weight.alias("weight"), "reason", "status", "source_id")).alias("n"), F.sum(tried.cast("int")).alias("n_tried"), F.bool_or(F.col("status") == "ok").alias("n_stored"))
+    both = seen.join(per_url, "url", "full").where(~F.coalesce("n_stored", F.lit(False)) & (F.col("status").isNotNull() | (F.col("n_tried") > 0)))
+    use = F.coalesce(F.col("n_tried") > 0, F.lit(False))
+    return both.select(
         "url",
-        F.coalesce("source_id", "n_source").alias("source_id"),
-        F.when(use, F.col("n_status")).otherwise(F.col("status")).alias("status"),
-        F.when(use, F.substring("n_reason", 1, 500)).otherwise(F.col("reason")).alias("reason"),
-        (F.coalesce("attempts", F.lit(0)) + use.cast("int")).cast("int").alias("attempts"),
+        F.coalesce("source_id", "n.source_id").alias("source_id"),
+        F.when(use, F.col("n.status")).otherwise(F.col("status")).alias("status"),
+        F.when(use, F.substring("n.reason", 1, 500)).otherwise(F.col("reason")).alias("reason"),
+        (F.coalesce("attempts", F.lit(0)) + F.coalesce("n_tried", F.lit(0))).cast("int").alias("attempts"),
         F.coalesce("first_seen_at", at).alias("first_seen_at"),
         F.when(use, at).otherwise(F.col("last_attempt_at")).alias("last_attempt_at"),
     )
@@ -92,9 +141,8 @@ def stored_articles(articles: DataFrame, drafts: DataFrame, now: dt.datetime) ->
     ranked = ok.withColumn("_n", F.row_number().over(first))
     one, again = ranked.where("_n = 1").drop("_n"), ranked.where("_n > 1").drop("_n")
     fresh = one.join(articles.select("url"), "url", "left_anti")
-    top = articles.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
-    numbered = fresh.withColumn("_k", F.row_number().over(Window.orderBy("source_id", "pos", "key"))).crossJoin(top)  # one row: the greatest id
-    new = numbered.withColumns({"id": F.col("_top") + F.col("_k"), "first_seen_at": F.lit(now).cast("timestamp"), "updated_at": F.lit(None).cast("timestamp")})
+    new = numbered(fresh, F.col("source_id"), [F.col("pos"), F.col("key")], greatest(articles))
+    new = new.withColumns({"first_seen_at": F.lit(now).cast("timestamp"), "updated_at": F.lit(None).cast("timestamp")})
     kinds = dict(articles.dtypes)
     new = new.select(*(F.col(c).cast(kinds[c]).alias(c) if c in new.columns else F.lit(None).cast(kinds[c]).alias(c) for c in articles.columns))
     known = one.join(articles.select("url", F.col("discovered_url").alias("_alias"), F.lit(True).alias("_there")), "url")
@@ -106,14 +154,14 @@ def stored_articles(articles: DataFrame, drafts: DataFrame, now: dt.datetime) ->
 
 def synced(stored: DataFrame, configured: DataFrame) -> DataFrame:
     """A dimension brought in line with its configuration by slug: changed, added with new ids, or disabled; nothing is deleted."""
-    conf = configured.select("slug", *(F.col(c).alias(f"c_{c}") for c in configured.columns if c != "slug"))
-    both = stored.join(conf, "slug", "full")
-    there = F.col("c_name").isNotNull()
-    new_id = F.max("id").over(Window.partitionBy()) + F.row_number().over(Window.partitionBy(F.col("id").isNull()).orderBy("slug"))
-    rows = both.withColumn("id", F.coalesce("id", F.coalesce(new_id, F.row_number().over(Window.orderBy("slug")))))
-    pick = {c: F.when(there, F.col(f"c_{c}")).otherwise(F.col(c)) for c in configured.columns if c not in ("slug", "enabled")}
-    pick["enabled"] = F.coalesce("c_enabled", F.lit(False))
-    return rows.select(*(pick.get(c, F.col(c)).alias(c) if c in pick else F.col(c) for c in stored.columns))
+    given = [c for c in configured.columns if c != "slug"]
+    conf = configured.select("slug", F.lit(True).alias("_there"), *(F.col(c).alias(f"c_{c}") for c in given))
+    there = F.col("_there").isNotNull()
+    new = {c: F.when(there, F.col(f"c_{c}")).otherwise(F.col(c)) for c in given} | {"enabled": F.coalesce("c_enabled", F.lit(False)) if "enabled" in given else there}
+    known = stored.join(conf, "slug", "left").select(*(new.get(c, F.col(c)).alias(c) for c in stored.columns))
+    added = numbered(configured.join(stored.select("slug"), "slug", "left_anti"), F.pmod(F.xxhash64("slug"), F.lit(64)), [F.col("slug")], greatest(stored))
+    kinds = dict(stored.dtypes)
+    return known.unionByName(added.select(*((F.col(c) if c in added.columns else F.lit(True) if c == "enabled" else F.lit(None)).cast(kinds[c]).alias(c) for c in stored.columns)))
 
 
 def retained(runs: DataFrame, seen: DataFrame, now: dt.datetime, run_days: int = 180, seen_days: int = 90) -> tuple[DataFrame, DataFrame]:

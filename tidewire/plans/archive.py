@@ -5,14 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewire.operators import listing as L
 from tidewire.plans.registry import query
-
-ZONE = "Pacific/Guam"
-
-
-def local_time(ts: str = "ts"):
-    """A UTC instant stored without zone, as local wall-clock time."""
-    return F.from_utc_timestamp(F.col(ts).cast("timestamp"), ZONE)
+from tidewire.plans.stand_ins import table
 
 
 @query(
@@ -20,5 +15,5 @@ def local_time(ts: str = "ts"):
     "SELECT CAST(CAST(ts + INTERVAL 10 HOUR AS DATE) AS VARCHAR) AS day, count(*) AS n FROM events GROUP BY 1",
 )
 def archive_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return events.groupBy(F.to_date(local_time()).cast("string").alias("day")).agg(F.count("*").alias("n"))
+    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return L.per_day(events, "ts").withColumn("day", F.col("day").cast("string"))

@@ -28,16 +28,29 @@ def link_shapes(spark, d):
     return P.link_shapes(_pages(spark, d)).select("shape", "n")
 
 
-@query("page_title", r"SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title FROM pages")
+def _facts(spark, d):
+    return P.page_facts(table(spark, d, "pages").select("page_id", F.col("html").alias("content")))
+
+
+@query("page_title", r"SELECT page_id, trim(regexp_replace(replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&amp;', '&'), '\s+', ' ', 'g')) AS title FROM pages")
 def page_title(spark, d):
-    return table(spark, d, "pages").select("page_id", F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1).alias("title"))
+    return _facts(spark, d).select("page_id", "title")
 
 
 @query("paragraph_count", r"SELECT page_id, CAST(len(regexp_extract_all(html, '<p[ >]')) AS INT) AS n FROM pages")
 def paragraph_count(spark, d):
-    return table(spark, d, "pages").select("page_id", F.regexp_count("html", F.lit("<p[ >]")).alias("n"))
+    return _facts(spark, d).select("page_id", F.col("paragraphs").alias("n"))
+
+
+@query("link_count", r"SELECT page_id, CAST(len(regexp_extract_all(html, '<a [^>]*href=.[^ >]')) AS INT) AS n FROM pages")
+def link_count(spark, d):
+    return _facts(spark, d).select("page_id", F.col("links").alias("n"))
 
 
-@query("srcset_best", r"SELECT page_id, max(CAST(w AS INT)) AS widest FROM (SELECT page_id, unnest(regexp_extract_all(html, '\s(\d+)w', 1)) AS w FROM pages) GROUP BY 1")
+@query("srcset_best", "SELECT page_id, 'https://x.com/' || page_id || '-' || CASE WHEN page_id % 2 = 0 THEN 'large' ELSE 'mid' END || '.jpg' AS picture FROM pages")
 def srcset_best(spark, d):
-    return table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r"\s(\d+)w"), 1)).alias("w")).groupBy("page_id").agg(F.max(F.col("w").cast("int")).alias("widest"))
+    n = F.col("page_id").cast("string")
+    at = lambda name, width: F.concat(F.lit("https://x.com/"), n, F.lit(f"-{name}.jpg {width}"))
+    entries = F.concat_ws(", ", at("small", "320w"), F.when(F.col("page_id") % 2 == 0, at("large", "1280w")), at("mid", "640w"))
+    pages = table(spark, d, "pages").select("page_id", F.concat(F.lit('<img src="a.jpg" srcset="'), entries, F.lit('">')).alias("content"))
+    return P.page_facts(pages).select("page_id", F.get("pictures", F.lit(0)).alias("picture"))

@@ -4,16 +4,17 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewire.functions import keywords as K
 from tidewire.functions import text as T
 from tidewire.functions import urls as U
 from tidewire.operators import ingest as I
+from tidewire.operators import listing as L
 from tidewire.operators import state as S
 from tidewire.plans.registry import query
 from tidewire.plans.stand_ins import NOW, STORIES, articles, sources, table
+from tidewire.sources.apis import json_field as json_field_of
 from tidewire.streaming import jobs as stream
 
 TOPICS = [
@@ -143,13 +144,15 @@ def filter_new(spark, d):
 
 @query(
     "remembered",
-    f"""WITH s AS ({_SEEN}), o AS (SELECT 'u' || doc_id * 2 AS url, ['ok', 'failed', 'rejected'][1 + doc_id % 3] AS status FROM documents)
-SELECT coalesce(s.url, o.url) AS url, coalesce(o.status, s.status) AS status, CAST(coalesce(s.attempts, 0) + CASE WHEN o.url IS NULL THEN 0 ELSE 1 END AS INT) AS attempts FROM s FULL JOIN o ON s.url = o.url WHERE o.status IS NULL OR o.status <> 'ok'""",
+    f"""WITH s AS ({_SEEN}), e AS (SELECT 'u' || doc_id * 2 AS url, ['ok', 'failed', 'rejected', 'throttled'][1 + doc_id % 4] AS status FROM documents UNION ALL SELECT 'u' || doc_id * 2, 'rejected' FROM documents WHERE doc_id % 4 = 0 UNION ALL SELECT 'u' || doc_id * 2, 'failed' FROM documents WHERE doc_id % 3 = 0),
+o AS (SELECT url, max(CASE status WHEN 'rejected' THEN 2 WHEN 'throttled' THEN 0 ELSE 1 END) AS w, sum(CASE WHEN status = 'throttled' THEN 0 ELSE 1 END) AS k, bool_or(status = 'ok') AS stored FROM e GROUP BY 1)
+SELECT coalesce(s.url, o.url) AS url, CASE w WHEN 2 THEN 'rejected' WHEN 1 THEN 'failed' ELSE s.status END AS status, CAST(coalesce(s.attempts, 0) + coalesce(k, 0) AS INT) AS attempts FROM s FULL JOIN o ON s.url = o.url WHERE NOT coalesce(stored, false) AND (s.url IS NOT NULL OR k > 0)""",
 )
 def remembered(spark, d):
     k = F.col("doc_id")
-    out = table(spark, d, "documents").select(F.concat(F.lit("u"), (k * 2).cast("string")).alias("url"), F.lit(1).alias("source_id"), F.get(F.array(F.lit("ok"), F.lit("failed"), F.lit("rejected")), (k % 3).cast("int")).alias("status"), F.lit("why").alias("reason"))
-    return S.remembered(_seen(spark, d), out, NOW).select("url", "status", "attempts")
+    out = table(spark, d, "documents").select(F.concat(F.lit("u"), (k * 2).cast("string")).alias("url"), F.lit(1).alias("source_id"), F.get(F.array(F.lit("ok"), F.lit("failed"), F.lit("rejected"), F.lit("throttled")), (k % 4).cast("int")).alias("status"), F.lit("why").alias("reason"))
+    more = out.where("cast(substring(url, 2) as long) % 8 = 0").withColumn("status", F.lit("rejected")).unionByName(out.where("cast(substring(url, 2) as long) % 6 = 0").withColumn("status", F.lit("failed")))
+    return S.remembered(_seen(spark, d), out.unionByName(more), NOW).select("url", "status", "attempts")
 
 
 @query("retention", f"WITH s AS ({_SEEN}) SELECT url FROM s WHERE last_attempt_at >= {_CLOCK} - INTERVAL 9 DAY")
@@ -171,16 +174,15 @@ def reused_images(spark, d):
 
 @query("running_image_rule", f"{STORIES} SELECT id, count(*) OVER (PARTITION BY source_id, image_url ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier FROM articles WHERE image_url IS NOT NULL")
 def running_image_rule(spark, d):
-    w = Window.partitionBy("source_id", "image_url").orderBy("id").rowsBetween(Window.unboundedPreceding, -1)
-    return articles(spark, d).where("image_url IS NOT NULL").select("id", F.count("*").over(w).alias("earlier"))
+    return I.earlier_uses(articles(spark, d)).select("id", "earlier")
 
 
-@query("upsert", "SELECT doc_id AS key, CASE WHEN doc_id % 2 = 0 THEN 'new' ELSE 'old' END AS value FROM documents WHERE doc_id % 3 > 0 OR doc_id % 2 = 0")
+@query("upsert", "SELECT doc_id AS key, CASE WHEN doc_id % 2 = 0 THEN 'last ' || n_chars ELSE 'old' END AS value FROM documents WHERE doc_id % 3 > 0 OR doc_id % 2 = 0")
 def upsert(spark, d):
     docs = table(spark, d, "documents")
     old = docs.where("doc_id % 3 > 0").select(F.col("doc_id").alias("key"), F.lit("old").alias("value"))
-    new = docs.where("doc_id % 2 = 0").select(F.col("doc_id").alias("key"), F.lit("new").alias("value"))
-    return S.upserted(old, new.union(new), "key")
+    new = docs.where("doc_id % 2 = 0").select(F.col("doc_id").alias("key"), F.concat(F.lit("last "), F.col("n_chars").cast("string")).alias("value"), F.lit(2).alias("at"))
+    return S.upserted(old, new.withColumns({"value": F.lit("first"), "at": F.lit(1)}).union(new).union(new), "key", F.col("at"))
 
 
 @query("config_sync", f"{STORIES} SELECT slug, CASE WHEN id % 3 = 0 THEN name ELSE name || '!' END AS name, id % 3 > 0 AND enabled AS enabled FROM sources WHERE slug <> 'silent'")
@@ -197,10 +199,10 @@ def changed_pages(spark, d):
     return S.changed_pages(keyed, cached).select("page_id", "content_hash")
 
 
-@query("json_field", "SELECT event_id, json_extract_string(props, '$.' || json_keys(props)[1]) AS value FROM events WHERE props IS NOT NULL AND len(json_keys(props)) > 0")
+@query("json_field", "SELECT event_id, json_extract_string(props, '$.k') AS k, json_extract_string('{\"a\": ' || props || '}', '$.a.k') AS deep FROM events")
 def json_field(spark, d):
-    e = table(spark, d, "events").withColumn("m", F.from_json("props", "map<string, string>")).withColumn("keys", F.json_object_keys("props"))
-    return e.where("size(keys) > 0").select("event_id", F.col("m")[F.get("keys", F.lit(0))].alias("value"))
+    nested = F.concat(F.lit('{"a": '), F.col("props"), F.lit("}"))
+    return table(spark, d, "events").select("event_id", json_field_of(F.col("props"), "$.k").alias("k"), json_field_of(nested, "$.a.k").alias("deep"))
 
 
 @query("tumbling_counts", "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
@@ -219,6 +221,5 @@ def sessions(spark, d):
 
 @query("archive_rollup", "SELECT CAST(y AS VARCHAR) AS y, CAST(m AS VARCHAR) AS m, count(*) AS n, max(ts) AS newest FROM (SELECT year(ts + INTERVAL 10 HOUR) AS y, month(ts + INTERVAL 10 HOUR) AS m, ts FROM events) GROUP BY ROLLUP (y, m)")
 def archive_rollup(spark, d):
-    e = table(spark, d, "events").withColumn("t", F.col("ts").cast("timestamp"))
-    at = F.from_utc_timestamp("t", "Pacific/Guam")
-    return e.rollup(F.year(at).alias("y"), F.month(at).alias("m")).agg(F.count("*").alias("n"), F.max("t").alias("newest")).withColumns({"y": F.col("y").cast("string"), "m": F.col("m").cast("string")})
+    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return L.archive_rollup(e, "ts").withColumns({"y": F.col("y").cast("string"), "m": F.col("m").cast("string")})

@@ -1,14 +1,21 @@
-"""Search over the stand-in stories. There is no SQL with this stemming and ranking; tests compare with plain Python."""
+"""Search over the stand-in stories. SQL has no such stemming and ranking, so stories of a few known words stand beside the documents' own."""
 
 from __future__ import annotations
 
+import datetime as dt
+import functools
+import re
+import uuid
+import zlib
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.operators.listing import Filters
 from tidewire.plans.registry import query
-from tidewire.plans.stand_ins import NOW, articles, sources, table
-from tidewire.search import build_postings, search
-from tidewire.search.engine import trigrams
+from tidewire.plans.stand_ins import NOW, STORIES, articles, sources, table
+from tidewire.search import build_postings, engine, search
+from tidewire.search.query import parse
 
 
 def _stories(spark, d):
@@ -20,46 +27,96 @@ def postings(spark, d):
     return build_postings(_stories(spark, d)).select("term", "id", F.size("positions").alias("n"))
 
 
+def _stored(spark, d, name: str, make):
+    """The index of these tables, written once in a session: queries open the buckets of their terms."""
+    table_name = f"postings_{name}_{zlib.crc32(d.encode()):08x}"
+    if not spark.catalog.tableExists(table_name):
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        engine.write_postings(build_postings(make(spark, d)), table_name, path=f"{folder}/{table_name}-{uuid.uuid4().hex}")
+    return spark.table(table_name)
+
+
 @query("search_relevance")
 def search_relevance(spark, d):
     a = _stories(spark, d)
-    page, _ = search(a, sources(spark, d), build_postings(a), Filters(q='"of the" -ing or shannt'), NOW)
+    page, _ = search(a, sources(spark, d), _stored(spark, d, "stories", _stories), Filters(q='"of the" -ing or shannt'), NOW)
     return page.items.select("id", "title_marked", "snippet", F.round("rank", 9).alias("rank"))
 
 
 @query("search_fuzzy")
 def search_fuzzy(spark, d):
+    """The longest word of the first title that has a long one, without its last letter: no story has it, some are like it."""
     a = _stories(spark, d)
-    page, _ = search(a, sources(spark, d), build_postings(a), Filters(q="thstint onhalyti"), NOW)
+    title = a.where("title RLIKE '[A-Za-z]{10}'").orderBy("id").select("title").first()["title"]  # one row
+    asked = max(re.findall("[A-Za-z]+", title), key=len)[:-1]
+    page, _ = search(a, sources(spark, d), _stored(spark, d, "stories", _stories), Filters(q=asked), NOW)
     return page.items.select("id", "title")
 
 
+def _written(spark, d):
+    """Stories of a few words, so that SQL can tell what matches."""
+    pick = lambda n, *texts: F.get(F.array(*map(F.lit, texts)), (F.col("id") % n).cast("int"))
+    return _stories(spark, d).withColumns({"title": pick(4, "Harbor storm", "Storms of the harbor", "Boats in the wind", "Markets open"), "intro": pick(3, "The running of boats", "No wind at the market", "A quiet day"), "section": F.lit(None).cast("string")})
+
+
+_TITLE = "['Harbor storm', 'Storms of the harbor', 'Boats in the wind', 'Markets open'][1 + id % 4]"
+_INTRO = "['The running of boats', 'No wind at the market', 'A quiet day'][1 + id % 3]"
+
+
+@query("search_matches", f"{STORIES} SELECT id, 'phrase' AS q FROM articles WHERE id % 4 = 0 UNION ALL SELECT id, 'both' FROM articles WHERE id % 4 < 2 UNION ALL SELECT id, 'not' FROM articles WHERE (id % 4 = 2 OR id % 3 = 0) AND NOT (id % 4 = 2 OR id % 3 = 1) UNION ALL SELECT id, 'or' FROM articles WHERE id % 3 = 2 OR id % 4 = 3 UNION ALL SELECT id, 'none' FROM articles WHERE id % 4 > 1")
+def search_matches(spark, d):
+    a, index = _written(spark, d), _stored(spark, d, "written", _written)
+    asked = {"phrase": '"harbor storm"', "both": "stormed harbors", "not": "boat -wind", "or": "quiet or opened", "none": "-storm"}
+    found = [engine.matched(a, index, parse(q)).select("id", F.lit(name).alias("q")) for name, q in asked.items()]
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+@query(
+    "search_ranked",
+    f"""{STORIES}, r AS (SELECT id, published_at, {_TITLE} AS t, {_INTRO} AS i, CASE WHEN id % 4 = 3 THEN 1.0 ELSE 0 END + CASE WHEN id % 3 = 1 THEN 0.4 ELSE 0 END AS w FROM articles a WHERE source_id IN (SELECT id FROM sources))
+SELECT id, regexp_replace(t, '(Markets)', '⟦\\1⟧') AS title_marked, regexp_replace(i, '(market)', '⟦\\1⟧') AS snippet, round(w / (w + 1), 9) AS rank FROM r WHERE w > 0 ORDER BY w / (w + 1) / (1 + date_diff('microsecond', published_at, TIMESTAMP '2024-02-01 12:00:00') / 1e6 / (86400 * 365.0)) DESC, published_at DESC, id DESC LIMIT 30""",
+)
+def search_ranked(spark, d):
+    page, _ = search(_written(spark, d), sources(spark, d), _stored(spark, d, "written", _written), Filters(q="marketing"), NOW)
+    return page.items.select("id", "title_marked", "snippet", F.round("rank", 9).alias("rank"))
+
+
+@query("search_without_words", f"{STORIES} SELECT id FROM articles WHERE list_contains(categories, 'en') AND source_id IN (SELECT id FROM sources) ORDER BY published_at DESC, id DESC LIMIT 30 OFFSET 30")
+def search_without_words(spark, d):
+    """A search for nothing but stop words is a listing, newest first."""
+    page, _ = search(_written(spark, d), sources(spark, d), _stored(spark, d, "written", _written), Filters(q="the of", category="en"), NOW, page=2)
+    return page.items.select("id")
+
+
+@query("term_positions", f"{STORIES} SELECT 'storm' AS term, id, CASE WHEN id % 4 = 0 THEN '2' ELSE '1' END AS positions, 'A' AS weights FROM articles WHERE id % 4 < 2 UNION ALL SELECT 'run', id, CAST(len(string_split({_TITLE}, ' ')) + 2 AS VARCHAR), 'B' FROM articles WHERE id % 3 = 0")
+def term_positions(spark, d):
+    index = _stored(spark, d, "written", _written).where(F.col("term").isin("storm", "run"))
+    return index.select("term", "id", F.array_join(F.transform("positions", lambda p: p.cast("string")), ",").alias("positions"), F.array_join("weights", "").alias("weights"))
+
+
 _WORDS = r"regexp_extract_all(lower(text), '[a-z]+')"
 
 
-@query("trigram_count", f"WITH w AS (SELECT doc_id, unnest({_WORDS}) AS w FROM documents WHERE lang = 'en'), g AS (SELECT DISTINCT doc_id, '  ' || w || ' ' AS p FROM w), t AS (SELECT DISTINCT doc_id, substr(p, CAST(i AS INT), 3) AS g FROM (SELECT doc_id, p, unnest(range(1, length(p) - 1)) AS i FROM g)) SELECT g, count(*) AS n FROM t GROUP BY 1")
+def _texts(spark, d):
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+
+
+@query("trigram_count", f"WITH w AS (SELECT doc_id, unnest({_WORDS}) AS w FROM documents), g AS (SELECT DISTINCT doc_id, '  ' || w || ' ' AS p FROM w), t AS (SELECT DISTINCT doc_id, substr(p, CAST(i AS INT), 3) AS g FROM (SELECT doc_id, p, unnest(range(1, length(p) - 1)) AS i FROM g)) SELECT g, count(*) AS n FROM t GROUP BY 1")
 def trigram_count(spark, d):
-    en = table(spark, d, "documents").where("lang = 'en'")
-    padded = F.transform(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"))), lambda w: F.concat(F.lit("  "), w, F.lit(" ")))
-    grams = F.flatten(F.transform(padded, lambda p: F.transform(F.sequence(F.lit(1), F.length(p) - 2), lambda i: F.substring(p, i, F.lit(3)))))
-    assert trigrams("ab") == ["  a", " ab", "ab "]
-    return en.select(F.explode(F.array_distinct(grams)).alias("g")).groupBy("g").agg(F.count("*").alias("n"))
+    return engine.trigram_counts(_texts(spark, d))
 
 
-@query("term_stats", f"WITH w AS (SELECT doc_id, unnest({_WORDS}) AS w FROM documents WHERE lang = 'en') SELECT w AS term, count(DISTINCT doc_id) AS docs, count(*) AS n FROM w GROUP BY 1")
+@query("term_stats", f"WITH w AS (SELECT doc_id, unnest({_WORDS}) AS w FROM documents) SELECT w AS term, count(DISTINCT doc_id) AS docs, count(*) AS n FROM w GROUP BY 1")
 def term_stats(spark, d):
-    w = table(spark, d, "documents").where("lang = 'en'").select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"))).alias("term"))
-    per_doc = w.groupBy("term", "doc_id").agg(F.count("*").alias("k"))
-    return per_doc.groupBy("term").agg(F.count("*").alias("docs"), F.sum("k").alias("n"))
+    return engine.term_stats(_texts(spark, d))
 
 
-@query("phrase_match", r"SELECT doc_id FROM documents WHERE regexp_matches(lower(text), '(^|[^a-z])of the([^a-z]|$)')")
+@query("phrase_match", r"SELECT doc_id FROM documents WHERE regexp_matches(lower(text), '(^|[^a-z])of[^a-z]the([^a-z]|$)')")
 def phrase_match(spark, d):
-    return table(spark, d, "documents").where(F.lower("text").rlike(r"(^|[^a-z])of the([^a-z]|$)")).select("doc_id")
+    return _texts(spark, d).where(engine.contains_phrase(F.col("text"), "of the")).select(F.col("id").alias("doc_id"))
 
 
-@query("recency_decay", "SELECT event_id, round(value / (1 + date_diff('second', ts, TIMESTAMP '2024-03-01') / (86400 * 365.0)), 6) AS score FROM events")
+@query("recency_decay", "SELECT event_id, round(value / (1 + date_diff('microsecond', ts, TIMESTAMP '2024-03-01') / 1e6 / (86400 * 365.0)), 6) AS score FROM events")
 def recency_decay(spark, d):
     e = table(spark, d, "events")
-    age = F.lit(1709251200) - F.unix_timestamp(F.col("ts").cast("timestamp"))
-    return e.select("event_id", F.round(F.col("value") / (1 + age / (86400 * 365.0)), 6).alias("score"))
+    return e.select("event_id", F.round(engine.decayed(F.col("value"), F.col("ts").cast("timestamp"), dt.datetime(2024, 3, 1, tzinfo=dt.UTC)), 6).alias("score"))

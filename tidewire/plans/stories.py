@@ -103,10 +103,10 @@ def recent_runs(spark, d):
     return L.recent_runs(runs, sources(spark, d)).select("id", "source_name", "started_at")
 
 
-@query("day_groups", f"{STORIES}, p AS (SELECT id, CAST(published_at + INTERVAL 10 HOUR AS DATE) AS day FROM articles ORDER BY published_at DESC, id DESC LIMIT 30) SELECT CAST(day AS VARCHAR) AS day, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id DESC) AS ids FROM p GROUP BY 1")
+@query("day_groups", f"{STORIES}, p AS (SELECT id, CAST(published_at + INTERVAL 10 HOUR AS DATE) AS day FROM articles ORDER BY published_at DESC, id DESC LIMIT 30) SELECT CAST(day AS VARCHAR) AS day, CASE day WHEN DATE '2024-02-01' THEN 'Today · ' WHEN DATE '2024-01-31' THEN 'Yesterday · ' ELSE '' END || strftime(day, '%A, %B %-d, %Y') AS label, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id DESC) AS ids FROM p GROUP BY 1, 2")
 def day_groups(spark, d):
     page = L.list_articles(articles(spark, d), sources(spark, d), L.Filters(sort="newest")).items
-    return L.day_groups(page, NOW).select(F.col("day").cast("string"), F.array_join(F.transform("rows", lambda r: r["id"].cast("string")), ",").alias("ids"))
+    return L.day_groups(page, NOW).select(F.col("day").cast("string"), "label", F.array_join(F.transform("rows", lambda r: r["id"].cast("string")), ",").alias("ids"))
 
 
 _OPEN = "removed_at IS NULL AND (close_date IS NULL OR close_date >= DATE '2024-02-01')"
@@ -140,4 +140,5 @@ def snapshot_merge(spark, d):
     every = every.withColumns({k: F.lit(None).cast(t) for k, t in extra.items()})
     stored = every.where("source_id <> 1 OR id % 3 <> 0")
     listed = every.where("source_id = 1 AND id % 3 <> 1").select("url", F.concat(F.lit("new "), "title").alias("title"), F.when(F.col("id") % 2 == 0, "").otherwise("other").alias("employer"), *(F.lit(None).cast("string").alias(c) for c in ("pay", "description", "location", "close_note", "pdf_url")), *(F.lit(None).cast("date").alias(c) for c in ("open_date", "close_date")))
-    return J.reconciled(stored, listed, 1, NOW).where("source_id = 1").select("url", "title", "employer", "removed_at", "first_seen_at")
+    twice = listed.withColumn("pos", F.lit(1)).unionByName(listed.withColumns({"pos": F.lit(2), "title": F.lit("listed again"), "employer": F.lit("none")}))
+    return J.reconciled(stored, twice, 1, NOW).where("source_id = 1").select("url", "title", "employer", "removed_at", "first_seen_at")

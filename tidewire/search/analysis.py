@@ -109,12 +109,23 @@ def stem(word: str) -> str:
     return w.lower()
 
 
-def tokens(text: str | None) -> list[tuple[str | None, int, int, int]]:
-    """(term, position, start, end) of each word; the term of a stop word is None, but it takes a position."""
+def term_of(word: str) -> str | None:
+    """What a word is found under; None for a stop word."""
+    plain = (unaccented(word) or "").lower()
+    return None if plain in STOP_WORDS else stem(plain)
+
+
+def tokens(text: str | None, known: dict[str, str | None] | None = None) -> list[tuple[str | None, int, int, int]]:
+    """(term, position, start, end) of each word; the term of a stop word is None, but it takes a position. known remembers words' terms, up to 200,000."""
+    known = {} if known is None else known
     out = []
     for i, m in enumerate(WORD.finditer(text or "")):
-        plain = (unaccented(m[0]) or "").lower()
-        out.append((None if plain in STOP_WORDS else stem(plain), i + 1, m.start(), m.end()))
+        word = m[0]
+        if word not in known:
+            if len(known) >= 200_000:
+                known.clear()
+            known[word] = term_of(word)
+        out.append((known[word], i + 1, m.start(), m.end()))
     return out
 
 

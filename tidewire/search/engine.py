@@ -7,9 +7,10 @@ positions; no story is scanned that has none of the terms, unless the query cons
 from __future__ import annotations
 
 import datetime as dt
+import re
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewire.functions.dates import age_seconds
@@ -29,12 +30,12 @@ def build_postings(articles: DataFrame) -> DataFrame:
 
     @F.pandas_udf("array<struct<term: string, positions: array<int>, weights: array<string>>>")
     def analyse(title: pd.Series, intro: pd.Series, rest: pd.Series) -> pd.Series:
-        out = []
+        out, known = [], {}
         for fields in zip(title, intro, rest, strict=True):
             places: dict[str, tuple[list[int], list[str]]] = {}
             base = 0
             for weight, text in zip("ABC", fields, strict=True):
-                found = tokens(text)
+                found = tokens(text, known)
                 for term, at, *_ in found:
                     if term:
                         p, w = places.setdefault(term, ([], []))
@@ -48,9 +49,11 @@ def build_postings(articles: DataFrame) -> DataFrame:
     return articles.select("id", F.explode(analyse("title", "intro", rest)).alias("p")).select("p.term", "id", "p.positions", "p.weights")
 
 
-def write_postings(postings: DataFrame, table: str, buckets: int = 64) -> None:
-    """Stores postings in buckets of the term, sorted, so that a query opens the buckets of its terms."""
-    postings.write.bucketBy(buckets, "term").sortBy("term", "id").mode("overwrite").saveAsTable(table)
+def write_postings(postings: DataFrame, table: str, buckets: int = 64, path: str | None = None) -> DataFrame:
+    """Stores postings in buckets of the term, sorted, so that a query opens the buckets of its terms. The stored table."""
+    out = postings.repartition(buckets, "term").write.bucketBy(buckets, "term").sortBy("term", "id").mode("overwrite")
+    (out.option("path", path) if path else out).saveAsTable(table)
+    return postings.sparkSession.table(table)
 
 
 def cover_rank(query: Query, positions: dict[str, list[int]], weights: dict[str, list[str]]) -> float:
@@ -92,6 +95,14 @@ def matched(articles: DataFrame, postings: DataFrame, query: Query) -> DataFrame
         return pd.DataFrame({"ok": ok, "rank": rank})
 
     own = postings.where(F.col("term").isin(terms)).groupBy("id").agg(F.collect_list(F.struct("term", "positions", "weights")).alias("found"))  # at most one row a term
+    # only stories that have all terms of an alternative reach Python
+    there = F.transform("found", lambda x: x["term"])
+    able = F.lit(False)
+    for alternative in query.alternatives:
+        needed = sorted({t for p in alternative if not p.negated for t in p.terms})
+        able = able | (F.size(F.array_except(F.array(*map(F.lit, needed)).cast("array<string>"), there)) == 0)
+    if not query.needs_all:
+        own = own.where(able)
     judged = own.select("id", judge("found").alias("j")).select("id", "j.ok", "j.rank")
     if not query.needs_all:
         return judged.where("ok").drop("ok")
@@ -118,6 +129,33 @@ def highlighted(text, query: Query):
     return mark(text)
 
 
+def contains_phrase(text: Column, phrase: str) -> Column:
+    """Whether a text has a phrase of ASCII words as it is written, between other characters than letters."""
+    return F.lower(text).rlike(rf"(^|[^a-z]){'[^a-z]'.join(map(re.escape, phrase.lower().split()))}([^a-z]|$)")
+
+
+def decayed(rank: Column, at: Column, now: dt.datetime) -> Column:
+    """A rank that falls with age: halved after a year, a third after two."""
+    return rank / (1 + age_seconds(at, now) / (86400 * 365.0))
+
+
+def _plain_words(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit("([a-z]+)"))
+
+
+def term_stats(texts: DataFrame) -> DataFrame:
+    """term, docs and n of every word in ASCII letters, of texts (id, text)."""
+    per_text = texts.select("id", F.explode(_plain_words(F.col("text"))).alias("term")).groupBy("term", "id").agg(F.count("*").alias("k"))
+    return per_text.groupBy("term").agg(F.count("*").alias("docs"), F.sum("k").alias("n"))
+
+
+def trigram_counts(texts: DataFrame) -> DataFrame:
+    """g and n: in how many texts (id, text) each trigram of their words in ASCII letters occurs."""
+    padded = F.transform(F.array_distinct(_plain_words(F.col("text"))), lambda w: F.concat(F.lit("  "), w, F.lit(" ")))
+    grams = F.flatten(F.transform(padded, lambda p: F.transform(F.sequence(F.lit(1), F.length(p) - 2), lambda i: F.substring(p, i, F.lit(3)))))
+    return texts.select(F.explode(F.array_distinct(grams)).alias("g")).groupBy("g").agg(F.count("*").alias("n"))
+
+
 def trigrams(word: str) -> list[str]:
     padded = f"  {word} "
     return [padded[i : i + 3] for i in range(len(padded) - 2)]
@@ -129,8 +167,6 @@ def word_similarity(q: str, text: str | None, floor: float = 0.3) -> float:
     A stretch is followed while it can still beat the best one and the floor, so its length is bounded by the query's; below the floor
     the answer is 0.
     """
-    import re
-
     words = lambda s: re.findall(r"[^\W_]+", s.lower())
     wanted = {g for w in words(q) for g in trigrams(w)}
     have = [g for w in words(text or "") for g in trigrams(w)]
@@ -158,8 +194,6 @@ def similar_titles(rows: DataFrame, q: str, limit: int) -> DataFrame:
     def score(titles: pd.Series) -> pd.Series:
         return titles.map(lambda t: word_similarity(q, t)).astype(float)
 
-    import re
-
     grams = sorted({g.strip() for w in re.findall(r"[^\W_]+", q.lower()) for g in trigrams(w) if len(g.strip()) >= 2})
     some = F.lit(False)
     for g in grams:
@@ -177,8 +211,7 @@ def search(articles: DataFrame, sources: DataFrame, postings: DataFrame, f: Filt
     hits = rows.join(matched(articles, postings, query), "id")
     total = hits.count()
     if total:
-        years = age_seconds(F.col("published_at"), now) / (86400 * 365.0)
-        order = by_date(f.sort) if f.sort != "relevance" else [F.desc(F.col("rank") / (1 + years)), F.col("published_at").desc_nulls_first(), F.desc("id")]
+        order = by_date(f.sort) if f.sort != "relevance" else [F.desc(decayed(F.col("rank"), F.col("published_at"), now)), F.col("published_at").desc_nulls_first(), F.desc("id")]
         items = paged(hits, order, page, per_page).withColumn("title_marked", highlighted(F.col("title"), query)).withColumn("snippet", highlighted(F.col("intro"), query))
         return Page(items, total, page, per_page), False
     items = similar_titles(rows, f.q, per_page)

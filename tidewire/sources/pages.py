@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions import html as H
-from tidewire.functions.dates import parse_datetime
+from tidewire.functions.dates import parse_datetime, parsed
 from tidewire.functions.text import clean, clean_text, first_distinct, headline, intro
-from tidewire.functions.urls import excluded, looks_like_article, match_key, normalize_url, same_site, unwrap_redirect, usable_image
+from tidewire.functions.urls import excluded, looks_like_article, match_key, normalize_url, normalized, same_site, shows_nothing, unwrap_redirect
 
 IMG = re.compile(r"<img[^>]+src=[\"']([^\"']+)", re.I)
 ENTRY = "url string, pos int, title string, summary string, image string, published string, author string, tags array<string>"
@@ -161,36 +161,54 @@ def sitemaps_in_robots(robots: Column) -> Column:
 
 
 def extract_articles(pages: DataFrame, now: dt.datetime, selector: str | None = None) -> DataFrame:
-    """Articles of pages (url, content): Python reads the markup once, columns choose and clean."""
+    """Articles of pages (url, content): Python reads the markup once, in order of trust; of each chain the first value that holds up counts.
+
+    Pictures count that aren't logos or the like, dates that are plausible, addresses of the same site, and of the ways to the
+    text (a known container, the page's state, the densest element, the structured body) the first with a paragraph of prose.
+    """
 
     @F.pandas_udf(H.ARTICLE_SCHEMA)
-    def read(contents: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([H.article(c, selector) for c in contents], columns=[c.split()[0] for c in re.split(r",\s*(?![^<]*>)", H.ARTICLE_SCHEMA)])
-
-    e = pages.select("url", read(F.col("content")).alias("e")).select("url", "e.*")
-    canonical = normalize_url(F.col("canonical"), F.col("url"))
-    posted = F.regexp_extract("text", r"(?i)(?:posted|published|updated|date)(?: on)?:?\s+((?:[A-Za-z]{3,9}\.? \d{1,2},? \d{4}|\d{1,2}/\d{1,2}/\d{4}|\d{4}-\d{2}-\d{2}))", 1)
-    date = F.coalesce(F.get("dates", F.lit(0)), F.nullif(posted, F.lit("")))
-    title = headline(F.get("titles", F.lit(0)), F.col("site_name"))
-    rows = e.withColumn("title", F.nullif(title, F.lit("")))
-    images = F.get("images", F.lit(0))
-    return rows.select(
+    def read(urls: pd.Series, contents: pd.Series) -> pd.DataFrame:
+        rows = []
+        for url, content in zip(urls, contents, strict=True):
+            a = H.article(content, selector)
+            a["canonical"], a["images"] = ([u for x in a[k] if (u := normalized(x, url))] for k in ("canonical", "images"))
+            a["dates"], a["modified"] = ([at.isoformat() for x in a[k] if (at := parsed(x, now))][:1] for k in ("dates", "modified"))
+            rows.append(a)
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in re.split(r",\s*(?![^<]*>)", H.ARTICLE_SCHEMA)])
+
+    one = lambda values: F.get(values, F.lit(0))
+    e = pages.select("url", read("url", "content").alias("e")).select("url", "e.*")
+    e = e.withColumn("title", F.nullif(headline(one(F.col("titles")), F.col("site_name")), F.lit(""))).withColumn("published_at", F.to_timestamp(one(F.col("dates"))))
+    e = e.withColumn("intro", one(F.filter(F.transform("stories", lambda s: intro(s, F.col("title"))), lambda i: i.isNotNull())))
+    return e.select(
         "url",
-        F.when(same_site(canonical, F.col("url")), canonical).alias("canonical_url"),
+        one(F.filter("canonical", lambda u: same_site(u, F.col("url")))).alias("canonical_url"),
         "title",
-        intro(F.col("paragraphs"), F.col("title")).alias("intro"),
+        "intro",
         F.nullif(clean_text(F.col("description")), F.lit("")).alias("description"),
-        usable_image(images).alias("image_url"),
-        parse_datetime(date, now).alias("published_at"),
-        parse_datetime(F.col("modified"), now).alias("modified_at"),
-        F.get("authors", F.lit(0)).alias("author"),
+        one(F.filter("images", lambda u: ~shows_nothing(u))).alias("image_url"),
+        "published_at",
+        F.to_timestamp(one(F.col("modified"))).alias("modified_at"),
+        "author",
         "section",
         first_distinct(F.col("tags"), 25).alias("keywords"),
         "site_name",
-        (F.col("is_object") | (F.coalesce("og_type", F.lit("")) == "article") | (date.isNotNull() & (F.size("paragraphs") >= 2) & F.col("title").isNotNull())).alias("is_article"),
+        (F.col("is_object") | F.col("is_dated") | (F.lower(F.coalesce("og_type", F.lit(""))) == "article") | (F.col("has_article") & F.col("published_at").isNotNull() & F.col("intro").isNotNull())).alias("is_article"),
     )
 
 
+def page_facts(pages: DataFrame) -> DataFrame:
+    """The columns of pages but the content, and title, paragraphs, links and pictures of each."""
+
+    @F.pandas_udf(H.FACTS_SCHEMA)
+    def read(contents: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([H.facts(c) for c in contents], columns=["title", "paragraphs", "links", "pictures"])
+
+    others = [c for c in pages.columns if c != "content"]
+    return pages.select(*others, read("content").alias("f")).select(*others, "f.*")
+
+
 def link_shapes(pages: DataFrame, top: int = 15) -> DataFrame:
     """The commonest forms of links on pages, with two examples each."""
     from tidewire.functions.urls import path_shape

@@ -53,9 +53,14 @@ def retry_memory(outcomes: DataFrame) -> DataFrame:
 
 
 def upsert_stream(stream: DataFrame, table: VersionedTable, merge, checkpoint: str):
-    """Starts a query that merges each batch into a versioned table: merge(current, batch) gives the next version. A batch that is delivered twice must merge to the same."""
+    """Starts a query that merges each batch into a versioned table: merge(current, batch) gives the next version.
 
-    def step(batch: DataFrame, _: int) -> None:
-        table.write(merge(table.read(), batch))
+    A version names the batch that made it, so a batch that is delivered again after a crash is merged once. A table belongs to one stream.
+    """
+
+    def step(batch: DataFrame, number: int) -> None:
+        last = table.last_batch
+        if last is None or number > last:
+            table.write(merge(table.read(), batch), number)
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
