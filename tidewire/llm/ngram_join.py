@@ -49,6 +49,8 @@ FREQUENT = 200_000
 BINS = 128
 #: What comparing a candidate costs, in rows of a list.
 CANDIDATE = 4
+#: Memory that a task's remembered words may take, about, and rows that it works on at a time.
+WORD_BYTES, SLICE = 30 << 20, 256
 #: Up to so many classes (under 10 MB) are sent to the texts, rather than all texts to them.
 SENT = 200_000
 
@@ -56,11 +58,15 @@ SENT = 200_000
 class WordHashes(dict):
     """64-bit hashes of words, the latest ones remembered."""
 
+    held = 0
+
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 500_000:
+        if self.held > WORD_BYTES:
             self.clear()
+            self.held = 0
+        self.held += 150 + len(word)
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
 
@@ -144,8 +150,8 @@ def scouted(docs: DataFrame, size: int, threshold: int) -> tuple[np.ndarray, int
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                found = [shingles(t, size, hashes) for t in batch.slice(lo, 512).column("text").to_pylist()]
+            for lo in range(0, batch.num_rows, SLICE):
+                found = [shingles(t, size, hashes) for t in batch.slice(lo, SLICE).column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64), pa.int64())], ["s"])
 
     counts = sample.mapInArrow(emit, "s long").groupBy("s").agg(F.count("*").alias("n")).where("n > 1")
@@ -156,9 +162,9 @@ def scouted(docs: DataFrame, size: int, threshold: int) -> tuple[np.ndarray, int
         """kind and token: 0 an element, 1 an element of a set too large for pairs, 2 a pair, and once for each set less than 0, its size (from 64 on as a power of two)."""
         hashes = WordHashes()
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
+            for lo in range(0, batch.num_rows, SLICE):
                 kinds, tokens = [], []
-                for text in batch.slice(lo, 512).column("text").to_pylist():
+                for text in batch.slice(lo, SLICE).column("text").to_pylist():
                     s = ordered(shingles(text, size, hashes), sent.value)
                     n = len(s)
                     if n:
@@ -187,8 +193,8 @@ def sets(docs: DataFrame, size: int, threshold: int, last: np.ndarray, light_to:
 
         hashes = WordHashes()
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
+            for lo in range(0, batch.num_rows, SLICE):
+                part = batch.slice(lo, SLICE)
                 n, ids, counts, heavy, light = [], [], [], [], []
                 for text in part.column("text").to_pylist():
                     s = shingles(text, size, hashes)
@@ -236,12 +242,12 @@ def similar(pairs: DataFrame, first: DataFrame, docs: DataFrame, size: int, thre
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int64) for c in ("ca", "cb"))
-            apart = np.abs(x - y).sum(1)
-            total = batch.column("na").to_numpy() + batch.column("nb").to_numpy()
-            yield batch.select(["a", "b", "na", "nb"]).filter(pa.array((100 + threshold) * apart <= (100 - threshold) * total))
+            for lo in range(0, batch.num_rows, SLICE):
+                part = batch.slice(lo, SLICE)
+                x, y = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16) for c in ("ca", "cb"))
+                apart = np.abs(x - y).sum(1, dtype=np.int64)
+                total = part.column("na").to_numpy() + part.column("nb").to_numpy()
+                yield part.select(["a", "b", "na", "nb"]).filter(pa.array((100 + threshold) * apart <= (100 - threshold) * total))
 
     side = lambda x: first.select(F.col("class").alias(x), F.col("n").alias(f"n{x}"), F.col("counts").alias(f"c{x}"))
     sized = (100 * F.least("na", "nb") >= threshold * F.greatest("na", "nb")) & (F.col("a") != F.col("b"))
@@ -255,8 +261,10 @@ def similar(pairs: DataFrame, first: DataFrame, docs: DataFrame, size: int, thre
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
-            made = [shingles(t, size, hashes).view(np.int64) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array(made, pa.list_(pa.int64()))], ["class", "s"])
+            for lo in range(0, batch.num_rows, SLICE):
+                part = batch.slice(lo, SLICE)
+                made = [shingles(t, size, hashes).view(np.int64) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("class"), pa.array(made, pa.list_(pa.int64()))], ["class", "s"])
 
     full = stored(texts.mapInArrow(make, "class long, s array<long>").dropDuplicates(["class"]), "sets")
     both = near.join(full.select(F.col("class").alias("a"), F.col("s").alias("sa")), "a").join(full.select(F.col("class").alias("b"), F.col("s").alias("sb")), "b")
