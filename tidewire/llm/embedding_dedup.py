@@ -20,7 +20,8 @@ within the leaf. Components of all leaves' links are found by star rounds.
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and rows
 with a null label or null vec_id, link with nothing, keep their own id as component and are kept; only
 vectors of equal label and length are compared; rows that are equal in every way link with each other;
-an empty table gives no rows; other columns are ignored, whatever their names.
+an empty table gives no rows; other columns are ignored, whatever their names; vectors may be of any length; of several
+vec_ids of a component the least names it.
 """
 
 from __future__ import annotations
@@ -43,8 +44,8 @@ LEAF = 1000
 MAX_LEAF = 3000
 #: Share of a node's vectors, on each side of the median, that goes to both children.
 SPILL = 0.08
-#: The trees' top is fitted on so many vectors at most.
-SAMPLE = 20_000
+#: The trees' top is fitted on so many vectors at most, fewer if they are long: so many numbers reach the driver.
+SAMPLE, SAMPLE_NUMBERS = 20_000, 1 << 21
 #: Leaders come from a sample in which MAX_LEAF vectors have DENSE members on average, and have SOME of them near.
 DENSE, SOME = 20, 4
 #: Rows of a ball's block, fewer if vectors are long, and numbers in it.
@@ -108,11 +109,14 @@ def _matrix(batch: pa.RecordBatch | pa.Table, name: str) -> np.ndarray:
 
 def routed(vecs: DataFrame, trees: int, leaf: int) -> DataFrame:
     """vecs with `codes`, the leaves of each vector. Leaves of different labels or lengths differ."""
-    share = vecs.groupBy("label", "dim").agg(F.count("*").alias("n")).agg(F.max("n").alias("most")).first()["most"] or 0
-    sample = vecs.orderBy(F.xxhash64("class")).limit(SAMPLE).select("dim", "vec").collect()  # bounded by SAMPLE
-    dims = [r["dim"] for r in sample]
-    dim = max(set(dims), key=lambda d: (dims.count(d), d)) if dims else 0
-    x = unit(np.array([r["vec"] for r in sample if r["dim"] == dim]), dim) if dims else np.zeros((0, 1))
+    sizes = vecs.groupBy("label", "dim").agg(F.count("*").alias("n"))
+    share = sizes.agg(F.max("n").alias("most")).first()["most"] or 0
+    common = sizes.groupBy("dim").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), F.desc("dim")).first()
+    dim = common["dim"] if common else 0
+    x = np.zeros((0, 1))
+    if dim:
+        table = vecs.where(F.col("dim") == dim).orderBy(F.xxhash64("class")).limit(max(1, min(SAMPLE, SAMPLE_NUMBERS // dim))).select("vec").toArrow()
+        x = unit(_matrix(table, "vec"), dim)
     depth = min(max(0, math.ceil(math.log2(max(1, share) / leaf))), max(0, int(math.log2(max(1, len(x)) / 16))))
     top = fit_top(x, depth, trees)
 
@@ -142,8 +146,13 @@ def halved(rows: DataFrame, limit: int, rounds: int = 40) -> DataFrame:
 
         def project(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                p = [float(unit(np.array(v), len(v))[0] @ direction(code, len(v))) for v, code in zip(batch.column("vec").to_pylist(), batch.column("code").to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("class"), batch.column("code"), pa.array(p, pa.float64())], ["class", "code", "p"])
+                codes, dims = batch.column("code").to_numpy(), batch.column("dim").to_numpy()
+                p = np.empty(batch.num_rows)
+                for code in np.unique(codes):  # a leaf has one direction, and vectors of one length
+                    own = np.flatnonzero(codes == code)
+                    dim = int(dims[own[0]])
+                    p[own] = unit(_matrix(batch.take(pa.array(own)), "vec"), dim) @ direction(int(code), dim)
+                yield pa.RecordBatch.from_arrays([batch.column("class"), batch.column("code"), pa.array(p)], ["class", "code", "p"])
 
         projected = stored(members.mapInArrow(project, "class long, code long, p double"), "projections")
         bounds = projected.groupBy("code").agg(F.percentile_approx("p", [0.5 - SPILL, 0.5 + SPILL], F.lit(2000)).alias("q"))

@@ -1,11 +1,12 @@
-"""Scoring documents with a Katz backoff bigram model.
+"""Scoring documents with a Katz backoff model of n-grams up to ORDER words.
 
 log10 P(text) is summed over the words and one end token, with the end token also the history of the
-first word. Evaluation is recursive: a bigram seen in training has its Good-Turing discounted
-relative frequency; any other token backs off to alpha(history) times its unigram probability, which is
-discounted in the same way and leaves the rest to unknown words. alpha is the history's leftover
-mass over what the unigrams of its unseen successors hold, both summed exactly, so that every
-history's probabilities add up to 1 over the vocabulary and the unknown word.
+first word. Evaluation is recursive, from single words up: an n-gram seen in training has its Good-Turing
+discounted relative frequency; any other token backs off to alpha(history) times its probability by the shorter
+history, and single words are discounted in the same way and leave the rest to unknown ones. alpha is the
+history's leftover mass over what the shorter history leaves to the words not seen behind it, both summed exactly,
+so that every history's probabilities add up to 1 over the vocabulary and the unknown word. A word without that many
+before it in its text has the shorter history alone.
 
 Texts become blocks of about BLOCK tokens: a sorted vocabulary of 64-bit word hashes and one code per
 token. Count tables are partitioned by hash: a block sends each partition one packed slice of what it
@@ -34,6 +35,8 @@ from tidewire.llm.common import stored
 #: Tokens of a block, and entries of a partition of a table, about.
 BLOCK = 1_000_000
 PART = 1_000_000
+#: Words of the longest n-grams.
+ORDER = 2
 #: Good-Turing discounts counts up to this.
 K = 5
 #: A history is split if it has more tokens than this, and more than this share of all.
@@ -101,8 +104,8 @@ def blocks(docs: DataFrame) -> DataFrame:
             rank = np.empty(len(uniq), np.int32)
             rank[often] = np.arange(len(uniq), dtype=np.int32)  # frequent words get small numbers, which pack well
             return pa.RecordBatch.from_arrays(
-                [pa.array([number], pa.int64()), pa.array([ids], pa.list_(kind)), pa.array([held]), *(pa.array([pack(x)], pa.binary()) for x in (np.array(lengths, np.int32), rank[n], often)), pa.array([pack_sorted(uniq)], pa.binary()), pa.array([pack(counts)], pa.binary()), pa.array([len(uniq)], pa.int64()), pa.array([int(counts.sum())], pa.int64())],
-                ["block", "ids", "held", "lengths", "codes", "often", "vocabulary", "counts", "n_words", "n_train"],
+                [pa.array([number], pa.int64()), pa.array([ids], pa.list_(kind)), pa.array([held]), *(pa.array([pack(x)], pa.binary()) for x in (np.array(lengths, np.int32), rank[n], often)), pa.array([pack_sorted(uniq)], pa.binary()), pa.array([pack(counts)], pa.binary()), pa.array([len(uniq)], pa.int64()), pa.array([len(n)], pa.int64())],
+                ["block", "ids", "held", "lengths", "codes", "often", "vocabulary", "counts", "n_words", "n_tokens"],
             )
 
         kind = None
@@ -124,7 +127,7 @@ def blocks(docs: DataFrame) -> DataFrame:
             yield done()
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(make, f"block long, ids array<{kind}>, held array<boolean>, lengths binary, codes binary, often binary, vocabulary binary, counts binary, n_words long, n_train long")
+    return docs.mapInArrow(make, f"block long, ids array<{kind}>, held array<boolean>, lengths binary, codes binary, often binary, vocabulary binary, counts binary, n_words long, n_tokens long")
 
 
 def unigrams(table: DataFrame, parts: int) -> DataFrame:
@@ -181,7 +184,7 @@ class Unigrams:
     """Discounted unigram probabilities, the unknown word's among them."""
 
     def __init__(self, tokens: int, n: list[int]):
-        self.tokens, self.d = tokens, discounts(n)
+        self.tokens, self.n, self.d = tokens, n, discounts(n)
         lost = sum(n[r - 1] * r * (1 - self.d[r]) for r in range(1, K + 1))
         self.scale = 1.0 if lost > 0 else tokens / (tokens + 0.5)  # nothing was discounted: half a token for the unknown
         self.unknown = lost / tokens if lost > 0 else 0.5 / (tokens + 0.5) if tokens else 1.0
@@ -192,11 +195,6 @@ class Unigrams:
         return np.where(counts > 0, discounted(counts, self.d) * self.scale / self.tokens, self.unknown)
 
 
-def _answers(row_parts, fields: int) -> list[list[bytes]]:
-    """The packed answers of a block, in order of partition."""
-    return [[p[f] for p in sorted(row_parts, key=lambda x: x["part"])] for f in fields]
-
-
 def _words(row: dict, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Numbers (over all partitions) and counts of a block's sorted vocabulary."""
     answers = sorted(row["words"], key=lambda x: x["part"])
@@ -204,64 +202,135 @@ def _words(row: dict, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids, np.concatenate([unpack(a["counts"], np.int64) for a in answers])
 
 
-def _bigrams(row: dict, ids: np.ndarray, counts: np.ndarray, parts: int, hot: int):
-    """A block's distinct bigrams in order of partition, history and successor: positions in the vocabulary, partition, of each token its bigram, and training counts."""
-    often, codes, lengths = unpack(row["often"], np.int32), unpack(row["codes"], np.int32), unpack(row["lengths"], np.int32)
-    w = often[codes].astype(np.int64)
-    ends = np.cumsum(lengths) - 1
-    end = w[ends[0]]
-    h = np.empty_like(w)
-    h[1:] = w[:-1]
-    h[0] = end
-    key, of = np.unique(h * len(ids) + w, return_inverse=True)
-    hp, wp = key // len(ids), key % len(ids)
-    split = 1 + counts[hp] // hot
-    sub = (mixed(ids[wp].astype(np.uint64)) % split.astype(np.uint64)).astype(np.uint64)
-    part = part_of(mixed(ids[hp].astype(np.uint64) + (sub << np.uint64(48)) + np.uint64(1)), parts)
-    order = np.argsort(part, kind="stable")  # key order, that is history and successor, stays within
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
-    trained = np.repeat(~np.array(row["held"], bool), lengths)
-    n = np.bincount(place[of[trained]], minlength=len(order)).astype(np.uint32)
-    return w, hp[order], wp[order], part[order], place[of], n
+class Level:
+    """What a table of one order has told the driver: discounts, split histories' sums, and where each partition's numbers begin."""
+
+    def __init__(self, parts: int, told: list[dict]):
+        self.parts = parts
+        self.d = discounts([sum(r["stats"][i] for r in told) for i in range(K + 1)])
+        self.split: dict[int, np.ndarray] = {}
+        for r in told:
+            for h, s in zip(unpack(bytes(r["counts"]), np.int64).tolist(), unpack(bytes(r["sums"]), np.float64).reshape(-1, K + 2), strict=True):
+                self.split[h] = self.split[h] + s if h in self.split else s
+        sizes = np.zeros(parts, np.int64)
+        for r in told:
+            sizes[r["part"]] = r["size"]
+        self.offsets = np.cumsum(sizes) - sizes
 
 
-def bigram_slices(joined: DataFrame, offsets: list[int], parts: int, hot: int) -> DataFrame:
-    """part, block and what the block has there: histories with their counts, successors with theirs, training counts."""
-    at = np.array(offsets, np.int64)
+def _pairs(h: np.ndarray, w: np.ndarray, hid: np.ndarray, hcount: np.ndarray, wid: np.ndarray, trained: np.ndarray, parts: int, hot: int):
+    """A block's distinct n-grams in order of partition, history and last word, from each token's history (-1: none) and word, as places in hid and wid.
+
+    Places of history and word, partition, of each token its n-gram (-1: none), and training counts.
+    """
+    use = np.flatnonzero(h >= 0)
+    key, of = np.unique(h[use] * len(wid) + w[use], return_inverse=True)
+    hp, wp = key // len(wid), key % len(wid)
+    split = 1 + hcount[hp] // hot
+    sub = (mixed(wid[wp].astype(np.uint64)) % split.astype(np.uint64)).astype(np.uint64)
+    part = part_of(mixed(hid[hp].astype(np.uint64) + (sub << np.uint64(48)) + np.uint64(1)), parts)
+    order = np.argsort(part, kind="stable")  # key order, that is history and word, stays within
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    at = np.full(len(h), -1)
+    at[use] = place[of]
+    n = np.bincount(at[(at >= 0) & trained], minlength=len(order)).astype(np.uint32)
+    return hp[order], wp[order], part[order], at, n
+
+
+class Scorer:
+    """The model as far as it is counted: evaluates a block's tokens, order by order."""
+
+    def __init__(self, offsets: np.ndarray, tokens: int, ns: list[int], hot: int, levels: list[Level]):
+        self.offsets, self.uni, self.hot, self.levels = offsets, Unigrams(tokens, ns), hot, levels
+
+    def block(self, row: dict) -> dict:
+        """Words and histories of a block's tokens before any order above 1."""
+        ids, counts = _words(row, self.offsets)
+        often, codes, lengths = unpack(row["often"], np.int32), unpack(row["codes"], np.int32), unpack(row["lengths"], np.int32)
+        w = often[codes].astype(np.int64)
+        ends = np.cumsum(lengths) - 1
+        h = np.empty_like(w)
+        h[1:] = w[:-1]
+        h[0] = w[ends[0]]  # the end is before the first word
+        first = np.zeros(len(w), bool)
+        first[np.r_[0, ends[:-1] + 1]] = True
+        trained = np.repeat(~np.array(row["held"], bool), lengths)
+        return {"wid": ids, "wcount": counts, "w": w, "h": h, "hid": ids, "hcount": counts, "first": first, "trained": trained, "lengths": lengths, "p": self.uni(counts)[w]}
+
+    def next(self, b: dict, level: Level, answers: list[dict]) -> dict:
+        """The block after one order more: the tokens' probabilities, and their n-grams as histories of the words behind them."""
+        hp, _, part, at, _ = _pairs(b["h"], b["w"], b["hid"], b["hcount"], b["wid"], b["trained"], level.parts, self.hot)
+        answers = sorted(answers, key=lambda x: x["part"])
+        seen = np.concatenate([unpack(a["counts"], np.int64) for a in answers]) if answers else np.zeros(0, np.int64)
+        sums = np.concatenate([np.c_[x.reshape(K + 2, -1)[: K + 1].T.astype(float), x.reshape(K + 2, -1)[K + 1].view(np.float64)] for a in answers for x in [unpack(a["sums"], np.int64)]]) if answers else np.zeros((0, K + 2))
+        if not len(hp):
+            return b | {"h": np.full(len(at), -1), "hid": np.zeros(0, np.int64), "hcount": np.zeros(0, np.int64)}
+        group = np.cumsum(np.r_[True, (hp[1:] != hp[:-1]) | (part[1:] != part[:-1])]) - 1  # of each n-gram its history's place in sums
+        first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        ch = b["hcount"][hp[first]]
+        for g in np.flatnonzero(ch >= self.hot):
+            sums[g] = level.split[int(b["hid"][hp[first[g]]])]
+        mass = sums[:, :K] @ (level.d[1:] * np.arange(1, K + 1)) + sums[:, K]
+        had = np.maximum(ch, 1).astype(float)
+        none = (ch > 0) & (had - mass < 1e-9 * had)  # nothing was discounted: half a token for the rest
+        scale = np.where(none, had / (had + 0.5), 1.0)
+        alpha = np.where(ch > 0, (1 - mass / had * scale) / (1 - sums[:, K + 1]), 1.0)
+        direct = discounted(seen, level.d) * scale[group] / had[group]
+        use = at >= 0
+        p = b["p"].copy()
+        p[use] = np.where(seen[at[use]] > 0, direct[at[use]], alpha[group[at[use]]] * p[use])
+        history = np.r_[-1, at[:-1]]
+        history[b["first"]] = -1
+        numbers = np.concatenate([unpack_sorted(a["numbers"], np.uint32).astype(np.int64) + level.offsets[a["part"]] for a in answers]) if answers[0]["numbers"] else np.zeros(len(seen), np.int64)
+        return b | {"p": p, "h": history, "hid": numbers, "hcount": seen}
+
+    def __call__(self, row: dict) -> dict:
+        b = self.block(row)
+        for m, level in enumerate(self.levels, 2):
+            b = self.next(b, level, row[f"order{m}"])
+        return b
+
+
+def slices_of(joined: DataFrame, scorer: Scorer, parts: int) -> DataFrame:
+    """part, block and what the block has there of the next order: histories with their counts, last words with their probabilities so far, training counts."""
+    plain = not scorer.levels  # the words' counts tell their probabilities
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                ids, counts = _words(row, at)
-                _, hp, wp, part, _, n = _bigrams(row, ids, counts, parts, hot)
+                b = scorer(row)
+                hp, wp, part, at, n = _pairs(b["h"], b["w"], b["hid"], b["hcount"], b["wid"], b["trained"], parts, scorer.hot)
+                low = b["wcount"][wp] if plain else np.zeros(len(hp))
+                if not plain:
+                    low[at[at >= 0]] = b["p"][at >= 0]
                 cuts = np.searchsorted(part, np.arange(parts + 1))
                 some = np.flatnonzero(np.diff(cuts))
                 out: list[list[bytes]] = [[] for _ in range(6)]
                 for p in some:
-                    a, b = cuts[p], cuts[p + 1]
-                    first = np.flatnonzero(np.r_[True, hp[a + 1 : b] != hp[a : b - 1]])
-                    own = hp[a:b][first]
-                    for column, x in zip(out, (pack_sorted(ids[own]), pack(counts[own]), pack(np.diff(np.r_[first, b - a]).astype(np.uint32)), pack(ids[wp[a:b]]), pack(counts[wp[a:b]]), pack(n[a:b])), strict=True):
+                    lo, hi = cuts[p], cuts[p + 1]
+                    first = np.flatnonzero(np.r_[True, hp[lo + 1 : hi] != hp[lo : hi - 1]])
+                    own = hp[lo:hi][first]
+                    for column, x in zip(out, (pack_sorted(b["hid"][own]), pack(b["hcount"][own]), pack(np.diff(np.r_[first, hi - lo]).astype(np.uint32)), pack(b["wid"][wp[lo:hi]]), pack(low[lo:hi]), pack(n[lo:hi])), strict=True):
                         column.append(x)
-                yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([row["block"]] * len(some), pa.int64()), *(pa.array(x, pa.binary()) for x in out)], ["part", "block", "h", "ch", "size", "w", "cw", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(some), pa.array([row["block"]] * len(some), pa.int64()), *(pa.array(x, pa.binary()) for x in out)], ["part", "block", "h", "ch", "size", "w", "low", "n"])
 
-    return joined.mapInArrow(make, "part long, block long, h binary, ch binary, size binary, w binary, cw binary, n binary")
+    return joined.mapInArrow(make, "part long, block long, h binary, ch binary, size binary, w binary, low binary, n binary")
 
 
-def bigrams(slices: DataFrame, uni: Unigrams, hot: int) -> DataFrame:
-    """For each block and partition the bigrams' counts and of each history its successors' sums, in the order asked; with block -1 the partition's sums of split histories and counts of counts."""
-    tokens, ns = uni
+def counted(slices: DataFrame, scorer: Scorer, last: bool) -> DataFrame:
+    """For each block and partition the n-grams' counts (and, unless the order is the last, numbers) and of each history its last words' sums, in the order asked; with block -1 the partition's sums of split histories and counts of counts."""
+    tokens, ns, hot, plain = scorer.uni.tokens, scorer.uni.n, scorer.hot, not scorer.levels
 
     def add(group: pa.Table) -> pa.Table:
-        p1 = Unigrams(tokens, ns)
         part, order = group.column("part")[0].as_py(), sorted(range(group.num_rows), key=lambda i: group.column("block")[i].as_py())
         get = lambda c, i: group.column(c)[i].as_py()
         hs = [unpack_sorted(get("h", i), np.int64) for i in order]
         sizes = [unpack(get("size", i), np.uint32).astype(np.int64) for i in order]
         h = np.concatenate([np.repeat(a, b) for a, b in zip(hs, sizes, strict=True)])
-        w, cw = (np.concatenate([unpack(get(c, i), np.int64) for i in order]) for c in ("w", "cw"))
+        w = np.concatenate([unpack(get("w", i), np.int64) for i in order])
+        low = np.concatenate([unpack(get("low", i), np.int64 if plain else np.float64) for i in order])
         n = np.concatenate([unpack(get("n", i), np.uint32) for i in order])
         allh, of_h = np.unique(np.concatenate(hs), return_inverse=True)
         dense = np.searchsorted(allh, h)
@@ -272,90 +341,65 @@ def bigrams(slices: DataFrame, uni: Unigrams, hot: int) -> DataFrame:
         of = np.empty(len(sort), np.int64)
         of[sort] = which
         total = np.bincount(of, n, int(which[-1]) + 1).astype(np.int64)
-        hu, cwu = ds[new], cw[sort][new]
+        hu, lowu = ds[new], low[sort][new]
         seen = total > 0
         sums = np.zeros((len(allh), K + 2))
         small = seen & (total <= K)
-        np.add.at(sums, (hu[small], total[small] - 1), 1)  # successors with counts 1 to K
+        np.add.at(sums, (hu[small], total[small] - 1), 1)  # last words with counts 1 to K
         sums[:, K] = np.bincount(hu[seen & ~small], total[seen & ~small], len(allh))
-        sums[:, K + 1] = np.bincount(hu[seen], p1(cwu[seen]), len(allh))
+        sums[:, K + 1] = np.bincount(hu[seen], Unigrams(tokens, ns)(lowu[seen]) if plain else lowu[seen], len(allh))
         stats = np.bincount(np.minimum(total, K + 2), minlength=K + 3)[1 : K + 2].tolist()
         ch = np.concatenate([unpack(get("ch", i), np.int64) for i in order])
         is_hot = np.unique(of_h[ch >= hot])
-        rows = [(-1, pack(allh[is_hot]), pack(sums[is_hot].reshape(-1)))]
+        rows = [(-1, pack(allh[is_hot]), pack(sums[is_hot].reshape(-1)), None)]
         a = np.cumsum([0, *map(sum, sizes)])
         b = np.cumsum([0, *map(len, hs)])
         for k, i in enumerate(order):
-            mine = sums[of_h[b[k] : b[k + 1]]]
-            rows.append((get("block", i), pack(total[of[a[k] : a[k + 1]]]), pack(np.concatenate([mine[:, : K + 1].astype(np.int64).T.reshape(-1), mine[:, K + 1].view(np.int64)]))))
+            mine, own = sums[of_h[b[k] : b[k + 1]]], of[a[k] : a[k + 1]]
+            rows.append((get("block", i), pack(total[own]), pack(np.concatenate([mine[:, : K + 1].astype(np.int64).T.reshape(-1), mine[:, K + 1].view(np.int64)])), None if last else pack_sorted(own.astype(np.uint32))))
         m = len(rows)
-        return pa.table({"part": pa.array([part] * m, pa.int64()), "block": pa.array([r[0] for r in rows], pa.int64()), "counts": pa.array([r[1] for r in rows], pa.binary()), "sums": pa.array([r[2] for r in rows], pa.binary()), "stats": pa.array([stats] * m, pa.list_(pa.int64()))})
+        return pa.table({"part": pa.array([part] * m, pa.int64()), "block": pa.array([r[0] for r in rows], pa.int64()), "counts": pa.array([r[1] for r in rows], pa.binary()), "sums": pa.array([r[2] for r in rows], pa.binary()), "numbers": pa.array([r[3] for r in rows], pa.binary()), "size": pa.array([len(total)] * m, pa.int64()), "stats": pa.array([stats] * m, pa.list_(pa.int64()))})
 
-    return slices.groupBy("part").applyInArrow(add, "part long, block long, counts binary, sums binary, stats array<long>")
+    return slices.groupBy("part").applyInArrow(add, "part long, block long, counts binary, sums binary, numbers binary, size long, stats array<long>")
 
 
-def scored(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scored(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
     """id, held, n_tokens, n_known, train_tokens, base_score and score of every row; learned from the rows that are not held."""
     table = stored(blocks(docs.select(F.col(id_col).alias("id"), held.alias("held"), F.col(text_col).alias("text"))), "lm-blocks")
-    size = table.agg(F.sum("n_words").alias("w"), F.count("*").alias("b")).first()
+    size = table.agg(F.sum("n_words").alias("w"), F.sum("n_tokens").alias("t")).first()
     parts = max(1, -(-(size["w"] or 0) // PART))
     words = stored(unigrams(table, parts), "lm-unigrams")
-    stats = words.where("block = -1").select("part", "size", "known", "tokens", "stats")
-    told = stats.collect()  # a row per partition
+    told = words.where("block = -1").select("part", "size", "known", "tokens", "stats").collect()  # a row per partition
     tokens, known = sum(r["tokens"] for r in told), sum(r["known"] for r in told)
     ns = [sum(r["stats"][i] for r in told) for i in range(K + 1)]
     sizes = np.zeros(parts, np.int64)
     for r in told:
         sizes[r["part"]] = r["size"]
-    offsets = (np.cumsum(sizes) - sizes).tolist()
-    hot = max(HOT, tokens // HOT_MOST)
+    scorer = Scorer(np.cumsum(sizes) - sizes, tokens, ns, max(HOT, tokens // HOT_MOST), [])
     of_block = words.where("block >= 0").groupBy("block").agg(F.collect_list(F.struct("part", "numbers", "counts")).alias("words"))
-    narrow = table.select("block", "held", "lengths", "codes", "often").join(of_block, "block")
-    pairs = max(1, -(-3 * (size["w"] or 0) // PART))
-    slices = bigram_slices(narrow, offsets, pairs, hot)
-    counted = stored(bigrams(slices, (tokens, ns), hot), "lm-bigrams")
-    rest = counted.where("block = -1").select("stats", "counts", "sums").collect()  # a row per partition, with its split histories
-    d2 = discounts([sum(r["stats"][i] for r in rest) for i in range(K + 1)])
-    split: dict[int, np.ndarray] = {}
-    for r in rest:
-        for h, s in zip(unpack(bytes(r["counts"]), np.int64).tolist(), unpack(bytes(r["sums"]), np.float64).reshape(-1, K + 2), strict=True):
-            split[h] = split[h] + s if h in split else s
-    of_pairs = counted.where("block >= 0").groupBy("block").agg(F.collect_list(F.struct("part", "counts", "sums")).alias("pairs"))
-    whole = table.select("block", "ids", "held", "lengths", "codes", "often").join(of_block, "block").join(of_pairs, "block")
-    at = np.array(offsets, np.int64)
+    joined = table.select("block", "ids", "held", "lengths", "codes", "often").join(of_block, "block")
+    for m in range(2, order + 1):
+        # distinct n-grams: three for each distinct word of a block, and never more than tokens
+        n_parts = max(1, -(-min(3 ** (m - 1) * (size["w"] or 0), size["t"] or 0) // PART))
+        grams = stored(counted(slices_of(joined.drop("ids"), scorer, n_parts), scorer, m == order), f"lm-order{m}")
+        told = grams.where("block = -1").select("part", "stats", "counts", "sums", "size").collect()  # a row per partition, with its split histories
+        scorer = Scorer(scorer.offsets, tokens, ns, scorer.hot, [*scorer.levels, Level(n_parts, [r.asDict() for r in told])])
+        answers = grams.where("block >= 0").groupBy("block").agg(F.collect_list(F.struct("part", "counts", "sums", "numbers")).alias(f"order{m}"))
+        joined = joined.join(answers, "block", "left")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p1 = Unigrams(tokens, ns)
         for batch in batches:
             for i in range(batch.num_rows):
                 one = batch.slice(i, 1)
-                row = one.select(["held", "lengths", "codes", "often", "words", "pairs"]).to_pylist()[0]
-                ids, counts = _words(row, at)
-                w, hp, _, part, of, _ = _bigrams(row, ids, counts, pairs, hot)
-                answers = sorted(row["pairs"], key=lambda x: x["part"])
-                seen = np.concatenate([unpack(a["counts"], np.int64) for a in answers])
-                sums = np.concatenate([np.c_[x.reshape(K + 2, -1)[: K + 1].T.astype(float), x.reshape(K + 2, -1)[K + 1].view(np.float64)] for a in answers for x in [unpack(a["sums"], np.int64)]])
-                group = np.cumsum(np.r_[True, (hp[1:] != hp[:-1]) | (part[1:] != part[:-1])]) - 1  # of each bigram its history's place in sums
-                first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-                ch = counts[hp[first]]
-                for g in np.flatnonzero(ch >= hot):
-                    sums[g] = split[int(ids[hp[first[g]]])]
-                mass = sums[:, :K] @ (d2[1:] * np.arange(1, K + 1)) + sums[:, K]
-                had = np.maximum(ch, 1).astype(float)
-                none = (ch > 0) & (had - mass < 1e-9 * had)  # nothing was discounted: half a token for the rest
-                scale = np.where(none, had / (had + 0.5), 1.0)
-                alpha = np.where(ch > 0, (1 - mass / had * scale) / (1 - sums[:, K + 1]), 1.0)
-                low = p1(counts)
-                direct = discounted(seen, d2) * scale[group] / had[group]
-                logs = np.log10(np.where(seen[of] > 0, direct[of], alpha[group[of]] * low[w]))
-                base = np.log10((counts[w] + 1) / (tokens + known + 1))
-                lengths = unpack(row["lengths"], np.int32)
+                row = one.drop_columns(["ids"]).to_pylist()[0]
+                b = scorer({k: v if v is not None else [] for k, v in row.items()})
+                counts, lengths = b["wcount"][b["w"]], b["lengths"]
                 starts = np.cumsum(lengths) - lengths
-                add = lambda x: pa.array(np.add.reduceat(x, starts))
-                yield pa.RecordBatch.from_arrays([one.column("ids").flatten(), one.column("held").flatten(), pa.array(lengths.astype(np.int64)), add((counts[w] > 0).astype(np.int64)), pa.array(np.full(len(lengths), tokens)), add(base), add(logs)], ["id", "held", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+                add = lambda x, starts=starts: pa.array(np.add.reduceat(x, starts))
+                yield pa.RecordBatch.from_arrays([one.column("ids").flatten(), one.column("held").flatten(), pa.array(lengths.astype(np.int64)), add((counts > 0).astype(np.int64)), pa.array(np.full(len(lengths), tokens)), add(np.log10((counts + 1) / (tokens + known + 1))), add(np.log10(b["p"]))], ["id", "held", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return whole.mapInArrow(score, f"id {kind}, held boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return joined.mapInArrow(score, f"id {kind}, held boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def held_out(id_col: str = "doc_id") -> Column:
