@@ -103,6 +103,21 @@ def test_boards(spark):
     assert {r["url"]: r["pdf_url"] for r in jobs.paired_with_pdfs(twins).collect()} == {"p1": "d1", "p2": None, "p3": None, "d2": "d2"}
 
 
+def test_board_pages_end(spark):
+    """A listing of more pages than may be read is not complete; one that was read to its end is."""
+    page = lambda k: f"<a rel='next' href='/{k + 1}'>next</a>" if k < 14 else ""
+    asked = []
+
+    def fetch(urls):
+        asked.extend(urls)
+        return spark.createDataFrame([(u, page(int(u.rpartition("/")[2]))) for u in urls], "url string, content string")
+
+    found, whole = boards.board_pages(["https://b.org/0"], fetch)
+    assert found.count() == len(asked) == 10 and not whole
+    found, whole = boards.board_pages(["https://b.org/12", "https://b.org/13"], fetch)
+    assert found.count() == 3 and whole
+
+
 def test_ingest_round(spark):
     src = spark.createDataFrame([(1, "News", [], ["Sports"], False, False, 30, False, False, None)], "id int, name string, categories array<string>, exclude_sections array<string>, require_place boolean, feed_only boolean, max_age_days int, undated boolean, vouching boolean, only_in_topic string")
     cand = spark.createDataFrame([(1, i, f"https://n.com/{i}", f"https://n.com/{i}", via, title, None, None, at, None, tags) for i, (via, title, at, tags) in enumerate([("feed", "Storm nears", ago(hours=1), []), ("feed", "Game", ago(hours=1), ["sports"]), ("listing", None, None, []), ("listing", "Old page here", ago(days=90), []), ("feed", "Blocked", ago(hours=2), []), ("feed", "Gone", None, []), ("listing", "x", None, [])])], "source_id int, pos int, url string, key string, via string, title string, summary string, image_url string, published_at timestamp, author string, tags array<string>")

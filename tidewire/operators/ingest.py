@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions.keywords import Topic, classify, mentions
-from tidewire.functions.text import clean_byline, feed_summary, first_among, fold, truncate
+from tidewire.functions.text import SITE_CREDIT, clean_byline, feed_summary, first_among, fold, truncate
 from tidewire.functions.urls import match_key, same_site
 
 MAX_ATTEMPTS = 5
@@ -118,6 +118,15 @@ def drafts(candidates: DataFrame, fetched: DataFrame, sources: DataFrame, topics
     return r.select("source_id", "key", "pos", "_said.status", "_said.reason", *(c(v).alias(k) for k, v in named.items()), F.when(c("key") != c("_url"), c("key")).alias("discovered_url"), author.alias("author"), topics_of.alias("categories"), F.coalesce(own("image_url"), "image_url").alias("image_url"))
 
 
+def rebylined(articles: DataFrame, sources: DataFrame) -> DataFrame:
+    """The stored stories whose byline changes once site credits and the source's own name are taken off, with the new one. sources has id and name."""
+    rows = articles.join(sources.select(F.col("id").alias("source_id"), F.col("name").alias("_name")), "source_id")
+    bare = F.lower(F.regexp_replace("_name", r"(?i)^the\s+", ""))
+    suspect = F.lower("author").contains(bare) | F.col("author").rlike(SITE_CREDIT)
+    new = rows.where(suspect).withColumn("_new", clean_byline(F.col("author"), F.col("_name")))
+    return new.where(~F.col("_new").eqNullSafe(F.col("author"))).withColumn("author", F.col("_new")).select(*articles.columns)
+
+
 def reused_images(articles: DataFrame, new: DataFrame, ignored: DataFrame, now: dt.datetime, days: int = 60, uses: int = 2) -> DataFrame:
     """source_id, image_url that become generic: pictures that a story brings after `uses` recent ones of its source, stored or before it in this round."""
     recent = articles.where((F.col("published_at") >= F.lit(now - dt.timedelta(days=days))) & F.col("image_url").isNotNull()).groupBy("source_id", "image_url").agg(F.count("*").alias("n"))

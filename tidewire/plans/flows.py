@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from tidewire.functions import html as H
 from tidewire.functions import keywords as KW
 from tidewire.operators import ingest as I
 from tidewire.operators import jobs as J
@@ -260,6 +261,31 @@ def pending_pages(spark, d):
     return I.pending_merged(a.where("id % 5 = 0"), a.where("source_id % 2 > 0 AND id % 5 = 1"), read).select("id")
 
 
+@query("rebylined", f"{STORIES} SELECT id, 'Ann B' || id AS author FROM articles a WHERE id % 3 < 2")
+def rebylined(spark, d):
+    i = F.col("id")
+    name = joined("Ann B", i.cast("string"))
+    rows = articles(spark, d).select("id", "source_id", by(3, joined(name, ", Src", F.col("source_id").cast("string")), joined(name, " | Webmaster"), name, key=i).alias("author"))
+    return I.rebylined(rows, sources(spark, d)).select("id", "author")
+
+
+@query("scripted_pages", "SELECT doc_id, doc_id % 3 < 2 AS scripted FROM documents")
+def scripted_pages(spark, d):
+    from tidewire.functions.text import _udf
+
+    page = by(3, joined("<p>Please enable JavaScript, reader ", NUMBER(), "</p>"), "<div id=app></div><script src=a.js></script>", joined("<p>", F.lit("A page with words of its own. " * 9), NUMBER(), "</p>"))
+    return docs(spark, d).select("doc_id", _udf(H.needs_javascript, "boolean")(page).alias("scripted"))
+
+
+@query("board_pages", "SELECT 'https://b.example.com/' || k AS url FROM (SELECT DISTINCT p_partkey % 7 AS k FROM part)")
+def board_pages(spark, d):
+    """Pages that link to the next one, and to the first again."""
+    rows = table(spark, d, "part").select((P() % 7).alias("k")).distinct()
+    at = lambda k: joined("https://b.example.com/", k.cast("string"))
+    pages = rows.select(at(F.col("k")).alias("url"), joined("<ul class='pagination'><li><a href='/0'>1</a></li></ul>", F.when(F.col("k") < 6, joined("<a rel='next' href='", at(F.col("k") + 1), "'>more</a>")).otherwise("")).alias("content"))
+    return boards.board_pages(["https://b.example.com/0"], lambda urls: pages.where(F.col("url").isin(urls)))[0].select("url")
+
+
 @query("reclassified", f"{STORIES} SELECT id, 'rest' AS topics FROM articles WHERE source_id % 3 = 0 AND array_to_string(categories, ',') <> 'rest' UNION ALL SELECT id, 'club' FROM articles WHERE source_id % 3 = 1 AND array_to_string(categories, ',') <> 'club'")
 def reclassified(spark, d):
     """Sources of one topic, and those whose stories fall to the last resort; the others have no topics to lose."""
