@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; `run` writes each result as Parquet into
 the shared folder and gives what is read again to the next stage.
+
+Defined results: a document with a null or empty text goes in the first stage, as one of few words; repeated rows are kept
+by the first two stages, and the third keeps all rows of the document that stands for its group; a null doc_id is an id like
+any other, but never stands for a group that has another; texts of any length are worked on whole; further columns,
+whatever their names, stay beside their rows up to the last stage; an empty table gives no rows.
 """
 
 from __future__ import annotations
