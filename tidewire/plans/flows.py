@@ -122,10 +122,10 @@ def _board(spark, d, kind, *parts, **options):
     return boards.parse_board(rows, kind, **options)
 
 
-@query("board_table", "SELECT 'https://b.example.com/job_detail/' || p_partkey AS url, p_name AS title, p_brand AS employer, DATE '2024-01-01' + CAST(p_partkey % 300 AS INT) AS open_date, CASE WHEN p_partkey % 2 = 0 THEN 'Open until filled' END AS close_note, 'https://b.example.com/' || p_partkey || '.pdf' AS pdf_url FROM part WHERE p_partkey % 5 > 0")
+@query("board_table", "SELECT 'https://b.example.com/job_detail/' || p_partkey AS url, p_name AS title, p_brand AS employer, CAST(CAST(DATE '2024-01-01' + CAST(p_partkey % 300 AS INT) AS DATE) AS VARCHAR) AS open_date, CASE WHEN p_partkey % 2 = 0 THEN 'Open until filled' END AS close_note, 'https://b.example.com/' || p_partkey || '.pdf' AS pdf_url FROM part WHERE p_partkey % 5 > 0")
 def board_table(spark, d):
     row = joined("<table><tr><th>Title</th></tr><tr><td><a href='/x'>", F.col("p_name"), "</a> Category: none</td><td><strong>", F.col("p_brand"), "</strong> more</td><td>", F.date_format(_DAY(), "M/d/yyyy"), "</td><td>", by(2, "Open until filled", "12/31/2024", key=P()), "</td><td>", F.when(P() % 5 == 0, "Closed").otherwise("Open"), "</td><td><a href='/application.pdf'>Application</a><a href='/", _KEY(), ".pdf'>pdf</a><a href='/job_detail/", _KEY(), "'>detail</a></td></tr></table>")
-    return _board(spark, d, "job_table", row).select("url", "title", "employer", "open_date", "close_note", "pdf_url")
+    return _board(spark, d, "job_table", row).select("url", "title", "employer", F.col("open_date").cast("string").alias("open_date"), "close_note", "pdf_url")
 
 
 @query("board_pdfs", "SELECT 'https://b.example.com/a%20' || p_partkey || '.pdf' AS url, p_name AS title, CASE WHEN p_partkey % 3 < 2 THEN p_brand ELSE 'Islands' END AS employer FROM part")
@@ -136,10 +136,10 @@ def board_pdfs(spark, d):
     return _board(spark, d, "pdf_links", page, employer="Islands").select("url", "title", "employer")
 
 
-@query("board_federal", "SELECT 'https://b.example.com/jobs/' || p_partkey AS url, p_name AS title, p_brand AS employer, p_type AS location, DATE '2024-01-01' + CAST(p_partkey % 300 AS INT) AS close_date FROM part")
+@query("board_federal", "SELECT 'https://b.example.com/jobs/' || p_partkey AS url, p_name AS title, p_brand AS employer, p_type AS location, CAST(CAST(DATE '2024-01-01' + CAST(p_partkey % 300 AS INT) AS DATE) AS VARCHAR) AS close_date FROM part")
 def board_federal(spark, d):
     row = joined("<table><tr><td><a href='/help'>?</a><a href='/jobs/", _KEY(), "'>", F.col("p_name"), "</a></td><td>", F.col("p_type"), "</td><td>GS-7</td><td>", F.col("p_brand"), "</td><td>", F.date_format(_DAY(), "MMM d, yyyy"), "</td><td>", F.date_format(_DAY(), "MMMM d, yyyy"), "</td></tr><tr><td><a href='/jobs/0'>x</a></td></tr></table>")
-    return _board(spark, d, "federal_table", row).select("url", "title", "employer", "location", "close_date")
+    return _board(spark, d, "federal_table", row).select("url", "title", "employer", "location", F.col("close_date").cast("string").alias("close_date"))
 
 
 @query("board_cards", "SELECT 'https://b.example.com/v.php?jobid=' || p_partkey AS url, p_name AS title, p_brand AS employer, '$' || p_size || '.00 per hour' AS pay, p_type AS location FROM part")
@@ -148,33 +148,33 @@ def board_cards(spark, d):
     return _board(spark, d, "cards", card).select("url", "title", "employer", "pay", "location")
 
 
-@query("board_sections", "SELECT 'https://b.example.com/list/' || p_partkey || '#' || replace(p_name, ' ', '-') AS url, p_name AS title, CASE WHEN p_partkey % 2 = 0 THEN '$' || p_size || '.00 per hour' END AS pay, DATE '2024-01-01' + CAST(p_partkey % 300 AS INT) AS open_date, 'Work ' || p_partkey || '.' AS description FROM part")
+@query("board_sections", "SELECT 'https://b.example.com/list/' || p_partkey || '#' || replace(p_name, ' ', '-') AS url, p_name AS title, CASE WHEN p_partkey % 2 = 0 THEN '$' || p_size || '.00 per hour' END AS pay, CAST(CAST(DATE '2024-01-01' + CAST(p_partkey % 300 AS INT) AS DATE) AS VARCHAR) AS open_date, 'Work ' || p_partkey || '.' AS description FROM part")
 def board_sections(spark, d):
     page = joined("<h4>", F.col("p_name"), "</h4><p>Date posted: ", F.date_format(_DAY(), "MMMM d, yyyy"), "</p>", by(2, joined("<p>Pays $", F.col("p_size").cast("string"), ".00 per hour</p>"), "<p>Unpaid</p>", key=P()), "<p>Job description: Work ", _KEY(), ".</p><p>Submit Application</p>")
-    return _board(spark, d, "sections", page).select("url", "title", "pay", "open_date", "description")
+    return _board(spark, d, "sections", page).select("url", "title", "pay", F.col("open_date").cast("string").alias("open_date"), "description")
 
 
-@query("board_portal", "SELECT 'https://b.example.com/postings/' || p_partkey AS url, p_name AS title, 'Islands, ' || p_brand AS employer, '012-' || lpad(CAST(p_partkey % 100 AS VARCHAR), 2, '0') AS reference, DATE '2024-01-01' + CAST(p_partkey % 300 AS INT) AS open_date FROM part")
+@query("board_portal", "SELECT 'https://b.example.com/postings/' || p_partkey AS url, p_name AS title, 'Islands, ' || p_brand AS employer, '012-' || lpad(CAST(p_partkey % 100 AS VARCHAR), 2, '0') AS reference, CAST(CAST(DATE '2024-01-01' + CAST(p_partkey % 300 AS INT) AS DATE) AS VARCHAR) AS open_date FROM part")
 def board_portal(spark, d):
     col = lambda x: joined('<div class="job-title-text-wrap">', x, "</div>")
     page = joined('<div class="job-item job-item-posting"><div class="job-title-text-wrap"><h3><a href="/postings/', _KEY(), '">', F.col("p_name"), "</a></h3></div>", col(F.col("p_brand")), col(joined("012-", F.lpad((P() % 100).cast("string"), 2, "0"))), col(F.date_format(_DAY(), "MM/dd/yyyy")), "</div>")
-    return _board(spark, d, "portal", page, employer="Islands").select("url", "title", "employer", "reference", "open_date")
+    return _board(spark, d, "portal", page, employer="Islands").select("url", "title", "employer", "reference", F.col("open_date").cast("string").alias("open_date"))
 
 
-@query("board_details", "SELECT 'https://b.example.com/' || p_partkey AS url, '$' || p_size || ' per hour' AS pay, p_type AS location, 'Do ' || p_name || '.' AS description, DATE '2024-01-01' + CAST(p_partkey % 300 AS INT) AS close_date FROM part")
+@query("board_details", "SELECT 'https://b.example.com/' || p_partkey AS url, '$' || p_size || ' per hour' AS pay, p_type AS location, 'Do ' || p_name || '.' AS description, CAST(CAST(DATE '2024-01-01' + CAST(p_partkey % 300 AS INT) AS DATE) AS VARCHAR) AS close_date FROM part")
 def board_details(spark, d):
     page = joined("<table><tr><th>Salary range:</th><td>$", F.col("p_size").cast("string"), " per hour</td></tr></table><dl><dt>Work Location</dt><dd>", F.col("p_type"), "</dd><dt>Job Summary</dt><dd>Do ", F.col("p_name"), ".</dd><dt>Closing date</dt><dd>", F.date_format(_DAY(), "MM/dd/yyyy"), "</dd></dl>")
-    return boards.detail_fields(table(spark, d, "part").select(joined("https://b.example.com/", _KEY()).alias("url"), page.alias("content"))).select("url", "pay", "location", "description", "close_date")
+    return boards.detail_fields(table(spark, d, "part").select(joined("https://b.example.com/", _KEY()).alias("url"), page.alias("content"))).select("url", "pay", "location", "description", F.col("close_date").cast("string").alias("close_date"))
 
 
-@query("federal_api", "SELECT 'https://f.example.com/' || p_partkey AS url, p_name AS title, CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE 'Bureau' END AS employer, '$' || format('{:,.2f}', p_retailprice) || ' per hour' AS pay, 'Guam' AS location, DATE '2024-01-01' + CAST(p_partkey % 300 AS INT) AS open_date FROM part")
+@query("federal_api", "SELECT 'https://f.example.com/' || p_partkey AS url, p_name AS title, CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE 'Bureau' END AS employer, '$' || format('{:,.2f}', p_retailprice) || ' per hour' AS pay, 'Guam' AS location, CAST(CAST(DATE '2024-01-01' + CAST(p_partkey % 300 AS INT) AS DATE) AS VARCHAR) AS open_date FROM part")
 def federal_api(spark, d):
     s = lambda v, n: (F.lit(v) if isinstance(v, str) else v).alias(n)
     pay = lambda low, high, code: F.struct(s(low, "MinimumRange"), s(high, "MaximumRange"), s(code, "RateIntervalCode"))
     price = F.col("p_retailprice").cast("string")
     job = F.struct(s(joined(" ", F.col("p_name"), " "), "PositionTitle"), s(joined("https://f.example.com/", _KEY()), "PositionURI"), s(by(2, F.col("p_brand"), "", key=P()), "OrganizationName"), s("Bureau", "DepartmentName"), F.array(F.struct(s("Guam", "LocationName")), F.struct(s("Ohio", "LocationName"))).alias("PositionLocation"), F.array(pay("0", "0", "PA"), pay(price, price, "PH")).alias("PositionRemuneration"), s(joined(F.date_format(_DAY(), "yyyy-MM-dd"), "T00:00:00"), "PublicationStartDate"))
     body = F.to_json(F.struct(F.struct(F.array(F.struct(job.alias("MatchedObjectDescriptor"))).alias("SearchResultItems")).alias("SearchResult")))
-    return apis.parse_usajobs(table(spark, d, "part").select(body.alias("content"))).select("url", "title", "employer", "pay", "location", "open_date")
+    return apis.parse_usajobs(table(spark, d, "part").select(body.alias("content"))).select("url", "title", "employer", "pay", "location", F.col("open_date").cast("string").alias("open_date"))
 
 
 @query("government_api", "SELECT 'https://g.example.com#announcement-' || p_partkey AS url, p_name AS title, p_brand AS employer, CASE WHEN p_partkey % 2 = 0 THEN '$' || format('{:,.2f}', p_size * 100.0) || ' to $' || format('{:,.2f}', p_retailprice * 10) ELSE 'Grade ' || p_size END AS pay, CASE WHEN p_partkey % 3 > 0 THEN 'Open until filled' END AS close_note FROM part")

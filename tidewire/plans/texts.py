@@ -77,7 +77,7 @@ def feed_summary(spark, d):
 
 
 _PARTS = r"list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x)), lambda x: x <> '')"
-_GOOD = r"list_filter({}, lambda p: length(p) >= 40 AND NOT starts_with(lower(p), 'photo') AND len(string_split(p, ' | ')) < 3 AND length(regexp_replace(p, '[^\p{{L}}]', '', 'g')) >= 0.55 * length(p))"
+_GOOD = r"list_filter({}, lambda p: length(p) >= 40 AND NOT starts_with(lower(p), 'photo') AND len(string_split(p, ' | ')) < 3 AND length(regexp_replace(p, '[^\p{{L}}]', '', 'g')) >= CAST(0.55 AS DOUBLE) * length(p))"
 
 
 def _cut_sql(text: str, n: int) -> str:
@@ -197,11 +197,11 @@ def parse_datetime(spark, d):
     return _events(spark, d).select("event_id", D.parse_datetime(raw, FAR).alias("at"))
 
 
-@query("find_date", "SELECT event_id, CASE WHEN event_id % 6 < 5 THEN CAST(ts AS DATE) END AS day FROM events")
+@query("find_date", "SELECT event_id, CAST(CASE WHEN event_id % 6 < 5 THEN CAST(ts AS DATE) END AS VARCHAR) AS day FROM events")
 def find_date(spark, d):
     ts = lambda form: F.date_format("ts", form)
     raw = by(6, joined("Closes ", ts("M/d/yy"), " or 1/1/2029"), joined("by ", ts("MMMM d"), "th, ", ts("yyyy")), joined("at ", ts("yyyy-MM-dd'T'HH:mm")), joined("on ", ts("dd MMM. yyyy"), ", not 2029-01-01"), ts("MM/dd/yyyy"), "13/45/2024 and Janus 3, 2024", key=E())
-    return _events(spark, d).select("event_id", D.find_date(raw).alias("day"))
+    return _events(spark, d).select("event_id", D.find_date(raw).cast("string").alias("day"))
 
 
 @query("closing_notes", "SELECT event_id, CASE WHEN event_id % 4 < 3 THEN 'Open until filled' END AS note FROM events")
