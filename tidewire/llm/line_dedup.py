@@ -10,9 +10,11 @@ everywhere. Positions are gathered per document, which its own length bounds; re
 
 Defined results: a null text stays null; a text of fewer than three lines has no window and stays; a
 window without a word is never a repeat, so blank lines separate; rows that are equal in doc_id and text
-are one document, which keeps its first occurrences in each of its rows; a null doc_id sorts first; an
-empty table gives no rows; other columns are ignored by `deduped`, whatever their names, and kept by
-`cleaned`.
+are one document, which keeps its first occurrences in each of its rows: a row that a loader wrote twice, or a
+task again, must not empty the document, and which of two equal rows came first could not be told apart in a
+second run; a null doc_id sorts first, and of windows that tie in document and position none is later; texts of
+any length are cut whole; an empty table gives no rows; other columns are ignored by `deduped`, whatever their
+names, and kept by `cleaned`.
 """
 
 from __future__ import annotations
