@@ -7,7 +7,8 @@ what a policy would reject without it. No document is read a second time for a n
 
 Defined results: a null or empty text has no words, so it fails `few_words`; repeated rows get one
 ledger row each; other columns of the input are ignored, whatever their names; an empty table
-gives an empty ledger. A text is always measured whole.
+gives an empty ledger. A text of any length is always measured whole; a null doc_id is an id like any other;
+rules are conditions, so measurements that tie with a bound are told by it alone.
 """
 
 from __future__ import annotations

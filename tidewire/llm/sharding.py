@@ -12,7 +12,9 @@ are computed in buckets of the key's hash, so that no task holds a whole shard.
 
 Defined results: a null key is a key like any other (all such rows share a shard); a null text has no
 bytes; rows that are equal in key and text share a shard and take consecutive slots; an empty table
-gives no rows; other columns are ignored, whatever their names.
+gives no rows; other columns are ignored, whatever their names; a text of any length counts whole; of draws that
+tie the smaller name wins. Rows that are equal in key and text share a bucket, which a task numbers in a stream that
+spills, however many they are.
 """
 
 from __future__ import annotations
