@@ -86,7 +86,7 @@ def test_reddit_and_apis(spark):
 
 
 def test_boards(spark):
-    table = "<table><tr><td><a href='/x'>Tutor</a></td><td><strong>College</strong></td><td>10/1/2026</td><td>Open until filled</td><td>Open</td><td><a href='https://a.com/job_detail/GJF-1'>d</a></td></tr><tr><td>Old</td><td></td><td></td><td></td><td>Closed</td></tr></table>"
+    table = "<table class='table_for_data'><tr><td><a href='/x'>Tutor</a></td><td><strong>College</strong></td><td>10/1/2026</td><td>Open until filled</td><td>Open</td><td><a href='https://a.com/job_detail/GJF-1'>d</a></td></tr><tr><td>Old</td><td></td><td></td><td></td><td>Closed</td></tr></table>"
     sections = "<main><h4>Driver</h4><p>Date posted: October 2, 2026</p><p>Pay $15.00 per hour</p><p>Job description: drives.</p><h4>Cook</h4><p>cooks</p></main>"
     read = lambda kind, html, **k: boards.parse_board(spark.createDataFrame([("https://a.com/jobs", html)], "url string, content string"), kind, **k).orderBy("pos").collect()
     (r,) = read("job_table", table)

@@ -124,7 +124,7 @@ def _board(spark, d, kind, *parts, **options):
 
 @query("board_table", "SELECT 'https://b.example.com/job_detail/' || p_partkey AS url, p_name AS title, p_brand AS employer, CAST(CAST(DATE '2024-01-01' + CAST(p_partkey % 300 AS INT) AS DATE) AS VARCHAR) AS open_date, CASE WHEN p_partkey % 2 = 0 THEN 'Open until filled' END AS close_note, 'https://b.example.com/' || p_partkey || '.pdf' AS pdf_url FROM part WHERE p_partkey % 5 > 0")
 def board_table(spark, d):
-    row = joined("<table><tr><th>Title</th></tr><tr><td><a href='/x'>", F.col("p_name"), "</a> Category: none</td><td><strong>", F.col("p_brand"), "</strong> more</td><td>", F.date_format(_DAY(), "M/d/yyyy"), "</td><td>", by(2, "Open until filled", "12/31/2024", key=P()), "</td><td>", F.when(P() % 5 == 0, "Closed").otherwise("Open"), "</td><td><a href='/application.pdf'>Application</a><a href='/", _KEY(), ".pdf'>pdf</a><a href='/job_detail/", _KEY(), "'>detail</a></td></tr></table>")
+    row = joined("<table><tr><td>a</td><td>b</td><td>c</td><td>d</td></tr></table><table id='example'><tr><th>Title</th></tr><tr><td><a href='/x'>", F.col("p_name"), "</a> Category: none</td><td><strong>", F.col("p_brand"), "</strong> more</td><td>", F.date_format(_DAY(), "M/d/yyyy"), "</td><td>", by(2, "Open until filled", "12/31/2024", key=P()), "</td><td>", F.when(P() % 5 == 0, "Closed").otherwise("Open"), "</td><td><a href='/application.pdf'>Application</a><a href='/", _KEY(), ".pdf'>pdf</a><a href='/job_detail/", _KEY(), "'>detail</a></td></tr></table>")
     return _board(spark, d, "job_table", row).select("url", "title", "employer", F.col("open_date").cast("string").alias("open_date"), "close_note", "pdf_url")
 
 
@@ -167,6 +167,45 @@ def board_details(spark, d):
     return boards.detail_fields(table(spark, d, "part").select(joined("https://b.example.com/", _KEY()).alias("url"), page.alias("content"))).select("url", "pay", "location", "description", F.col("close_date").cast("string").alias("close_date"))
 
 
+def _details(spark, d, kind, page, **known):
+    """Postings that know some fields already, and what their pages add."""
+    rows = table(spark, d, "part").select(joined("https://b.example.com/", _KEY()).alias("url"), page.alias("content"), *(v.alias(k) for k, v in known.items()))
+    told = boards.posting_details(rows.select("url", "content"), kind)
+    out = boards.with_details(rows.drop("content"), told, kind)
+    return out.select(*(F.col(c).cast("string").alias(c) for c in out.columns))
+
+
+_DATE = "CAST(CAST(DATE '2024-01-01' + CAST(p_partkey % 300 AS INT) AS DATE) AS VARCHAR)"
+
+
+@query("detail_items", "SELECT 'https://b.example.com/' || p_partkey AS url, CASE WHEN p_partkey % 2 = 0 THEN 'known' ELSE '$' || p_size END AS pay, p_type AS location, CASE WHEN p_partkey % 3 = 0 THEN 'short' ELSE 'Do ' || p_name END AS description, 'https://b.example.com/' || p_partkey || '.pdf' AS pdf_url FROM part")
+def detail_items(spark, d):
+    item = lambda name, value: joined("<div class='item'><div class='name-column'>", name, "</div><div class='name-entity'>", value, "</div></div>")
+    text = F.when(P() % 3 == 0, "View the Job Announcement").otherwise(joined("Do ", F.col("p_name")))
+    page = joined(item("Salary Range", joined("$", F.col("p_size").cast("string"))), item("Job Location", F.col("p_type")), item("Job Description", joined("<a href='/x.html'></a><a href='/", _KEY(), ".pdf'>", text, "</a>")), item("Other", "x"))
+    return _details(spark, d, "job_table", page, pay=F.when(P() % 2 == 0, "known"), location=F.lit("Here"), description=F.lit("short"), pdf_url=null("string"))
+
+
+@query("detail_labels", f"SELECT 'https://b.example.com/' || p_partkey AS url, '$' || p_size AS pay, p_brand AS employer, '2024-01-01' AS open_date, {_DATE} AS close_date, 'Do ' || p_name || '. And more.' AS description FROM part")
+def detail_labels(spark, d):
+    row = lambda name, value: joined("<tr><td class='job-label'>", name, "</td><td>", value, "</td></tr>")
+    page = joined("<table>", row("Salary", joined("$", F.col("p_size").cast("string"))), row("Department", F.col("p_brand")), row("Open Date", "soon"), row("Close Date", F.date_format(_DAY(), "MM/dd/yyyy")), "</table><h2>Duties</h2><p>Not this.</p><h2> Summary </h2><div><p>Do ", F.col("p_name"), ".</p></div><h3>More</h3><p>And more.</p><h2>Next</h2><p>Nor this.</p>")
+    return _details(spark, d, "federal_table", page, pay=F.lit("known"), employer=F.lit("x"), open_date=F.lit(dt.date(2024, 1, 1)), close_date=null("date"), description=null("string"))
+
+
+@query("detail_headed", "SELECT 'https://b.example.com/' || p_partkey AS url, CASE WHEN p_partkey % 2 = 0 THEN 'Do ' || p_name || ' every day' ELSE 'A text that is longer than what the page of it has to say' END AS description FROM part")
+def detail_headed(spark, d):
+    page = joined("<div><h3>Other</h3><div><h3>Job: ", F.col("p_name"), "</h3><p>Do ", F.col("p_name"), "</p> every day</div></div>")
+    return _details(spark, d, "cards", page, description=by(2, "Do", "A text that is longer than what the page of it has to say", key=P()))
+
+
+@query("detail_table", f"SELECT 'https://b.example.com/' || p_partkey AS url, '$' || p_size AS pay, p_type AS location, CASE WHEN p_partkey % 2 = 0 THEN {_DATE} END AS close_date, CASE WHEN p_partkey % 2 = 1 THEN 'Open until filled' END AS close_note FROM part")
+def detail_table(spark, d):
+    row = lambda name, value: joined("<tr><th>", name, "</th><td>", value, "</td></tr>")
+    page = joined("<table>", row("Pay Rate", joined("$", F.col("p_size").cast("string"))), row("Salary", "later"), row("Location of work", F.col("p_type")), row("Deadline", by(2, F.date_format(_DAY(), "MMMM d, yyyy"), "Open until filled", key=P())), "</table>")
+    return _details(spark, d, "university", page, pay=null("string"), location=F.lit("Here"), close_date=null("date"), close_note=null("string"))
+
+
 @query("federal_api", "SELECT 'https://f.example.com/' || p_partkey AS url, p_name AS title, CASE WHEN p_partkey % 2 = 0 THEN p_brand ELSE 'Bureau' END AS employer, '$' || format('{:,.2f}', p_retailprice) || ' per hour' AS pay, 'Guam' AS location, CAST(CAST(DATE '2024-01-01' + CAST(p_partkey % 300 AS INT) AS DATE) AS VARCHAR) AS open_date FROM part")
 def federal_api(spark, d):
     s = lambda v, n: (F.lit(v) if isinstance(v, str) else v).alias(n)
