@@ -158,8 +158,21 @@ def excluded(url: Column, patterns: list[str]) -> Column:
     return out
 
 
+UUID = "[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}"
+
+
 def path_shape(url: Column) -> Column:
-    """The form of a path: numbers as 0, long slugs as *, other segments as they are."""
+    """The form of a path: dates, years, numbers, identifiers and long names by what they are, other segments as they stand."""
     path = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
-    shape = F.transform(F.split(path, "/"), lambda s: F.when(s.rlike(r"^\d+$"), "0").when((F.length(s) >= 20) | s.rlike("-.*-"), "*").otherwise(s))
-    return F.array_join(shape, "/")
+
+    def shaped(segment: Column) -> Column:
+        def told(s: Column) -> Column:
+            slug = (F.size(F.split(s, "-", -1)) > 3) & ~s.contains("{uuid}")
+            number = F.when(s.rlike(r"^(19|20)\d\d$"), "{year}").otherwise("{n}")
+            return F.when(s.rlike(r"^\d{4}-\d\d-\d\d$"), "{date}").when(s.rlike(r"^\d+$"), number).when(slug, F.concat(F.lit("{slug}"), F.regexp_extract(s, r"(\.\w+)$", 1))).otherwise(F.regexp_replace(s, r"\d{5,}", "{id}"))
+
+        return F.transform(F.array(F.regexp_replace(segment, f"(?i){UUID}", "{uuid}")), told)[0]
+
+    parts = F.transform(F.filter(F.split(path, "/"), lambda p: p != ""), shaped)
+    end = F.when(path.endswith("/") & (F.size(parts) > 0), "/").otherwise("")
+    return F.concat(F.lit("/"), F.array_join(parts, "/"), end)

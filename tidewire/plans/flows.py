@@ -16,7 +16,7 @@ from tidewire.operators import state as S
 from tidewire.plans.registry import query
 from tidewire.plans.rules import TOPICS
 from tidewire.plans.stand_ins import JOBS, NOW, STORIES, articles, jobs, sources, table
-from tidewire.plans.texts import FAR, NUMBER, K, P, by, docs, joined
+from tidewire.plans.texts import _NUMBER_SHAPE, FAR, NUMBER, K, P, by, docs, joined
 from tidewire.schemas import SCHEMAS
 from tidewire.sources import apis, boards
 from tidewire.sources import pages as PG
@@ -75,7 +75,7 @@ def advertised_feeds(spark, d):
     return PG.advertised_feeds(docs(spark, d).select(F.lit("https://www.example.com/news").alias("url"), page.alias("content"))).select("url")
 
 
-@query("link_shape_counts", "SELECT '/news/0' AS shape, count(*) AS n FROM documents UNION ALL SELECT '/news/*', count(*) FROM documents UNION ALL SELECT '/about', count(*) FROM documents WHERE doc_id % 2 = 0")
+@query("link_shape_counts", f"SELECT '/news/' || {_NUMBER_SHAPE} AS shape, count(*) AS n FROM documents GROUP BY 1 UNION ALL SELECT '/news/{{slug}}', count(*) FROM documents UNION ALL SELECT '/about', count(*) FROM documents WHERE doc_id % 2 = 0")
 def link_shape_counts(spark, d):
     page = joined('<a href="/news/', NUMBER(), '">a</a><a href="news/a-long-name-', NUMBER(), '">b</a>', by(2, '<a href="/about">c</a>', ""))
     return PG.link_shapes(docs(spark, d).select(F.lit("https://www.example.com/").alias("url"), page.alias("content"))).select("shape", "n")

@@ -169,9 +169,19 @@ def usable_pictures(spark, d):
     return docs(spark, d).select("doc_id", U.usable_image(u).alias("image_url"))
 
 
-@query("url_shapes", "SELECT doc_id, '/news/0/' || CASE WHEN doc_id % 2 = 0 THEN '*' ELSE 'short' END || '/' AS shape FROM documents")
+_NUMBER_SHAPE = r"CASE WHEN regexp_matches(CAST(doc_id AS VARCHAR), '^(19|20)\d\d$') THEN '{year}' ELSE '{n}' END"
+
+
+@query("url_shapes", f"SELECT doc_id, '/news/' || {_NUMBER_SHAPE} || ['/{{slug}}.html/', '/short', '/{{date}}/', '/x_{{uuid}}.html', '/v{{id}}-a'][1 + doc_id % 5] AS shape FROM documents")
 def url_shapes(spark, d):
-    return docs(spark, d).select("doc_id", U.path_shape(joined("https://a.com/news/", NUMBER(), "/", by(2, joined("a-long-name-", NUMBER()), "short"), "/?x=1")).alias("shape"))
+    last = by(5, joined("/a-long-name-", NUMBER(), ".html/"), "//short", "/2024-01-02/", "/x_0a1b2c3d-0000-1111-2222-0123456789ab.html", "/v123456-a")
+    return docs(spark, d).select("doc_id", U.path_shape(joined("https://a.com/news/", NUMBER(), last, "?x=1")).alias("shape"))
+
+
+@query("cms_marks", "SELECT doc_id, ['WordPress 6.1, WordPress', 'BLOX/TownNews', 'unknown', 'Drupal, Wix'][1 + doc_id % 4] AS cms FROM documents")
+def cms_marks(spark, d):
+    page = by(4, '<meta name="generator" content="WordPress 6.1"><img src="/wp-content/a.jpg">', "<div class='tncms-x'>townnews</div>", joined("<p>", NUMBER(), "</p>"), "<script src='https://static.wixstatic.com/x'></script><div data-drupal-x></div>")
+    return docs(spark, d).select("doc_id", T._udf(H.cms_of)(page).alias("cms"))
 
 
 @query("url_excluded", "SELECT doc_id, doc_id % 4 IN (1, 2) AS excluded FROM documents")
