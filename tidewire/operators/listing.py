@@ -150,6 +150,16 @@ def offered_sources(articles: DataFrame, sources: DataFrame, keep: set[str] | fr
     return rows.where(F.col("has") | F.col("slug").isin(list(keep))).select("slug", "name").orderBy("name", "slug")
 
 
+def listed_status(status: DataFrame, collectable: DataFrame) -> DataFrame:
+    """Rows of `source_status` of the sources (slug) that are configured and can be collected."""
+    return status.join(collectable.select("slug"), "slug", "left_semi")
+
+
+def sidebar_sources(offered: DataFrame, left_out: DataFrame) -> DataFrame:
+    """Rows of `offered_sources` without those (slug) that can't be collected or are hidden."""
+    return offered.join(left_out.select("slug"), "slug", "left_anti")
+
+
 def last_updated(sources: DataFrame) -> DataFrame:
     return sources.agg(F.max("last_run_at").alias("last_run_at"))
 

@@ -6,6 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from tidewire import config
 from tidewire.functions import html as H
 from tidewire.functions import keywords as KW
 from tidewire.operators import ingest as I
@@ -75,12 +76,36 @@ def advertised_feeds(spark, d):
     return PG.advertised_feeds(docs(spark, d).select(F.lit("https://www.example.com/news").alias("url"), page.alias("content"))).select("url")
 
 
-@query("link_shape_counts", f"SELECT '/news/' || {_NUMBER_SHAPE} AS shape, count(*) AS n FROM documents GROUP BY 1 UNION ALL SELECT '/news/{{slug}}', count(*) FROM documents UNION ALL SELECT '/about', count(*) FROM documents WHERE doc_id % 2 = 0")
+@query("link_shape_counts", f"SELECT 'www.example.com/news/' || {_NUMBER_SHAPE} AS shape, count(*) AS n FROM documents GROUP BY 1 UNION ALL SELECT 'www.example.com/news/{{slug}}', count(*) FROM documents UNION ALL SELECT 'www.example.com/about', 1")
 def link_shape_counts(spark, d):
-    page = joined('<a href="/news/', NUMBER(), '">a</a><a href="news/a-long-name-', NUMBER(), '">b</a>', by(2, '<a href="/about">c</a>', ""))
+    page = joined('<a href="/news/', NUMBER(), '">a</a><a href="news/a-long-name-', NUMBER(), '">b</a>', by(2, '<a href="/about">c</a><a href="https://other.org/x">d</a>', ""))
     return PG.link_shapes(docs(spark, d).select(F.lit("https://www.example.com/").alias("url"), page.alias("content"))).select("shape", "n")
 
 
+@query("repeated_blocks", "SELECT 'https://a.com/' || doc_id AS page_url, 'li.job.open' AS block, CAST(3 + doc_id % 4 AS INT) AS n, 'Job ' || doc_id AS example FROM documents")
+def repeated_blocks(spark, d):
+    entry = joined("<li class='job  open'><b class='t'>Job</b> ", NUMBER(), "</li>")
+    page = joined("<div class='a'></div><div class='a'></div><ul>", F.array_join(F.array_repeat(entry, (3 + K() % 4).cast("int")), "<li>x</li>"), "</ul>")
+    return PG.repeated_blocks(docs(spark, d).select(joined("https://a.com/", NUMBER()).alias("url"), page.alias("content"))).select("page_url", "block", "n", "example")
+
+
+_CONFIG = {"defaults": {}, "sources": [{"slug": f"src{k}", "name": f"Source {k}", "feeds": "https://a.com/f"} | ({"cannot_scrape": "closed"} if k % 5 == 0 else {}) | ({"only_in_topic": "club"} if k % 5 == 1 else {}) for k in range(12)]}
+
+
+def _config():
+    return config.load(_CONFIG, {"categories": [{"slug": "club", "name": "Club"}]})
+
+
+@query("status_listed", f"{STORIES} SELECT s.slug, count(a.id) AS total FROM sources s LEFT JOIN articles a ON a.source_id = s.id WHERE s.id < 12 AND s.id % 5 > 0 GROUP BY 1")
+def status_listed(spark, d):
+    return L.listed_status(L.source_status(articles(spark, d), sources(spark, d), NOW), _config().collectable(spark)).select("slug", "total")
+
+
+@query("sidebar_sources", f"{STORIES} SELECT s.slug, s.name FROM sources s LEFT JOIN articles a ON a.source_id = s.id WHERE s.id >= 12 OR s.id % 5 > 1 GROUP BY 1, 2 HAVING count(a.id) > 0")
+def sidebar_sources(spark, d):
+    return L.sidebar_sources(L.offered_sources(articles(spark, d), sources(spark, d)), _config().left_out(spark)).select("slug", "name")
+
+
 @query("sitemap_rows", "SELECT 'https://a.com/' || doc_id AS loc, CASE WHEN doc_id % 2 = 0 THEN 'url' ELSE 'sitemap' END AS kind, CASE WHEN doc_id % 3 = 0 THEN TIMESTAMP '2024-01-01' + to_minutes(CAST(doc_id AS INT)) END AS lastmod FROM documents")
 def sitemap_rows(spark, d):
     stamp = by(3, joined("<lastmod>", _ISO(), "</lastmod>"), "", "<lastmod>never</lastmod>")

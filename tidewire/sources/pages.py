@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidewire.functions import html as H
 from tidewire.functions.dates import parse_datetime, parsed
 from tidewire.functions.text import clean, clean_text, first_distinct, headline, intro
-from tidewire.functions.urls import excluded, looks_like_article, match_key, normalize_url, normalized, same_site, shows_nothing, unwrap_redirect
+from tidewire.functions.urls import excluded, host_of, looks_like_article, match_key, normalize_url, normalized, path_shape, same_site, shows_nothing, unwrap_redirect
 
 IMG = re.compile(r"<img[^>]+src=[\"']([^\"']+)", re.I)
 ENTRY = "url string, pos int, title string, summary string, image string, published string, author string, tags array<string>"
@@ -210,11 +210,16 @@ def page_facts(pages: DataFrame) -> DataFrame:
 
 
 def link_shapes(pages: DataFrame, top: int = 15) -> DataFrame:
-    """The commonest forms of links on pages, with two examples each."""
-    from tidewire.functions.urls import path_shape
+    """The commonest forms of the different links within pages' own sites, with two examples each."""
+    rows = _exploded(pages, lambda c: [(x["href"],) for x in H.links(c)], "href string", "content").withColumn("url", normalize_url(F.col("href"), F.col("page_url")))
+    rows = rows.where(F.col("url").isNotNull() & same_site(F.col("url"), F.col("page_url"))).select("page_url", "url").distinct()
+    shape = F.concat(host_of(F.col("url")), path_shape(F.col("url")))
+    return rows.groupBy(shape.alias("shape")).agg(F.count("*").alias("n"), F.array_compact(F.array(F.min("url"), F.nullif(F.max("url"), F.min("url")))).alias("examples")).orderBy(F.desc("n"), "shape").limit(top)
 
-    rows = _exploded(pages, lambda c: [(x["href"],) for x in H.links(c)], "href string", "content").withColumn("url", normalize_url(F.col("href"), F.col("page_url"))).where("url IS NOT NULL")
-    return rows.groupBy(path_shape(F.col("url")).alias("shape")).agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_set("url")), 1, 2).alias("examples")).orderBy(F.desc("n"), "shape").limit(top)
+
+def repeated_blocks(pages: DataFrame, least: int = 3) -> DataFrame:
+    """page_url, block (tag and classes), n and the first one's text, of blocks that stand `least` times or more under one parent: where a listing's entries are."""
+    return _exploded(pages, lambda c: H.repeated(c, least), "block string, n int, example string", "content")
 
 
 def merged_candidates(found: DataFrame, by: tuple[str, ...] = ("key",)) -> DataFrame:
