@@ -179,6 +179,36 @@ def test_two_rounds(spark, tmp_path):
     assert held(runs.by_path(cand([(1, "a", None, [])])), "via", "n") == [("feed", 1)]
 
 
+def test_rounds_over_a_folder(spark, tmp_path):
+    """Two rounds and a change of topics over stored tables, from feeds and a fetch log to stories."""
+    cats = {"categories": [{"slug": "sea", "name": "Sea", "keywords": ["storm"], "min_score": 1}, {"slug": "local", "name": "Local", "keywords": ["zzz"], "fallback": True}]}
+    c = config.load({"sources": [{"slug": "news", "name": "News", "feeds": "https://news.example.com/feed"}]}, cats)
+    html = "<html><head><meta property='og:title' content='{0}'><meta property='article:published_time' content='2026-10-29T08:00:00Z'></head><body><article><p>The storm of the week passed over the island on Thursday, and the harbour opened again. {0} was all that was asked for by those who had to wait for it.</p></article></body></html>"
+    at = ["https://news.example.com/2026/10/storm/", "https://news.example.com/guid-story"]
+    log = spark.createDataFrame([(u, 200 if i == 0 else 500, False, "text/html", u, html.format("Storm & sea")) for i, u in enumerate(at)], "url string, http_status int, robots boolean, content_type string, page_url string, content string")
+    feeds = spark.createDataFrame([("news", "feed", "https://news.example.com/feed", FEED)], "slug string, kind string, url string, content string")
+    folder = f"file://{tmp_path}/state"
+    n = rounds.run_round(spark, folder, feeds, log, c, NOW)
+    assert (n["articles"], n["seen"], n["pending"], n["runs"], n["sources"]) == (1, 1, 0, 1, 1)
+    story = rounds.stored_tables(spark, folder)["articles"].read().first()
+    assert (story["url"], story["title"], story["categories"]) == (at[0], "Storm & sea", ["sea"])
+    n = rounds.run_round(spark, folder, feeds, log, c, NOW + dt.timedelta(hours=2))
+    assert (n["articles"], n["runs"]) == (1, 2) and rounds.stored_tables(spark, folder)["seen"].read().first()["attempts"] == 2
+    cats["categories"][0]["keywords"] = ["snow"]
+    assert rounds.reclassify(spark, folder, config.load({"sources": [{"slug": "news", "name": "News", "feeds": "https://news.example.com/feed"}]}, cats)) == 1
+    assert rounds.stored_tables(spark, folder)["articles"].read().first()["categories"] == ["local"]
+
+
+def test_board_check_over_a_folder(spark, tmp_path):
+    row = "<tr><td><a href='/x'>{0}</a></td><td><strong>College</strong></td><td>10/1/2026</td><td>Open until filled</td><td>Open</td><td><a href='https://a.com/job_detail/{0}'>d</a></td></tr>"
+    page = lambda *names: spark.createDataFrame([("https://a.com/jobs", "<table id='example'>" + "".join(map(row.format, names)) + "</table>")], "url string, content string")
+    folder = f"file://{tmp_path}/state"
+    assert jobs.check_board(spark, folder, "job_table", page("a", "b"), 1, NOW) == 2
+    assert jobs.check_board(spark, folder, "job_table", page("b", "c"), 1, NOW + dt.timedelta(days=1)) == 3
+    stored = state.VersionedTable(spark, f"{folder}/jobs", SCHEMAS["jobs"]).read().collect()
+    assert {(r["title"], r["removed_at"] is not None) for r in stored} == {("a", True), ("b", False), ("c", False)} and len({r["id"] for r in stored}) == 3
+
+
 def test_fetching_rules():
     told, slept = [], []
 

@@ -5,6 +5,9 @@
     python -m tidewire.cli extract pages/ out.parquet
     python -m tidewire.cli config sources.yaml categories.yaml [boards.yaml]
     python -m tidewire.cli probe pages/
+    python -m tidewire.cli round state/ pages.parquet log.parquet sources.yaml categories.yaml
+    python -m tidewire.cli reclassify state/ sources.yaml categories.yaml
+    python -m tidewire.cli board job_table jobs/ pages/ source_id
 """
 
 from __future__ import annotations
@@ -28,6 +31,18 @@ def main(argv: list[str] | None = None) -> None:
     config.add_argument("files", nargs="+")
     probe = sub.add_parser("probe")
     probe.add_argument("pages")
+    round_ = sub.add_parser("round")
+    for name in ("state", "pages", "log"):
+        round_.add_argument(name)
+    round_.add_argument("files", nargs="+")
+    again = sub.add_parser("reclassify")
+    again.add_argument("state")
+    again.add_argument("files", nargs="+")
+    board = sub.add_parser("board")
+    board.add_argument("kind")
+    board.add_argument("state")
+    board.add_argument("pages")
+    board.add_argument("source", type=int)
     a = p.parse_args(argv)
     if a.command == "config":
         from tidewire.config import read
@@ -48,6 +63,20 @@ def main(argv: list[str] | None = None) -> None:
         QUERIES[a.name](spark, a.tables).show(a.rows, truncate=80)
     elif a.command == "extract":
         pages.extract_articles(pages.read_pages(spark, a.pages), dt.datetime.now(dt.UTC)).write.parquet(a.out)
+    elif a.command == "round":
+        from tidewire.config import read
+        from tidewire.operators.rounds import run_round
+
+        print(run_round(spark, a.state, spark.read.parquet(a.pages), spark.read.parquet(a.log), read(*a.files), dt.datetime.now(dt.UTC)))
+    elif a.command == "reclassify":
+        from tidewire.config import read
+        from tidewire.operators.rounds import reclassify
+
+        print(f"{reclassify(spark, a.state, read(*a.files))} stories")
+    elif a.command == "board":
+        from tidewire.operators.jobs import check_board
+
+        print(f"{check_board(spark, a.state, a.kind, pages.read_pages(spark, a.pages), a.source, dt.datetime.now(dt.UTC))} postings")
     else:
         pages.link_shapes(pages.read_pages(spark, a.pages)).show(truncate=80)
 

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions.text import like_pattern, title_key, unaccent
 from tidewire.operators.listing import Page, paged
-from tidewire.operators.state import greatest, numbered
+from tidewire.operators.state import VersionedTable, greatest, numbered
+from tidewire.schemas import SCHEMAS
+from tidewire.sources.boards import parse_board
 
 
 def is_open(today: dt.date) -> Column:
@@ -104,3 +106,14 @@ def paired_with_pdfs(postings: DataFrame) -> DataFrame:
     merged = portal.join(given, "url", "left").withColumn("pdf_url", F.coalesce("pdf_url", "_pdf"))
     others = postings.where("reference IS NULL AND pdf_url IS NULL")
     return merged.select(*postings.columns).unionByName(twins.where("_twin IS NULL").select(*postings.columns)).unionByName(others)
+
+
+def check_board(spark: SparkSession, folder: str, kind: str, pages: DataFrame, source_id: int, now: dt.datetime, complete: bool = True, employer: str | None = None, location: str | None = None) -> int:
+    """Reads a board's pages (url, content) and brings the stored jobs of a folder in line with them; how many jobs there are then."""
+    table = VersionedTable(spark, f"{folder.rstrip('/')}/jobs", SCHEMAS["jobs"])
+    with table.exclusive():
+        listed = parse_board(pages, kind, employer, location)
+        if kind == "university":
+            listed = paired_with_pdfs(listed)
+        table.write(reconciled(table.read(), listed, source_id, now, complete))
+    return table.read().count()

@@ -6,12 +6,19 @@ import datetime as dt
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewire.functions.keywords import Topic
+from tidewire.config import Config
+from tidewire.functions.keywords import Topic, reclassified
 from tidewire.operators import ingest, runs, state
-from tidewire.sources.pages import merged_candidates
+from tidewire.schemas import SCHEMAS
+from tidewire.sources.pages import extract_articles, merged_candidates, parse_feeds, parse_listings
+
+#: Columns of pages that wait, and of extracted pages beside their address.
+PENDING = "source_id int, pos int, url string, key string, via string, title string, summary string, image_url string, published_at timestamp, author string, tags array<string>"
+EXTRACTED = ("canonical_url", "title", "intro", "description", "image_url", "published_at", "author", "section", "keywords", "site_name", "is_article")
+STORED = {"articles": SCHEMAS["articles"], "seen": SCHEMAS["seen_urls"], "pending": PENDING, "ignored_images": SCHEMAS["ignored_images"], "runs": SCHEMAS["scrape_runs"]}
 
 
 @dataclass(frozen=True)
@@ -56,3 +63,60 @@ def ingest_round(tables: Tables, found: DataFrame, fetch: Callable[[DataFrame],
     results = read.join(tried, "source_id", "left").select("source_id", *nothing, "error")
     log = runs.closed(runs.opened(tables.runs, read, now), results, now)
     return Tables(ingest.without_images(articles, generic), seen, pending.select(*tables.pending.columns), ignored, log)
+
+
+def stored_tables(spark: SparkSession, folder: str) -> dict[str, state.VersionedTable]:
+    """The tables of a folder by the names of `Tables`, and the sources."""
+    at = folder.rstrip("/")
+    return {name: state.VersionedTable(spark, f"{at}/{name}", schema) for name, schema in (STORED | {"sources": SCHEMAS["sources"]}).items()}
+
+
+def run_round(spark: SparkSession, folder: str, pages: DataFrame, log: DataFrame, config: Config, now: dt.datetime, most: int = 40) -> dict[str, int]:
+    """A round over the tables of a folder, whose next versions it writes: the numbers of rows by table.
+
+    pages (slug, kind, url, content) are the feeds and listing pages that were read; log (url, http_status, robots, content_type,
+    page_url, content) is what was fetched of the addresses that candidates have, also of ones that no candidate has. The sources are brought in line
+    with the configuration first. The articles' lock keeps a second writer out.
+    """
+    tables = stored_tables(spark, folder)
+    with tables["articles"].exclusive():
+        told = config.sources_frame(spark)
+        tables["sources"].write(state.synced(tables["sources"].read(), told.select("slug", "name", "homepage", "enabled")))
+        ids = tables["sources"].read().select("id", "slug")
+        sources = told.join(ids, "slug")
+        owned = pages.join(ids.withColumnRenamed("id", "source_id"), "slug")
+        owner = owned.select(F.col("url").alias("page_url"), "source_id").distinct()
+        feeds = parse_feeds(owned.where("kind = 'feed'").select("url", "content"), now)
+        listings = parse_listings(owned.where("kind = 'listing'").select("url", "content"))
+        columns = [c.split()[0] for c in PENDING.split(", ")]
+        found = feeds.unionByName(listings, allowMissingColumns=True).join(owner, "page_url").select(*columns)
+
+        def keep(rows: DataFrame, name: str) -> DataFrame:
+            scratch = state.VersionedTable(spark, f"{folder.rstrip('/')}/scratch-{name}", ", ".join(f"`{c}` {t}" for c, t in rows.dtypes))
+            scratch.write(rows)
+            scratch.keep(1)
+            return scratch.read()
+
+        def fetch(wanted: DataFrame) -> DataFrame:
+            mine = log.join(wanted.select(F.col("key").alias("url")).distinct(), "url", "left_semi")
+            told = extract_articles(mine.where("http_status = 200").select("url", "content"), now).select("url", *EXTRACTED)
+            return mine.drop("content").join(told, "url", "left")
+
+        before = Tables(**{name: tables[name].read() for name in STORED})
+        after = ingest_round(before, keep(found, "found"), fetch, sources, list(config.topics), config.places, now, most, keep)
+        for name in STORED:  # all read the versions before, so the order doesn't matter
+            tables[name].write(getattr(after, name))
+    return {name: table.read().count() for name, table in tables.items()}
+
+
+def reclassify(spark: SparkSession, folder: str, config: Config) -> int:
+    """Gives the stored stories of a folder the topics that the configuration gives them now; how many changed."""
+    tables = stored_tables(spark, folder)
+    with tables["articles"].exclusive():
+        articles = tables["articles"].read()
+        told = config.sources_frame(spark).select("slug", F.col("categories").alias("forced"), F.col("only_in_topic").alias("only"))
+        changed = reclassified(articles, list(config.topics), tables["sources"].read().select("id", "slug").join(told, "slug"))
+        n = changed.count()
+        if n:
+            tables["articles"].write(state.upserted(articles, changed, "id"))
+    return n
