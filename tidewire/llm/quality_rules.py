@@ -56,12 +56,16 @@ PROSE_POLICY = Policy("prose", 1, tuple(RULES))
 def repeated_window_words(tokens: Column) -> Column:
     """How many words stand in a three-word window that occurs twice or more among tokens.
 
-    Windows are sorted by hash beside their position, so equal windows become neighbours; the rest is
-    the total length of a union of intervals of three. n log n in the length of the text.
+    Only texts whose windows' hashes aren't all different go on: their windows are sorted by hash beside their position,
+    so equal windows become neighbours; the rest is the total length of a union of intervals of three. n log n in the
+    length of the text.
     """
 
     def hashed(t):
-        return F.transform(F.sequence(F.lit(0), F.size(t) - 3), lambda i: F.struct(F.xxhash64(F.get(t, i), F.get(t, i + 1), F.get(t, i + 2)).alias("h"), i.alias("i")))
+        return F.transform(F.sequence(F.lit(0), F.size(t) - 3), lambda i: F.xxhash64(F.get(t, i), F.get(t, i + 1), F.get(t, i + 2)))
+
+    def placed(hashes):
+        return F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i")))
 
     def repeated(s):
         same = lambda x, k: F.coalesce(F.get(s, k)["h"] == x["h"], F.lit(False))
@@ -70,8 +74,9 @@ def repeated_window_words(tokens: Column) -> Column:
     def covered(r):
         return F.aggregate(F.transform(r, lambda p, k: F.least(F.lit(3), F.coalesce(F.get(r, k + 1) - p, F.lit(3)))), F.lit(0), lambda a, x: a + x)
 
-    positions = lambda t: F.sort_array(F.transform(let(F.sort_array(hashed(t)), repeated), lambda x: x["i"]))
-    return F.when(F.size(tokens) < 3, 0).otherwise(let(tokens, lambda t: let(positions(t), covered))).cast("long")
+    positions = lambda hashes: F.sort_array(F.transform(let(F.sort_array(placed(hashes)), repeated), lambda x: x["i"]))
+    words_of = lambda hashes: F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), 0).otherwise(let(positions(hashes), covered))
+    return F.when(F.size(tokens) < 3, 0).otherwise(let(tokens, lambda t: let(hashed(t), words_of))).cast("long")
 
 
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -90,7 +95,7 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             F.size("_l").cast("long").alias("n_lines"),
             (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
             repeated_window_words(F.col("_w")).alias("n_repeat_words"),
-            F.regexp_count(text, F.lit(r"\p{L}")).cast("long").alias("n_letters"),
+            F.length(F.regexp_replace(text, r"\P{L}+", "")).cast("long").alias("n_letters"),
             F.regexp_count(text, F.lit(r"\p{Lu}")).cast("long").alias("n_upper"),
             F.regexp_count(text, F.lit("!")).cast("long").alias("n_bangs"),
         )
