@@ -1,6 +1,6 @@
 """Connected components by alternating large and small stars, on DataFrames only.
 
-Rounds are written to the shared folder; neighbours are never gathered, only their least is aggregated,
+Rounds are written to the shared folder, each in place of the one before; neighbours are never gathered, only their least is aggregated,
 so a node with very many neighbours is a skewed join at most.
 """
 
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import stored
+from tidewire.llm.common import forget, stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -34,6 +34,9 @@ def components(edges: DataFrame) -> DataFrame:
         if mark == (new["n"], new["h"]) or new["n"] == 0:
             break
         mark = (new["n"], new["h"])
-        edges = stored(_small_star(stored(_large_star(edges), "large-star")), "small-star")
+        large = stored(_large_star(edges), "large-star")
+        small = stored(_small_star(large), "small-star")
+        forget(edges, large)
+        edges = small
     roots = edges.select("b").distinct()
     return edges.union(roots.select("b", "b")).toDF("node", "component")

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewire.llm.common import stored, text_key
+from tidewire.llm.common import forget, stored, text_key
 from tidewire.llm.components import components
 
 #: Of so many documents one is sampled to find frequent shingles; so many of those are put last.
@@ -181,6 +181,7 @@ def scouted(docs: DataFrame, size: int, threshold: int) -> tuple[np.ndarray, int
     told = {r["kind"]: r for r in lists.groupBy("kind").agg(F.sum("small").alias("small"), met.alias("met")).collect()}  # a row per size, of which there are at most 64 and 60 powers of two
     # of two sets that share an element both are in the sample once in SAMPLE_ONE_IN times
     shares = [min(1.0, SAMPLE_ONE_IN * told[x]["met"] / max(1, told[x]["small"])) if x in told else 0.0 for x in (0, 2)]
+    forget(sample)
     return last, boundary({-x: r["small"] for x, r in told.items() if x < 0}, *shares, threshold)
 
 
@@ -237,8 +238,8 @@ def lists(classes: DataFrame) -> DataFrame:
     return postings.repartition("token").sortWithinPartitions("token").mapInArrow(repeated, "token long, class long, n int, at int")
 
 
-def similar(pairs: DataFrame, first: DataFrame, docs: DataFrame, size: int, threshold: int) -> DataFrame:
-    """Of pairs (a, b) of classes those that link: bound by counts, then exact intersection of the two sets."""
+def similar(pairs: DataFrame, first: DataFrame, docs: DataFrame, size: int, threshold: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Of pairs (a, b) of classes those that link: bound by counts, then exact intersection of the two sets. And the stored tables that this reads."""
 
     def bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -253,9 +254,8 @@ def similar(pairs: DataFrame, first: DataFrame, docs: DataFrame, size: int, thre
     sized = (100 * F.least("na", "nb") >= threshold * F.greatest("na", "nb")) & (F.col("a") != F.col("b"))
     near = stored(pairs.join(side("a"), "a").join(side("b"), "b").where(sized).mapInArrow(bound, "a long, b long, na long, nb long"), "near-pairs")
     need = near.select(F.col("a").alias("class")).union(near.select("b")).distinct()
-    whole = stored(need.join(first, "class").select("class", F.col("doc_id").alias("_d"), F.col("fp").alias("_f")), "wanted-sets")
-    if whole.count() <= SENT:
-        whole = F.broadcast(whole)
+    wanted = stored(need.join(first, "class").select("class", F.col("doc_id").alias("_d"), F.col("fp").alias("_f")), "wanted-sets")
+    whole = F.broadcast(wanted) if wanted.count() <= SENT else wanted
     texts = docs.join(whole, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("fp") == F.col("_f"))).select("class", "text")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,7 +269,8 @@ def similar(pairs: DataFrame, first: DataFrame, docs: DataFrame, size: int, thre
     full = stored(texts.mapInArrow(make, "class long, s array<long>").dropDuplicates(["class"]), "sets")
     both = near.join(full.select(F.col("class").alias("a"), F.col("s").alias("sa")), "a").join(full.select(F.col("class").alias("b"), F.col("s").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
-    return both.select("a", "b", "na", "nb", common.cast("long").alias("c")).where(100 * F.col("c") >= threshold * (F.col("na") + F.col("nb") - F.col("c"))).select("a", "b")
+    links = both.select("a", "b", "na", "nb", common.cast("long").alias("c")).where(100 * F.col("c") >= threshold * (F.col("na") + F.col("nb") - F.col("c"))).select("a", "b")
+    return links, [near, wanted, full]
 
 
 def joined(docs: DataFrame, size: int = 4, threshold: int = 85) -> DataFrame:
@@ -290,17 +291,18 @@ def joined(docs: DataFrame, size: int = 4, threshold: int = 85) -> DataFrame:
     shared = found.join(lengths, "token").groupBy("class").agg(F.sum("len").alias("shared"))
     pivots = found.join(shared, "class").groupBy("token").agg(F.max_by("class", F.struct("shared", "class")).alias("a"))
     star = stored(found.join(pivots, "token").where("a <> class").select("a", F.col("class").alias("b")).distinct(), "star")
-    links = similar(star, first, docs, size, threshold)
+    links, read = similar(star, first, docs, size, threshold)
     reach = stored(components(links), "star-components").withColumnRenamed("node", "class")
     placed = found.join(reach, "class", "left").withColumn("component", F.coalesce("component", "class"))
     # lists that still meet several components: compare across them
     mixed = placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
     open_lists = stored(placed.join(mixed, "token"), "open-lists")
     across = crossing(open_lists, threshold).join(star, ["a", "b"], "left_anti")
-    more = similar(across, first, docs, size, threshold)
+    more, read_more = similar(across, first, docs, size, threshold)
     named = lambda x: reach.select(F.col("class").alias(x), F.col("component").alias(f"x{x}"))
     between = more.join(named("a"), "a", "left").join(named("b"), "b", "left").select(F.coalesce("xa", "a").alias("a"), F.coalesce("xb", "b").alias("b"))
     joint = components(between).select(F.col("node").alias("component"), F.col("component").alias("_joint"))
+    forget(classes, found, star, open_lists, *read, *read_more)  # all links are in the components
     placed = members.join(reach, "class", "left").withColumn("component", F.coalesce("component", "class"))
     return placed.join(joint, "component", "left").select("doc_id", "fp", "n", F.coalesce("_joint", "component").alias("component"))
 
