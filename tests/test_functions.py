@@ -59,8 +59,8 @@ def test_url_columns(spark):
 def test_text(spark):
     assert text.clean("a&amp;b​  c\\, d") == "a&b c, d"
     assert column(spark, ["a&amp;b​  c\\, d", None], text.clean_text) == ["a&b c, d", ""]
-    assert text.folded("Hagåtña ø") == "hagatna ø"
-    assert text.unaccented("Hagåtña ø ß") == "Hagatna o ss"
+    assert text.folded("Málaga ø") == "malaga ø"
+    assert text.unaccented("Málaga ø ß") == "Malaga o ss"
     cases = ["short", "One sentence that is long enough. Then more words follow here", "word " * 20, "x" * 60, "One. Then many more words follow, and so on and on", None]
     assert column(spark, cases, lambda c: text.truncate(c, 40)) == ["short", "One sentence that is long enough.", "word word word word word word word word…", "x" * 40 + "…", "One. Then many more words follow, and…", None]
     outlet = F.lit("Harbor Herald")
@@ -143,14 +143,14 @@ def test_html():
 def test_stemming():
     pairs = {"running": "run", "flies": "fli", "happily": "happili", "nationally": "nation", "relational": "relat", "generously": "generous", "hopping": "hop", "hoping": "hope", "agreed": "agre", "wages": "wage", "shortage": "shortag", "workers": "worker", "typhoon": "typhoon", "skies": "sky", "possibly": "possibl", "cries": "cri", "ties": "tie"}
     assert {w: stem(w) for w in pairs} == pairs
-    assert terms("The Workers of Hagåtña") == ["worker", "hagatna"]
+    assert terms("The Ferries of Málaga") == ["ferri", "malaga"]
 
 
 def test_query_grammar():
-    q = parse('"worker shortage" -typhoon')
-    assert q.matches({"worker": [3], "shortag": [4]}) and not q.matches({"worker": [3], "shortag": [5]}) and not q.matches({"worker": [1], "shortag": [2], "typhoon": [9]})
+    q = parse('"ferry timetable" -monsoon')
+    assert q.matches({"ferri": [3], "timet": [4]}) and not q.matches({"ferri": [3], "timet": [5]}) and not q.matches({"ferri": [1], "timet": [2], "monsoon": [9]})
     assert parse("a or wage").terms == ["wage"] and parse("-storm").needs_all and not parse("the of").alternatives
     near, far = {"a1": [1], "b1": [2]}, {"a1": [1], "b1": [9]}
     w = {"a1": ["A"], "b1": ["A"]}
     assert cover_rank(parse("a1 b1"), near, w) > cover_rank(parse("a1 b1"), far, w) > 0
-    assert word_similarity("andersn", "Base Andersen opens") >= 0.6 > word_similarity("zebra", "Base Andersen opens")
+    assert word_similarity("marcon", "Lighthouse Marconi opens") >= 0.6 > word_similarity("zebra", "Lighthouse Marconi opens")

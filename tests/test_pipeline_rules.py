@@ -24,7 +24,7 @@ ago = lambda **k: NOW - dt.timedelta(**k)
 
 FEED = """<rss xmlns:media="http://search.yahoo.com/mrss/" xmlns:dc="http://purl.org/dc/elements/1.1/"><channel>
 <item><title>Storm &amp;amp; sea</title><link>https://news.example.com/2026/10/storm/?utm_source=rss</link><pubDate>Thu, 29 Oct 2026 08:00:00 +1000</pubDate>
-<dc:creator>Jane Cruz</dc:creator><category>Weather</category><description>&lt;p&gt;Rain came.&lt;/p&gt; The post Storm appeared first on News.</description><media:content url="https://news.example.com/a.jpg" medium="image"/></item>
+<dc:creator>Ana Reyes</dc:creator><category>Weather</category><description>&lt;p&gt;Rain came.&lt;/p&gt; The post Storm appeared first on News.</description><media:content url="https://news.example.com/a.jpg" medium="image"/></item>
 <item><title>No link</title><guid>abc</guid></item><item><title>Guid</title><guid>https://news.example.com/guid-story</guid></item></channel></rss>"""
 ATOM = '<feed xmlns="http://www.w3.org/2005/Atom"><entry><title>T</title><link href="https://www.reddit.com/r/x/1"/><author><name>/u/me</name></author><content type="html">&lt;div class="md"&gt;&lt;p&gt;Body&lt;/p&gt;&lt;/div&gt;&lt;a href="https://i.redd.it/p.jpg"&gt;[link]&lt;/a&gt;</content></entry></feed>'
 
@@ -33,7 +33,7 @@ def test_feeds(spark):
     df = spark.createDataFrame([("https://news.example.com/feed", FEED), ("https://www.reddit.com/r/x/.rss", ATOM), ("https://b.example.com/f", "<rss><broken"), ("https://c.example.com/f", None)], "url string, content string")
     rows = {r["url"]: r for r in pages.parse_feeds(df, NOW).collect()}
     storm = rows["https://news.example.com/2026/10/storm/"]
-    assert (storm["title"], storm["author"], storm["tags"], storm["image_url"]) == ("Storm & sea", "Jane Cruz", ["Weather"], "https://news.example.com/a.jpg")
+    assert (storm["title"], storm["author"], storm["tags"], storm["image_url"]) == ("Storm & sea", "Ana Reyes", ["Weather"], "https://news.example.com/a.jpg")
     assert storm["published_at"] == dt.datetime(2026, 10, 28, 22)
     assert set(rows) == {"https://news.example.com/2026/10/storm/", "https://news.example.com/guid-story", "https://www.reddit.com/r/x/1"}
     post = rows["https://www.reddit.com/r/x/1"]
@@ -86,20 +86,20 @@ def test_reddit_and_apis(spark):
 
 
 def test_boards(spark):
-    table = "<table class='table_for_data'><tr><td><a href='/x'>Tutor</a></td><td><strong>College</strong></td><td>10/1/2026</td><td>Open until filled</td><td>Open</td><td><a href='https://a.com/job_detail/GJF-1'>d</a></td></tr><tr><td>Old</td><td></td><td></td><td></td><td>Closed</td></tr></table>"
+    table = "<table class='table_for_data'><tr><td><a href='/x'>Potter</a></td><td><strong>College</strong></td><td>10/1/2026</td><td>Open until filled</td><td>Open</td><td><a href='https://a.com/job_detail/GJF-1'>d</a></td></tr><tr><td>Old</td><td></td><td></td><td></td><td>Closed</td></tr></table>"
     sections = "<main><h4>Driver</h4><p>Date posted: October 2, 2026</p><p>Pay $15.00 per hour</p><p>Job description: drives.</p><h4>Cook</h4><p>cooks</p></main>"
     read = lambda kind, html, **k: boards.parse_board(spark.createDataFrame([("https://a.com/jobs", html)], "url string, content string"), kind, **k).orderBy("pos").collect()
     (r,) = read("job_table", table)
-    assert (r["url"], r["title"], r["employer"], r["open_date"], r["close_note"]) == ("https://a.com/job_detail/GJF-1", "Tutor", "College", dt.date(2026, 10, 1), "Open until filled")
+    assert (r["url"], r["title"], r["employer"], r["open_date"], r["close_note"]) == ("https://a.com/job_detail/GJF-1", "Potter", "College", dt.date(2026, 10, 1), "Open until filled")
     a, b = read("sections", sections, employer="Temps")
     assert (a["url"], a["pay"], a["open_date"], a["description"], a["employer"]) == ("https://a.com/jobs#driver", "$15.00 per hour", dt.date(2026, 10, 2), "drives.", "Temps") and b["pay"] is None
-    (r,) = read("pdf_links", "<h2>Core Tech Job Announcements</h2><a href='/a b.pdf'>Welder</a><a href='/f.pdf'>Application form</a>")
-    assert (r["url"], r["employer"]) == ("https://a.com/a%20b.pdf", "Core Tech")
-    (r,) = read("cards", "<div class='job-card'><h3><a href='/v.php?jobid=5&k=1'>Featured Guard</a></h3><i class='fa fa-usd'></i> 12 hour <i class='fa fa-briefcase'></i> Acme</div>")
-    assert (r["url"], r["title"], r["pay"], r["employer"]) == ("https://a.com/v.php?jobid=5", "Guard", "$12.00 per hour", "Acme")
+    (r,) = read("pdf_links", "<h2>Harbor Works Job Announcements</h2><a href='/a b.pdf'>Diver</a><a href='/f.pdf'>Application form</a>")
+    assert (r["url"], r["employer"]) == ("https://a.com/a%20b.pdf", "Harbor Works")
+    (r,) = read("cards", "<div class='job-card'><h3><a href='/v.php?jobid=5&k=1'>Featured Pilot</a></h3><i class='fa fa-usd'></i> 12 hour <i class='fa fa-briefcase'></i> Acme</div>")
+    assert (r["url"], r["title"], r["pay"], r["employer"]) == ("https://a.com/v.php?jobid=5", "Pilot", "$12.00 per hour", "Acme")
     assert boards.next_pages("<ul class=pagination><li><a href='?p=2'>2</a></ul>", "https://a.com/j") == ["https://a.com/j?p=2"]
     c = "url string, title string, pdf_url string, reference string"
-    twins = spark.createDataFrame([("p1", "Accountant II", None, "005-27"), ("p2", "Aide", None, "006-27"), ("p3", "Aide", None, "007-27"), ("d1", "005-27 Accountant II", "d1", None), ("d2", "Aide", "d2", None)], c)
+    twins = spark.createDataFrame([("p1", "Archivist II", None, "112-31"), ("p2", "Porter", None, "113-31"), ("p3", "Porter", None, "114-31"), ("d1", "112-31 Archivist II", "d1", None), ("d2", "Porter", "d2", None)], c)
     assert {r["url"]: r["pdf_url"] for r in jobs.paired_with_pdfs(twins).collect()} == {"p1": "d1", "p2": None, "p3": None, "d2": "d2"}
 
 
@@ -340,7 +340,7 @@ def test_numbers_and_configuration(spark):
 
 
 def stories(spark):
-    rows = [(1, 1, "u1", "Wages rise in Hagåtña", "A worker shortage drives pay. Typhoon season ends.", ["labor"], ago(days=1)), (2, 1, "u2", "Worker shortage grows", "Firms look for staff.", ["labor", "business"], ago(days=400)), (3, 2, "u3", "Base Andersen opens gate", "The gate is new.", ["military"], ago(days=2))]
+    rows = [(1, 1, "u1", "Fares rise in Málaga", "A ferry timetable changes fares. Monsoon season ends.", ["labor"], ago(days=1)), (2, 1, "u2", "Ferry timetable grows", "Firms look for boats.", ["labor", "business"], ago(days=400)), (3, 2, "u3", "Lighthouse Marconi opens gate", "The gate is new.", ["military"], ago(days=2))]
     a = spark.createDataFrame(rows, "id long, source_id int, url string, title string, intro string, categories array<string>, published_at timestamp")
     a = a.withColumns({c: F.lit(None).cast("string") for c in ("keywords", "section", "author", "image_url")})
     s = spark.createDataFrame([(1, "daily", "Daily", "h", True), (2, "club", "Club", "h", True)], "id int, slug string, name string, homepage string, enabled boolean")
@@ -351,14 +351,14 @@ def test_search(spark):
     a, s = stories(spark)
     p = build_postings(a)
     find = lambda q, **k: search(a, s, p, listing.Filters(q=q, **k), NOW)
-    page, fuzzy = find('"worker shortage" -typhoon')
+    page, fuzzy = find('"ferry timetable" -monsoon')
     assert [r["id"] for r in page.items.collect()] == [2] and not fuzzy
-    (row,) = find("hagatna wage")[0].items.collect()
-    assert row["title_marked"] == "⟦Wages⟧ rise in ⟦Hagåtña⟧"
-    page, fuzzy = find("Andersn")
+    (row,) = find("malaga fare")[0].items.collect()
+    assert row["title_marked"] == "⟦Fares⟧ rise in ⟦Málaga⟧"
+    page, fuzzy = find("Marcon")
     assert fuzzy and [r["id"] for r in page.items.collect()] == [3] and page.total == 1
-    assert [r["id"] for r in find("worker shortage", sort="oldest")[0].items.collect()] == [2, 1]
-    assert [r["id"] for r in find("gate or wage", hide_sources=("club",))[0].items.collect()] == [1]
+    assert [r["id"] for r in find("ferry timetable", sort="oldest")[0].items.collect()] == [2, 1]
+    assert [r["id"] for r in find("gate or fare", hide_sources=("club",))[0].items.collect()] == [1]
     assert [r["id"] for r in find("-gate", sort="newest")[0].items.collect()] == [1, 2]
     assert find("", category="labor")[0].total == 2 and find("zzzz")[1] is False
 
@@ -370,7 +370,7 @@ def test_stored_postings_are_pruned(spark, tmp_path):
     stored = engine.write_postings(fresh, "pruned_postings", 8, f"file://{tmp_path}/p")
     shown = "spark.sql.sources.bucketing.autoBucketedScan.enabled"  # without it the plan doesn't tell the buckets, though it prunes them
     spark.conf.set(shown, "false")
-    for q in ("gate", '"worker shortage" -typhoon', "gate or wage"):
+    for q in ("gate", '"ferry timetable" -monsoon', "gate or fare"):
         found, plain = (engine.matched(a, p, parse(q)) for p in (stored, fresh))
         assert sorted(map(tuple, found.collect())) == sorted(map(tuple, plain.collect())) != []
         plan = found._jdf.queryExecution().executedPlan().toString()
