@@ -399,7 +399,8 @@ def scored(docs: DataFrame, held: Column, id_col: str = "doc_id", text_col: str
                 yield pa.RecordBatch.from_arrays([one.column("ids").flatten(), one.column("held").flatten(), pa.array(lengths.astype(np.int64)), add((counts > 0).astype(np.int64)), pa.array(np.full(len(lengths), tokens)), add(np.log10((counts + 1) / (tokens + known + 1))), add(np.log10(b["p"]))], ["id", "held", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return joined.mapInArrow(score, f"id {kind}, held boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    # a block's answers are a large row, so they go to Python one by one
+    return stored(joined.mapInArrow(score, f"id {kind}, held boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"), "lm-scores")
 
 
 def held_out(id_col: str = "doc_id") -> Column:
