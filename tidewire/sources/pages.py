@@ -171,7 +171,7 @@ def extract_articles(pages: DataFrame, now: dt.datetime, selector: str | None =
     def read(urls: pd.Series, contents: pd.Series) -> pd.DataFrame:
         rows = []
         for url, content in zip(urls, contents, strict=True):
-            a = H.article(content, selector)
+            a = H.article(content, selector, lambda text: parsed(text, now) is not None)
             a["canonical"], a["images"] = ([u for x in a[k] if (u := normalized(x, url))] for k in ("canonical", "images"))
             a["dates"], a["modified"] = ([at.isoformat() for x in a[k] if (at := parsed(x, now))][:1] for k in ("dates", "modified"))
             rows.append(a)
