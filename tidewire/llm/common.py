@@ -48,12 +48,16 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df into the shared folder and reads it again: cuts lineage, survives lost executors."""
+def stored(df: DataFrame, name: str, rows_checked: int = 100) -> DataFrame:
+    """Writes df into the shared folder and reads it again: cuts lineage, survives lost executors.
+
+    After so many rows the writer looks at the size of what it holds: 1 for rows of megabytes.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    writer = df.write if rows_checked == 100 else df.write.options(**{"parquet.page.size.row.check.min": rows_checked, "parquet.page.size.row.check.max": rows_checked, "parquet.block.size": 4 * BATCH_BYTES})
     with small_batches(spark):
-        df.write.parquet(path)
+        writer.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out

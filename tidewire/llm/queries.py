@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tidewire.llm import embedding_dedup, language_id, line_dedup, lm_scoring, mixing, ngram_join, packing, quality_rules, sharding, suffix_dedup
+from tidewire.llm import clustering, embedding_dedup, language_id, line_dedup, linear_grouping, lm_scoring, mixing, ngram_join, packing, quality_rules, ranked_search, sharding, suffix_dedup
 from tidewire.llm.common import documents
 
 QUERIES = {
@@ -18,5 +18,8 @@ QUERIES = {
     "op9_ngram_jaccard_join": lambda spark, d: ngram_join.digest(documents(spark, d)),
     "pipeline": corpus_pipeline.run,
     "op10_quality_rules": lambda spark, d: quality_rules.digest(documents(spark, d)),
+    "op11_ranked_lexical_search": lambda spark, d: ranked_search.digest(documents(spark, d), spark.read.parquet(f"{d}/benchmark.parquet")),
+    "op12_best_fit_packing": lambda spark, d: linear_grouping.digest(documents(spark, d)),
+    "op13_centroid_clustering": lambda spark, d: clustering.digest(spark.read.parquet(f"{d}/embeddings.parquet")),
 }
-SQL = {"op2_line_dedup": line_dedup.SQL, "op10_quality_rules": quality_rules.SQL}
+SQL = {"op2_line_dedup": line_dedup.SQL, "op10_quality_rules": quality_rules.SQL, "op11_ranked_lexical_search": ranked_search.SQL, "op13_centroid_clustering": clustering.SQL}
