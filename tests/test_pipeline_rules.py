@@ -281,39 +281,6 @@ def test_job_check(spark):
     assert all(r["removed_at"] is None for r in jobs.reconciled(old, listed, 1, NOW, complete=False).collect())
 
 
-def test_versions(spark, tmp_path):
-    t = state.VersionedTable(spark, f"file://{tmp_path}/t", "k int, v string")
-    assert t.read().count() == 0 and t.lock() and not t.lock()
-    t.write(spark.createDataFrame([(1, "a")], "k int, v string"))
-    t.write(state.upserted(t.read(), spark.createDataFrame([(1, "b"), (2, "c")], "k int, v string"), "k"))
-    t.unlock()
-    assert t.version == 2 and sorted(map(tuple, t.read().collect())) == [(1, "b"), (2, "c")]
-    # a crash before publication leaves data that no file names; another writer's version is a conflict
-    t.read().write.parquet(f"file://{tmp_path}/t/data/orphan")
-    assert t.version == 2 and t.read().count() == 2
-    publish = state.VersionedTable._published
-
-    class Late(state.VersionedTable):
-        raced = False
-
-        def _published(self):
-            rows = publish(self)
-            if not Late.raced:
-                Late.raced = True
-                (tmp_path / "t/published/000000000003--0").touch()  # published while this one writes
-            return rows
-
-    with pytest.raises(state.Conflict):
-        Late(spark, f"file://{tmp_path}/t", "k int, v string").write(t.read())
-    (tmp_path / "t/published/000000000003--0").unlink()
-    assert t.write(t.read()) == 3
-    t.keep(1)
-    assert t.version == 3 and t.read().count() == 2 and len(list((tmp_path / "t/published").glob("0*"))) == 1
-    with t.exclusive(), pytest.raises(state.Conflict), t.exclusive():
-        pass
-    assert t.lock()
-
-
 def test_upserted_takes_the_last(spark):
     c = "k int, at int, v string"
     old, new = spark.createDataFrame([(1, 0, "old"), (2, 0, "kept")], c), spark.createDataFrame([(1, 1, "early"), (1, 2, "late"), (3, 5, "a"), (3, 5, "b"), (4, None, "none"), (4, 1, "one")], c)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewire.functions.text import like_pattern, title_key, unaccent
 from tidewire.operators.listing import Page, paged
-from tidewire.operators.state import VersionedTable, greatest, numbered
+from tidewire.operators.state import BucketedTable, greatest, numbered
 from tidewire.schemas import SCHEMAS
 from tidewire.sources.boards import parse_board
 
@@ -55,12 +55,12 @@ KEPT_TEXT = ("employer", "pay", "description", "location", "close_note", "pdf_ur
 KEPT_DATES = ("open_date", "close_date")
 
 
-def reconciled(stored: DataFrame, listed: DataFrame, source_id: int, now: dt.datetime, complete: bool = True) -> DataFrame:
+def reconciled(stored: DataFrame, listed: DataFrame, source_id: int, now: dt.datetime, complete: bool = True, start: int | None = None) -> DataFrame:
     """The board's rows of `jobs` after a check: new postings come in, known ones are refreshed, those no longer listed are marked removed.
 
     stored are all jobs; rows of other boards come back as they are, and a URL that another board holds stays
     there. A check that didn't read the listing to its end (complete=False) removes nothing. Of a URL that is listed twice the
-    first by `pos` counts, or without it the least row. One full join.
+    first by `pos` counts, or without it the least row. New ids go on from `start`, or from the greatest of the stored ones. One full join.
     """
     mine, others = stored.where(F.col("source_id") == source_id), stored.where(F.col("source_id") != source_id)
     first = Window.partitionBy("url").orderBy(*([F.col("pos")] if "pos" in listed.columns else []), F.struct(*(F.col(c) for c in listed.columns if c != "pos")))
@@ -81,7 +81,7 @@ def reconciled(stored: DataFrame, listed: DataFrame, source_id: int, now: dt.dat
         "id": F.col("old_id"),
     }
     rows = both.select(*(pick[c].cast(dict(mine.dtypes)[c]).alias(c) for c in mine.columns))
-    fresh = numbered(rows.where("id IS NULL").drop("id"), F.pmod(F.xxhash64("url"), F.lit(64)), [F.col("url")], greatest(stored)).select(*(F.col(c).cast(dict(mine.dtypes)[c]).alias(c) for c in mine.columns))
+    fresh = numbered(rows.where("id IS NULL").drop("id"), F.pmod(F.xxhash64("url"), F.lit(64)), [F.col("url")], greatest(stored) if start is None else start).select(*(F.col(c).cast(dict(mine.dtypes)[c]).alias(c) for c in mine.columns))
     return others.unionByName(rows.where("id IS NOT NULL")).unionByName(fresh)
 
 
@@ -110,10 +110,17 @@ def paired_with_pdfs(postings: DataFrame) -> DataFrame:
 
 def check_board(spark: SparkSession, folder: str, kind: str, pages: DataFrame, source_id: int, now: dt.datetime, complete: bool = True, employer: str | None = None, location: str | None = None) -> int:
     """Reads a board's pages (url, content) and brings the stored jobs of a folder in line with them; how many jobs there are then."""
-    table = VersionedTable(spark, f"{folder.rstrip('/')}/jobs", SCHEMAS["jobs"])
+    table = BucketedTable(spark, f"{folder.rstrip('/')}/jobs", SCHEMAS["jobs"], "url")
     with table.exclusive():
         listed = parse_board(pages, kind, employer, location)
         if kind == "university":
             listed = paired_with_pdfs(listed)
-        table.write(reconciled(table.read(), listed, source_id, now, complete))
+        stored = table.read()
+        start = greatest(stored)
+        touched = listed.select("url").unionByName(stored.where(F.col("source_id") == source_id).select("url")).distinct()
+
+        def apply(old: DataFrame, urls: DataFrame) -> DataFrame:
+            return reconciled(old, listed, source_id, now, complete, start)
+
+        table.merge(touched, apply)
     return table.read().count()

@@ -21,6 +21,10 @@ EXTRACTED = ("canonical_url", "title", "intro", "description", "image_url", "pub
 STORED = {"articles": SCHEMAS["articles"], "seen": SCHEMAS["seen_urls"], "pending": PENDING, "ignored_images": SCHEMAS["ignored_images"], "runs": SCHEMAS["scrape_runs"]}
 
 
+#: Tables in buckets of a key, of which a round rewrites those that its pages fall into.
+KEYED = {"articles": "url", "seen": "url"}
+
+
 @dataclass(frozen=True)
 class Tables:
     """The state that a round reads and replaces. pending has the columns of candidates."""
@@ -32,13 +36,24 @@ class Tables:
     runs: DataFrame
 
 
-def ingest_round(tables: Tables, found: DataFrame, fetch: Callable[[DataFrame], DataFrame], sources: DataFrame, topics: list[Topic], places: tuple[str, ...], now: dt.datetime, most: int = 40, keep: Callable[[DataFrame, str], DataFrame] = lambda rows, name: rows) -> Tables:
-    """The tables after a round over what the sources' pages gave (found: candidates with source_id, pos and the rest).
+@dataclass(frozen=True)
+class Round:
+    """What a round makes of what was found: drafts of stories, an outcome of every page that was tried, pictures that became generic, and the small tables' next rows."""
+
+    drafts: DataFrame
+    outcomes: DataFrame
+    generic: DataFrame
+    pending: DataFrame
+    ignored_images: DataFrame
+    runs: DataFrame
+
+
+def judged_round(tables: Tables, found: DataFrame, fetch: Callable[[DataFrame], DataFrame], sources: DataFrame, topics: list[Topic], places: tuple[str, ...], now: dt.datetime, most: int = 40, keep: Callable[[DataFrame, str], DataFrame] = lambda rows, name: rows) -> Round:
+    """A round over what the sources' pages gave (found: candidates with source_id, pos and the rest).
 
     Pages that wait from earlier rounds and failed ones that are due join what was found; what is stored, waits or is rejected
     by its feed alone is left out; each source's newest `most` are fetched (fetch gives the fetch log with the extracted columns) and the
-    rest stays pending; accepted stories are stored without pictures that became generic, and every outcome is remembered.
-    keep(rows, name) may write what several tables are made of and read it again, so that it is computed once.
+    rest stays pending. keep(rows, name) may write what several tables are made of and read it again, so that it is computed once.
     """
     due = ingest.retries(tables.seen, now)
     every = found.unionByName(tables.pending, allowMissingColumns=True).unionByName(due, allowMissingColumns=True)
@@ -47,28 +62,33 @@ def ingest_round(tables: Tables, found: DataFrame, fetch: Callable[[DataFrame],
     judged = keep(ingest.prefiltered(new, sources, places), "candidates")
     now_, later = ingest.capped(judged.where("reason IS NULL").drop("reason"), most)
     drafts = keep(ingest.drafts(now_, fetch(now_), sources, topics, places, now), "drafts")
-    articles, duplicates = state.stored_articles(tables.articles, drafts, now)
-    fresh = drafts.where("status = 'ok'")
-    generic = ingest.reused_images(tables.articles, fresh, tables.ignored_images, now)
+    _, duplicates = state.stored_articles(tables.articles, drafts, now, start=0)
+    generic = ingest.reused_images(tables.articles, drafts.where("status = 'ok'"), tables.ignored_images, now)
     ignored = tables.ignored_images.unionByName(generic.select(F.col("image_url").alias("url"), "source_id", F.lit(now).cast("timestamp").alias("created_at")).dropDuplicates(["url"]))
     early = judged.where("reason IS NOT NULL").select(F.col("key").alias("url"), "source_id", F.lit("rejected").alias("status"), "reason")
     outcomes = drafts.select(F.col("key").alias("url"), "source_id", "status", "reason").unionByName(early)
     # a duplicate is a rejected page, though its draft was good
     outcomes = outcomes.join(duplicates.select("url"), "url", "left_anti").unionByName(duplicates)
-    seen = state.remembered(tables.seen, outcomes, now)
     read = found.select("source_id").distinct()
-    pending = ingest.pending_merged(tables.pending, later, read)
+    pending = ingest.pending_merged(tables.pending, later, read).select(*tables.pending.columns)
     tried = outcomes.groupBy("source_id").agg(F.count("*").alias("candidates"), F.sum((F.col("status") == "ok").cast("int")).alias("new_articles"), F.sum((F.col("status") == "failed").cast("int")).alias("failed"), F.lit(None).cast("string").alias("error"))
     nothing = [F.coalesce(c, F.lit(0)).alias(c) for c in ("candidates", "new_articles", "failed")]
-    results = read.join(tried, "source_id", "left").select("source_id", *nothing, "error")
-    log = runs.closed(runs.opened(tables.runs, read, now), results, now)
-    return Tables(ingest.without_images(articles, generic), seen, pending.select(*tables.pending.columns), ignored, log)
+    log = runs.closed(runs.opened(tables.runs, read, now), read.join(tried, "source_id", "left").select("source_id", *nothing, "error"), now)
+    return Round(drafts, outcomes, generic, pending, ignored, log)
+
+
+def ingest_round(tables: Tables, found: DataFrame, fetch: Callable[[DataFrame], DataFrame], sources: DataFrame, topics: list[Topic], places: tuple[str, ...], now: dt.datetime, most: int = 40, keep: Callable[[DataFrame, str], DataFrame] = lambda rows, name: rows) -> Tables:
+    """The tables after a round: accepted stories are stored without pictures that became generic, and every outcome is remembered."""
+    r = judged_round(tables, found, fetch, sources, topics, places, now, most, keep)
+    articles, _ = state.stored_articles(tables.articles, r.drafts, now)
+    return Tables(ingest.without_images(articles, r.generic), state.remembered(tables.seen, r.outcomes, now), r.pending, r.ignored_images, r.runs)
 
 
 def stored_tables(spark: SparkSession, folder: str) -> dict[str, state.VersionedTable]:
     """The tables of a folder by the names of `Tables`, and the sources."""
     at = folder.rstrip("/")
-    return {name: state.VersionedTable(spark, f"{at}/{name}", schema) for name, schema in (STORED | {"sources": SCHEMAS["sources"]}).items()}
+    every = STORED | {"sources": SCHEMAS["sources"]}
+    return {name: state.BucketedTable(spark, f"{at}/{name}", schema, KEYED[name]) if name in KEYED else state.VersionedTable(spark, f"{at}/{name}", schema) for name, schema in every.items()}
 
 
 def run_round(spark: SparkSession, folder: str, pages: DataFrame, log: DataFrame, config: Config, now: dt.datetime, most: int = 40) -> dict[str, int]:
@@ -76,7 +96,7 @@ def run_round(spark: SparkSession, folder: str, pages: DataFrame, log: DataFrame
 
     pages (slug, kind, url, content) are the feeds and listing pages that were read; log (url, http_status, robots, content_type,
     page_url, content) is what was fetched of the addresses that candidates have, also of ones that no candidate has. The sources are brought in line
-    with the configuration first. The articles' lock keeps a second writer out.
+    with the configuration first. The articles' lease keeps a second writer out; of the stories and of the memory of pages only buckets that the round's pages fall into are rewritten.
     """
     tables = stored_tables(spark, folder)
     with tables["articles"].exclusive():
@@ -103,9 +123,15 @@ def run_round(spark: SparkSession, folder: str, pages: DataFrame, log: DataFrame
             return mine.drop("content").join(told, "url", "left")
 
         before = Tables(**{name: tables[name].read() for name in STORED})
-        after = ingest_round(before, keep(found, "found"), fetch, sources, list(config.topics), config.places, now, most, keep)
-        for name in STORED:  # all read the versions before, so the order doesn't matter
-            tables[name].write(getattr(after, name))
+        r = judged_round(before, keep(found, "found"), fetch, sources, list(config.topics), config.places, now, most, keep)
+        after, generic = {name: getattr(r, name) for name in STORED if name not in KEYED}, keep(r.generic, "generic")
+        outcomes, start = keep(r.outcomes, "outcomes"), state.greatest(before.articles)
+        for name, rows in after.items():  # all read the versions before, so the order doesn't matter
+            tables[name].write(rows)
+        tables["articles"].merge(r.drafts.where("status = 'ok'"), lambda old, new: state.stored_articles(old, new, now, start)[0])
+        pictured = tables["articles"].read().join(generic, ["source_id", "image_url"], "left_semi")
+        tables["articles"].merge(ingest.without_images(pictured, generic), lambda old, new: state.upserted(old, new, "url"))
+        tables["seen"].merge(outcomes, lambda old, new: state.remembered(old, new, now))
     return {name: table.read().count() for name, table in tables.items()}
 
 
@@ -118,5 +144,5 @@ def reclassify(spark: SparkSession, folder: str, config: Config) -> int:
         changed = reclassified(articles, list(config.topics), tables["sources"].read().select("id", "slug").join(told, "slug"))
         n = changed.count()
         if n:
-            tables["articles"].write(state.upserted(articles, changed, "id"))
+            tables["articles"].merge(changed, lambda old, new: state.upserted(old, new, "url"))
     return n

@@ -1,89 +1,15 @@
-"""Keyed state kept in Parquet: every update is a join and a rewrite into a new version, published by one new file."""
+"""Keyed state: every update is a join, whose result `versions` stores."""
 
 from __future__ import annotations
 
 import datetime as dt
-import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewire.operators.versions import BucketedTable, Conflict, VersionedTable
 
-class Conflict(RuntimeError):
-    """Another writer published a version, or holds the lock."""
-
-
-class VersionedTable:
-    """A table as folders of versions. A version is there once an empty file in `published` names it, and that file is never moved
-    or written again, so a crash at any point leaves the version before it current. Readers see a whole version or the one before.
-
-    A published name is <version>-<batch>-<folder>; batch is the number of the stream's batch that made it, or empty.
-    """
-
-    def __init__(self, spark: SparkSession, path: str, schema: str):
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
-        jvm = spark.sparkContext._jvm
-        self._Path = jvm.org.apache.hadoop.fs.Path
-        self.fs = self._Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _published(self) -> list[tuple[int, str, str]]:
-        """(version, batch, folder) of every version, in order."""
-        folder = self._Path(f"{self.path}/published")
-        names = [f.getPath().getName() for f in self.fs.listStatus(folder)] if self.fs.exists(folder) else []
-        if not names and self.fs.exists(self._Path(f"{self.path}/current")):
-            raise ValueError(f"{self.path} holds versions of another layout")
-        return sorted((int(v), b, f) for v, b, f in (n.split("-") for n in names))
-
-    @property
-    def version(self) -> int:
-        return max((v for v, *_ in self._published()), default=0)
-
-    @property
-    def last_batch(self) -> int | None:
-        """The greatest number of a stream's batch that a version holds."""
-        return max((int(b) for _, b, _ in self._published() if b), default=None)
-
-    def read(self) -> DataFrame:
-        known = self._published()
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/data/{known[-1][2]}") if known else self.spark.createDataFrame([], self.schema)
-
-    def write(self, rows: DataFrame, batch: int | None = None) -> int:
-        """Stores rows as the next version and makes it current. Of two writers of the same version one gets a Conflict."""
-        v, folder = self.version + 1, uuid.uuid4().hex
-        columns = self.spark.createDataFrame([], self.schema).columns
-        rows.select(*columns).write.parquet(f"{self.path}/data/{folder}")
-        mark = self._Path(f"{self.path}/published/{v:012d}-{'' if batch is None else batch}-{folder}")
-        if not self.fs.createNewFile(mark):
-            raise Conflict(f"{self.path}: version {v} could not be published")
-        if min(f for n, _, f in self._published() if n == v) != folder:
-            self.fs.delete(mark, False)
-            raise Conflict(f"{self.path}: version {v} was published by another writer")
-        return v
-
-    def keep(self, versions: int = 7) -> None:
-        """Removes all but the latest few versions, the file that names one before its data."""
-        for v, b, f in self._published()[: -versions or None]:
-            self.fs.delete(self._Path(f"{self.path}/published/{v:012d}-{b}-{f}"), False)
-            self.fs.delete(self._Path(f"{self.path}/data/{f}"), True)
-
-    def lock(self) -> bool:
-        """Takes the writer's lock; False if another holds it."""
-        return bool(self.fs.createNewFile(self._Path(f"{self.path}/lock")))
-
-    def unlock(self) -> None:
-        self.fs.delete(self._Path(f"{self.path}/lock"), False)
-
-    @contextmanager
-    def exclusive(self) -> Iterator[VersionedTable]:
-        """The table under its writer's lock; a Conflict if another holds it."""
-        if not self.lock():
-            raise Conflict(f"{self.path} is locked")
-        try:
-            yield self
-        finally:
-            self.unlock()
+__all__ = ["BucketedTable", "Conflict", "VersionedTable"]
 
 
 def numbered(rows: DataFrame, group: Column, order: list[Column], start: int, out: str = "id") -> DataFrame:
@@ -130,8 +56,8 @@ def remembered(seen: DataFrame, outcomes: DataFrame, now: dt.datetime) -> DataFr
     )
 
 
-def stored_articles(articles: DataFrame, drafts: DataFrame, now: dt.datetime) -> tuple[DataFrame, DataFrame]:
-    """articles with the accepted drafts, and the outcomes of those that were there already.
+def stored_articles(articles: DataFrame, drafts: DataFrame, now: dt.datetime, start: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """articles with the accepted drafts, and the outcomes of those that were there already. Ids go on from `start`, or from the greatest of the articles.
 
     A draft whose URL is stored gives its alias to a row that has none, else it is a rejected duplicate. New ids continue
     in order of arrival (source, pos).
@@ -141,7 +67,7 @@ def stored_articles(articles: DataFrame, drafts: DataFrame, now: dt.datetime) ->
     ranked = ok.withColumn("_n", F.row_number().over(first))
     one, again = ranked.where("_n = 1").drop("_n"), ranked.where("_n > 1").drop("_n")
     fresh = one.join(articles.select("url"), "url", "left_anti")
-    new = numbered(fresh, F.col("source_id"), [F.col("pos"), F.col("key")], greatest(articles))
+    new = numbered(fresh, F.col("source_id"), [F.col("pos"), F.col("key")], greatest(articles) if start is None else start)
     new = new.withColumns({"first_seen_at": F.lit(now).cast("timestamp"), "updated_at": F.lit(None).cast("timestamp")})
     kinds = dict(articles.dtypes)
     new = new.select(*(F.col(c).cast(kinds[c]).alias(c) if c in new.columns else F.lit(None).cast(kinds[c]).alias(c) for c in articles.columns))

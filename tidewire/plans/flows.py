@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -19,6 +20,7 @@ from tidewire.plans.rules import TOPICS
 from tidewire.plans.stand_ins import JOBS, NOW, STORIES, articles, jobs, sources, table
 from tidewire.plans.texts import _NUMBER_SHAPE, FAR, NUMBER, K, P, by, docs, joined
 from tidewire.schemas import SCHEMAS
+from tidewire.session import shared_dir
 from tidewire.sources import apis, boards
 from tidewire.sources import pages as PG
 
@@ -388,6 +390,18 @@ def stored_stories(spark, d):
     return S.stored_articles(old, new.unionByName(again), NOW)[0].select("url", "id", "discovered_url")
 
 
+@query("bucket_upsert", f"{STORIES} SELECT id, url, CASE WHEN id % 7 = 0 THEN 'changed' ELSE title END AS title FROM articles WHERE id % 5 > 0 OR id % 7 = 0 UNION ALL SELECT id + 1000000000, url || '/new', title FROM articles WHERE id % 10 = 3")
+def bucket_upsert(spark, d):
+    """Four of five stories are stored; then every seventh comes changed or new, and every tenth gets a sister of its own, as two merges."""
+    i, a = F.col("id"), articles(spark, d).select("id", "url", "title")
+    table = S.BucketedTable(spark, f"{shared_dir(spark)}/bucket-upsert-{uuid.uuid4().hex}", "id long, url string, title string", "url", 16)
+    table.write(a.where("id % 5 > 0"))
+    put = lambda old, new: S.upserted(old, new, "url")
+    table.merge(a.where("id % 7 = 0").withColumn("title", F.lit("changed")), put)
+    table.merge(a.where("id % 10 = 3").select((i + 1_000_000_000).alias("id"), F.concat("url", F.lit("/new")).alias("url"), "title"), put)
+    return table.read()
+
+
 @query("duplicate_stories", f"{STORIES} SELECT url, 'duplicate' AS reason FROM articles WHERE id % 3 = 0 AND (id % 2 = 1 OR id % 4 = 0) UNION ALL SELECT url, 'duplicate' FROM articles WHERE id % 3 = 1")
 def duplicate_stories(spark, d):
     i, a = F.col("id"), articles(spark, d)
