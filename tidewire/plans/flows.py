@@ -155,11 +155,16 @@ def board_table(spark, d):
     return _board(spark, d, "job_table", row).select("url", "title", "employer", F.col("open_date").cast("string").alias("open_date"), "close_note", "pdf_url")
 
 
-@query("board_pdfs", "SELECT 'https://b.example.com/a%20' || p_partkey || '.pdf' AS url, p_name AS title, CASE WHEN p_partkey % 3 < 2 THEN p_brand ELSE 'Islands' END AS employer FROM part")
+@query("board_pdfs", "SELECT u AS url, t || p_name AS title, CASE WHEN p_partkey % 5 < 2 THEN p_brand ELSE 'Islands' END AS employer FROM part, LATERAL (VALUES ('https://b.example.com/a%20' || p_partkey || '.pdf', ''), ('https://f.ucarecd.net/' || p_partkey || '/', 'Applications clerk '), ('https://f.ucarecdn.com/' || p_partkey, 'Second '), ('https://b.example.com/' || p_partkey || '.PDF?x=1', 'Clerk of applications ')) AS v(u, t) WHERE t <> 'Applications clerk '")
 def board_pdfs(spark, d):
+    """Openings under headings that name an employer or none, beside menus, sidebars, forms and notices."""
     link = lambda path, text: joined("<a href='", path, "'>", text, "</a>")
-    file = joined("/a ", _KEY(), ".pdf#page=2")
-    page = joined("<nav>", link(joined("/nav", _KEY(), ".pdf"), "Menu"), "</nav><h2>", by(3, joined(F.col("p_brand"), " Job Announcements"), joined(F.col("p_brand"), " job announcement"), "Other job announcements", key=P()), "</h2>", link(file, F.col("p_name")), link(file, "Again"), link("/f.pdf", "Application form"), link("/g.pdf", "The employment application"), link("/h.html", "Page"), link("/i.pdf", "ab"))
+    menu = lambda start, end: joined(start, "<h2>Menu job announcements</h2>", link(joined("/nav", _KEY(), ".pdf"), "Harbor menu"), end)
+    file, named = joined("/a ", _KEY(), ".pdf#page=2"), F.col("p_name")
+    heading = by(5, joined(F.col("p_brand"), " Job Announcements"), joined(F.col("p_brand"), "  job announcement"), "Other job announcements", "RCUOG Job Announcements", "Job announcements", key=P())
+    openings = [link(file, named), link(file, "Again"), link(joined("https://f.ucarecd.net/", _KEY(), "/"), joined("Applications clerk ", named)), link(joined("https://f.ucarecdn.com/", _KEY()), joined("Second ", named)), link(joined("/", _KEY(), ".PDF?x=1"), joined("Clerk of applications ", named))]
+    notices = [link(f"/n{i}.pdf", t) for i, t in enumerate(("Application form", "The employment application", "ab", "AmeriCorps job application", "AmeriCorps application 2024", "View all", "Amendment 2", "Recruitment flyer"))]
+    page = joined("<body>", menu("<nav>", "</nav>"), menu("<div id='leftCol'>", "</div>"), "<main>", menu("<ul class='a sideNav'><li>", "</li></ul>"), "<h2>", heading, "</h2>", *openings, *notices, link("/h.html", "Page of it"), link("https://ucarecd.net.example.org/x", "Elsewhere"), "</main>", link("/outside.pdf", "Outside"), "</body>")
     return _board(spark, d, "pdf_links", page, employer="Islands").select("url", "title", "employer")
 
 

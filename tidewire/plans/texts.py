@@ -69,11 +69,32 @@ def headline(spark, d):
     return docs(spark, d).select("doc_id", T.headline(raw, F.col("source")).alias("title"))
 
 
-@query("feed_summary", "SELECT doc_id, CASE WHEN doc_id % 4 <> 2 THEN 'Text ' || doc_id || '.' END AS summary FROM documents")
+_SUMMARIES = {  # what a feed says behind a story's own words, and what must be left of them all
+    " The post A &amp; B appeared first on Cee.": "",
+    "  THE POST Storm over the harbor Appeared First On Island News": "",
+    " [&hellip;]": "",
+    " [...]": "",
+    " […]  ": "",
+    " [...] The post A B C appeared first on News.": " [...]",
+    " Officials read more than 200 letters before the vote.": " Officials read more than 200 letters before the vote.",
+    " Read more books, says the mayor.": " Read more books, says the mayor.",
+    " Continue reading to children, teachers ask.": " Continue reading to children, teachers ask.",
+    " She left the post after a year.": " She left the post after a year.",
+    " The notes [...] were never found.": " The notes [...] were never found.",
+    " The comet appeared first on Monday.": " The comet appeared first on Monday.",
+    " The post X appeared first on Y": " The post X appeared first on Y",
+}
+
+
+def _quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+@query("feed_summary", f"SELECT doc_id, trim(regexp_replace(string_split(text, chr(10))[1], '[ \\t\\r]+', ' ', 'g') || [{', '.join(map(_quoted, _SUMMARIES.values()))}][1 + doc_id % {len(_SUMMARIES)}]) AS summary FROM documents WHERE regexp_full_match(string_split(text, chr(10))[1], '[A-Za-z0-9 ,.!?]*')")
 def feed_summary(spark, d):
-    text = joined("Text ", NUMBER(), ".")
-    raw = by(4, joined(text, " The post A &amp; B appeared first on C."), joined(text, "  Read more about it"), "Continue reading", joined(text, " [&hellip;]"))
-    return docs(spark, d).select("doc_id", T.feed_summary(raw).alias("summary"))
+    """The first lines of the documents, where they are plain, with what feeds and stories say at the end."""
+    line = F.get(F.split("text", "\n"), F.lit(0))
+    return docs(spark, d).where(line.rlike("^[A-Za-z0-9 ,.!?]*$")).select("doc_id", T.feed_summary(F.concat(line, by(len(_SUMMARIES), *_SUMMARIES))).alias("summary"))
 
 
 _PARTS = r"list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x)), lambda x: x <> '')"
