@@ -25,8 +25,8 @@ FIELD_WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2, "D": 0.1}
 SIMILAR = 0.6
 
 
-def build_postings(articles: DataFrame) -> DataFrame:
-    """term, id, positions, weights: title (A), intro (B), then keywords, section and author (C), positions running on."""
+def build_postings(articles: DataFrame, *others: str) -> DataFrame:
+    """term, id, positions, weights and other columns as they are: title (A), intro (B), then keywords, section and author (C), positions running on."""
 
     @F.pandas_udf("array<struct<term: string, positions: array<int>, weights: array<string>>>")
     def analyse(title: pd.Series, intro: pd.Series, rest: pd.Series) -> pd.Series:
@@ -46,7 +46,7 @@ def build_postings(articles: DataFrame) -> DataFrame:
         return pd.Series(out)
 
     rest = F.concat_ws(" ", "keywords", "section", "author")
-    return articles.select("id", F.explode(analyse("title", "intro", rest)).alias("p")).select("p.term", "id", "p.positions", "p.weights")
+    return articles.select("id", *others, F.explode(analyse("title", "intro", rest)).alias("p")).select("p.term", "id", "p.positions", "p.weights", *others)
 
 
 def write_postings(postings: DataFrame, table: str, buckets: int = 64, path: str | None = None) -> DataFrame:
@@ -80,8 +80,8 @@ def cover_rank(query: Query, positions: dict[str, list[int]], weights: dict[str,
     return total / (total + 1)
 
 
-def matched(articles: DataFrame, postings: DataFrame, query: Query) -> DataFrame:
-    """id and text rank of the stories that match."""
+def judged(postings: DataFrame, query: Query) -> DataFrame:
+    """id and text rank of the stories with some of the query's terms that match."""
     terms = query.terms
 
     @F.pandas_udf("struct<ok: boolean, rank: double>")
@@ -103,10 +103,16 @@ def matched(articles: DataFrame, postings: DataFrame, query: Query) -> DataFrame
         able = able | (F.size(F.array_except(F.array(*map(F.lit, needed)).cast("array<string>"), there)) == 0)
     if not query.needs_all:
         own = own.where(able)
-    judged = own.select("id", judge("found").alias("j")).select("id", "j.ok", "j.rank")
+    told = own.select("id", judge("found").alias("j")).select("id", "j.ok", "j.rank")
+    return told if query.needs_all else told.where("ok").drop("ok")
+
+
+def matched(articles: DataFrame, postings: DataFrame, query: Query) -> DataFrame:
+    """id and text rank of the stories that match."""
+    told = judged(postings, query)
     if not query.needs_all:
-        return judged.where("ok").drop("ok")
-    return articles.select("id").join(judged, "id", "left").where(F.coalesce("ok", F.lit(True))).select("id", F.coalesce("rank", F.lit(0.0)).alias("rank"))
+        return told
+    return articles.select("id").join(told, "id", "left").where(F.coalesce("ok", F.lit(True))).select("id", F.coalesce("rank", F.lit(0.0)).alias("rank"))
 
 
 def highlighted(text, query: Query):
