@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewire.functions.text import like_pattern, title_key, unaccent
+from tidewire.functions.text import contains_plain, title_key
 from tidewire.operators.listing import Page, paged
 from tidewire.operators.state import BucketedTable, greatest, numbered
 from tidewire.schemas import SCHEMAS
@@ -22,7 +22,7 @@ def is_open(today: dt.date) -> Column:
 def matches(q: str) -> Column:
     """Whether title, employer, location and description together contain q, regardless of case and accents."""
     text = F.concat_ws(" ", "title", "employer", "location", "description")
-    return unaccent(text).ilike(like_pattern(q, plain=True))
+    return contains_plain(text, q)
 
 
 def open_jobs(jobs: DataFrame, boards: DataFrame, today: dt.date, q: str = "", source: str | None = None) -> DataFrame:

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import functions as F
 
+from tidewire.operators import days as D
 from tidewire.operators import jobs as J
 from tidewire.operators import listing as L
 from tidewire.plans.registry import query
 from tidewire.plans.stand_ins import JOBS, NOW, STORIES, TODAY, articles, boards, jobs, sources
+from tidewire.session import shared_dir
 
 HIDDEN = ("src1", "src7")
 FILTER = L.Filters(category="en", date_from=dt.date(2024, 1, 3), date_to=dt.date(2024, 1, 28), sort="newest", hide_sources=HIDDEN)
@@ -142,3 +145,30 @@ def snapshot_merge(spark, d):
     listed = every.where("source_id = 1 AND id % 3 <> 1").select("url", F.concat(F.lit("new "), "title").alias("title"), F.when(F.col("id") % 2 == 0, "").otherwise("other").alias("employer"), *(F.lit(None).cast("string").alias(c) for c in ("pay", "description", "location", "close_note", "pdf_url")), *(F.lit(None).cast("date").alias(c) for c in ("open_date", "close_date")))
     twice = listed.withColumn("pos", F.lit(1)).unionByName(listed.withColumns({"pos": F.lit(2), "title": F.lit("listed again"), "employer": F.lit("none")}))
     return J.reconciled(stored, twice, 1, NOW).where("source_id = 1").select("url", "title", "employer", "removed_at", "first_seen_at")
+
+
+def _days(spark, d):
+    """The stories by day, from three batches: of the second half days are late, and of the third rows are there already."""
+    a = articles(spark, d).select("id", "source_id", "categories", "published_at")
+    store = D.DayStore(spark, f"{shared_dir(spark)}/days-{uuid.uuid4().hex}", "id long, source_id int, categories array<string>, published_at timestamp")
+    for rows in (a.where("id % 3 > 0"), a.where("id % 3 = 0"), a.where("id % 9 = 0 AND id % 2 = 0").withColumn("categories", F.array(F.lit("late")))):
+        store.merge(rows)
+    return store
+
+
+@query(
+    "rolled_times",
+    f"""{STORIES}, b AS (SELECT source_id, published_at, CASE WHEN id % 9 = 0 AND id % 2 = 0 THEN ['late'] ELSE categories END AS categories, CAST(published_at + INTERVAL 10 HOUR AS DATE) AS day FROM articles), v AS (SELECT * FROM b WHERE source_id NOT IN (SELECT id FROM sources WHERE slug IN ('src1', 'src7')))
+SELECT 'all' AS kind, '' AS name, max(published_at) AS newest FROM v UNION ALL
+SELECT 'category', category, max(published_at) FROM (SELECT unnest(categories) AS category, published_at FROM b) GROUP BY 2 UNION ALL
+SELECT 'source', slug, max(published_at) FROM b a JOIN sources s ON s.id = a.source_id GROUP BY 2 UNION ALL
+SELECT 'day', CAST(day AS VARCHAR), max(published_at) FROM v GROUP BY 2 UNION ALL SELECT 'month', strftime(day, '%Y-%m'), max(published_at) FROM v GROUP BY 2""",
+)
+def rolled_times(spark, d):
+    """Last-modified times from the days' totals."""
+    return D.sitemap_times(_days(spark, d).totals(), sources(spark, d), HIDDEN)
+
+
+@query("rolled_days", f"{STORIES} SELECT CAST(CAST(published_at + INTERVAL 10 HOUR AS DATE) AS VARCHAR) AS day, count(*) AS n FROM articles WHERE CAST(published_at + INTERVAL 10 HOUR AS DATE) BETWEEN DATE '2024-01-01' AND DATE '2024-01-31' GROUP BY 1")
+def rolled_days(spark, d):
+    return D.day_counts(_days(spark, d).totals(), 2024, 1).withColumn("day", F.col("day").cast("string"))
