@@ -99,7 +99,11 @@ def schema_to_struct(schema: str) -> str:
 
 def parse_feeds(feeds: DataFrame, now: dt.datetime) -> DataFrame:
     """Candidates of feeds (url, content), with page_url and pos."""
-    rows = _exploded(feeds, feed_entries, ENTRY, "content")
+    return feed_candidates(_exploded(feeds, feed_entries, ENTRY, "content"), now)
+
+
+def feed_candidates(rows: DataFrame, now: dt.datetime) -> DataFrame:
+    """Candidates of feeds' raw entries, in batches or in a stream."""
     key = normalize_url(unwrap_redirect(F.col("url")), F.col("page_url"))
     return rows.select("page_url", "pos", key.alias("url"), key.alias("key"), F.lit("feed").alias("via"), "title", "summary", normalize_url(F.col("image"), F.col("url")).alias("image_url"), parse_datetime(F.col("published"), now).alias("published_at"), "author", "tags").where("url IS NOT NULL")
 
