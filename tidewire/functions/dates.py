@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import re
+import string
 from zoneinfo import ZoneInfo
 
 import pandas as pd
@@ -18,17 +19,60 @@ MONTH_NAMES = ("january", "february", "march", "april", "may", "june", "july", "
 NO_CLOSING = ("until filled", "continuous", "open until", "no closing date", "ongoing")
 FILLERS = ("the", "position", "positions", "job", "is", "are")
 
-MONTHS = tuple(m[:3] for m in MONTH_NAMES)
-#: A month in full, by its first three letters, or as "sept".
-MONTH = "(" + "|".join(m[:3] + (f"(?:{m[3:]})?" if m[3:] else "") for m in MONTH_NAMES) + "|sept)"
-YEAR, DAY = r"(\d{4})", r"(\d{1,2})"
-#: Each form of a written date, and which of its parts are year, month and day.
-FORMS = (
-    (rf"(?i)\b{YEAR}-{DAY}-{DAY}(?!\d)", (1, 2, 3)),
-    (rf"(?i)\b{DAY}/{DAY}/(\d{{4}}|\d{{2}})\b", (3, 1, 2)),
-    (rf"(?i)\b{MONTH}\b\.?\s+{DAY}(?:st|nd|rd|th)?,?\s+{YEAR}\b", (3, 1, 2)),
-    (rf"(?i)\b{DAY}\s+{MONTH}\b\.?,?\s+{YEAR}\b", (3, 2, 1)),
-)
+ORDINALS = ("st", "nd", "rd", "th")
+
+
+def month_of(word: str) -> int | None:
+    """The month that a word names, in full, by its first three letters, or as "sept"."""
+    return next((i + 1 for i, m in enumerate(MONTH_NAMES) if word in (m, m[:3]) or word == "sept" == m[:4]), None)
+
+
+def first_date(text: str | None) -> dt.date | None:
+    """The first date written in a text: year-month-day, month/day/year, a month's name before or behind the day. Impossible ones and years outside 1990 to 2100 don't count."""
+    words = re.findall(r"[0-9]+|[^\W0-9_]+|\s+|[^\w\s]|_", (text or "").lower())
+
+    def passed(k: int, *some: str) -> int:
+        """The place behind a mark, if it stands there."""
+        return k + (k < len(words) and words[k] in some)
+
+    def gap(k: int) -> int | None:
+        return k + 1 if k < len(words) and words[k].isspace() else None
+
+    def number(k: int | None, *lengths: int) -> int | None:
+        return int(words[k]) if k is not None and k < len(words) and words[k][0] in string.digits and len(words[k]) in lengths else None
+
+    def named(k: int) -> tuple:
+        """Year, month and day from a month's name on."""
+        day = gap(passed(k + 1, "."))
+        year = gap(passed(passed(day + 1, *ORDINALS), ",")) if day else None
+        return number(year, 4), month_of(words[k]), number(day, 1, 2), year
+
+    def numbered(k: int) -> tuple:
+        """Year, month and day from a number on."""
+        mark = words[k + 1] if k + 4 < len(words) and words[k + 1] == words[k + 3] else ""
+        if mark == "-":
+            return number(k, 4), number(k + 2, 1, 2), number(k + 4, 1, 2), None
+        if mark == "/":
+            year = number(k + 4, 4, 2)
+            return year and year + 2000 * (len(words[k + 4]) == 2), number(k, 1, 2), number(k + 2, 1, 2), k + 4
+        month = gap(k + 1)
+        if month is None or month >= len(words) or not month_of(words[month]):
+            return None, None, None, None
+        year = gap(passed(passed(month + 1, "."), ","))
+        return number(year, 4), month_of(words[month]), number(k, 1, 2), year
+
+    for k, word in enumerate(words):
+        if k and (words[k - 1][0].isalnum() or words[k - 1] == "_"):
+            continue
+        year, month, day, last = named(k) if month_of(word) else numbered(k) if word[0] in string.digits else (None,) * 4
+        if last is not None and last + 1 < len(words) and (words[last + 1][0].isalnum() or words[last + 1] == "_"):
+            continue
+        if year and month and day and 1990 <= year <= 2100:
+            try:
+                return dt.date(year, month, day)
+            except ValueError:
+                continue
+    return None
 
 
 def parsed(value: str | None, now: dt.datetime, zone: str = ZONE) -> dt.datetime | None:
@@ -61,18 +105,14 @@ def parse_datetime(value: Column, now: dt.datetime, zone: str = ZONE) -> Column:
 
 
 def find_date(text: Column) -> Column:
-    """The first date written in a text, by position over four forms; impossible dates and years outside 1990 to 2100 don't count."""
-    found = []
-    for form, (y, m, d) in FORMS:
-        part = lambda i, form=form: F.regexp_extract(text, form, i)
-        name = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(F.substring(part(m), 1, 3))).cast("int")
-        month = F.when(name > 0, name).otherwise(part(m).try_cast("int"))
-        year = part(y).try_cast("int") + F.when(F.length(part(y)) == 2, 2000).otherwise(0)
-        padded = F.format_string("%04d-%02d-%02d", year, month, part(d).try_cast("int"))
-        value = F.when(year.between(1990, 2100), padded.try_cast("date"))
-        found.append(F.struct(F.regexp_instr(text, F.lit(form)).alias("at"), value.alias("value")))
-    known = F.filter(F.array(*found), lambda x: (x["at"] > 0) & x["value"].isNotNull())
-    return F.array_min(known)["value"]
+    """`first_date` as a column: only texts with a digit leave the JVM, each distinct one of a batch is read once."""
+
+    @F.pandas_udf("date")
+    def found(texts: pd.Series) -> pd.Series:
+        known = {t: first_date(t) for t in texts.dropna().unique()}
+        return texts.map(lambda t: known.get(t) if t is not None else None)
+
+    return F.when(text.rlike(r"\d"), found(F.when(text.rlike(r"\d"), text)))
 
 
 def closing_note(text: Column) -> Column:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import string
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,20 +16,41 @@ TO = ("-", "–", "to")
 EACH = ("/", "per", "an", "a")
 UNITS = {"hour": "hour", "hr": "hour", "year": "year", "yr": "year", "annum": "annum", "month": "month", "week": "week", "day": "day"}
 
-NUMBER = r"\d[\d,]*(?:\.\d+)?"
-AMOUNT = rf"\$ ?{NUMBER}(?: ?(?:{'|'.join(TO)}) ?\$? ?{NUMBER})?"
-RATE = rf" ?(?:{'|'.join(EACH)}) ?(?:{'|'.join(UNITS)})"
-
-
+NUMBER = r"[0-9][0-9,]*(?:\.[0-9]+)?"
 def _money(number: Column) -> Column:
     """A number as "$1,234.50"; null for what is none."""
     return F.concat(F.lit("$"), F.format_number(number.try_cast("double"), 2))
 
 
+def first_pay(text: str | None) -> str | None:
+    """The first amount in a text, with the end of its range and its unit if they follow, as it is written but for white space; None without one."""
+    single = " ".join((text or "").split())
+    words = [(m[0].lower(), m.start(), m.end()) for m in re.finditer(rf"{NUMBER}|[^\W\d_]+|[^\w\s]", single)]
+    number = lambda k: k < len(words) and words[k][0][0] in string.digits
+    for k, (word, start, _) in enumerate(words):
+        if word != "$" or not number(k + 1):
+            continue
+        last = k + 1
+        if last + 1 < len(words) and words[last + 1][0] in TO:
+            other = last + 2 + (last + 2 < len(words) and words[last + 2][0] == "$")
+            last = other if number(other) else last
+        end = words[last][2]
+        if last + 2 < len(words) and words[last + 1][0] in EACH:
+            each, at, _ = words[last + 2]
+            unit = max((u for u in UNITS if each.startswith(u)), key=len, default="")
+            end = at + len(unit) if unit else end
+        return single[start:end]
+    return None
+
+
 def find_pay(text: Column) -> Column:
-    """The first amount in a text with its range and unit, or null."""
-    single = F.regexp_replace(text, r"\s+", " ")
-    return F.nullif(F.trim(F.regexp_extract(single, f"(?i)({AMOUNT}(?:{RATE})?)", 1)), F.lit(""))
+    """`first_pay` as a column: only texts with a currency sign leave the JVM."""
+
+    @F.pandas_udf("string")
+    def found(texts: pd.Series) -> pd.Series:
+        return texts.map(first_pay)
+
+    return F.when(text.contains("$"), found(F.when(text.contains("$"), text)))
 
 
 def tidy_pay(value: Column) -> Column:

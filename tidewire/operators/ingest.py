@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewire.functions.keywords import Topic, classify, mentions
-from tidewire.functions.text import SITE_CREDIT, clean_byline, feed_summary, first_among, fold, truncate
+from tidewire.functions.text import clean_byline, credits_a_builder, feed_summary, first_among, fold, truncate
 from tidewire.functions.urls import match_key, same_site
 
 MAX_ATTEMPTS = 5
@@ -122,7 +122,7 @@ def rebylined(articles: DataFrame, sources: DataFrame) -> DataFrame:
     """The stored stories whose byline changes once site credits and the source's own name are taken off, with the new one. sources has id and name."""
     rows = articles.join(sources.select(F.col("id").alias("source_id"), F.col("name").alias("_name")), "source_id")
     bare = F.lower(F.regexp_replace("_name", r"(?i)^the\s+", ""))
-    suspect = F.lower("author").contains(bare) | F.col("author").rlike(SITE_CREDIT)
+    suspect = F.lower("author").contains(bare) | credits_a_builder(F.col("author"))
     new = rows.where(suspect).withColumn("_new", clean_byline(F.col("author"), F.col("_name")))
     return new.where(~F.col("_new").eqNullSafe(F.col("author"))).withColumn("author", F.col("_new")).select(*articles.columns)
 
