@@ -164,6 +164,12 @@ def sitemaps_in_robots(robots: Column) -> Column:
     return F.filter(F.transform(lines, lambda x: F.trim(F.regexp_replace(x, r"^[^:]*:", ""))), lambda x: x != "")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows over as many partitions as there are cores, if they come in fewer: a small file is one task otherwise. Larger input isn't moved."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.isStreaming or rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
 def extract_articles(pages: DataFrame, now: dt.datetime, selector: str | None = None) -> DataFrame:
     """Articles of pages (url, content): Python reads the markup once, in order of trust; of each chain the first value that holds up counts.
 
@@ -182,9 +188,10 @@ def extract_articles(pages: DataFrame, now: dt.datetime, selector: str | None =
         return pd.DataFrame(rows, columns=[c.split()[0] for c in re.split(r",\s*(?![^<]*>)", H.ARTICLE_SCHEMA)])
 
     one = lambda values: F.get(values, F.lit(0))
-    e = pages.select("url", read("url", "content").alias("e")).select("url", "e.*")
+    e = spread(pages.select("url", "content")).select("url", read("url", "content").alias("e")).select("url", "e.*")
     e = e.withColumn("title", F.nullif(headline(one(F.col("titles")), F.col("site_name")), F.lit(""))).withColumn("published_at", F.to_timestamp(one(F.col("dates"))))
-    e = e.withColumn("intro", one(F.filter(F.transform("stories", lambda s: intro(s, F.col("title"))), lambda i: i.isNotNull())))
+    # a coalesce stops at what it has, so texts behind the first that gives an intro aren't looked at
+    e = e.withColumn("intro", F.aggregate("stories", F.lit(None).cast("string"), lambda got, s: F.coalesce(got, intro(s, F.col("title")))))
     return e.select(
         "url",
         one(F.filter("canonical", lambda u: same_site(u, F.col("url")))).alias("canonical_url"),
