@@ -219,7 +219,7 @@ def test_fetching_rules():
             raise ConnectionError
         return answers[url.removeprefix("https://e.com")]
 
-    ask = lambda path, cached=None: fetching.fetched(send, f"https://e.com{path}", cached, lambda: NOW, slept.append)
+    ask = lambda path, cached=None: fetching.fetched(send, f"https://e.com{path}", cached, lambda: NOW, slept.append, lambda host: ["93.184.216.34"])
     a = ask("/old")
     assert (a.http_status, a.final_url, a.body, a.unchanged) == (200, "https://e.com/new", b"body", False)
     assert ask("/new", {"content_hash": a.content_hash, "etag": "x"}).unchanged and told[-1][1] == {"if-none-match": "x"} and ask("/same").unchanged

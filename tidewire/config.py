@@ -82,6 +82,11 @@ class Config:
         """slug of the sources that a sidebar leaves out: those that can't be collected, and hidden ones."""
         return spark.createDataFrame([(s.slug,) for s in self.sources if s.cannot_scrape or s.only_in_topic], "slug string")
 
+    def rules_frame(self, spark: SparkSession) -> DataFrame:
+        """What discovery needs of each source."""
+        rows = [(s.slug, s.homepage, s.autodiscover_feeds, list(s.article_pattern), list(s.exclude_url_patterns)) for s in self.sources]
+        return spark.createDataFrame(rows, "slug string, homepage string, autodiscover boolean, article_patterns array<string>, exclude array<string>")
+
     def sources_frame(self, spark: SparkSession) -> DataFrame:
         rows = [(s.slug, s.name, s.homepage, s.enabled, list(s.categories), list(s.exclude_sections), s.require_guam, s.feed_only, s.max_age_days, s.undated, bool(s.article_pattern), s.only_in_topic) for s in self.sources]
         return spark.createDataFrame(rows, "slug string, name string, homepage string, enabled boolean, categories array<string>, exclude_sections array<string>, require_place boolean, feed_only boolean, max_age_days int, undated boolean, vouching boolean, only_in_topic string")

@@ -11,7 +11,7 @@ from tidewire.functions.text import contains_plain, title_key
 from tidewire.operators.listing import Page, paged
 from tidewire.operators.state import BucketedTable, greatest, numbered
 from tidewire.schemas import SCHEMAS
-from tidewire.sources.boards import parse_board
+from tidewire.sources.boards import DETAILS, parse_board, posting_details, with_details
 
 
 def is_open(today: dt.date) -> Column:
@@ -77,7 +77,7 @@ def reconciled(stored: DataFrame, listed: DataFrame, source_id: int, now: dt.dat
         "first_seen_at": F.when(known, F.col("old_first_seen_at")).otherwise(at),
         "last_seen_at": F.when(there, at).otherwise(F.col("old_last_seen_at")),
         "removed_at": F.when(there, F.lit(None).cast("timestamp")).otherwise(F.coalesce("old_removed_at", at) if complete else F.col("old_removed_at")),
-        "detail_fetched_at": F.col("old_detail_fetched_at"),
+        "detail_fetched_at": F.coalesce("detail_fetched_at", "old_detail_fetched_at") if "detail_fetched_at" in listed.columns else F.col("old_detail_fetched_at"),
         "id": F.col("old_id"),
     }
     rows = both.select(*(pick[c].cast(dict(mine.dtypes)[c]).alias(c) for c in mine.columns))
@@ -108,13 +108,20 @@ def paired_with_pdfs(postings: DataFrame) -> DataFrame:
     return merged.select(*postings.columns).unionByName(twins.where("_twin IS NULL").select(*postings.columns)).unionByName(others)
 
 
-def check_board(spark: SparkSession, folder: str, kind: str, pages: DataFrame, source_id: int, now: dt.datetime, complete: bool = True, employer: str | None = None, location: str | None = None) -> int:
-    """Reads a board's pages (url, content) and brings the stored jobs of a folder in line with them; how many jobs there are then."""
+def check_board(spark: SparkSession, folder: str, kind: str, pages: DataFrame, source_id: int, now: dt.datetime, complete: bool = True, employer: str | None = None, location: str | None = None, details: DataFrame | None = None) -> int:
+    """Reads a board's pages (url, content) and brings the stored jobs of a folder in line with them; how many jobs there are then.
+
+    details (url, content) are postings' own pages that were read; what they add is merged by the board's kind, and a posting whose page was read is marked so.
+    """
     table = BucketedTable(spark, f"{folder.rstrip('/')}/jobs", SCHEMAS["jobs"], "url")
     with table.exclusive():
         listed = parse_board(pages, kind, employer, location)
         if kind == "university":
             listed = paired_with_pdfs(listed)
+        if details is not None and kind in DETAILS:
+            known = details.select(F.col("url").alias("_read")).distinct()
+            listed = with_details(listed, posting_details(details.dropDuplicates(["url"]), kind), kind)
+            listed = listed.join(known, F.col("url") == F.col("_read"), "left").withColumn("detail_fetched_at", F.when(F.col("_read").isNotNull(), F.lit(now).cast("timestamp"))).drop("_read")
         stored = table.read()
         start = greatest(stored)
         touched = listed.select("url").unionByName(stored.where(F.col("source_id") == source_id).select("url")).distinct()

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from tidewire.config import Config
 from tidewire.functions.keywords import Topic, reclassified
-from tidewire.operators import ingest, runs, state
+from tidewire.operators import discovery, ingest, runs, state
 from tidewire.schemas import SCHEMAS
-from tidewire.sources.pages import extract_articles, merged_candidates, parse_feeds, parse_listings
+from tidewire.sources.pages import extract_articles, merged_candidates
 
 #: Columns of pages that wait, and of extracted pages beside their address.
 PENDING = "source_id int, pos int, url string, key string, via string, title string, summary string, image_url string, published_at timestamp, author string, tags array<string>"
@@ -22,7 +22,7 @@ STORED = {"articles": SCHEMAS["articles"], "seen": SCHEMAS["seen_urls"], "pendin
 
 
 #: Tables in buckets of a key, of which a round rewrites those that its pages fall into.
-KEYED = {"articles": "url", "seen": "url"}
+KEYED = {"articles": "url", "seen": "url", "http_cache": "url"}
 
 
 @dataclass(frozen=True)
@@ -87,14 +87,14 @@ def ingest_round(tables: Tables, found: DataFrame, fetch: Callable[[DataFrame],
 def stored_tables(spark: SparkSession, folder: str) -> dict[str, state.VersionedTable]:
     """The tables of a folder by the names of `Tables`, and the sources."""
     at = folder.rstrip("/")
-    every = STORED | {"sources": SCHEMAS["sources"]}
+    every = STORED | {"sources": SCHEMAS["sources"], "http_cache": SCHEMAS["http_cache"]}
     return {name: state.BucketedTable(spark, f"{at}/{name}", schema, KEYED[name]) if name in KEYED else state.VersionedTable(spark, f"{at}/{name}", schema) for name, schema in every.items()}
 
 
 def run_round(spark: SparkSession, folder: str, pages: DataFrame, log: DataFrame, config: Config, now: dt.datetime, most: int = 40) -> dict[str, int]:
     """A round over the tables of a folder, whose next versions it writes: the numbers of rows by table.
 
-    pages (slug, kind, url, content) are the feeds and listing pages that were read; log (url, http_status, robots, content_type,
+    pages (slug, kind, url, content, and http_status, etag, last_modified if they are known) are the feeds, listing pages, sitemaps and posts that were read; log (url, http_status, robots, content_type,
     page_url, content) is what was fetched of the addresses that candidates have, also of ones that no candidate has. The sources are brought in line
     with the configuration first. The articles' lease keeps a second writer out; of the stories and of the memory of pages only buckets that the round's pages fall into are rewritten.
     """
@@ -104,12 +104,7 @@ def run_round(spark: SparkSession, folder: str, pages: DataFrame, log: DataFrame
         tables["sources"].write(state.synced(tables["sources"].read(), told.select("slug", "name", "homepage", "enabled")))
         ids = tables["sources"].read().select("id", "slug")
         sources = told.join(ids, "slug")
-        owned = pages.join(ids.withColumnRenamed("id", "source_id"), "slug")
-        owner = owned.select(F.col("url").alias("page_url"), "source_id").distinct()
-        feeds = parse_feeds(owned.where("kind = 'feed'").select("url", "content"), now)
-        listings = parse_listings(owned.where("kind = 'listing'").select("url", "content"))
-        columns = [c.split()[0] for c in PENDING.split(", ")]
-        found = feeds.unionByName(listings, allowMissingColumns=True).join(owner, "page_url").select(*columns)
+        owned = discovery.with_answers(pages).join(ids.withColumnRenamed("id", "source_id"), "slug").join(config.rules_frame(spark), "slug")
 
         def keep(rows: DataFrame, name: str) -> DataFrame:
             scratch = state.VersionedTable(spark, f"{folder.rstrip('/')}/scratch-{name}", ", ".join(f"`{c}` {t}" for c, t in rows.dtypes))
@@ -123,6 +118,8 @@ def run_round(spark: SparkSession, folder: str, pages: DataFrame, log: DataFrame
             return mine.drop("content").join(told, "url", "left")
 
         before = Tables(**{name: tables[name].read() for name in STORED})
+        cache = tables["http_cache"].read()
+        found = discovery.discovered(keep(discovery.changed(owned, cache), "pages"), log, now)
         r = judged_round(before, keep(found, "found"), fetch, sources, list(config.topics), config.places, now, most, keep)
         after, generic = {name: getattr(r, name) for name in STORED if name not in KEYED}, keep(r.generic, "generic")
         outcomes, start = keep(r.outcomes, "outcomes"), state.greatest(before.articles)
@@ -132,6 +129,9 @@ def run_round(spark: SparkSession, folder: str, pages: DataFrame, log: DataFrame
         pictured = tables["articles"].read().join(generic, ["source_id", "image_url"], "left_semi")
         tables["articles"].merge(ingest.without_images(pictured, generic), lambda old, new: state.upserted(old, new, "url"))
         tables["seen"].merge(outcomes, lambda old, new: state.remembered(old, new, now))
+        # last: a page counts as read once what it gave is stored
+        answers = discovery.cache_updates(owned, tables["pending"].read(), now)
+        tables["http_cache"].merge(answers, lambda old, new: state.upserted(old, new, "url"))
     return {name: table.read().count() for name, table in tables.items()}
 
 

@@ -42,9 +42,7 @@ _TEXTS = f"SELECT id, {_FOLD.format('title')} AS t, {_FOLD.format('intro')} AS i
 @query("keyword_score", f"{STORIES}, x AS ({_TEXTS}) SELECT id, {', '.join(f'CAST({_score_sql(t)} AS INT) AS {t.slug}_score' for t in TOPICS[:3])} FROM x")
 def keyword_score(spark, d):
     a = articles(spark, d)
-    title, intro, labels = T.fold(F.col("title")), T.fold(F.col("intro")), T.fold(F.concat_ws(" ", "section", U.url_words(F.col("url"))))
-    folded = a.select("id", title.alias("t"), intro.alias("i"), labels.alias("s"))
-    scores = folded.select("id", K.topic_scores(TOPICS[:3], F.col("t"), F.col("s"), F.col("i"))["scores"].alias("n"))
+    scores = a.select("id", K.topic_scores(TOPICS[:3], F.col("title"), F.concat_ws(" ", "section", U.url_words(F.col("url"))), F.col("intro")).alias("n"))
     return scores.select("id", *(F.col("n")[k].alias(f"{t.slug}_score") for k, t in enumerate(TOPICS[:3])))
 
 
@@ -59,7 +57,7 @@ SELECT id, CAST(7 * sum(CASE WHEN regexp_matches(t, re) THEN 3 WHEN regexp_match
 def keyword_totals(spark, d):
     """Nearly four hundred keywords over the titles and intros of stories in plain letters, found in one pass."""
     plain = articles(spark, d).where(F.concat(F.coalesce("title", F.lit("")), F.coalesce("intro", F.lit(""))).rlike(r"^[\x00-\x7f]*$"))
-    scores = K.topic_scores(MANY, T.fold(F.col("title")), F.lit(None).cast("string"), T.fold(F.col("intro")))["scores"]
+    scores = K.topic_scores(MANY, F.col("title"), F.lit(None).cast("string"), F.col("intro"))
     return plain.select("id", F.aggregate(scores, F.lit(0).cast("long"), lambda a, n: a + n).alias("total"))
 
 

@@ -33,7 +33,7 @@ STORY = "id long, title string, intro string, keywords string, section string, a
 POSTING = "term string, id long, positions array<int>, weights array<string>, n int, w double, published_at timestamp, block string"
 BLOCK = "term string, block string, size long, n int, w double, latest timestamp"
 GRAM = "g string, id long, title string, published_at timestamp"
-PARTS = {"postings": POSTING, "blocks": BLOCK, "grams": GRAM, "ids": "id long"}
+PARTS = {"postings": POSTING, "blocks": BLOCK, "grams": GRAM, "ids": "id long, told long"}
 #: Occurrences from which on blocks don't tell numbers apart.
 MANY = 8
 YEAR = 86400 * 365.0
@@ -76,7 +76,7 @@ class SearchIndex(VersionedTable):
         blocks = told.groupBy("term", "block").agg(F.count("*").alias("size"), F.max("n").alias("n"), F.max("w").alias("w"), F.max("published_at").alias("latest"))
         blocks.withColumn("bucket", self._dealt("term")).repartition(self.buckets, "bucket").write.partitionBy("bucket").parquet(f"{at}/blocks")
         grams.withColumn("bucket", self._dealt("g")).repartition(self.buckets, "bucket").sortWithinPartitions("bucket", "g").write.partitionBy("bucket").parquet(f"{at}/grams")
-        ids.select("id").write.parquet(f"{at}/ids")
+        ids.select("id", "told").write.parquet(f"{at}/ids")
         return folder
 
     def add(self, stories: DataFrame, batch: int | None = None) -> int:
@@ -96,7 +96,8 @@ class SearchIndex(VersionedTable):
             block = F.concat_ws(":", F.coalesce(F.date_format("published_at", "yyyyMM"), F.lit("-")), weight.cast("string"), F.least(n, F.lit(MANY)).cast("string"))
             postings = found.select("term", "id", "positions", "weights", n.alias("n"), weight.alias("w"), "published_at", block.alias("block"))
             grams = rows.select(F.explode(title_grams(F.col("title"))).alias("g"), "id", "title", "published_at")
-            folder = self._segment(postings, grams, rows)
+            told = F.xxhash64(*(F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in self.columns))
+            folder = self._segment(postings, grams, rows.withColumn("told", told))
             number = max(map(int, before["files"]), default=0) + 1
             return self._publish(before, before["files"] | {f"{number:06d}": [folder]}, batch, folder)
         finally:
@@ -111,6 +112,14 @@ class SearchIndex(VersionedTable):
         folder = self._segment(*parts)
         return self._publish(before, {max(before["files"]): [folder]}, None, folder)
 
+    def follow(self, stories: DataFrame) -> int:
+        """A version with those of all stories that are new or other than the index has them: only these are analysed."""
+        now = self.manifest()
+        told = F.xxhash64(*(F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in self.columns))
+        last = self._part(now, "ids").groupBy("id").agg(F.max_by("told", "segment").alias("told"))
+        given = self.spark.createDataFrame([], STORY).unionByName(stories.select(*(c for c in self.columns if c in stories.columns)), allowMissingColumns=True)
+        return self.add(given.withColumn("told", told).join(last, ["id", "told"], "left_anti").drop("told"))
+
     def fed(self, stream: DataFrame, checkpoint: str, most_segments: int = 12):
         """Starts a query that adds each batch of a stream of stories, once, and merges the segments when they are many."""
 

@@ -108,14 +108,17 @@ def feed_candidates(rows: DataFrame, now: dt.datetime) -> DataFrame:
     return rows.select("page_url", "pos", key.alias("url"), key.alias("key"), F.lit("feed").alias("via"), "title", "summary", normalize_url(F.col("image"), F.col("url")).alias("image_url"), parse_datetime(F.col("published"), now).alias("published_at"), "author", "tags").where("url IS NOT NULL")
 
 
-def parse_listings(pages: DataFrame, article_patterns: list[str] | None = None, exclude: list[str] | None = None) -> DataFrame:
-    """Candidates of listing pages (url, content): links of the same site that look like articles, each once with its longest anchor text."""
+def parse_listings(pages: DataFrame, article_patterns: list[str] | None = None, exclude: list[str] | None = None, wanted: Column | None = None) -> DataFrame:
+    """Candidates of listing pages (url, content): links of the same site that look like articles, each once with its longest anchor text.
+
+    What an article's address looks like may also be told by `wanted`, of url and the pages' other columns as page_....
+    """
     rows = _exploded(pages, lambda c: [(x["href"], i, x["text"]) for i, x in enumerate(H.links(c))], "href string, pos int, text string", "content")
     rows = rows.where(~F.col("href").rlike(r"(?i)^(#|mailto:|tel:|javascript:)")).withColumn("url", normalize_url(F.col("href"), F.col("page_url")))
     rows = rows.where(F.col("url").isNotNull() & same_site(F.col("url"), F.col("page_url")) & (match_key(F.col("url")) != match_key(normalize_url(F.col("page_url")))))
     if exclude:
         rows = rows.where(~excluded(F.col("url"), exclude))
-    rows = rows.where(excluded(F.col("url"), article_patterns) if article_patterns else looks_like_article(F.col("url")))
+    rows = rows.where(wanted if wanted is not None else excluded(F.col("url"), article_patterns) if article_patterns else looks_like_article(F.col("url")))
     title = F.when(F.length("text") > 15, F.col("text"))
     found = rows.groupBy("page_url", "url").agg(F.min("pos").alias("pos"), F.max_by(title, F.struct(F.length(title), -F.col("pos"))).alias("title"))
     nothing = {c: F.lit(None).cast(t) for c, t in (("summary", "string"), ("image_url", "string"), ("published_at", "timestamp"), ("author", "string"), ("tags", "array<string>"))}
