@@ -48,12 +48,13 @@ class Round:
     runs: DataFrame
 
 
-def judged_round(tables: Tables, found: DataFrame, fetch: Callable[[DataFrame], DataFrame], sources: DataFrame, topics: list[Topic], places: tuple[str, ...], now: dt.datetime, most: int = 40, keep: Callable[[DataFrame, str], DataFrame] = lambda rows, name: rows) -> Round:
+def judged_round(tables: Tables, found: DataFrame, fetch: Callable[[DataFrame], DataFrame], sources: DataFrame, topics: list[Topic], places: tuple[str, ...], now: dt.datetime, most: int = 40, keep: Callable[[DataFrame, str], DataFrame] = lambda rows, name: rows, read: DataFrame | None = None) -> Round:
     """A round over what the sources' pages gave (found: candidates with source_id, pos and the rest).
 
     Pages that wait from earlier rounds and failed ones that are due join what was found; what is stored, waits or is rejected
     by its feed alone is left out; each source's newest `most` are fetched (fetch gives the fetch log with the extracted columns) and the
-    rest stays pending. keep(rows, name) may write what several tables are made of and read it again, so that it is computed once.
+    rest stays pending. read (source_id) are the sources that were read, also those whose pages gave nothing; without it those that gave
+    something. keep(rows, name) may write what several tables are made of and read it again, so that it is computed once.
     """
     due = ingest.retries(tables.seen, now)
     every = found.unionByName(tables.pending, allowMissingColumns=True).unionByName(due, allowMissingColumns=True)
@@ -69,7 +70,7 @@ def judged_round(tables: Tables, found: DataFrame, fetch: Callable[[DataFrame],
     outcomes = drafts.select(F.col("key").alias("url"), "source_id", "status", "reason").unionByName(early)
     # a duplicate is a rejected page, though its draft was good
     outcomes = outcomes.join(duplicates.select("url"), "url", "left_anti").unionByName(duplicates)
-    read = found.select("source_id").distinct()
+    read = (found if read is None else read).select("source_id").distinct()
     pending = ingest.pending_merged(tables.pending, later, read).select(*tables.pending.columns)
     tried = outcomes.groupBy("source_id").agg(F.count("*").alias("candidates"), F.sum((F.col("status") == "ok").cast("int")).alias("new_articles"), F.sum((F.col("status") == "failed").cast("int")).alias("failed"), F.lit(None).cast("string").alias("error"))
     nothing = [F.coalesce(c, F.lit(0)).alias(c) for c in ("candidates", "new_articles", "failed")]
@@ -120,7 +121,7 @@ def run_round(spark: SparkSession, folder: str, pages: DataFrame, log: DataFrame
         before = Tables(**{name: tables[name].read() for name in STORED})
         cache = tables["http_cache"].read()
         found = discovery.discovered(keep(discovery.changed(owned, cache), "pages"), log, now)
-        r = judged_round(before, keep(found, "found"), fetch, sources, list(config.topics), config.places, now, most, keep)
+        r = judged_round(before, keep(found, "found"), fetch, sources, list(config.topics), config.places, now, most, keep, owned.select("source_id"))
         after, generic = {name: getattr(r, name) for name in STORED if name not in KEYED}, keep(r.generic, "generic")
         outcomes, start = keep(r.outcomes, "outcomes"), state.greatest(before.articles)
         for name, rows in after.items():  # all read the versions before, so the order doesn't matter
