@@ -110,3 +110,19 @@ def test_similar_titles_by_stored_trigrams(spark, stories, index, q):
 def test_search_opens_the_folders_of_its_terms(spark, index):
     plan = index._part(index.manifest(), "postings", ["storm"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("PartitionFilters: [isnotnull(bucket") + plan.count("PartitionFilters: [bucket") >= 3
+
+
+def test_a_title_is_stored_once(spark, index):
+    """Not with each of its trigrams, of which a title has as many as characters."""
+    at = f"{index.path}/{index.manifest()['files']['000001'][0]}"
+    assert set(spark.read.parquet(f"{at}/grams").columns) == {"g", "id", "bucket"}
+    assert dict(spark.read.parquet(f"{at}/postings").dtypes)["weights"] == "string"
+
+
+def test_postings_leave_python_a_few_stories_at_a_time(spark, stories):
+    """Rows of one batch come back in many: what Python holds doesn't grow with the batch."""
+    batches = engine.told_postings(make(spark, stories).coalesce(1), "published_at")
+    assert batches.count() == engine.build_postings(make(spark, stories)).count()
+    few = make(spark, stories[:3]).selectExpr("id", "'Harbor boats harbor' AS title", "intro", "keywords", "section", "author", "published_at")
+    rows = {(r["id"], r["term"]): (list(r["positions"]), r["weights"]) for r in engine.told_postings(few).collect()}
+    assert rows[(0, "harbor")][0][:2] == [1, 3] and rows[(0, "harbor")][1].startswith("AA")

@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import datetime as dt
 import re
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,30 +25,49 @@ MARKS = ("⟦", "⟧")
 FIELD_WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2, "D": 0.1}
 #: The share of the query's trigrams that a title must have in one stretch.
 SIMILAR = 0.6
+#: Stories whose postings Python holds at once.
+STORIES_AT_ONCE = 200
 
 
 def build_postings(articles: DataFrame, *others: str) -> DataFrame:
     """term, id, positions, weights and other columns as they are: title (A), intro (B), then keywords, section and author (C), positions running on."""
-
-    @F.pandas_udf("array<struct<term: string, positions: array<int>, weights: array<string>>>")
-    def analyse(title: pd.Series, intro: pd.Series, rest: pd.Series) -> pd.Series:
-        out, known = [], {}
-        for fields in zip(title, intro, rest, strict=True):
-            places: dict[str, tuple[list[int], list[str]]] = {}
-            base = 0
-            for weight, text in zip("ABC", fields, strict=True):
-                found = tokens(text, known)
-                for term, at, *_ in found:
-                    if term:
-                        p, w = places.setdefault(term, ([], []))
-                        p.append(base + at)
-                        w.append(weight)
-                base += len(found)
-            out.append([{"term": t, "positions": p, "weights": w} for t, (p, w) in places.items()])
-        return pd.Series(out)
-
-    rest = F.concat_ws(" ", "keywords", "section", "author")
-    return articles.select("id", *others, F.explode(analyse("title", "intro", rest)).alias("p")).select("p.term", "id", "p.positions", "p.weights", *others)
+    return told_postings(articles, *others).withColumn("weights", F.split("weights", ""))
+
+
+def told_postings(articles: DataFrame, *others: str) -> DataFrame:
+    """`build_postings` with the weights as one text. Rows leave Python flat, those of a few stories at a time."""
+    kinds = dict(articles.dtypes)
+    rows = articles.select("id", *others, F.struct("title", "intro", F.concat_ws(" ", "keywords", "section", "author").alias("rest")).alias("_fields"))
+
+    def analyse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, str | None] = {}
+        for batch in batches:
+            for start in range(0, batch.num_rows, STORIES_AT_ONCE):
+                some = batch.slice(start, STORIES_AT_ONCE)
+                owner, words, ends, places, marks = [], [], [0], [], []
+                for k, fields in enumerate(some.column("_fields").to_pylist()):
+                    found: dict[str, tuple[list[int], list[str]]] = {}
+                    base = 0
+                    for weight, text in zip("ABC", fields.values(), strict=True):
+                        read = tokens(text, known)
+                        for term, at, *_ in read:
+                            if term:
+                                p, w = found.setdefault(term, ([], []))
+                                p.append(base + at)
+                                w.append(weight)
+                        base += len(read)
+                    for term, (p, w) in found.items():
+                        owner.append(k)
+                        words.append(term)
+                        places += p
+                        ends.append(len(places))
+                        marks.append("".join(w))
+                own = {c: some.column(c).take(pa.array(owner, pa.int64())) for c in ("id", *others)}
+                own |= {"term": pa.array(words, pa.string()), "positions": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(places, pa.int32())), "weights": pa.array(marks, pa.string())}
+                yield pa.RecordBatch.from_arrays([own[c] for c in ("term", "id", "positions", "weights", *others)], ["term", "id", "positions", "weights", *others])
+
+    schema = ", ".join(["term string", f"id {kinds['id']}", "positions array<int>", "weights string", *(f"`{c}` {kinds[c]}" for c in others)])
+    return rows.mapInArrow(analyse, schema)
 
 
 def write_postings(postings: DataFrame, table: str, buckets: int = 64, path: str | None = None) -> DataFrame:

@@ -15,6 +15,7 @@ all columns counts; a story without words is found by nothing, yet takes an earl
 from __future__ import annotations
 
 import datetime as dt
+import functools
 import math
 import re
 import uuid
@@ -26,14 +27,14 @@ from pyspark.sql import functions as F
 
 from tidewire.operators.state import upserted
 from tidewire.operators.versions import VersionedTable
-from tidewire.search.engine import FIELD_WEIGHTS, SIMILAR, build_postings, decayed, judged, trigrams, word_similarity
+from tidewire.search.engine import FIELD_WEIGHTS, SIMILAR, decayed, judged, told_postings, trigrams, word_similarity
 from tidewire.search.query import Query
 
 STORY = "id long, title string, intro string, keywords string, section string, author string, published_at timestamp"
 POSTING = "term string, id long, positions array<int>, weights array<string>, n int, w double, published_at timestamp, block string"
 BLOCK = "term string, block string, size long, n int, w double, latest timestamp"
-GRAM = "g string, id long, title string, published_at timestamp"
-PARTS = {"postings": POSTING, "blocks": BLOCK, "grams": GRAM, "ids": "id long, told long"}
+#: Parts of a segment as they are stored: the weights of a posting as one text, and a story's title once, not with each of its trigrams.
+PARTS = {"postings": POSTING.replace("array<string>", "string"), "blocks": BLOCK, "grams": "g string, id long", "ids": "id long, told long, title string, published_at timestamp"}
 #: Occurrences from which on blocks don't tell numbers apart.
 MANY = 8
 YEAR = 86400 * 365.0
@@ -70,13 +71,18 @@ class SearchIndex(VersionedTable):
         """Writes a segment's parts: postings and trigrams in folders by hash, so that a search opens those of its terms."""
         folder = f"data/{uuid.uuid4().hex}"
         at = f"{self.path}/{folder}"
-        rows = postings.withColumn("bucket", self._dealt("term")).repartition(self.buckets, "bucket", "block")
+        # what follows from a posting is added behind the shuffle
+        slim = postings.select("term", "id", "positions", "weights", "published_at").repartition(self.buckets, self._dealt("term"), F.date_format("published_at", "yyyyMM"))
+        n = F.size("positions")
+        weight = functools.reduce(lambda rest, kv: F.when(F.col("weights").contains(kv[0]), kv[1]).otherwise(rest), sorted(FIELD_WEIGHTS.items(), key=lambda kv: kv[1]), F.lit(None).cast("double"))
+        block = F.concat_ws(":", F.coalesce(F.date_format("published_at", "yyyyMM"), F.lit("-")), F.col("w").cast("string"), F.least(n, F.lit(MANY)).cast("string"))
+        rows = slim.withColumns({"n": n, "w": weight, "bucket": self._dealt("term")}).withColumn("block", block)
         rows.sortWithinPartitions("bucket", "term", "block").write.partitionBy("bucket").parquet(f"{at}/postings")
-        told = self.spark.read.schema(POSTING).parquet(f"{at}/postings")
+        told = self.spark.read.schema(PARTS["postings"]).parquet(f"{at}/postings")
         blocks = told.groupBy("term", "block").agg(F.count("*").alias("size"), F.max("n").alias("n"), F.max("w").alias("w"), F.max("published_at").alias("latest"))
         blocks.withColumn("bucket", self._dealt("term")).repartition(self.buckets, "bucket").write.partitionBy("bucket").parquet(f"{at}/blocks")
-        grams.withColumn("bucket", self._dealt("g")).repartition(self.buckets, "bucket").sortWithinPartitions("bucket", "g").write.partitionBy("bucket").parquet(f"{at}/grams")
-        ids.select("id", "told").write.parquet(f"{at}/ids")
+        grams.select("g", "id").withColumn("bucket", self._dealt("g")).repartition(self.buckets, "bucket").sortWithinPartitions("bucket", "g").write.partitionBy("bucket").parquet(f"{at}/grams")
+        ids.select("id", "told", "title", "published_at").write.parquet(f"{at}/ids")
         return folder
 
     def add(self, stories: DataFrame, batch: int | None = None) -> int:
@@ -90,12 +96,8 @@ class SearchIndex(VersionedTable):
         try:
             if rows.isEmpty():
                 return self._publish(before, before["files"], batch, own) if batch is not None else before["version"]
-            found = build_postings(rows, "published_at")
-            n = F.size("positions")
-            weight = F.array_max(F.transform("weights", lambda x: F.create_map(*(F.lit(y) for kv in FIELD_WEIGHTS.items() for y in kv))[x]))
-            block = F.concat_ws(":", F.coalesce(F.date_format("published_at", "yyyyMM"), F.lit("-")), weight.cast("string"), F.least(n, F.lit(MANY)).cast("string"))
-            postings = found.select("term", "id", "positions", "weights", n.alias("n"), weight.alias("w"), "published_at", block.alias("block"))
-            grams = rows.select(F.explode(title_grams(F.col("title"))).alias("g"), "id", "title", "published_at")
+            postings = told_postings(rows, "published_at")
+            grams = rows.select(F.explode(title_grams(F.col("title"))).alias("g"), "id")
             told = F.xxhash64(*(F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in self.columns))
             folder = self._segment(postings, grams, rows.withColumn("told", told))
             number = max(map(int, before["files"]), default=0) + 1
@@ -158,7 +160,7 @@ class SearchIndex(VersionedTable):
 
     def postings(self, terms: list[str] | None = None) -> DataFrame:
         """term, id, positions, weights and the rest of the postings that count."""
-        return self._live(self.manifest(), "postings", terms).drop("segment")
+        return self._live(self.manifest(), "postings", terms).drop("segment").withColumn("weights", F.split("weights", ""))
 
     def matched(self, query: Query) -> DataFrame:
         """id and rank of the stories that match a query none of whose alternatives is exclusions alone."""
@@ -201,7 +203,7 @@ class SearchIndex(VersionedTable):
         manifest = self.manifest()
         blocks = self._part(manifest, "blocks", query.terms).collect() if query.terms else []
         bounds = self._bounds(blocks, query, now)
-        postings = self._live(manifest, "postings", query.terms).drop("segment")
+        postings = self._live(manifest, "postings", query.terms).drop("segment").withColumn("weights", F.split("weights", ""))
 
         def ranked(part: list[tuple[float, str, str, int]]) -> DataFrame:
             mine = F.lit(False)
@@ -229,12 +231,13 @@ class SearchIndex(VersionedTable):
         if not asked:
             return self.spark.createDataFrame([], empty)
         enough = math.ceil(SIMILAR * len(asked) - 1e-9)
-        held = self._live(self.manifest(), "grams", asked).groupBy("id").agg(F.count("*").alias("shared"), F.first("title").alias("title"), F.first("published_at").alias("published_at"))
+        manifest = self.manifest()
+        held = self._live(manifest, "grams", asked).groupBy("id").agg(F.count("*").alias("shared")).where(F.col("shared") >= enough)
 
         @F.pandas_udf("double")
         def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for titles in batches:
                 yield titles.map(lambda t: word_similarity(q, t)).astype(float)
 
-        scored = held.where(F.col("shared") >= enough).select("id", "title", "published_at", score("title").alias("similarity"))
+        scored = held.join(self._live(manifest, "ids"), "id").select("id", "title", "published_at", score("title").alias("similarity"))
         return scored.where(F.col("similarity") >= SIMILAR).orderBy(F.desc("similarity"), F.col("published_at").desc_nulls_first(), F.desc("id")).limit(limit)
