@@ -73,3 +73,33 @@ def test_a_range_opens_its_days_only(spark, rows, tmp_path):
     opened = {f for r in some.select(F.input_file_name().alias("f")).distinct().collect() for f in [r["f"].split("day=")[1][:10]]}
     assert opened == {"2026-01-03", "2026-01-04"}
     assert some.where(F.to_date(F.from_utc_timestamp("published_at", days.ZONE)) != F.col("day")).count() == 0
+
+
+def test_many_small_days_share_partitions(spark, tmp_path, monkeypatch):
+    """Files follow the rows and not the days: spans of days, widened when later batches bring more, with the same answers."""
+    monkeypatch.setattr(days, "PARTITIONS", 8)
+    monkeypatch.setattr(days, "ROWS_A_PARTITION", 1000)
+    monkeypatch.setattr(days, "ROWS_A_FILE", 100)
+    rng = random.Random(8)
+    rows = [(i, rng.randint(1, 3), rng.sample(["a", "b"], rng.randint(0, 2)), f"t{i}", None if i == 7 else START + dt.timedelta(hours=i * 11)) for i in range(500)]
+    store, sources = days.DayStore(spark, f"file://{tmp_path}/s", SCHEMA), spark.createDataFrame([(i, f"s{i}") for i in range(1, 4)], "id int, slug string")
+    spans = []
+    for part in (rows[:10], rows[:60], rows[60:], rows[100:103]):
+        store.merge(make(spark, part))
+        spans.append(store._span(store.manifest()))
+        assert len(store._files(store.manifest(), "totals")) <= 10
+    assert spans[0] == 1 < spans[1] < spans[2] == spans[3]
+    now = make(spark, rows)
+    assert told(store.read().select(*now.columns)) == told(now)
+    kept = now.where("published_at IS NOT NULL")
+    assert told(days.sitemap_times(store.totals().where("day IS NOT NULL"), sources)) == told(listing.sitemap_times(kept, sources))
+    assert told(days.day_counts(store.totals(), 2026, 2)) == told(listing.day_counts(now, 2026, 2))
+    day = dt.date(2026, 2, 3)
+    assert told(store.between(day, day).select("id")) == told(now.where(F.to_date(F.from_utc_timestamp("published_at", days.ZONE)) == F.lit(day)).select("id"))
+    # a row that moves leaves the span it had, and a late one changes its own span only
+    store.merge(make(spark, [(3, 1, ["a"], "moved", START + dt.timedelta(days=200))]), moves=True)
+    assert store.with_days().where("id = 3").count() == 1
+    before = store.manifest()["files"]
+    store.merge(make(spark, [(1000, 1, ["a"], "late", START + dt.timedelta(days=50))]))
+    after = store.manifest()["files"]
+    assert len({n for n in after if before.get(n) != after[n]}) == 2
