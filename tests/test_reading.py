@@ -157,3 +157,9 @@ def test_times_are_labelled_by_the_zone_that_they_name(spark):
     at = [dt.datetime(1977, 8, 27, 12), dt.datetime(1890, 1, 1, 12), dt.datetime(2024, 1, 1, 12)]
     df = spark.createDataFrame([(t,) for t in at], "t timestamp")
     assert [r[0] for r in df.select(dates.local_datetime(F.col("t"))).collect()] == ["Aug 27, 1977, 10:00 PM ChST", "Jan 1, 1890, 10:00 PM ChST", "Jan 1, 2024, 10:00 PM ChST"]
+
+
+def test_a_sentence_that_begins_with_by_is_no_byline(spark):
+    rows = ["By annded ofanbleount thtiononou reingnd.", "By Annabella Maria Bellington-Smith Harbourne", "BY ANNABELLA DE LA HARBOURNE-BELLINGTON-SMITH", "By Bartholomew Bellington and the harbour"]
+    df = spark.createDataFrame([(t,) for t in rows], "t string")
+    assert [r[0] for r in df.select(text.good_paragraph(F.col("t"))).collect()] == [True, False, False, True]
