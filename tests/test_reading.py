@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewire.functions import dates, html, money, text, urls
+from tidewire.operators import jobs
 from tidewire.sources import boards
 
 D = dt.date
@@ -163,3 +164,11 @@ def test_a_sentence_that_begins_with_by_is_no_byline(spark):
     rows = ["By annded ofanbleount thtiononou reingnd.", "By Annabella Maria Bellington-Smith Harbourne", "BY ANNABELLA DE LA HARBOURNE-BELLINGTON-SMITH", "By Bartholomew Bellington and the harbour"]
     df = spark.createDataFrame([(t,) for t in rows], "t string")
     assert [r[0] for r in df.select(text.good_paragraph(F.col("t"))).collect()] == [True, False, False, True]
+
+
+def test_numbers_of_postings_have_two_digits_or_more(spark):
+    c = "url string, title string, pdf_url string, reference string"
+    rows = [("p1", "Clerk", None, "345-12"), ("p2", "Clerk", None, "345-120"), ("p4", "Clerk", None, "345-13"), ("p3", "Clerk", None, "345-13")]
+    rows += [("d1", "345-12 Clerk", "d1", None), ("d2", "345-120 Clerk", "d2", None), ("d3", "345-13 Clerk", "d3", None)]
+    got = {r["url"]: r["pdf_url"] for r in jobs.paired_with_pdfs(spark.createDataFrame(rows, c)).collect()}
+    assert got == {"p1": "d1", "p2": "d2", "p3": "d3", "p4": None}

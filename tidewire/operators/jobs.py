@@ -95,11 +95,12 @@ def paired_with_pdfs(postings: DataFrame) -> DataFrame:
     """Postings of a board that lists some twice: in a portal (with a reference) and as a PDF.
 
     A PDF goes to the portal's posting of the number in front of its title, or else to the one of the same
-    title if only one has it; PDFs that match none stay.
+    title if only one has it; PDFs that match none stay. A number has three digits, a hyphen and two digits or more; of postings that share one the
+    least url has it.
     """
     portal = postings.where("reference IS NOT NULL").withColumn("_key", title_key(F.col("title"))).withColumn("_alone", F.count("*").over(Window.partitionBy("_key")) == 1)
-    pdfs = postings.where("reference IS NULL AND pdf_url IS NOT NULL").withColumn("_num", F.regexp_extract("title", r"^\s*(\d{3}-\d{2})\b", 1)).withColumn("_key", title_key(F.col("title")))
-    numbers = portal.select(F.col("reference").alias("_num"), F.col("url").alias("_by_number")).dropDuplicates(["_num"])
+    pdfs = postings.where("reference IS NULL AND pdf_url IS NOT NULL").withColumn("_num", F.regexp_extract("title", r"^\s*(\d{3}-\d{2,})\b", 1)).withColumn("_key", title_key(F.col("title")))
+    numbers = portal.select(F.col("reference").alias("_num"), "url").groupBy("_num").agg(F.min("url").alias("_by_number"))
     titles = portal.where("_alone").select("_key", F.col("url").alias("_by_title"))
     twins = pdfs.join(numbers, "_num", "left").join(titles, "_key", "left").withColumn("_twin", F.coalesce("_by_number", "_by_title"))
     given = twins.where("_twin IS NOT NULL").groupBy(F.col("_twin").alias("url")).agg(F.min("pdf_url").alias("_pdf"))

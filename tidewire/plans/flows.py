@@ -263,7 +263,8 @@ def government_api(spark, d):
 def paired_postings(spark, d):
     """By number, by a title of its own, without a file, and a file without a posting."""
     c = "url string, title string, pdf_url string, reference string"
-    number, kind = F.concat(F.lpad((P() % 1000).cast("string"), 3, "0"), F.lit("-"), F.lpad(F.floor(P() / 1000).cast("string"), 2, "0")), P() % 4
+    thousands = F.floor(P() / 1000).cast("string")
+    number, kind = F.concat(F.lpad((P() % 1000).cast("string"), 3, "0"), F.lit("-"), F.when(F.length(thousands) < 2, F.concat(F.lit("0"), thousands)).otherwise(thousands)), P() % 4
     part = table(spark, d, "part")
     portal = part.where(kind < 3).select(joined("portal/", _KEY()).alias("url"), joined("Clerk ", F.when(kind == 1, _KEY()).otherwise(F.lit("of many"))).alias("title"), null("string").alias("pdf_url"), number.alias("reference"))
     files = part.where(kind != 2).select(joined("file/", _KEY()).alias("url"), F.when(kind == 0, joined(number, " Whatever")).when(kind == 1, joined("CLERK  ", _KEY(), " (Amendment 1)")).otherwise(joined("Cook ", _KEY())).alias("title"), joined("file/", _KEY()).alias("pdf_url"), null("string").alias("reference"))
