@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewire.functions import dates, html, money, text, urls
 from tidewire.operators import jobs
-from tidewire.sources import boards
+from tidewire.sources import boards, pages
 
 D = dt.date
 
@@ -172,3 +172,25 @@ def test_numbers_of_postings_have_two_digits_or_more(spark):
     rows += [("d1", "345-12 Clerk", "d1", None), ("d2", "345-120 Clerk", "d2", None), ("d3", "345-13 Clerk", "d3", None)]
     got = {r["url"]: r["pdf_url"] for r in jobs.paired_with_pdfs(spark.createDataFrame(rows, c)).collect()}
     assert got == {"p1": "d1", "p2": "d2", "p3": "d3", "p4": None}
+
+
+def test_a_title_may_end_within_a_reference(spark):
+    written = ["Fish &amp;&amp", "A &quot;B&quot; \n &amp;c", "", None]
+    df = spark.createDataFrame([(i, None if t is None else f"<html><TITLE lang='x'>{t}</title><p>x</p></html>") for i, t in enumerate(written)], "i int, content string")
+    got = [(r["title"], r["written_title"]) for r in pages.page_facts(df).orderBy("i").collect()]
+    assert got == [("Fish &&", "Fish &amp;&amp"), ('A "B" &c', "A &quot;B&quot; &amp;c"), (None, None), (None, None)]
+
+
+def test_rows_leave_python_a_few_pages_at_a_time(spark):
+    """One batch of a thousand pages comes back in many, and every row with its page."""
+    df = spark.range(1000).coalesce(1).selectExpr("id AS n", "concat('<p>', id, '</p>') AS content", "concat('u', id) AS url")
+
+    def f(content):
+        return [(content,)] * 2
+
+    out = pages.rows_of(df, f, "c string", ["content"], {"n": "page", "url": "url"})
+    assert out.columns == ["page", "url", "c"] and out.count() == 2000
+    assert out.where("c <> concat('<p>', page, '</p>') OR url <> concat('u', page)").count() == 0
+    assert pages.PAGES_AT_ONCE < 1000
+    spread_out = pages.rows_of(df, f, "c string", ["content"], {"n": "page"}).rdd.getNumPartitions()
+    assert spread_out >= spark.sparkContext.defaultParallelism

@@ -143,13 +143,24 @@ def domain(url: Column) -> Column:
     return F.regexp_replace(host_of(url), r"^www\.", "")
 
 
+#: A path that stands behind its site as it is.
+PLAIN_PATH = re.compile(r"/[A-Za-z0-9_~%/ .-]*(?:\?[A-Za-z0-9_~%/ .=&-]*)?")
+
+
+def _origin(base: str) -> str:
+    """Scheme and host of an address of the web, else nothing."""
+    parts = urlsplit(base)
+    return f"{parts.scheme}://{parts.netloc}" if parts.scheme in ("http", "https") and parts.netloc else ""
+
+
 def absolute_link(href: str | None, base: str) -> str | None:
     """A link as an absolute address without fragment, blanks escaped; None for what isn't a page of the web."""
     target = (href or "").strip().partition("#")[0]
     if not target:
         return None
     try:
-        full = urljoin(base, target)
+        plain = PLAIN_PATH.fullmatch(target) and "//" not in target and "/." not in target and target[-1] != "?"
+        full = _origin(base) + target if plain and _origin(base) else urljoin(base, target)
         return full.replace(" ", "%20") if urlsplit(full).scheme in ("http", "https") else None
     except ValueError:
         return None

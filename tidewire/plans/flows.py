@@ -145,7 +145,7 @@ def _DAY():
 
 
 def _board(spark, d, kind, *parts, **options):
-    rows = table(spark, d, "part").select(joined("https://b.example.com/list/", _KEY()).alias("url"), joined(*parts).alias("content"))
+    rows = PG.spread(table(spark, d, "part")).select(joined("https://b.example.com/list/", _KEY()).alias("url"), joined(*parts).alias("content"))
     return boards.parse_board(rows, kind, **options)
 
 
@@ -201,7 +201,7 @@ def board_details(spark, d):
 
 def _details(spark, d, kind, page, **known):
     """Postings that know some fields already, and what their pages add."""
-    rows = table(spark, d, "part").select(joined("https://b.example.com/", _KEY()).alias("url"), page.alias("content"), *(v.alias(k) for k, v in known.items()))
+    rows = PG.spread(table(spark, d, "part")).select(joined("https://b.example.com/", _KEY()).alias("url"), page.alias("content"), *(v.alias(k) for k, v in known.items()))
     told = boards.posting_details(rows.select("url", "content"), kind)
     out = boards.with_details(rows.drop("content"), told, kind)
     return out.select(*(F.col(c).cast("string").alias(c) for c in out.columns))

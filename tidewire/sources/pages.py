@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import datetime as dt
+import gc
 import gzip
 import re
+from collections.abc import Callable, Iterable, Iterator
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructField, StructType
 
 from tidewire.functions import html as H
 from tidewire.functions.dates import parse_datetime, parsed
@@ -81,20 +85,42 @@ def sitemap_rows(content: bytes | str | None) -> list[tuple]:
     return out
 
 
-def _exploded(pages: DataFrame, f, schema: str, content: str) -> DataFrame:
-    """Rows of a parser that turns one page's content into a list of tuples, beside the page's other columns."""
+#: Pages whose rows Python holds at once.
+PAGES_AT_ONCE = 100
 
-    @F.pandas_udf(f"array<struct<{schema_to_struct(schema)}>>")
-    def g(contents: pd.Series) -> pd.Series:
-        names = [c.split()[0] for c in re.split(r",\s*(?![^<]*>)", schema)]
-        return pd.Series([[dict(zip(names, row, strict=True)) for row in f(c)] for c in contents])
 
-    others = [c for c in pages.columns if c != content]
-    return pages.select(*others, F.explode(g(F.col(content))).alias("_e")).select(*(F.col(c).alias(f"page_{c}") for c in others), "_e.*")
+def rows_of(pages: DataFrame, f: Callable[..., Iterable[tuple]], schema: str, given: list[str], kept: dict[str, str]) -> DataFrame:
+    """The rows (tuples of a schema) that f makes of each page's given columns, beside those of the page's columns that are kept, by their new names.
 
+    Rows leave Python flat, those of a few pages at a time, and trees, which hold themselves, are let go before the next ones: what a task
+    holds doesn't grow with its batches.
+    """
+    told = StructType.fromDDL(schema)
+    kinds = [to_arrow_type(c.dataType) for c in told]
+    names = [*kept.values(), *told.names]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.freeze()
+        for batch in batches:
+            for start in range(0, batch.num_rows, PAGES_AT_ONCE):
+                some = batch.slice(start, PAGES_AT_ONCE)
+                owner, found = [], []
+                for k, values in enumerate(zip(*(some.column(c).to_pylist() for c in given), strict=True)):
+                    for row in f(*values):
+                        owner.append(k)
+                        found.append(row)
+                own = zip(zip(*found, strict=True), kinds, strict=True) if found else (([], t) for t in kinds)
+                at = pa.array(owner, pa.int64())
+                yield pa.RecordBatch.from_arrays([*(some.column(c).take(at) for c in kept), *(pa.array(v, t) for v, t in own)], names)
+                gc.collect()
+
+    columns = [StructField(new, pages.schema[old].dataType) for old, new in kept.items()]
+    return spread(pages.select(*dict.fromkeys([*kept, *given]))).mapInArrow(read, StructType([*columns, *told.fields]))
 
-def schema_to_struct(schema: str) -> str:
-    return ", ".join(f"{n}: {t}" for n, t in (c.split(maxsplit=1) for c in re.split(r",\s*(?![^<]*>)", schema)))
+
+def _exploded(pages: DataFrame, f, schema: str, content: str) -> DataFrame:
+    """Rows of a parser that turns one page's content into a list of tuples, beside the page's other columns."""
+    return rows_of(pages, f, schema, [content], {c: f"page_{c}" for c in pages.columns if c != content})
 
 
 def parse_feeds(feeds: DataFrame, now: dt.datetime) -> DataFrame:
@@ -180,18 +206,16 @@ def extract_articles(pages: DataFrame, now: dt.datetime, selector: str | None =
     text (a known container, the page's state, the densest element, the structured body) the first with a paragraph of prose.
     """
 
-    @F.pandas_udf(H.ARTICLE_SCHEMA)
-    def read(urls: pd.Series, contents: pd.Series) -> pd.DataFrame:
-        rows = []
-        for url, content in zip(urls, contents, strict=True):
-            a = H.article(content, selector, lambda text: parsed(text, now) is not None)
-            a["canonical"], a["images"] = ([u for x in a[k] if (u := normalized(x, url))] for k in ("canonical", "images"))
-            a["dates"], a["modified"] = ([at.isoformat() for x in a[k] if (at := parsed(x, now))][:1] for k in ("dates", "modified"))
-            rows.append(a)
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in re.split(r",\s*(?![^<]*>)", H.ARTICLE_SCHEMA)])
+    names = StructType.fromDDL(H.ARTICLE_SCHEMA).names
+
+    def read(url: str, content: str | bytes | None) -> Iterator[tuple]:
+        a = H.article(content, selector, lambda text: parsed(text, now) is not None)
+        a["canonical"], a["images"] = ([u for x in a[k] if (u := normalized(x, url))] for k in ("canonical", "images"))
+        a["dates"], a["modified"] = ([at.isoformat() for x in a[k] if (at := parsed(x, now))][:1] for k in ("dates", "modified"))
+        yield tuple(a[c] for c in names)
 
     one = lambda values: F.get(values, F.lit(0))
-    e = spread(pages.select("url", "content")).select("url", read("url", "content").alias("e")).select("url", "e.*")
+    e = rows_of(pages, read, H.ARTICLE_SCHEMA, ["url", "content"], {"url": "url"})
     e = e.withColumn("title", F.nullif(headline(one(F.col("titles")), F.col("site_name")), F.lit(""))).withColumn("published_at", F.to_timestamp(one(F.col("dates"))))
     # a coalesce stops at what it has, so texts behind the first that gives an intro aren't looked at
     e = e.withColumn("intro", F.aggregate("stories", F.lit(None).cast("string"), lambda got, s: F.coalesce(got, intro(s, F.col("title")))))
@@ -213,14 +237,14 @@ def extract_articles(pages: DataFrame, now: dt.datetime, selector: str | None =
 
 
 def page_facts(pages: DataFrame) -> DataFrame:
-    """The columns of pages but the content, and title, paragraphs, links and pictures of each."""
+    """The columns of pages but the content, and title, the title as it is written, paragraphs, links and pictures of each."""
+    names = StructType.fromDDL(H.FACTS_SCHEMA).names
 
-    @F.pandas_udf(H.FACTS_SCHEMA)
-    def read(contents: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([H.facts(c) for c in contents], columns=["title", "paragraphs", "links", "pictures"])
+    def read(content: str | bytes | None) -> Iterator[tuple]:
+        told = H.facts(content)
+        yield tuple(told[c] for c in names)
 
-    others = [c for c in pages.columns if c != "content"]
-    return pages.select(*others, read("content").alias("f")).select(*others, "f.*")
+    return rows_of(pages, read, H.FACTS_SCHEMA, ["content"], {c: c for c in pages.columns if c != "content"})
 
 
 def link_shapes(pages: DataFrame, top: int = 15) -> DataFrame:
