@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -194,3 +195,40 @@ def test_rows_leave_python_a_few_pages_at_a_time(spark):
     assert pages.PAGES_AT_ONCE < 1000
     spread_out = pages.rows_of(df, f, "c string", ["content"], {"n": "page"}).rdd.getNumPartitions()
     assert spread_out >= spark.sparkContext.defaultParallelism
+
+
+def test_plain_markup_reads_as_by_the_standard_parser():
+    """What the parser isn't shown gives the tree that it would; at odd markup it takes over."""
+    pieces = ["<p>", "</p>", "<P CLASS='a b'>", "<div id=x>", "<div id='x' id=\"y\">", "<a href='/v?a=1&amp;b=2&copy=3'>", "</a>", "<br/>", "<img src=\"a.jpg\" alt>", "text ", "a & b", "&lt;p&gt;", "&am", "< b", "<!-- c -->", "<!-->", "<!-- a -- b -->", "<!doctype html>"]
+    pieces += ["<![CDATA[ x ]]>", "<script>var a='<p>';</script >", "<script>", "<title>a &amp; <b></title>", "<title>", "<li>a<li>b", "<td>a<th>b<tr>", "</p x>", "</>", "<p\n a = 'b'>", "<p a='b'c='d'>", "<p a='>'>", "<p @click='x'>", "<noscript><p>x</noscript>", "<p a='", "<!--", "\x0b", "é"]
+    shape = lambda n: (n.tag, n.attrs, [c if isinstance(c, str) else shape(c) for c in n.children])
+    chosen = random.Random(7)
+    for _ in range(5000):
+        markup = "".join(chosen.choices(pieces, k=chosen.randint(1, 10)))
+        whole = html._Builder()
+        whole.feed(markup)
+        whole.close()
+        assert shape(html.tree(markup)) == shape(whole.root), markup
+
+
+def test_plain_markup_is_not_shown_to_the_parser(monkeypatch):
+    shown = []
+    monkeypatch.setattr(html._Builder, "goahead", lambda self, end: shown.append(self.rawdata))
+    root = html.tree("<!doctype html><table class='a b'><tr><td id=\"x\">one<br/>&amp; two</td></tr></table><!-- no -->")
+    assert "".join(shown) == "" and [n.text() for n in html.select(root, "table.a td")] == ["one & two"]
+
+
+def test_parts_of_one_row_group_are_read_by_all_cores(spark, tmp_path):
+    """One row group that is read in many partitions has its rows in one of them."""
+    from tidewire.plans import QUERIES
+
+    spark.range(2000).coalesce(1).selectExpr("id AS p_partkey", "concat('part ', id) AS p_name", "'b' AS p_brand", "'t' AS p_type", "1 AS p_size").write.parquet(f"{tmp_path}/part.parquet")
+    cores, old = spark.sparkContext.defaultParallelism, spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        assert spark.read.parquet(f"{tmp_path}/part.parquet").rdd.getNumPartitions() >= cores
+        busy = pages.dealt(spark.read.parquet(f"{tmp_path}/part.parquet")).groupBy(F.spark_partition_id()).count()
+        assert busy.count() >= cores and busy.agg(F.max("count")).first()[0] < 2000 / cores
+        assert "RoundRobinPartitioning" in QUERIES["board_table"](spark, str(tmp_path))._jdf.queryExecution().toString()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)

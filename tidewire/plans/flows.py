@@ -145,7 +145,7 @@ def _DAY():
 
 
 def _board(spark, d, kind, *parts, **options):
-    rows = PG.spread(table(spark, d, "part")).select(joined("https://b.example.com/list/", _KEY()).alias("url"), joined(*parts).alias("content"))
+    rows = PG.dealt(table(spark, d, "part")).select(joined("https://b.example.com/list/", _KEY()).alias("url"), joined(*parts).alias("content"))
     return boards.parse_board(rows, kind, **options)
 
 
@@ -196,12 +196,12 @@ def board_portal(spark, d):
 @query("board_details", "SELECT 'https://b.example.com/' || p_partkey AS url, '$' || p_size || ' per hour' AS pay, p_type AS location, 'Do ' || p_name || '.' AS description, CAST(CAST(DATE '2024-01-01' + CAST(p_partkey % 300 AS INT) AS DATE) AS VARCHAR) AS close_date FROM part")
 def board_details(spark, d):
     page = joined("<table><tr><th>Salary range:</th><td>$", F.col("p_size").cast("string"), " per hour</td></tr></table><dl><dt>Work Location</dt><dd>", F.col("p_type"), "</dd><dt>Job Summary</dt><dd>Do ", F.col("p_name"), ".</dd><dt>Closing date</dt><dd>", F.date_format(_DAY(), "MM/dd/yyyy"), "</dd></dl>")
-    return boards.detail_fields(table(spark, d, "part").select(joined("https://b.example.com/", _KEY()).alias("url"), page.alias("content"))).select("url", "pay", "location", "description", F.col("close_date").cast("string").alias("close_date"))
+    return boards.detail_fields(PG.dealt(table(spark, d, "part")).select(joined("https://b.example.com/", _KEY()).alias("url"), page.alias("content"))).select("url", "pay", "location", "description", F.col("close_date").cast("string").alias("close_date"))
 
 
 def _details(spark, d, kind, page, **known):
     """Postings that know some fields already, and what their pages add."""
-    rows = PG.spread(table(spark, d, "part")).select(joined("https://b.example.com/", _KEY()).alias("url"), page.alias("content"), *(v.alias(k) for k, v in known.items()))
+    rows = PG.dealt(table(spark, d, "part")).select(joined("https://b.example.com/", _KEY()).alias("url"), page.alias("content"), *(v.alias(k) for k, v in known.items()))
     told = boards.posting_details(rows.select("url", "content"), kind)
     out = boards.with_details(rows.drop("content"), told, kind)
     return out.select(*(F.col(c).cast("string").alias(c) for c in out.columns))

@@ -199,6 +199,15 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows if rows.isStreaming or rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
 
 
+#: Tasks for each core where rows are dealt out.
+TASKS_A_CORE = 4
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """rows, narrow ones that pages are made of, in even parts over all cores: a file of few row groups is as many busy tasks, however many partitions it is read in."""
+    return rows if rows.isStreaming else rows.repartition(TASKS_A_CORE * rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def extract_articles(pages: DataFrame, now: dt.datetime, selector: str | None = None) -> DataFrame:
     """Articles of pages (url, content): Python reads the markup once, in order of trust; of each chain the first value that holds up counts.
 
