@@ -232,3 +232,13 @@ def test_parts_of_one_row_group_are_read_by_all_cores(spark, tmp_path):
         assert "RoundRobinPartitioning" in QUERIES["board_table"](spark, str(tmp_path))._jdf.queryExecution().toString()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_links_are_read_by_one_worker_a_task(spark):
+    page = "<a href='#x'>a</a><a href=' MAILTO:a@b.c'>b</a><a href='/2024/1/x#c'>short</a><a href='HTTPS://Www.E.com:443/2024/1/x?utm_a=1'>The longest of its texts</a><a href='/2024/1/own/'>self</a><a href='http://[x/2024/1/2'>odd</a>"
+    df = spark.createDataFrame([("https://www.e.com/2024/1/own", page), (None, page), ("https://www.e.com/", None)], "url string, content string")
+    found = pages.parse_listings(df)
+    assert [(r["page_url"], r["pos"], r["url"], r["title"]) for r in found.collect()] == [("https://www.e.com/2024/1/own", 2, "https://www.e.com/2024/1/x", "The longest of its texts")]
+    for out in (found, pages.link_shapes(df), pages.advertised_feeds(df)):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan

@@ -123,6 +123,19 @@ def _exploded(pages: DataFrame, f, schema: str, content: str) -> DataFrame:
     return rows_of(pages, f, schema, [content], {c: f"page_{c}" for c in pages.columns if c != content})
 
 
+def _linked(pages: DataFrame, find: Callable[..., Iterable[tuple]], more: str = "") -> DataFrame:
+    """The links of pages (url, content): page_url and the like, page_key (the page's own address, normalised), url (normalised) and what else find tells of a link behind its href.
+
+    Addresses are normalised where the page is read: a task has one worker of Python, not another one for each column of addresses.
+    """
+
+    def read(content: str | bytes | None, at: str | None) -> Iterator[tuple]:
+        own = normalized(at)
+        return ((own, url, *told) for href, *told in find(content) if (url := normalized(href, at)))
+
+    return rows_of(pages, read, f"page_key string, url string{more}", ["content", "url"], {c: f"page_{c}" for c in pages.columns if c != "content"})
+
+
 def parse_feeds(feeds: DataFrame, now: dt.datetime) -> DataFrame:
     """Candidates of feeds (url, content), with page_url and pos."""
     return feed_candidates(_exploded(feeds, feed_entries, ENTRY, "content"), now)
@@ -134,14 +147,17 @@ def feed_candidates(rows: DataFrame, now: dt.datetime) -> DataFrame:
     return rows.select("page_url", "pos", key.alias("url"), key.alias("key"), F.lit("feed").alias("via"), "title", "summary", normalize_url(F.col("image"), F.col("url")).alias("image_url"), parse_datetime(F.col("published"), now).alias("published_at"), "author", "tags").where("url IS NOT NULL")
 
 
+#: How links begin that lead to no page.
+NO_PAGE = ("#", "mailto:", "tel:", "javascript:")
+
+
 def parse_listings(pages: DataFrame, article_patterns: list[str] | None = None, exclude: list[str] | None = None, wanted: Column | None = None) -> DataFrame:
     """Candidates of listing pages (url, content): links of the same site that look like articles, each once with its longest anchor text.
 
     What an article's address looks like may also be told by `wanted`, of url and the pages' other columns as page_....
     """
-    rows = _exploded(pages, lambda c: [(x["href"], i, x["text"]) for i, x in enumerate(H.links(c))], "href string, pos int, text string", "content")
-    rows = rows.where(~F.col("href").rlike(r"(?i)^(#|mailto:|tel:|javascript:)")).withColumn("url", normalize_url(F.col("href"), F.col("page_url")))
-    rows = rows.where(F.col("url").isNotNull() & same_site(F.col("url"), F.col("page_url")) & (match_key(F.col("url")) != match_key(normalize_url(F.col("page_url")))))
+    rows = _linked(pages, lambda c: ((x["href"], i, x["text"]) for i, x in enumerate(H.links(c)) if not x["href"].lower().startswith(NO_PAGE)), ", pos int, text string")
+    rows = rows.where(same_site(F.col("url"), F.col("page_url")) & (match_key(F.col("url")) != match_key(F.col("page_key"))))
     if exclude:
         rows = rows.where(~excluded(F.col("url"), exclude))
     rows = rows.where(wanted if wanted is not None else excluded(F.col("url"), article_patterns) if article_patterns else looks_like_article(F.col("url")))
@@ -157,8 +173,7 @@ def advertised_feeds(pages: DataFrame) -> DataFrame:
     def find(content):
         return [(n.attrs.get("href", ""),) for n in H.tree(content).all("link") if "alternate" in n.attrs.get("rel", "").lower() and re.search(r"(?i)application/(rss|atom)\+xml|application/(rdf\+)?xml|text/xml", n.attrs.get("type", ""))]
 
-    rows = _exploded(pages, find, "href string", "content").select("page_url", normalize_url(F.col("href"), F.col("page_url")).alias("url"))
-    return rows.where("url IS NOT NULL AND NOT contains(url, 'comments')").distinct()
+    return _linked(pages, find).select("page_url", "url").where("NOT contains(url, 'comments')").distinct()
 
 
 def parse_sitemaps(files: DataFrame, now: dt.datetime) -> DataFrame:
@@ -258,8 +273,7 @@ def page_facts(pages: DataFrame) -> DataFrame:
 
 def link_shapes(pages: DataFrame, top: int = 15) -> DataFrame:
     """The commonest forms of the different links within pages' own sites, with two examples each."""
-    rows = _exploded(pages, lambda c: [(x["href"],) for x in H.links(c)], "href string", "content").withColumn("url", normalize_url(F.col("href"), F.col("page_url")))
-    rows = rows.where(F.col("url").isNotNull() & same_site(F.col("url"), F.col("page_url"))).select("page_url", "url").distinct()
+    rows = _linked(pages, lambda c: ((x["href"],) for x in H.links(c))).where(same_site(F.col("url"), F.col("page_url"))).select("page_url", "url").distinct()
     shape = F.concat(host_of(F.col("url")), path_shape(F.col("url")))
     return rows.groupBy(shape.alias("shape")).agg(F.count("*").alias("n"), F.array_compact(F.array(F.min("url"), F.nullif(F.max("url"), F.min("url")))).alias("examples")).orderBy(F.desc("n"), "shape").limit(top)
 
