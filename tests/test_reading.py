@@ -242,3 +242,19 @@ def test_links_are_read_by_one_worker_a_task(spark):
     for out in (found, pages.link_shapes(df), pages.advertised_feeds(df)):
         plan = out._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan
+
+
+def test_dense_stories_have_every_line_that_their_sql_has(spark, tmp_path):
+    """Lines that read like a notice, have few letters or runs of blanks."""
+    duckdb = pytest.importorskip("duckdb")
+    from tidewire.plans import QUERIES, SQL
+
+    words = "the harbour and the islands of it " * 10
+    lines = [f"All rights reserved. The {words}end.", f"Share this {words}end.", f"copyright {words}end.", "a, . " * 70 + "b.", "the  harbour   and " * 20 + "end.", f"  By {words}end.", f"The {words}end.", f"The {words}end.\r"]
+    df = spark.createDataFrame([(i, f"{t}\nMore.") for i, t in enumerate(lines)], "doc_id long, text string")
+    df.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    expected = con.sql(SQL["dense_stories"]).fetchall()
+    got = QUERIES["dense_stories"](spark, str(tmp_path)).select("url", "title", "intro").collect()
+    assert len(expected) == 7 and sorted(map(tuple, got)) == sorted(expected)

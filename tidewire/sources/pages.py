@@ -223,8 +223,8 @@ def dealt(rows: DataFrame) -> DataFrame:
     return rows if rows.isStreaming else rows.repartition(TASKS_A_CORE * rows.sparkSession.sparkContext.defaultParallelism)
 
 
-def extract_articles(pages: DataFrame, now: dt.datetime, selector: str | None = None) -> DataFrame:
-    """Articles of pages (url, content): Python reads the markup once, in order of trust; of each chain the first value that holds up counts.
+def extract_articles(pages: DataFrame, now: dt.datetime, selector: str | None = None, *raw: str) -> DataFrame:
+    """Articles of pages (url, content): Python reads the markup once, in order of trust; of each chain the first value that holds up counts. Raw values may be asked for too.
 
     Pictures count that aren't logos or the like, dates that are plausible, addresses of the same site, and of the ways to the
     text (a known container, the page's state, the densest element, the structured body) the first with a paragraph of prose.
@@ -257,6 +257,7 @@ def extract_articles(pages: DataFrame, now: dt.datetime, selector: str | None =
         first_distinct(F.col("tags"), 25).alias("keywords"),
         "site_name",
         (F.col("is_object") | F.col("is_dated") | (F.lower(F.coalesce("og_type", F.lit(""))) == "article") | (F.col("has_article") & F.col("published_at").isNotNull() & F.col("intro").isNotNull())).alias("is_article"),
+        *raw,
     )
 
 
