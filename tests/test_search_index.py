@@ -5,10 +5,11 @@ from __future__ import annotations
 import datetime as dt
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidewire.search import SearchIndex, build_postings, engine
+from tidewire.search import SearchIndex, analysis, build_postings, engine
 from tidewire.search.index import STORY
 from tidewire.search.query import parse
 
@@ -126,3 +127,24 @@ def test_postings_leave_python_a_few_stories_at_a_time(spark, stories):
     few = make(spark, stories[:3]).selectExpr("id", "'Harbor boats harbor' AS title", "intro", "keywords", "section", "author", "published_at")
     rows = {(r["id"], r["term"]): (list(r["positions"]), r["weights"]) for r in engine.told_postings(few).collect()}
     assert rows[(0, "harbor")][0][:2] == [1, 3] and rows[(0, "harbor")][1].startswith("AA")
+
+
+def test_long_words_are_not_remembered():
+    """200,000 of them would be as large as the texts that they come from."""
+    known, long = {}, [chr(97 + k) * 5000 + "ing" for k in range(20)]
+    found = analysis.tokens(" ".join(["storms", *long, "the", "Storms"]), known)
+    assert [t for t, *_ in found] == ["storm", *map(analysis.term_of, long), None, "storm"] and [at for _, at, *_ in found] == list(range(1, 24))
+    assert set(known) == {"storms", "the", "Storms"}
+
+
+def test_postings_of_long_texts_leave_python_before_those_of_many_stories():
+    texts = [f"harbor{k} " * 15_000 for k in range(60)] + ["quiet harbor", None, ""]
+    fields = pa.struct([(c, pa.string()) for c in ("title", "intro", "rest")])
+    batch = pa.RecordBatch.from_pylist([{"id": k, "_fields": {"title": "Storms", "intro": t, "rest": "harbor"}} for k, t in enumerate(texts)], pa.schema([("id", pa.int64()), ("_fields", fields)]))
+    size = {k: len(t or "") + 12 for k, t in enumerate(texts)}
+    out = list(engine.posting_batches(iter([batch]), ()))
+    assert len(out) > 5 and all(sum(size[i] for i in set(b.column("id").to_pylist())) < engine.CHARACTERS_AT_ONCE + max(size.values()) for b in out)
+    rows = {(r["id"], r["term"]): (r["positions"], r["weights"]) for b in out for r in b.to_pylist()}
+    assert len(rows) == sum(b.num_rows for b in out) == 60 * 3 + 3 + 2 + 2
+    assert rows[0, "harbor0"] == (list(range(2, 15_002)), "B" * 15_000) and rows[0, "harbor"] == ([15_002], "C")
+    assert rows[60, "harbor"] == ([3, 4], "BC") and rows[61, "harbor"] == ([2], "C") and rows[62, "storm"] == ([1], "A")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tidewire.functions.dates import age_seconds
 from tidewire.operators.listing import Filters, Page, by_date, narrowed, paged
-from tidewire.search.analysis import tokens
+from tidewire.search.analysis import each_token, tokens
 from tidewire.search.query import Query, parse
 
 MARKS = ("⟦", "⟧")
@@ -25,8 +25,9 @@ MARKS = ("⟦", "⟧")
 FIELD_WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2, "D": 0.1}
 #: The share of the query's trigrams that a title must have in one stretch.
 SIMILAR = 0.6
-#: Stories whose postings Python holds at once.
+#: Stories whose postings Python holds at once, and characters of their texts, beside those of one story.
 STORIES_AT_ONCE = 200
+CHARACTERS_AT_ONCE = 1 << 20
 
 
 def build_postings(articles: DataFrame, *others: str) -> DataFrame:
@@ -34,40 +35,47 @@ def build_postings(articles: DataFrame, *others: str) -> DataFrame:
     return told_postings(articles, *others).withColumn("weights", F.split("weights", ""))
 
 
+def posting_batches(batches: Iterator[pa.RecordBatch], others: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """The postings of batches of stories (id, others, _fields): those of STORIES_AT_ONCE stories, or of CHARACTERS_AT_ONCE of text and what its last story has more, in one batch."""
+    known: dict[str, str | None] = {}
+    for batch in batches:
+        stories = batch.column("_fields")
+        owner, words, ends, places, marks = [], [], [0], [], []
+        held, characters = 0, 0
+        for k in range(batch.num_rows):
+            found: dict[str, tuple[list[int], list[str]]] = {}
+            base = 0
+            for weight, text in zip("ABC", stories[k].as_py().values(), strict=True):
+                at = 0
+                for term, at, *_ in each_token(text, known):  # noqa: B007
+                    if term:
+                        p, w = found.setdefault(term, ([], []))
+                        p.append(base + at)
+                        w.append(weight)
+                base += at
+                characters += len(text or "")
+            for term, (p, w) in found.items():
+                owner.append(k)
+                words.append(term)
+                places += p
+                ends.append(len(places))
+                marks.append("".join(w))
+            held += 1
+            if held < STORIES_AT_ONCE and characters < CHARACTERS_AT_ONCE and k < batch.num_rows - 1:
+                continue
+            own = {c: batch.column(c).take(pa.array(owner, pa.int64())) for c in ("id", *others)}
+            own |= {"term": pa.array(words, pa.string()), "positions": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(places, pa.int32())), "weights": pa.array(marks, pa.string())}
+            yield pa.RecordBatch.from_arrays([own[c] for c in ("term", "id", "positions", "weights", *others)], ["term", "id", "positions", "weights", *others])
+            owner, words, ends, places, marks = [], [], [0], [], []
+            held, characters = 0, 0
+
+
 def told_postings(articles: DataFrame, *others: str) -> DataFrame:
-    """`build_postings` with the weights as one text. Rows leave Python flat, those of a few stories at a time."""
+    """`build_postings` with the weights as one text. Rows leave Python flat, those of a few stories or of a few long texts at a time."""
     kinds = dict(articles.dtypes)
     rows = articles.select("id", *others, F.struct("title", "intro", F.concat_ws(" ", "keywords", "section", "author").alias("rest")).alias("_fields"))
-
-    def analyse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, str | None] = {}
-        for batch in batches:
-            for start in range(0, batch.num_rows, STORIES_AT_ONCE):
-                some = batch.slice(start, STORIES_AT_ONCE)
-                owner, words, ends, places, marks = [], [], [0], [], []
-                for k, fields in enumerate(some.column("_fields").to_pylist()):
-                    found: dict[str, tuple[list[int], list[str]]] = {}
-                    base = 0
-                    for weight, text in zip("ABC", fields.values(), strict=True):
-                        read = tokens(text, known)
-                        for term, at, *_ in read:
-                            if term:
-                                p, w = found.setdefault(term, ([], []))
-                                p.append(base + at)
-                                w.append(weight)
-                        base += len(read)
-                    for term, (p, w) in found.items():
-                        owner.append(k)
-                        words.append(term)
-                        places += p
-                        ends.append(len(places))
-                        marks.append("".join(w))
-                own = {c: some.column(c).take(pa.array(owner, pa.int64())) for c in ("id", *others)}
-                own |= {"term": pa.array(words, pa.string()), "positions": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(places, pa.int32())), "weights": pa.array(marks, pa.string())}
-                yield pa.RecordBatch.from_arrays([own[c] for c in ("term", "id", "positions", "weights", *others)], ["term", "id", "positions", "weights", *others])
-
     schema = ", ".join(["term string", f"id {kinds['id']}", "positions array<int>", "weights string", *(f"`{c}` {kinds[c]}" for c in others)])
-    return rows.mapInArrow(analyse, schema)
+    return rows.mapInArrow(lambda batches: posting_batches(batches, others), schema)
 
 
 def write_postings(postings: DataFrame, table: str, buckets: int = 64, path: str | None = None) -> DataFrame:
